@@ -140,8 +140,13 @@ def pad_truncate(ids: Column, length: int = MAX_TOKENS, pad: int = PAD_ID) -> Co
 
 
 def attention_mask(ids: Column, length: int = MAX_TOKENS) -> Column:
+    """``n`` ones then zeros, ``n = min(len(ids), L)``: a slice of a constant
+    array, so ``ids`` is evaluated once per row (a lambda that references
+    an outer expression re-evaluates it for every element once the
+    optimizer inlines it)."""
     n = F.least(F.size(ids), F.lit(length))
-    return F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: (i <= n).cast("int"))
+    base = F.array(*([F.lit(1)] * length + [F.lit(0)] * length))
+    return F.slice(base, F.lit(length + 1) - n, F.lit(length))
 
 
 def label_mask(ids: Column, pad: int = PAD_ID, ignore: int = IGNORE_INDEX) -> Column:
@@ -185,7 +190,10 @@ def argmax_first(arr: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+    """Sequential dot product; elements are cast inside the lambda so a
+    float32 vector is never converted as a whole per call."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
+                       lambda acc, v: acc + v)
 
 
 def to_double_array(c: Column) -> Column:

@@ -45,11 +45,20 @@ def rounds_assign(cfg: DataFrame) -> DataFrame:
     return cfg.groupBy("class").agg(F.min("round").alias("first_round"))
 
 
-def registry(cfg: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def present_classes(df: DataFrame, class_col: str) -> DataFrame:
+    """Distinct classes that occur in the data (one row per class)."""
+    return df.select(F.col(class_col).cast("string").alias("class")).distinct()
+
+
+def registry(cfg: DataFrame, known: DataFrame | None = None, present: DataFrame | None = None) -> DataFrame:
     """STR2/FLT3/SET2: the class registry after applying the config in order.
 
     ``known`` (``class``) are classes registered before; they are never
-    re-registered. Rounds without a new class get no number."""
+    re-registered. ``present`` (``class``) restricts the config to classes
+    that have rows. Rounds without a new class get no number."""
+    cfg = cfg.groupBy("round", "class").agg(F.min("pos").alias("pos"))     # a class named twice in one round
+    if present is not None:
+        cfg = cfg.join(present, "class", "left_semi")
     first = cfg.join(rounds_assign(cfg), "class").where(F.col("round") == F.col("first_round"))
     if known is not None:
         first = first.join(known.select("class"), "class", "left_anti")

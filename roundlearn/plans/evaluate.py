@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from roundlearn.operators import fusion, metrics, rounds, sampling
 from roundlearn.operators.heads import class_names, collect_heads, score_wide
+from roundlearn.session import materialize
 
 LONG_SCHEMA = ("scope", "class", "class_order", "metric", "value")
 
@@ -65,6 +66,9 @@ def evaluate_rounds(spark: SparkSession, emb: DataFrame, cfg_rounds: Sequence =
     # one pass over the scored rows: K*K counts plus the loss sums ride along
     conf = (t.groupBy(F.col("y").cast("string").alias("y"), F.col("pred").cast("string").alias("pred"))
              .agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss_sum"), F.count("loss").alias("loss_n")))
+    # K*K rows: materialize once so every metric below reads the small table
+    # instead of re-planning the scoring lineage per branch
+    conf = materialize(conf)
     labels = spark.createDataFrame([(str(h["class"]), int(h["class_order"])) for h in heads],
                                    "class string, class_order int")
     pc = metrics.per_class(conf, labels)

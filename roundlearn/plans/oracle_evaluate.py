@@ -5,11 +5,10 @@ long-form windows instead of wide arrays. Used only as a test oracle."""
 from roundlearn.operators.rounds import EMBEDDING_ROUNDS, config_sql
 
 
-def evaluate_rounds_sql(rounds=EMBEDDING_ROUNDS, zscore: str = "batch") -> str:
-    part = {"batch": "PARTITION BY t.batch_id, h.class", "global": "PARTITION BY h.class",
-            "row": "PARTITION BY t.key"}[zscore]
-    return f"""
-WITH cfg AS (SELECT * FROM {config_sql(rounds)}),
+def heads_ctes(rounds=EMBEDDING_ROUNDS, test="0.4") -> str:
+    """CTEs cfg, first, reg0, reg, d, r, s, tr, mu, heads (no leading WITH)."""
+    from roundlearn.plans.sqlfrag import ceil_frac_sql
+    return f"""cfg AS (SELECT * FROM {config_sql(rounds)}),
 first AS (SELECT class, min(round) AS r0 FROM cfg GROUP BY class),
 reg0 AS (SELECT c.round, c.pos, c.class FROM cfg c JOIN first f ON c.class = f.class AND c.round = f.r0),
 reg AS (SELECT dense_rank() OVER (ORDER BY round) - 1 AS round,
@@ -18,14 +17,24 @@ reg AS (SELECT dense_rank() OVER (ORDER BY round) - 1 AS round,
 d AS (SELECT vec_id AS key, CAST(label AS VARCHAR) AS y, embedding,
              md5(concat('42:', CAST(vec_id AS VARCHAR))) AS h FROM embeddings),
 r AS (SELECT *, row_number() OVER (ORDER BY h, key) AS rk, count(*) OVER () AS n FROM d),
-s AS (SELECT *, CASE WHEN rk <= (n * 2 + 4) // 5 THEN 'test' ELSE 'train' END AS split FROM r),
+s AS (SELECT *, CASE WHEN rk <= {ceil_frac_sql('n', test)} THEN 'test' ELSE 'train' END AS split FROM r),
 tr AS (SELECT s.y AS class, CAST(u.v AS DOUBLE) AS v, u.i AS dim
        FROM s, (SELECT unnest(s.embedding) AS v, generate_subscripts(s.embedding, 1) AS i) u
        WHERE s.split = 'train' AND s.y IN (SELECT class FROM reg)),
 mu AS (SELECT class, dim, avg(v) AS mu FROM tr GROUP BY class, dim),
-heads AS (SELECT m.class, g.class_order, -0.5 * sum(m.mu * m.mu) AS bias
-          FROM mu m JOIN reg g ON m.class = g.class GROUP BY m.class, g.class_order),
-te AS (SELECT key, y, h, embedding FROM s WHERE split = 'test' AND y IN (SELECT class FROM heads)),
+heads AS (SELECT m.class, g.class_order, g.round, -0.5 * sum(m.mu * m.mu) AS bias
+          FROM mu m JOIN reg g ON m.class = g.class GROUP BY m.class, g.class_order, g.round),
+"""
+
+
+def fused_ctes(rounds=EMBEDDING_ROUNDS, zscore: str = "batch") -> str:
+    """CTEs through ``zz`` (long scores with z) and ``pr`` (key, y, pred),
+    ``lo`` (per-row loss); no leading WITH, trailing comma."""
+    part = {"batch": "PARTITION BY t.batch_id, t.hclass", "global": "PARTITION BY t.hclass",
+            "row": "PARTITION BY t.key", "none": None}[zscore]
+    zexpr = ("t.logit" if part is None else
+             f"(t.logit - avg(t.logit) OVER ({part})) / (stddev_pop(t.logit) OVER ({part}) + 1e-6)")
+    return f"""{heads_ctes(rounds)}te AS (SELECT key, y, h, embedding FROM s WHERE split = 'test' AND y IN (SELECT class FROM heads)),
 tb AS (SELECT *, (row_number() OVER (ORDER BY h, key) - 1) // 32 AS batch_id FROM te),
 tx AS (SELECT tb.key, tb.y, tb.batch_id, CAST(u.v AS DOUBLE) AS x, u.i AS dim
        FROM tb, (SELECT unnest(tb.embedding) AS v, generate_subscripts(tb.embedding, 1) AS i) u),
@@ -33,15 +42,18 @@ lg AS (SELECT t.key, t.y, t.batch_id, m.class, sum(t.x * m.mu) AS dotp
        FROM tx t JOIN mu m ON t.dim = m.dim GROUP BY t.key, t.y, t.batch_id, m.class),
 sc AS (SELECT t.key, t.y, t.batch_id, h.class, h.class_order, t.dotp + h.bias AS logit
        FROM lg t JOIN heads h ON t.class = h.class),
-zz AS (SELECT t.*, (t.logit - avg(t.logit) OVER w) / (stddev_pop(t.logit) OVER w + 1e-6) AS z
-       FROM (SELECT sc.*, sc.class AS hclass FROM sc) t
-       WINDOW w AS ({part.replace('h.class', 't.hclass')})),
+zz AS (SELECT t.*, {zexpr} AS z FROM (SELECT sc.*, sc.class AS hclass FROM sc) t),
 pr AS (SELECT key, y, class AS pred FROM
          (SELECT key, y, class, row_number() OVER (PARTITION BY key ORDER BY z DESC, class_order) AS rn FROM zz)
        WHERE rn = 1),
 ls AS (SELECT key, max(z) AS m FROM zz GROUP BY key),
 lo AS (SELECT z.key, ln(sum(exp(z.z - l.m))) + l.m - max(CASE WHEN z.class = z.y THEN z.z END) AS loss
        FROM zz z JOIN ls l ON z.key = l.key GROUP BY z.key, l.m),
+"""
+
+
+def evaluate_rounds_sql(rounds=EMBEDDING_ROUNDS, zscore: str = "batch") -> str:
+    return f"""WITH {fused_ctes(rounds, zscore)}
 conf AS (SELECT y, pred, count(*) AS n FROM pr GROUP BY y, pred),
 sup AS (SELECT y AS class, sum(n) AS support FROM conf GROUP BY y),
 pp AS (SELECT pred AS class, sum(n) AS pp FROM conf GROUP BY pred),
