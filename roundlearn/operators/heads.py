@@ -59,11 +59,21 @@ def collect_heads(heads: DataFrame, max_classes: int = MAX_HEAD_CLASSES) -> list
 
 
 def heads_literal(rows: list) -> Column:
-    """array<struct<class, class_order, mu, bias>> literal, in class order."""
-    return F.array(*[F.struct(F.lit(str(r["class"])).alias("class"),
-                              F.lit(int(r["class_order"])).alias("class_order"),
-                              F.array(*[F.lit(float(v)) for v in r["mu"]]).alias("mu"),
-                              F.lit(float(r["bias"])).alias("bias")) for r in rows])
+    """array<struct<class, class_order, mu, bias>> literal, in class order,
+    built from one SQL expression (doubles written exactly with the ``D``
+    suffix) instead of one driver call per number."""
+    def dbl(v) -> str:
+        v = float(v)
+        if v != v or v in (float("inf"), float("-inf")):
+            return f"CAST('{v}' AS DOUBLE)"
+        return f"{v!r}D"
+
+    def q(x) -> str:
+        return "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    parts = [f"named_struct('class', {q(r['class'])}, 'class_order', {int(r['class_order'])}, "
+             f"'mu', array({', '.join(dbl(v) for v in r['mu'])}), 'bias', {dbl(r['bias'])})" for r in rows]
+    return F.expr(f"array({', '.join(parts)})")
 
 
 def score_wide(rows: DataFrame, heads: list, vec_col: str, out_col: str = "logits") -> DataFrame:

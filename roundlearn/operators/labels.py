@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundlearn.functions.columns import col, multi_hot
-from roundlearn.session import checked_broadcast, materialize
+from roundlearn.session import checked_broadcast, small_local
 
 DICT_COLS = ("label_col", "label", "id")
 
@@ -36,7 +36,7 @@ def fit_dictionary(df: DataFrame, label_cols: Sequence[str], keep: bool = True)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return materialize(out) if keep else out
+    return small_local(out) if keep else out
 
 
 def dictionary_for(dictionary: DataFrame, label_col: str) -> DataFrame:

@@ -31,15 +31,19 @@ def per_class(conf: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
     Universe = ``labels`` (JN6, a ``class`` column) when given, else every
     class seen as true or predicted (JN5, open universe)."""
-    sup = conf.groupBy(F.col("y").alias("class")).agg(F.sum("n").alias("support"))
-    pp = conf.groupBy(F.col("pred").alias("class")).agg(F.sum("n").alias("pp"))
-    tp = conf.where(F.col("y") == F.col("pred")).groupBy(F.col("y").alias("class")).agg(F.sum("n").alias("tp"))
+    # one pass over the K*K cells: each cell counts as support of its true
+    # class, as a prediction of its predicted class, and as tp when equal
+    sides = F.array(
+        F.struct(F.col("y").alias("class"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("pp"),
+                 F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0).cast("bigint").alias("tp")),
+        F.struct(F.col("pred").alias("class"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("pp"),
+                 F.lit(0).cast("bigint").alias("tp")))
+    cnt = (conf.select(F.explode(sides).alias("s")).select("s.*")
+               .groupBy("class").agg(F.sum("support").alias("support"), F.sum("pp").alias("pp"), F.sum("tp").alias("tp")))
     if labels is None:
-        universe = sup.select("class").unionByName(pp.select("class")).distinct()
+        t = cnt
     else:
-        universe = labels
-    t = (universe.join(sup, "class", "left").join(pp, "class", "left").join(tp, "class", "left")
-         .fillna(0, ["support", "pp", "tp"]))
+        t = labels.join(cnt, "class", "left").fillna(0, ["support", "pp", "tp"])
     return (t.withColumn("precision", _div(F.col("tp"), F.col("pp")))
              .withColumn("recall", _div(F.col("tp"), F.col("support")))
              .withColumn("f1", _div(2 * F.col("tp"), F.col("pp") + F.col("support"))))

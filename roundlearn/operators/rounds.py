@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roundlearn.operators.heads import centroid_heads
-from roundlearn.session import bounded_broadcast
+from roundlearn.session import bounded_broadcast, small_local
 
 # The standard experiment of the reference, 4 rounds of
 # 3/2/2/2 classes (traffic class names) ...
@@ -70,6 +70,37 @@ def registry(cfg: DataFrame, known: DataFrame | None = None, present: DataFrame
     return out.withColumn("class_order", F.row_number().over(Window.orderBy("round", "pos")).cast("int"))
 
 
+def local_registry(reg: DataFrame) -> DataFrame:
+    """Compute the registry once and keep it as a local relation: it is one
+    row per configured class (metadata, like a dictionary), so every plan
+    that uses it reads a constant instead of re-running its windows."""
+    return small_local(reg)
+
+
+def registry_rows(rounds: Sequence[tuple[int, Sequence[str]]], present: set | None = None) -> list[tuple]:
+    """The same registry computed from an in-memory round config (a driver
+    parameter, one entry per class): ``(round, pos, class, class_order)``."""
+    seen, out, rnd = set(), [], 0
+    for _, classes in sorted(((r, cs) for r, cs in rounds), key=lambda x: x[0]):
+        new = []
+        for c in classes:
+            c = str(c)
+            if c in seen or c in new or (present is not None and c not in present):
+                continue
+            new.append(c)
+        if not new:
+            continue
+        for i, c in enumerate(new):
+            out.append((rnd, i + 1, c, len(seen) + i + 1))
+        seen.update(new)
+        rnd += 1
+    return out
+
+
+def registry_frame(spark: SparkSession, rounds: Sequence[tuple[int, Sequence[str]]]) -> DataFrame:
+    return spark.createDataFrame(registry_rows(rounds), "round int, pos int, class string, class_order int")
+
+
 def new_classes(candidates: DataFrame, known: DataFrame) -> DataFrame:
     """FLT3: candidate classes not yet known, in their given order."""
     return candidates.join(known.select("class"), "class", "left_anti")

@@ -7,8 +7,9 @@ first ``hex`` digits of the md5) are never skewed.
 Nothing here uses a window without ``partitionBy`` over data rows: global
 positions come from per-bucket counts (at most ``16**hex`` rows, a proven
 bound, hence broadcast) plus a ``row_number`` inside each bucket.
-Splits and caps do not even need that: only the one bucket that straddles
-a threshold is ranked, every other row is decided by a map-side lookup.
+Splits and caps do not even need that: only the bucket that straddles a
+threshold is ranked; a split then compares each row with constant
+boundaries, a cap filters rows by a size-checked broadcast lookup.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roundlearn.session import bounded_broadcast, checked_broadcast
+from roundlearn.session import bounded_broadcast, checked_broadcast, materialize
 
 DEFAULT_SEED = 42
 RANK_HEX = 5          # 1 048 576 buckets: ~1e6 rows per bucket at 1e12 rows
@@ -102,39 +103,74 @@ def split_sizes_sql(n: str, test: float, val: float | None = None) -> tuple[str,
     return t, v
 
 
+def _boundaries(d: DataFrame, key: str, off_rows: list, positions: list) -> dict:
+    """(hash, key) of the rows at the given global positions (1-based), by
+    ranking only the buckets that hold them (one job, <= len(positions)
+    buckets, each ~n/16**hex rows)."""
+    want = {}
+    for p in positions:
+        r = next(r for r in off_rows if r["_off"] < p <= r["_off"] + r["_n"])
+        want.setdefault(r["_bk"], []).append((p, p - r["_off"]))
+    if not want:
+        return {}
+    w = Window.partitionBy("_bk").orderBy("_h", key)
+    cond = F.lit(False)
+    for bk, ks in want.items():
+        cond = cond | ((F.col("_bk") == bk) & F.col("_rn").isin([k for _, k in ks]))
+    got = (d.where(F.col("_bk").isin(list(want))).withColumn("_rn", F.row_number().over(w))
+            .where(cond).select("_bk", "_rn", "_h", key).collect())
+    out = {}
+    for g in got:
+        for p, k in want[g["_bk"]]:
+            if k == g["_rn"]:
+                out[p] = (g["_h"], g[key])
+    return out
+
+
+def _at_or_before(key: str, bound) -> Column:
+    if bound is None:
+        return F.lit(False)
+    h, k = bound
+    return (F.col("_h") < F.lit(h)) | ((F.col("_h") == F.lit(h)) & (F.col(key) <= F.lit(k)))
+
+
 def split(df: DataFrame, key: str, test: float = 0.4, val: float | None = None,
           seed=DEFAULT_SEED, split_col: str = "split", hex_digits: int = RANK_HEX) -> DataFrame:
     """Exact seeded split (SRT4/SRT5).
 
     ``test`` = first ceil(n*test) rows of the seeded order, ``val`` = next
-    ceil((n-test)*val) rows, ``train`` = the rest. Sizes match
-    ``train_test_split`` exactly. Only the buckets that straddle a boundary
-    are ranked; all other rows are labelled by a broadcast bucket lookup, so
-    the data itself is never shuffled."""
+    ceil((n-test)*val) rows, ``train`` = the rest; sizes match
+    ``train_test_split`` exactly. Bucket counts (a partial aggregate, at
+    most 16**hex rows) locate the bucket holding each boundary position;
+    ranking that one bucket gives the boundary ``(hash, key)``. The split
+    itself is then a narrow projection against two constants: no join and
+    no shuffle of the rows, and reusing it costs one scan."""
     d = _with_hash(df, key, seed, hex_digits)
-    off = _bucket_offsets(d, hex_digits)
-    n = F.col("_total")
-    t_sz = ceil_frac(n, test)
-    v_sz = ceil_frac(n - t_sz, val) if val is not None else F.lit(0).cast("bigint")
-    off = (off.withColumn("_t", t_sz).withColumn("_v", t_sz + v_sz)
-              .withColumn("_straddle", ((F.col("_off") < F.col("_t")) & (F.col("_off") + F.col("_n") > F.col("_t")))
-                          | ((F.col("_off") < F.col("_v")) & (F.col("_off") + F.col("_n") > F.col("_v")))))
-    d = d.join(bounded_broadcast(off.select("_bk", "_off", "_n", "_t", "_v", "_straddle"), 16 ** hex_digits), "_bk")
-
-    def label(pos_lo: Column, pos_hi: Column) -> Column:
-        # rows whose whole position range falls in one part
-        return (F.when(pos_hi <= F.col("_t"), F.lit("test"))
-                 .when((pos_lo > F.col("_t")) & (pos_hi <= F.col("_v")), F.lit("val"))
-                 .when(pos_lo > F.col("_v"), F.lit("train")))
-
-    plain = (d.filter(~F.col("_straddle"))
-              .withColumn(split_col, label(F.col("_off") + 1, F.col("_off") + F.col("_n"))))
-    w = Window.partitionBy("_bk").orderBy("_h", key)
-    edge = (d.filter(F.col("_straddle"))
-             .withColumn("_pos", F.col("_off") + F.row_number().over(w))
-             .withColumn(split_col, label(F.col("_pos"), F.col("_pos")))
-             .drop("_pos"))
-    return plain.unionByName(edge).drop("_h", "_bk", "_off", "_n", "_t", "_v", "_straddle")
+    counts = materialize(d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")))   # <= 16**hex rows
+    w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)      # over bucket rows only
+    off = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    qt = Fraction(str(test))
+    t_sz = -(-total * qt.numerator // qt.denominator)
+    v_sz = 0
+    if val is not None:
+        qv = Fraction(str(val))
+        v_sz = -(-(total - t_sz) * qv.numerator // qv.denominator)
+    wanted = sorted({p for p in (t_sz, t_sz + v_sz) if 0 < p <= total})
+    rows = off.where(_straddles(wanted)).collect() if wanted else []     # one bucket per boundary
+    bounds = _boundaries(d, key, rows, wanted)
+    b_t = bounds.get(t_sz)
+    b_v = bounds.get(t_sz + v_sz) if val is not None else b_t
+    lbl = (F.when(_at_or_before(key, b_t), F.lit("test"))
+            .when(_at_or_before(key, b_v), F.lit("val")).otherwise(F.lit("train")))
+    return d.withColumn(split_col, lbl).drop("_h", "_bk")
+
+
+def _straddles(positions: list) -> Column:
+    c = F.lit(False)
+    for p in positions:
+        c = c | ((F.col("_off") < F.lit(p)) & (F.col("_off") + F.col("_n") >= F.lit(p)))
+    return c
 
 
 # ------------------------------------------------------- stratified cap

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from roundlearn.operators import fusion, metrics, rounds, sampling
 from roundlearn.operators.heads import class_names, collect_heads, score_wide
-from roundlearn.session import materialize
+from roundlearn.session import small_local
 
 LONG_SCHEMA = ("scope", "class", "class_order", "metric", "value")
 
@@ -34,9 +34,9 @@ def fused_scores(spark: SparkSession, data: DataFrame, cfg_rounds: Sequence, zsc
                  seed=42, test: float = 0.4, batch_size: int = 32) -> tuple[DataFrame, list, DataFrame]:
     """ML6: scored test rows ``(key, y, batch_id, logits, z, pred, y_index)``,
     the heads (local model) and the registry."""
-    cfg = rounds.config_table(spark, cfg_rounds)
     n_cfg = sum(len(c) for _, c in cfg_rounds)
-    reg = rounds.registry(cfg)
+    # the round config is a driver parameter: its registry is a local relation
+    reg = rounds.registry_frame(spark, cfg_rounds)
     s = sampling.split(data, "key", test=test, seed=seed)
     train = s.where(F.col("split") == "train")
     heads = collect_heads(rounds.round_heads(train, reg, "y", "embedding", n_cfg))
@@ -68,7 +68,7 @@ def evaluate_rounds(spark: SparkSession, emb: DataFrame, cfg_rounds: Sequence =
              .agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss_sum"), F.count("loss").alias("loss_n")))
     # K*K rows: materialize once so every metric below reads the small table
     # instead of re-planning the scoring lineage per branch
-    conf = materialize(conf)
+    conf = small_local(conf)
     labels = spark.createDataFrame([(str(h["class"]), int(h["class_order"])) for h in heads],
                                    "class string, class_order int")
     pc = metrics.per_class(conf, labels)

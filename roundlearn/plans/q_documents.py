@@ -11,7 +11,7 @@ from roundlearn.operators import metrics as M
 from roundlearn.plans.common import BLOCKS, DOC_DICT_SQL, DOC_LABELS_SQL, doc_labels, r6
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import materialize
+from roundlearn.session import materialize, small_local
 from roundlearn.sources.tables import table
 
 VOCAB = 30522
@@ -49,7 +49,7 @@ def block_table(spark, dic, layout):
 def cells(spark, d):
     dl, layout, dic = multi_hot_frame(spark, d)
     width = sum(w for _, _, w in layout)
-    return materialize(M.cell_sums(dl, "y", "p", width)), block_table(spark, dic, layout), dl
+    return small_local(M.cell_sums(dl, "y", "p", width)), block_table(spark, dic, layout), dl
 
 
 BASE_SQL = f"""dl AS {DOC_LABELS_SQL},

@@ -15,7 +15,7 @@ from roundlearn.plans.common import (EVENT_CLASSES, EVENTS_SQL, LOGIT_SQL, PRED_
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import bce_sql, ceil_frac_sql, hash_sql, prf_ctes, rank_sql, split_case_sql
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import materialize
+from roundlearn.session import materialize, small_local
 
 E = EVENTS_SQL
 # Remap of the second dataset's class names (4 of 5 renamed).
@@ -35,7 +35,7 @@ PREDS_SQL = f"(SELECT event_id, event_type AS y, {PRED_SQL} AS pred FROM {E})"
 
 def conf_of(spark, d) -> DataFrame:
     # K*K rows; materialized once, every metric reads the small table
-    return materialize(M.confusion(preds(spark, d)))
+    return small_local(M.confusion(preds(spark, d)))
 
 
 def pc_out(pc: DataFrame) -> DataFrame:
@@ -572,7 +572,7 @@ def text_label_head(spark, d):
     p = p.join(F.broadcast(pd_), "pred", "left")
     t = p.select(C.normalise_text(C.label_text_id(F.col("y_id"))).alias("y"),
                  C.normalise_text(F.coalesce(C.label_text_id(F.col("p_id")), F.col("pred"))).alias("pred"))
-    t = materialize(t.groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n")))
+    t = small_local(t.groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n")))
     pc = M.per_class(t)
     # accuracy = sum(tp) / sum(support) over the universe: one aggregate, no join
     return pc.agg(r6(F.lit(100.0) * F.sum("tp") / F.sum("support")).alias("accuracy"),

@@ -22,7 +22,7 @@ from roundlearn.plans.q_io import SPLIT_TS
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import prf_ctes
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import materialize, scratch_path
+from roundlearn.session import materialize, scratch_path, small_local
 from roundlearn.sources import sinks
 from roundlearn.sources.tables import table
 
@@ -73,7 +73,7 @@ def cross_dataset_eval(spark, d):
     heads = collect_heads(_dict_heads(spark, a, dic))
     b = L.encode(b, dic, "event_type", "y_id", unseen="skip")
     t = fusion.argmax_predict(score_wide(b, heads, "vec", "z"), class_names(heads))
-    conf = materialize(M.confusion(t, "event_type", "pred"))
+    conf = small_local(M.confusion(t, "event_type", "pred"))
     classes = RD.present_classes(b, "event_type")
     return M.per_class(conf, classes).select("class", r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"),
                                              r6(F.col("f1")).alias("f1"), F.col("support").cast("bigint"))

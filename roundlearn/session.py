@@ -81,3 +81,14 @@ def checked_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     small = materialize(df)
     n = small.count()
     return F.broadcast(small) if n <= max_rows else small
+
+
+def small_local(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Compute a small aggregate once (a confusion matrix, a dictionary, a
+    registry: bounded by the class count, never by the data) and keep it as
+    a local relation, so plans that reuse it do not recompute its lineage.
+    The bound is checked; a larger result is checkpointed instead."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return materialize(df)
+    return df.sparkSession.createDataFrame(rows, df.schema)
