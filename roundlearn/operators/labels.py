@@ -69,6 +69,29 @@ def encode(df: DataFrame, dictionary: DataFrame, label_col: str, out_col: str |
     return out
 
 
+def check_unseen(df: DataFrame, dictionary: DataFrame, label_cols: Sequence[str]) -> None:
+    """Raise when any label column holds a value the dictionary lacks: one
+    job for all columns (distinct (column, label) pairs, anti join on the
+    broadcast dictionary)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("label_col"), col(c).cast("string").alias("label"))
+                                for c in label_cols]))
+    vals = df.select(pairs.alias("p")).select("p.*").where(F.col("label").isNotNull()).distinct()
+    bad = vals.join(F.broadcast(dictionary.select("label_col", "label")), ["label_col", "label"], "left_anti").limit(5).collect()
+    if bad:
+        raise UnseenLabelError(f"labels not in dictionary: {[(r['label_col'], r['label']) for r in bad]}")
+
+
+def encode_all(df: DataFrame, dictionary: DataFrame, label_cols: Sequence[str], suffix: str = "_id",
+               unseen: str = "error") -> DataFrame:
+    """JN1 for several label columns with a single unseen-label check."""
+    if unseen == "error":
+        check_unseen(df, dictionary, label_cols)
+        unseen = "skip"         # checked: nothing is missing
+    for c in label_cols:
+        df = encode(df, dictionary, c, f"{c}{suffix}", unseen=unseen)
+    return df
+
+
 def decode(df: DataFrame, dictionary: DataFrame, label_col: str, id_col: str, out_col: str) -> DataFrame:
     """JN2 ``label_decode``: id -> label text."""
     d = checked_broadcast(dictionary_for(dictionary, label_col)

@@ -74,15 +74,14 @@ def evaluate_rounds(spark: SparkSession, emb: DataFrame, cfg_rounds: Sequence =
     pc = metrics.per_class(conf, labels)
     per = metrics.long_metrics(pc.withColumn("scope", F.lit("class")), ["scope", "class", "class_order"],
                                ["precision", "recall", "f1", "support"])
-    wt = metrics.weighted(metrics.per_class(conf))
-    acc = metrics.accuracy(conf)
-    loss = conf.agg((F.sum("loss_sum") / F.sum("loss_n")).alias("loss"))
-    one = [acc.select(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
-           *[wt.select(F.lit(f"weighted_{m}").alias("metric"), F.col(m).alias("value")) for m in ("precision", "recall", "f1")],
-           loss.select(F.lit("loss").alias("metric"), F.col("loss").alias("value"))]
-    ov = one[0]
-    for o in one[1:]:
-        ov = ov.unionByName(o)
+    # every prediction is a registered class, so the weighted means over the
+    # registered classes equal the open-universe ones
+    s = F.sum("support")
+    wt = pc.agg(*[(F.sum(F.col(m) * F.col("support")) / s).alias(f"weighted_{m}") for m in ("precision", "recall", "f1")])
+    cv = conf.agg((F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
+                  (F.sum("loss_sum") / F.sum("loss_n")).alias("loss"))
+    ov = (metrics.long_metrics(wt, [], ["weighted_precision", "weighted_recall", "weighted_f1"])
+          .unionByName(metrics.long_metrics(cv, [], ["accuracy", "loss"])))
     ov = ov.select(F.lit("overall").alias("scope"), F.lit(None).cast("string").alias("class"),
                    F.lit(None).cast("int").alias("class_order"), "metric", "value")
     out = per.unionByName(ov)

@@ -27,8 +27,7 @@ def multi_hot_frame(spark, d):
     dl = doc_labels(spark, d)
     dic = _dict(dl)
     layout = L.block_layout(dic, BLOCKS)
-    for b in BLOCKS:
-        dl = L.encode(dl, dic, b, f"{b}_id")
+    dl = L.encode_all(dl, dic, BLOCKS)
     # predicted blocks use the same dictionary (renamed columns)
     for b in BLOCKS:
         pd_ = (L.dictionary_for(dic, b).withColumnRenamed("label", f"{b}_p").withColumnRenamed("id", f"{b}_pid"))

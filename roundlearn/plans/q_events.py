@@ -153,8 +153,8 @@ def event_dict(spark, d) -> DataFrame:
 def encoded(spark, d) -> DataFrame:
     e = events(spark, d).withColumn("Attack_label", (F.col("event_type") == "error").cast("int"))
     dic = event_dict(spark, d)
-    e = L.encode(e, dic, "event_type", "type_id")
-    return L.encode(e, dic, "Attack_label", "label_id")
+    e = L.encode_all(e, dic, ["event_type", "Attack_label"])
+    return e.withColumnsRenamed({"event_type_id": "type_id", "Attack_label_id": "label_id"})
 
 
 DICT_TYPE_SQL = "(SELECT event_type AS label, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS id FROM (SELECT DISTINCT event_type FROM events))"

@@ -105,16 +105,17 @@ def rounds_loop(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("y"), "embedding")
     train = S.split(e, "key", test=0.4).where(F.col("split") == "train")
     path = scratch_path(spark, "rounds")
-    reg = None
+    known: set = set()
     nxt = 0
     for r, classes in RD.EMBEDDING_ROUNDS:
-        new = RD.registry(RD.config_table(spark, [(r, classes)]), known=reg)
-        if new.isEmpty():
-            continue
-        new = new.withColumn("round", F.lit(nxt).cast("int"))
-        h = RD.round_heads(train, new, "y", "embedding", len(classes))
+        # the round's new classes (a config-sized list, kept on the driver)
+        new = [c for c in dict.fromkeys(map(str, classes)) if c not in known]
+        if not new:
+            continue                                    # no round number burnt
+        reg = spark.createDataFrame([(nxt, i + 1, c) for i, c in enumerate(new)], "round int, pos int, class string")
+        h = RD.round_heads(train, reg, "y", "embedding", len(new))     # Spark job: this round's rows only
         sinks.save_heads(h.select("round", "class", "n_train", F.posexplode("mu").alias("dim", "value")), path)
-        reg = new if reg is None else reg.unionByName(new)
+        known.update(new)
         nxt += 1
     back = sinks.load_heads(spark, path)
     g = back.groupBy("round", "class").agg(F.first("n_train").alias("n_train"),

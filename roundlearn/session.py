@@ -75,12 +75,14 @@ def bounded_broadcast(df: DataFrame, bound_rows: int, max_rows: int = 2_000_000)
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Materialize a small derived table, count it and broadcast it only when
-    the count is under ``max_rows``. Use for tables whose bound depends on
-    data (e.g. one row per class)."""
-    small = materialize(df)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    """Broadcast a small derived table (one row per class, per bucket, ...)
+    only after its row count is checked; a table over ``max_rows`` is left
+    to the optimizer/AQE (shuffle join). Small results are kept as local
+    relations so the count does not re-run their lineage."""
+    small = small_local(df, max_rows)
+    if isinstance(small, DataFrame) and small.count() <= max_rows:
+        return F.broadcast(small)
+    return small
 
 
 def small_local(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
