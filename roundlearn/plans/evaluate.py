@@ -60,8 +60,15 @@ def fused_scores(spark: SparkSession, data: DataFrame, cfg_rounds: Sequence, zsc
 
 def evaluate_rounds(spark: SparkSession, emb: DataFrame, cfg_rounds: Sequence = rounds.EMBEDDING_ROUNDS,
                     zscore: str = "batch", seed=42) -> DataFrame:
-    """ML7: long metric table ``(scope, class, class_order, metric, value)``."""
-    t, heads, reg = fused_scores(spark, prepare(emb), cfg_rounds, zscore, seed)
+    """ML7 over the ``embeddings`` table."""
+    return evaluate_frame(spark, prepare(emb), cfg_rounds, zscore, seed)
+
+
+def evaluate_frame(spark: SparkSession, data: DataFrame, cfg_rounds: Sequence = rounds.STANDARD_ROUNDS,
+                   zscore: str = "batch", seed=42) -> DataFrame:
+    """ML7: rows ``(key, y, embedding)`` -> long metric table
+    ``(scope, class, class_order, metric, value)``."""
+    t, heads, reg = fused_scores(spark, data, cfg_rounds, zscore, seed)
     t = t.withColumn("loss", fusion.row_ce(F.col("z"), F.col("y_index")))
     # one pass over the scored rows: K*K counts plus the loss sums ride along
     conf = (t.groupBy(F.col("y").cast("string").alias("y"), F.col("pred").cast("string").alias("pred"))

@@ -45,7 +45,22 @@ def rows_of(df: pd.DataFrame) -> list[tuple]:
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
-def compare(spark_df, sf_dir: str, sql: str) -> tuple[bool, str]:
+def duck_types(sf_dir: str, sql: str) -> dict:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    rel = con.sql(sql)
+    return {n: str(t) for n, t in zip(rel.columns, rel.types)}
+
+
+def compare(spark_df, sf_dir: str, sql: str, check_types: bool = True) -> tuple[bool, str]:
+    if check_types:
+        from type_check import spark_type
+        st = {f.name: spark_type(f.dataType) for f in spark_df.schema.fields}
+        dt = duck_types(sf_dir, sql)
+        diff = {c: (st.get(c), dt.get(c)) for c in set(st) | set(dt) if st.get(c) != dt.get(c)}
+        if diff:
+            return False, f"types differ: {diff}"
     a = spark_df.toPandas()
     b = duck(sf_dir, sql)
     if sorted(a.columns) != sorted(b.columns):
