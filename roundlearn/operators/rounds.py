@@ -55,19 +55,22 @@ def registry(cfg: DataFrame, known: DataFrame | None = None, present: DataFrame
 
     ``known`` (``class``) are classes registered before; they are never
     re-registered. ``present`` (``class``) restricts the config to classes
-    that have rows. Rounds without a new class get no number."""
-    cfg = cfg.groupBy("round", "class").agg(F.min("pos").alias("pos"))     # a class named twice in one round
+    that have rows. A class belongs to its first (round, pos); rounds
+    without a new class get no number. The config, ``known`` and
+    ``present`` are class-universe sized (never data rows): the class sets
+    are broadcast and the windows run over config rows only."""
+    c = cfg
     if present is not None:
-        cfg = cfg.join(present, "class", "left_semi")
-    first = cfg.join(rounds_assign(cfg), "class").where(F.col("round") == F.col("first_round"))
+        c = c.join(F.broadcast(present.select("class")), "class", "left_semi")
     if known is not None:
-        first = first.join(known.select("class"), "class", "left_anti")
-    # cfg is a parameter table (bounded by the class universe): the windows
-    # below run over it, never over data rows.
+        c = c.join(F.broadcast(known.select("class")), "class", "left_anti")
+    first = (c.withColumn("_k", F.row_number().over(Window.partitionBy("class").orderBy("round", "pos")))
+              .where(F.col("_k") == 1).drop("_k"))
     first = first.withColumn("pos", F.row_number().over(Window.partitionBy("round").orderBy("pos")))
-    rnd = first.select("round").distinct().withColumn("_r", F.dense_rank().over(Window.orderBy("round")) - 1)
-    out = first.join(rnd, "round").select(F.col("_r").cast("int").alias("round"), F.col("pos").cast("int"), "class")
-    return out.withColumn("class_order", F.row_number().over(Window.orderBy("round", "pos")).cast("int"))
+    out = (first.withColumn("_r", F.dense_rank().over(Window.orderBy("round")) - 1)
+                .withColumn("class_order", F.row_number().over(Window.orderBy("round", "pos"))))
+    return out.select(F.col("_r").cast("int").alias("round"), F.col("pos").cast("int"), "class",
+                      F.col("class_order").cast("int"))
 
 
 def local_registry(reg: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from roundlearn.plans.evaluate import fused_scores, prepare
 from roundlearn.plans.oracle_evaluate import evaluate_rounds_sql, fused_ctes, heads_ctes
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import r6 as s6
+from roundlearn.session import small_local
 from roundlearn.sources.tables import table
 
 ER = RD.EMBEDDING_ROUNDS
@@ -52,20 +53,21 @@ reg AS (SELECT CAST(dense_rank() OVER (ORDER BY round) - 1 AS INTEGER) AS round,
 def registry_update(spark, d):
     """STR2: the registry after the rounds, applied one round at a time
     (append-only, a round number only for a round with new classes)."""
-    present = RD.present_classes(emb(spark, d), "y")
+    # registry state is one row per class: kept as a local relation each
+    # round so the lineage does not grow with the number of rounds
+    present = small_local(RD.present_classes(emb(spark, d), "y"))
     reg = None
     nxt = 0
     for r, classes in EDGE_ROUNDS:
         if not classes:
             continue
-        cfg = RD.config_table(spark, [(r, classes)])
-        new = RD.registry(cfg, known=reg, present=present)
-        new = new.withColumn("round", F.lit(nxt))
-        if new.isEmpty():               # no class is new: no round number burnt
+        new = small_local(RD.registry(RD.config_table(spark, [(r, classes)]), known=reg, present=present))
+        if new.count() == 0:            # no class is new: no round number burnt
             continue
         base = 0 if reg is None else reg.count()
-        new = new.withColumn("class_order", (F.col("class_order") + F.lit(base)).cast("int"))
-        reg = new if reg is None else reg.unionByName(new)
+        new = (new.withColumn("round", F.lit(nxt))
+                  .withColumn("class_order", (F.col("class_order") + F.lit(base)).cast("int")))
+        reg = new if reg is None else small_local(reg.unionByName(new))
         nxt += 1
     return reg.select(F.col("round").cast("int"), "pos", "class", "class_order")
 

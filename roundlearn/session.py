@@ -94,3 +94,14 @@ def small_local(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if len(rows) > max_rows:
         return materialize(df)
     return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Use every core for CPU-heavy per-row work (tokenising whole texts):
+    repartition only when the scan yields fewer partitions than the
+    session's parallelism. On a cluster reading a large table the scan
+    already has thousands of splits and this is a no-op (no text shuffle)."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)
