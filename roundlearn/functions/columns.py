@@ -163,15 +163,24 @@ def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
+def _per_element(arr: Column, scalar: Column) -> Column:
+    """``scalar`` repeated to the length of ``arr``: zipping against it lets a
+    lambda use a per-row value without referencing an outer expression
+    (which the optimizer would inline and re-evaluate for every element)."""
+    return F.array_repeat(scalar, F.size(arr))
+
+
 def softmax(logits: Column) -> Column:
     m = F.array_max(logits)
-    s = F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - m))
-    return F.transform(logits, lambda v: F.exp(v - m) / s)
+    e = F.zip_with(logits, _per_element(logits, m), lambda v, mm: F.exp(v - mm))
+    s = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v)
+    return F.zip_with(e, _per_element(e, s), lambda v, ss: v / ss)
 
 
 def logsumexp(logits: Column) -> Column:
     m = F.array_max(logits)
-    return m + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, v: acc + F.exp(v - m)))
+    e = F.zip_with(logits, _per_element(logits, m), lambda v, mm: F.exp(v - mm))
+    return m + F.log(F.aggregate(e, F.lit(0.0), lambda acc, v: acc + v))
 
 
 def bce_with_logits(x: Column, z: Column) -> Column:

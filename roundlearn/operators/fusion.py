@@ -34,8 +34,9 @@ def zscore_row(df: DataFrame, logits: str = "logits", out: str = "z", eps: float
     lg = F.col(logits)
     n = F.size(lg).cast("double")
     mean = F.aggregate(lg, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(lg, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-    return df.withColumn(out, F.transform(lg, lambda x: (x - mean) / (F.sqrt(var) + F.lit(eps))))
+    dev = F.zip_with(lg, F.array_repeat(mean, F.size(lg)), lambda x, m: x - m)
+    sd = F.sqrt(F.aggregate(dev, F.lit(0.0), lambda a, x: a + x * x) / n)
+    return df.withColumn(out, F.zip_with(dev, F.array_repeat(sd, F.size(lg)), lambda x, s: x / (s + F.lit(eps))))
 
 
 def class_stats(df: DataFrame, n_classes: int, logits: str = "logits") -> list[tuple[float, float]]:
