@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roundlearn.operators.heads import centroid_heads
-from roundlearn.session import bounded_broadcast, small_local
+from roundlearn.session import bounded_broadcast, local_frame, small_local
 
 # The standard experiment of the reference, 4 rounds of
 # 3/2/2/2 classes (traffic class names) ...
@@ -32,7 +32,7 @@ EMBEDDING_ROUNDS = [(0, ["0", "1", "2"]), (1, ["3", "4"]), (2, ["5", "6"]), (3,
 
 def config_table(spark: SparkSession, rounds: Sequence[tuple[int, Sequence[str]]]) -> DataFrame:
     rows = [(int(r), i + 1, str(c)) for r, cs in rounds for i, c in enumerate(cs)]
-    return spark.createDataFrame(rows, "round int, pos int, class string")
+    return local_frame(spark, rows, "round int, pos int, class string")
 
 
 def config_sql(rounds: Sequence[tuple[int, Sequence[str]]]) -> str:
@@ -101,7 +101,7 @@ def registry_rows(rounds: Sequence[tuple[int, Sequence[str]]], present: set | No
 
 
 def registry_frame(spark: SparkSession, rounds: Sequence[tuple[int, Sequence[str]]]) -> DataFrame:
-    return spark.createDataFrame(registry_rows(rounds), "round int, pos int, class string, class_order int")
+    return local_frame(spark, registry_rows(rounds), "round int, pos int, class string, class_order int")
 
 
 def new_classes(candidates: DataFrame, known: DataFrame) -> DataFrame:

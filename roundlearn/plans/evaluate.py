@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from roundlearn.operators import fusion, metrics, rounds, sampling
 from roundlearn.operators.heads import class_names, collect_heads, score_wide
-from roundlearn.session import small_local
+from roundlearn.session import local_frame, small_local
 
 LONG_SCHEMA = ("scope", "class", "class_order", "metric", "value")
 
@@ -76,7 +76,7 @@ def evaluate_frame(spark: SparkSession, data: DataFrame, cfg_rounds: Sequence =
     # K*K rows: materialize once so every metric below reads the small table
     # instead of re-planning the scoring lineage per branch
     conf = small_local(conf)
-    labels = spark.createDataFrame([(str(h["class"]), int(h["class_order"])) for h in heads],
+    labels = local_frame(spark, [(str(h["class"]), int(h["class_order"])) for h in heads],
                                    "class string, class_order int")
     pc = metrics.per_class(conf, labels)
     per = metrics.long_metrics(pc.withColumn("scope", F.lit("class")), ["scope", "class", "class_order"],

@@ -11,7 +11,7 @@ from roundlearn.operators import metrics as M
 from roundlearn.plans.common import BLOCKS, DOC_DICT_SQL, DOC_LABELS_SQL, doc_labels, r6
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import materialize, small_local, spread
+from roundlearn.session import local_frame, materialize, small_local, spread
 from roundlearn.sources.tables import table
 
 VOCAB = 30522
@@ -41,7 +41,7 @@ def block_table(spark, dic, layout):
     """``(j, block, class)`` for every multi-hot column."""
     off = {b: o for b, o, _ in layout}
     rows = dic.select("label_col", "label", "id").collect()        # the dictionary: one row per class
-    return spark.createDataFrame([(off[r["label_col"]] + r["id"], r["label_col"], r["label"]) for r in rows],
+    return local_frame(spark, [(off[r["label_col"]] + r["id"], r["label_col"], r["label"]) for r in rows],
                                  "j int, block string, class string")
 
 

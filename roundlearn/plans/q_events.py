@@ -15,7 +15,7 @@ from roundlearn.plans.common import (EVENT_CLASSES, EVENTS_SQL, LOGIT_SQL, PRED_
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import bce_sql, ceil_frac_sql, hash_sql, prf_ctes, rank_sql, split_case_sql
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import materialize, small_local
+from roundlearn.session import local_frame, materialize, small_local
 
 E = EVENTS_SQL
 # Remap of the second dataset's class names (4 of 5 renamed).
@@ -48,7 +48,7 @@ PC_OUT_SQL = "SELECT class, {p}, {r}, {f}, support FROM pcm".format(
 
 
 def universe_df(spark, classes):
-    return spark.createDataFrame([(c,) for c in classes], "class string")
+    return local_frame(spark, [(c,) for c in classes], "class string")
 
 
 # ------------------------------------------------------------ sources
@@ -102,7 +102,7 @@ def derive_cast(spark, d):
 
 
 def remapped(spark, d) -> DataFrame:
-    m = spark.createDataFrame(list(REMAP.items()), "old string, new string")
+    m = local_frame(spark, list(REMAP.items()), "old string, new string")
     e = events(spark, d)
     # tiny fixed map: broadcast, events never shuffle
     return (e.join(F.broadcast(m), e["event_type"] == m["old"], "left")
@@ -217,7 +217,7 @@ def support_mask(spark, d):
 def empty_guard(spark, d):
     rows = preds(spark, d).where(~F.col("y").isin(*EVENT_CLASSES))
     if rows.isEmpty():      # nothing left: the right schema, no job downstream
-        return spark.createDataFrame([], "class string, precision double, recall double, f1 double, support bigint")
+        return local_frame(spark, [], "class string, precision double, recall double, f1 double, support bigint")
     return pc_out(M.per_class(M.confusion(rows)))
 
 

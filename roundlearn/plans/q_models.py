@@ -22,7 +22,7 @@ from roundlearn.plans.q_io import SPLIT_TS
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import prf_ctes
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import materialize, scratch_path, small_local
+from roundlearn.session import local_frame, materialize, scratch_path, small_local
 from roundlearn.sources import sinks
 from roundlearn.sources.tables import table
 
@@ -39,7 +39,7 @@ def _datasets(spark, d):
     cut = F.lit(SPLIT_TS).cast("timestamp_ntz")
     a = _vec(events(spark, d).where(F.col("ts") < cut))
     b = remapped(spark, d).where(F.col("ts") >= cut)
-    m = spark.createDataFrame(list(INVERSE.items()), "old string, new string")
+    m = local_frame(spark, list(INVERSE.items()), "old string, new string")
     b = (b.join(F.broadcast(m), b["event_type"] == m["old"], "left")
           .withColumn("event_type", F.coalesce("new", "event_type")).drop("old", "new"))
     return a, _vec(b)
@@ -112,7 +112,7 @@ def rounds_loop(spark, d):
         new = [c for c in dict.fromkeys(map(str, classes)) if c not in known]
         if not new:
             continue                                    # no round number burnt
-        reg = spark.createDataFrame([(nxt, i + 1, c) for i, c in enumerate(new)], "round int, pos int, class string")
+        reg = local_frame(spark, [(nxt, i + 1, c) for i, c in enumerate(new)], "round int, pos int, class string")
         h = RD.round_heads(train, reg, "y", "embedding", len(new))     # Spark job: this round's rows only
         sinks.save_heads(h.select("round", "class", "n_train", F.posexplode("mu").alias("dim", "value")), path)
         known.update(new)
@@ -197,4 +197,4 @@ def epoch_metrics(spark, d):
     m = logistic_head(tr, "type_id", "vec", max_iter=15)
     hist = m.summary.objectiveHistory
     rows = [("run0", i, "train", "loss", float(v)) for i, v in enumerate(hist)]
-    return spark.createDataFrame(rows, "run string, epoch int, split string, metric string, value double")
+    return local_frame(spark, rows, "run string, epoch int, split string, metric string, value double")

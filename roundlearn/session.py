@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -80,20 +81,71 @@ def checked_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     to the optimizer/AQE (shuffle join). Small results are kept as local
     relations so the count does not re-run their lineage."""
     small = small_local(df, max_rows)
-    if isinstance(small, DataFrame) and small.count() <= max_rows:
-        return F.broadcast(small)
+    if _is_local(small):
+        return F.broadcast(small)               # a local relation of at most max_rows rows
     return small
 
 
+def _is_local(df: DataFrame) -> bool:
+    """True when the optimized plan is a constant local relation (computing
+    or counting it needs no job)."""
+    try:
+        return df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LocalRelation"
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session)
+        return False
+
+
 def small_local(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Compute a small aggregate once (a confusion matrix, a dictionary, a
     registry: bounded by the class count, never by the data) and keep it as
     a local relation, so plans that reuse it do not recompute its lineage.
     The bound is checked; a larger result is checkpointed instead."""
+    if _is_local(df):
+        if len(df.collect()) <= max_rows:       # already constant: nothing to compute
+            return df
+        return materialize(df)
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return materialize(df)
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return local_frame(df.sparkSession, rows, df.schema)
+
+
+def _sql_literal(v, dt: T.DataType) -> str:
+    t = dt.simpleString()
+    if v is None:
+        return f"CAST(NULL AS {t})"
+    if isinstance(dt, T.StringType):
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(dt, T.BooleanType):
+        return "true" if v else "false"
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        f = float(v)
+        lit = f"CAST('{f}' AS DOUBLE)" if (f != f or f in (float("inf"), float("-inf"))) else f"{f!r}D"
+        return lit if isinstance(dt, T.DoubleType) else f"CAST({lit} AS FLOAT)"
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return f"CAST({int(v)} AS {t})"
+    if isinstance(dt, T.ArrayType):
+        return f"CAST(array({', '.join(_sql_literal(x, dt.elementType) for x in v)}) AS {t})"
+    raise TypeError(f"no literal for {t}")
+
+
+def local_frame(spark: SparkSession, rows, schema) -> DataFrame:
+    """A small constant table as a true local relation (inline ``VALUES``):
+    reading, counting or broadcasting it needs no job, unlike a
+    DataFrame created from a Python list (a parallelized RDD). For
+    class-sized metadata only (configs, dictionaries, registries,
+    confusion cells)."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    names = [f.name for f in schema.fields]
+    cols = ", ".join(f"CAST(c{i} AS {f.dataType.simpleString()}) AS `{f.name}`" for i, f in enumerate(schema.fields))
+    aliases = ", ".join(f"c{i}" for i in range(len(names)))
+    rows = [tuple(r[n] for n in names) if hasattr(r, "asDict") else tuple(r) for r in rows]
+    if not rows:
+        vals = "(" + ", ".join(_sql_literal(None, f.dataType) for f in schema.fields) + ")"
+        return spark.sql(f"SELECT {cols} FROM VALUES {vals} AS t({aliases}) WHERE false")
+    vals = ", ".join("(" + ", ".join(_sql_literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")" for r in rows)
+    return spark.sql(f"SELECT {cols} FROM VALUES {vals} AS t({aliases})")
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
