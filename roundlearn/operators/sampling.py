@@ -187,16 +187,18 @@ def stratified_cap(df: DataFrame, class_col: str, key: str, n: int,
     holds a row) and is size-checked before it is broadcast. A class that
     holds a third of all rows costs one map-side filter, never one task."""
     d = _with_hash(df, key, seed, hex_digits)
-    off = _bucket_offsets(d, hex_digits, [class_col])
     keep = F.col(class_col).isin(list(keep_all)) if keep_all else F.lit(False)
-    look = (off.filter(keep | (F.col("_off") < F.lit(n)))
-               .withColumn("_whole", keep | (F.col("_off") + F.col("_n") <= F.lit(n)))
+    # keep-all classes bypass the lookup, which therefore holds at most n
+    # buckets per capped class (every kept bucket holds a row)
+    off = _bucket_offsets(d.where(~keep), hex_digits, [class_col])
+    look = (off.filter(F.col("_off") < F.lit(n))
+               .withColumn("_whole", F.col("_off") + F.col("_n") <= F.lit(n))
                .select(class_col, "_bk", "_off", "_whole"))
     look = checked_broadcast(look, max_broadcast_rows)
-    d = d.join(look, [class_col, "_bk"], "inner")
-    whole = d.filter(F.col("_whole"))
+    d = d.join(look, [class_col, "_bk"], "left").where(keep | F.col("_whole").isNotNull())
+    whole = d.where(keep | F.col("_whole"))
     w = Window.partitionBy(class_col, "_bk").orderBy("_h", key)
-    edge = (d.filter(~F.col("_whole"))
+    edge = (d.where(~keep & ~F.col("_whole"))
              .withColumn("_pos", F.col("_off") + F.row_number().over(w))
              .filter(F.col("_pos") <= F.lit(n)).drop("_pos"))
     return whole.unionByName(edge).drop("_h", "_bk", "_off", "_whole")

@@ -81,8 +81,8 @@ def checked_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     to the optimizer/AQE (shuffle join). Small results are kept as local
     relations so the count does not re-run their lineage."""
     small = small_local(df, max_rows)
-    if _is_local(small):
-        return F.broadcast(small)               # a local relation of at most max_rows rows
+    if _is_local(small) or small.count() <= max_rows:
+        return F.broadcast(small)               # at most max_rows rows, counted
     return small
 
 
@@ -95,6 +95,9 @@ def _is_local(df: DataFrame) -> bool:
         return False
 
 
+LOCAL_ROWS = 5_000     # above this a small table is checkpointed instead of inlined
+
+
 def small_local(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Compute a small aggregate once (a confusion matrix, a dictionary, a
     registry: bounded by the class count, never by the data) and keep it as
@@ -107,6 +110,8 @@ def small_local(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
         return materialize(df)
+    if len(rows) > LOCAL_ROWS:                  # too large to inline as a constant
+        return materialize(df)
     return local_frame(df.sparkSession, rows, df.schema)
 
 
