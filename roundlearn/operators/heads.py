@@ -11,8 +11,6 @@ Logistic heads (MLlib) are the trainable alternative.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame

@@ -11,7 +11,7 @@ from roundlearn.operators import metrics as M
 from roundlearn.plans.common import BLOCKS, DOC_DICT_SQL, DOC_LABELS_SQL, doc_labels, r6
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import local_frame, materialize, small_local, spread
+from roundlearn.session import local_frame, small_local, spread
 from roundlearn.sources.tables import table
 
 VOCAB = 30522

@@ -13,7 +13,7 @@ from roundlearn.operators import sampling as S
 from roundlearn.plans.common import (EVENT_CLASSES, EVENTS_SQL, LOGIT_SQL, PRED_SQL, Y_INDEX_SQL, class_logits,
                                      class_logits_sql, events, logit, pseudo_pred, r6, y_index)
 from roundlearn.plans.registry import query
-from roundlearn.plans.sqlfrag import bce_sql, ceil_frac_sql, hash_sql, prf_ctes, rank_sql, split_case_sql
+from roundlearn.plans.sqlfrag import bce_sql, prf_ctes, rank_sql, split_case_sql
 from roundlearn.plans.sqlfrag import r6 as s6
 from roundlearn.session import local_frame, materialize, small_local
 

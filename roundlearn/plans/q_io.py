@@ -12,7 +12,6 @@ from roundlearn.operators import metrics as M
 from roundlearn.operators import rounds as RD
 from roundlearn.operators import sampling as S
 from roundlearn.functions import columns as C
-from roundlearn.operators.heads import centroid_heads_long
 from roundlearn.plans.common import LOGIT_SQL, events, logit, r6
 from roundlearn.plans.evaluate import prepare
 from roundlearn.plans.oracle_evaluate import heads_ctes

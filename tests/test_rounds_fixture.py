@@ -2,7 +2,6 @@
 3/2/2/2 rounds of the standard experiment), against a numpy brute force."""
 
 import hashlib
-import math
 import os
 import tempfile
 
