@@ -78,8 +78,13 @@ def score_wide(rows: DataFrame, heads: list, vec_col: str, out_col: str = "logit
     """JN8: every row meets every head of every round. The heads are a
     constant of the expression, so scoring is a narrow projection: no join,
     no shuffle, one codegen stage. ``logits`` is in class order."""
+    return rows.withColumn(out_col, logits_expr(heads, vec_col))
+
+
+def logits_expr(heads: list, vec_col: str) -> Column:
+    """The scoring expression itself (for use inside a wider ``select``)."""
     x = F.col(vec_col)
-    return rows.withColumn(out_col, F.transform(heads_literal(heads), lambda h: dot(x, h["mu"]) + h["bias"]))
+    return F.transform(heads_literal(heads), lambda h: dot(x, h["mu"]) + h["bias"])
 
 
 def class_names(heads: list) -> Column:

@@ -37,8 +37,8 @@ def hash_sql(key: str, seed: int | str = DEFAULT_SEED) -> str:
 
 
 def _with_hash(df: DataFrame, key: str, seed, hex_digits: int) -> DataFrame:
-    return (df.withColumn("_h", hash_of(key, seed))
-              .withColumn("_bk", F.substring("_h", 1, hex_digits)))
+    h = hash_of(key, seed)
+    return df.withColumns({"_h": h, "_bk": F.substring(h, 1, hex_digits)})
 
 
 def _bucket_offsets(d: DataFrame, hex_digits: int, part_cols: Sequence[str] = ()) -> DataFrame:
@@ -46,9 +46,9 @@ def _bucket_offsets(d: DataFrame, hex_digits: int, part_cols: Sequence[str] = ()
     buckets. At most n_parts * 16**hex rows."""
     counts = d.groupBy(*part_cols, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*part_cols).orderBy("_bk")
-    return (counts
-            .withColumn("_off", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .withColumn("_total", F.sum("_n").over(Window.partitionBy(*part_cols))))
+    return counts.withColumns({
+        "_off": F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_total": F.sum("_n").over(Window.partitionBy(*part_cols))})
 
 
 def hash_rank(df: DataFrame, key: str, seed=DEFAULT_SEED, rank_col: str = "rank",
@@ -62,10 +62,8 @@ def hash_rank(df: DataFrame, key: str, seed=DEFAULT_SEED, rank_col: str = "rank"
     cols = ["_bk", "_off"] + (["_total"] if total_col else [])
     d = d.join(bounded_broadcast(off.select(*cols), 16 ** hex_digits), "_bk")
     w = Window.partitionBy("_bk").orderBy("_h", key)
-    out = d.withColumn(rank_col, (F.col("_off") + F.row_number().over(w)).cast("bigint"))
-    if total_col:
-        out = out.withColumnRenamed("_total", total_col)
-    return out.drop("_h", "_bk", "_off")
+    extra = [F.col("_total").alias(total_col)] if total_col else []
+    return d.select(*df.columns, *extra, (F.col("_off") + F.row_number().over(w)).cast("bigint").alias(rank_col))
 
 
 def batch_id(rank: Column, batch_size: int = 32) -> Column:
@@ -76,8 +74,8 @@ def batch_id(rank: Column, batch_size: int = 32) -> Column:
 def with_batches(df: DataFrame, key: str, seed=DEFAULT_SEED, batch_size: int = 32,
                  batch_col: str = "batch_id", hex_digits: int = RANK_HEX) -> DataFrame:
     """Ordered (seeded) loader batches as a column (SRC5)."""
-    r = hash_rank(df, key, seed, "_rank", hex_digits)
-    return r.withColumn(batch_col, batch_id(F.col("_rank"), batch_size)).withColumnRenamed("_rank", "row_pos")
+    r = hash_rank(df, key, seed, "row_pos", hex_digits)
+    return r.withColumn(batch_col, batch_id(F.col("row_pos"), batch_size))
 
 
 def batch_count(n: Column, batch_size: int = 32) -> Column:
@@ -146,10 +144,16 @@ def split(df: DataFrame, key: str, test: float = 0.4, val: float | None = None,
     itself is then a narrow projection against two constants: no join and
     no shuffle of the rows, and reusing it costs one scan."""
     d = _with_hash(df, key, seed, hex_digits)
-    counts = materialize(d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n")))   # <= 16**hex rows
+    counts = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))              # <= 16**hex rows
     w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)      # over bucket rows only
-    off = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
+    off = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+                 .withColumn("_total", F.sum("_n").over(Window.partitionBy())))
+    t_col = ceil_frac(F.col("_total"), test)
+    v_col = t_col + (ceil_frac(F.col("_total") - t_col, val) if val is not None else F.lit(0))
+    # one job: the total and the (at most two) buckets holding a boundary
+    hit = lambda p: (F.col("_off") < p) & (F.col("_off") + F.col("_n") >= p)      # noqa: E731
+    rows = off.where(hit(t_col) | hit(v_col)).select("_bk", "_n", "_off", "_total").collect()
+    total = rows[0]["_total"] if rows else 0
     qt = Fraction(str(test))
     t_sz = -(-total * qt.numerator // qt.denominator)
     v_sz = 0
@@ -157,7 +161,6 @@ def split(df: DataFrame, key: str, test: float = 0.4, val: float | None = None,
         qv = Fraction(str(val))
         v_sz = -(-(total - t_sz) * qv.numerator // qv.denominator)
     wanted = sorted({p for p in (t_sz, t_sz + v_sz) if 0 < p <= total})
-    rows = off.where(_straddles(wanted)).collect() if wanted else []     # one bucket per boundary
     bounds = _boundaries(d, key, rows, wanted)
     b_t = bounds.get(t_sz)
     b_v = bounds.get(t_sz + v_sz) if val is not None else b_t
