@@ -140,3 +140,39 @@ def test_mllib_weighted_metrics_cross_check(spark):
     for metric, col in (("weightedPrecision", "precision"), ("weightedRecall", "recall"), ("weightedFMeasure", "f1")):
         ref = MulticlassClassificationEvaluator(metricName=metric).evaluate(p)
         assert ours[col] == pytest.approx(ref, abs=1e-12)
+
+
+def test_micro_equals_accuracy_for_single_label(spark):
+    from roundlearn.functions.columns import one_hot
+    from roundlearn.operators import metrics as M
+    from roundlearn.plans.common import pseudo_pred
+    e = _events(spark)
+    dic = L.fit_dictionary(e.select(F.col("event_type").alias("c")).unionByName(
+        e.select(pseudo_pred(F.col("value"), F.col("event_type")).alias("c"))), ["c"])
+    k = dic.count()
+    p = e.select(F.col("event_type").alias("c"), pseudo_pred(F.col("value"), F.col("event_type")).alias("pc"))
+    p = L.encode(L.encode(p, dic, "c", "yi"), dic.withColumn("label_col", F.lit("pc")), "pc", "pi")
+    oh = p.select(one_hot(F.col("yi"), k).alias("y"), one_hot(F.col("pi"), k).alias("p"), "yi", "pi")
+    mic = M.micro(M.cell_sums(oh, "y", "p", k)).first()
+    acc = oh.agg(F.avg((F.col("yi") == F.col("pi")).cast("double"))).first()[0]
+    assert mic["precision"] == pytest.approx(acc) and mic["recall"] == pytest.approx(acc)
+
+
+def test_multi_hot_sums_to_number_of_blocks(spark):
+    from roundlearn.plans.q_documents import multi_hot_frame
+    dl, layout, _ = multi_hot_frame(spark, SF_MID)
+    sums = dl.select(F.aggregate("y", F.lit(0), lambda a, x: a + x).alias("s")).distinct().collect()
+    assert [r["s"] for r in sums] == [len(layout)]
+
+
+def test_hamming_loss_matches_mllib(spark):
+    from pyspark.ml.evaluation import MultilabelClassificationEvaluator
+    from roundlearn.operators import metrics as M
+    from roundlearn.plans.q_documents import multi_hot_frame
+    dl, _, _ = multi_hot_frame(spark, SF_MID)
+    ours = M.accuracy_cells(dl, "y", "p").first()[0]
+    idx = lambda c: F.transform(F.filter(F.transform(F.col(c), lambda v, i: F.struct(v.alias("v"), i.alias("i"))),
+                                         lambda s: s["v"] == 1), lambda s: s["i"].cast("double"))
+    sets = dl.select(idx("y").alias("label"), idx("p").alias("prediction"))
+    ref = MultilabelClassificationEvaluator(metricName="hammingLoss").evaluate(sets)
+    assert 1 - ours / 100 == pytest.approx(ref, abs=1e-12)
