@@ -47,7 +47,7 @@ def unseen_labels(df: DataFrame, dictionary: DataFrame, label_col: str) -> DataF
     """JN7: labels of ``df`` missing from the dictionary, with row counts."""
     d = dictionary_for(dictionary, label_col)
     return (df.select(col(label_col).cast("string").alias("label")).where(F.col("label").isNotNull())
-              .join(F.broadcast(d), "label", "left_anti")
+              .join(checked_broadcast(d), "label", "left_anti")
               .groupBy("label").agg(F.count(F.lit(1)).alias("rows")))
 
 
@@ -76,7 +76,7 @@ def check_unseen(df: DataFrame, dictionary: DataFrame, label_cols: Sequence[str]
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("label_col"), col(c).cast("string").alias("label"))
                                 for c in label_cols]))
     vals = df.select(pairs.alias("p")).select("p.*").where(F.col("label").isNotNull()).distinct()
-    bad = vals.join(F.broadcast(dictionary.select("label_col", "label")), ["label_col", "label"], "left_anti").limit(5).collect()
+    bad = vals.join(checked_broadcast(dictionary.select("label_col", "label")), ["label_col", "label"], "left_anti").limit(5).collect()
     if bad:
         raise UnseenLabelError(f"labels not in dictionary: {[(r['label_col'], r['label']) for r in bad]}")
 

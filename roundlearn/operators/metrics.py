@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roundlearn.functions.columns import F1_EPS, bce_with_logits
+from roundlearn.session import checked_broadcast
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -149,7 +150,7 @@ def report(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     ``GROUPING SETS ((block, class), (block), ())`` over the per-column
     counts; ``scope`` from ``grouping_id``. ``blocks`` maps column j to
     ``(block, class)``."""
-    t = multilabel(cells).join(F.broadcast(blocks), "j")
+    t = multilabel(cells).join(checked_broadcast(blocks), "j")
     g = t.groupingSets([["block", "class"], ["block"], []], "block", "class").agg(
         F.grouping_id().alias("_gid"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
         F.avg("f1").alias("f1"), F.sum("support").alias("support"))

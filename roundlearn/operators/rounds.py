@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roundlearn.operators.heads import centroid_heads
-from roundlearn.session import bounded_broadcast, local_frame, small_local
+from roundlearn.session import bounded_broadcast, checked_broadcast, local_frame, small_local
 
 # The standard experiment of the reference, 4 rounds of
 # 3/2/2/2 classes (traffic class names) ...
@@ -61,9 +61,9 @@ def registry(cfg: DataFrame, known: DataFrame | None = None, present: DataFrame
     are broadcast and the windows run over config rows only."""
     c = cfg
     if present is not None:
-        c = c.join(F.broadcast(present.select("class")), "class", "left_semi")
+        c = c.join(checked_broadcast(present.select("class")), "class", "left_semi")
     if known is not None:
-        c = c.join(F.broadcast(known.select("class")), "class", "left_anti")
+        c = c.join(checked_broadcast(known.select("class")), "class", "left_anti")
     first = (c.withColumn("_k", F.row_number().over(Window.partitionBy("class").orderBy("round", "pos")))
               .where(F.col("_k") == 1).drop("_k"))
     first = first.withColumn("pos", F.row_number().over(Window.partitionBy("round").orderBy("pos")))

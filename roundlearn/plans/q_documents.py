@@ -11,7 +11,7 @@ from roundlearn.operators import metrics as M
 from roundlearn.plans.common import BLOCKS, DOC_DICT_SQL, DOC_LABELS_SQL, doc_labels, r6
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import local_frame, small_local, spread
+from roundlearn.session import checked_broadcast, local_frame, small_local, spread
 from roundlearn.sources.tables import table
 
 VOCAB = 30522
@@ -31,7 +31,7 @@ def multi_hot_frame(spark, d):
     # predicted blocks use the same dictionary (renamed columns)
     for b in BLOCKS:
         pd_ = (L.dictionary_for(dic, b).withColumnRenamed("label", f"{b}_p").withColumnRenamed("id", f"{b}_pid"))
-        dl = dl.join(F.broadcast(pd_), f"{b}_p", "left")
+        dl = dl.join(checked_broadcast(pd_), f"{b}_p", "left")
     dl = L.multi_hot_labels(dl, layout, [f"{b}_id" for b in BLOCKS], "y")
     dl = L.multi_hot_labels(dl, layout, [f"{b}_pid" for b in BLOCKS], "p")
     return dl, layout, dic
@@ -140,7 +140,7 @@ def class_subset(spark, d):
   {s6('f1')} AS f1, CAST(support AS BIGINT) AS support FROM cm""")
 def prf_multilabel(spark, d):
     c, blocks, _ = cells(spark, d)
-    m = M.multilabel(c).join(F.broadcast(blocks), "j")
+    m = M.multilabel(c).join(checked_broadcast(blocks), "j")
     return m.select("j", "block", "class", r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"),
                     r6(F.col("f1")).alias("f1"), F.col("support").cast("bigint"))
 
@@ -158,7 +158,7 @@ def prf_micro(spark, d):
   {s6('avg(f1)')} AS f1 FROM cm GROUP BY block""")
 def prf_group_macro(spark, d):
     c, blocks, _ = cells(spark, d)
-    m = M.multilabel(c).join(F.broadcast(blocks), "j")
+    m = M.multilabel(c).join(checked_broadcast(blocks), "j")
     return m.groupBy("block").agg(*[r6(F.avg(x)).alias(x) for x in ("precision", "recall", "f1")])
 
 
@@ -177,7 +177,7 @@ def prf_group_macro_subset(spark, d):
     for blk in ["lang", "quality", "toxic"]:
         p = b.select(F.lit(blk).alias("block"), F.col(blk).alias("class")).distinct()
         pres = p if pres is None else pres.unionByName(p)
-    m = M.multilabel(c).join(F.broadcast(blocks), "j").join(pres, ["block", "class"], "left_semi")
+    m = M.multilabel(c).join(checked_broadcast(blocks), "j").join(pres, ["block", "class"], "left_semi")
     return m.groupBy("block").agg(*[r6(F.avg(x)).alias(x) for x in ("precision", "recall", "f1")])
 
 

@@ -18,7 +18,7 @@ from roundlearn.plans.evaluate import fused_scores, prepare
 from roundlearn.plans.oracle_evaluate import evaluate_rounds_sql, fused_ctes, heads_ctes
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import small_local
+from roundlearn.session import checked_broadcast, small_local
 from roundlearn.sources.tables import table
 
 ER = RD.EMBEDDING_ROUNDS
@@ -309,7 +309,7 @@ def row_dataset(spark, d):
     """UDF5: per-row (features, label id) as a native projection."""
     reg = RD.registry(RD.config_table(spark, ER))
     e = emb(spark, d)
-    m = F.broadcast(reg.select(F.col("class").alias("y"), (F.col("class_order") - 1).alias("y_index")))
+    m = checked_broadcast(reg.select(F.col("class").alias("y"), (F.col("class_order") - 1).alias("y_index")))
     e = e.join(m, "y", "left")
     x = F.transform("embedding", lambda v: v.cast("double"))
     return e.select(F.col("key").alias("vec_id"), F.coalesce("y_index", F.lit(-1)).cast("int").alias("y_index"),

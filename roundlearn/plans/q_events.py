@@ -15,7 +15,7 @@ from roundlearn.plans.common import (EVENT_CLASSES, EVENTS_SQL, LOGIT_SQL, PRED_
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import bce_sql, prf_ctes, rank_sql, split_case_sql
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import local_frame, materialize, small_local
+from roundlearn.session import checked_broadcast, local_frame, materialize, small_local
 
 E = EVENTS_SQL
 # Remap of the second dataset's class names (4 of 5 renamed).
@@ -569,7 +569,7 @@ def text_label_head(spark, d):
     dic = L.fit_dictionary(events(spark, d), ["event_type"])
     p = L.encode(p.withColumnRenamed("y", "event_type"), dic, "event_type", "y_id")
     pd_ = L.dictionary_for(dic, "event_type").withColumnRenamed("label", "pred").withColumnRenamed("id", "p_id")
-    p = p.join(F.broadcast(pd_), "pred", "left")
+    p = p.join(checked_broadcast(pd_), "pred", "left")
     t = p.select(C.normalise_text(C.label_text_id(F.col("y_id"))).alias("y"),
                  C.normalise_text(F.coalesce(C.label_text_id(F.col("p_id")), F.col("pred"))).alias("pred"))
     t = small_local(t.groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n")))

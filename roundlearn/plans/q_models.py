@@ -22,7 +22,7 @@ from roundlearn.plans.q_io import SPLIT_TS
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import prf_ctes
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import local_frame, materialize, scratch_path, small_local
+from roundlearn.session import checked_broadcast, local_frame, materialize, scratch_path, small_local
 from roundlearn.sources import sinks
 from roundlearn.sources.tables import table
 
@@ -55,7 +55,7 @@ dic AS (SELECT event_type AS class, CAST(row_number() OVER (ORDER BY event_type)
 def _dict_heads(spark, train, dic):
     h = centroid_heads(train, "event_type", "vec")
     order = L.dictionary_for(dic, "event_type").select(F.col("label").alias("class"), (F.col("id") + 1).alias("class_order"))
-    return h.join(F.broadcast(order), "class")
+    return h.join(checked_broadcast(order), "class")
 
 
 @query("cross_dataset_eval", f"""WITH {AB_SQL},
@@ -91,7 +91,7 @@ def head_refit(spark, d):
     b = L.encode(b, dic, "event_type", "id", unseen="skip")
     h = centroid_heads(b, "event_type", "vec")
     ids = L.dictionary_for(dic, "event_type").withColumnRenamed("label", "class")
-    return h.join(F.broadcast(ids), "class").select("class", "id", "n_train", r6(F.col("mu")[0]).alias("mu0"),
+    return h.join(checked_broadcast(ids), "class").select("class", "id", "n_train", r6(F.col("mu")[0]).alias("mu0"),
                                                     r6(F.col("mu")[1]).alias("mu1"), r6(F.col("bias")).alias("bias"))
 
 
