@@ -26,9 +26,19 @@ DEFAULT_SEED = 42
 RANK_HEX = 5          # 1 048 576 buckets: ~1e6 rows per bucket at 1e12 rows
 
 
-def hash_of(key: str | Column, seed: int | str = DEFAULT_SEED) -> Column:
+ORDER = "md5"         # md5: reproducible in any SQL engine; xxhash64: cheaper per row
+
+
+def hash_of(key: str | Column, seed: int | str = DEFAULT_SEED, order: str | None = None) -> Column:
+    """Order key of a row. ``md5`` (default) is ``md5('<seed>:' || key)``, the
+    same in every engine; ``xxhash64`` is Spark's built-in 64-bit hash of the
+    same text, several times cheaper per row (for very large inputs where
+    cross-engine reproduction of the permutation is not needed)."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
+    text = F.concat(F.lit(f"{seed}:"), k.cast("string"))
+    if (order or ORDER) == "xxhash64":
+        return F.xxhash64(text)
+    return F.md5(text)
 
 
 def hash_sql(key: str, seed: int | str = DEFAULT_SEED) -> str:
@@ -36,8 +46,13 @@ def hash_sql(key: str, seed: int | str = DEFAULT_SEED) -> str:
     return f"md5(concat('{seed}:', cast({key} as varchar)))"
 
 
-def _with_hash(df: DataFrame, key: str, seed, hex_digits: int) -> DataFrame:
-    h = hash_of(key, seed)
+def _with_hash(df: DataFrame, key: str, seed, hex_digits: int, order: str | None = None) -> DataFrame:
+    """Adds ``_h`` (order key) and ``_bk`` (bucket, monotone in ``_h``): the
+    first hex digits of the md5 text, or the top 4*hex bits of the signed
+    64-bit hash (an arithmetic shift keeps the order)."""
+    h = hash_of(key, seed, order)
+    if (order or ORDER) == "xxhash64":
+        return df.withColumns({"_h": h, "_bk": F.shiftright(h, 64 - 4 * hex_digits)})
     return df.withColumns({"_h": h, "_bk": F.substring(h, 1, hex_digits)})
 
 
@@ -52,12 +67,12 @@ def _bucket_offsets(d: DataFrame, hex_digits: int, part_cols: Sequence[str] = ()
 
 
 def hash_rank(df: DataFrame, key: str, seed=DEFAULT_SEED, rank_col: str = "rank",
-              hex_digits: int = RANK_HEX, total_col: str | None = None) -> DataFrame:
+              hex_digits: int = RANK_HEX, total_col: str | None = None, order: str | None = None) -> DataFrame:
     """Exact 1-based position of every row in the seeded order (SRT3).
 
     Equal to ``row_number() over (order by md5(seed:key), key)`` but spread
     over up to 16**hex window partitions instead of one task."""
-    d = _with_hash(df, key, seed, hex_digits)
+    d = _with_hash(df, key, seed, hex_digits, order)
     off = _bucket_offsets(d, hex_digits)
     cols = ["_bk", "_off"] + (["_total"] if total_col else [])
     d = d.join(bounded_broadcast(off.select(*cols), 16 ** hex_digits), "_bk")
@@ -72,9 +87,9 @@ def batch_id(rank: Column, batch_size: int = 32) -> Column:
 
 
 def with_batches(df: DataFrame, key: str, seed=DEFAULT_SEED, batch_size: int = 32,
-                 batch_col: str = "batch_id", hex_digits: int = RANK_HEX) -> DataFrame:
+                 batch_col: str = "batch_id", hex_digits: int = RANK_HEX, order: str | None = None) -> DataFrame:
     """Ordered (seeded) loader batches as a column (SRC5)."""
-    r = hash_rank(df, key, seed, "row_pos", hex_digits)
+    r = hash_rank(df, key, seed, "row_pos", hex_digits, order=order)
     return r.withColumn(batch_col, batch_id(F.col("row_pos"), batch_size))
 
 
@@ -133,7 +148,8 @@ def _at_or_before(key: str, bound) -> Column:
 
 
 def split(df: DataFrame, key: str, test: float = 0.4, val: float | None = None,
-          seed=DEFAULT_SEED, split_col: str = "split", hex_digits: int = RANK_HEX) -> DataFrame:
+          seed=DEFAULT_SEED, split_col: str = "split", hex_digits: int = RANK_HEX,
+          order: str | None = None) -> DataFrame:
     """Exact seeded split (SRT4/SRT5).
 
     ``test`` = first ceil(n*test) rows of the seeded order, ``val`` = next
@@ -143,7 +159,7 @@ def split(df: DataFrame, key: str, test: float = 0.4, val: float | None = None,
     ranking that one bucket gives the boundary ``(hash, key)``. The split
     itself is then a narrow projection against two constants: no join and
     no shuffle of the rows, and reusing it costs one scan."""
-    d = _with_hash(df, key, seed, hex_digits)
+    d = _with_hash(df, key, seed, hex_digits, order)
     counts = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))              # <= 16**hex rows
     w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)      # over bucket rows only
     off = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
@@ -180,7 +196,8 @@ def _straddles(positions: list) -> Column:
 
 def stratified_cap(df: DataFrame, class_col: str, key: str, n: int,
                    keep_all: Sequence[str] = (), seed=DEFAULT_SEED,
-                   hex_digits: int = RANK_HEX, max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                   hex_digits: int = RANK_HEX, max_broadcast_rows: int = 2_000_000,
+                   order: str | None = None) -> DataFrame:
     """At most ``n`` rows per class (the first ``n`` of the seeded order),
     all rows for the classes in ``keep_all`` (SRT2).
 
@@ -189,7 +206,7 @@ def stratified_cap(df: DataFrame, class_col: str, key: str, n: int,
     The lookup table has at most ``n`` buckets per class (each kept bucket
     holds a row) and is size-checked before it is broadcast. A class that
     holds a third of all rows costs one map-side filter, never one task."""
-    d = _with_hash(df, key, seed, hex_digits)
+    d = _with_hash(df, key, seed, hex_digits, order)
     keep = F.col(class_col).isin(list(keep_all)) if keep_all else F.lit(False)
     # keep-all classes bypass the lookup, which therefore holds at most n
     # buckets per capped class (every kept bucket holds a row)
@@ -208,7 +225,7 @@ def stratified_cap(df: DataFrame, class_col: str, key: str, n: int,
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed=DEFAULT_SEED, rank_col: str = "shuffle_pos",
-                   hex_digits: int = RANK_HEX) -> DataFrame:
+                   hex_digits: int = RANK_HEX, order: str | None = None) -> DataFrame:
     """Full seeded permutation as a position column (SRT3). ``seed`` may be
     ``'run:epoch'`` for a new order per epoch (SRT7)."""
-    return hash_rank(df, key, seed, rank_col, hex_digits)
+    return hash_rank(df, key, seed, rank_col, hex_digits, order=order)

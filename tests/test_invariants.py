@@ -176,3 +176,18 @@ def test_hamming_loss_matches_mllib(spark):
     sets = dl.select(idx("y").alias("label"), idx("p").alias("prediction"))
     ref = MultilabelClassificationEvaluator(metricName="hammingLoss").evaluate(sets)
     assert 1 - ours / 100 == pytest.approx(ref, abs=1e-12)
+
+
+def test_xxhash_order_exact_against_brute_force(spark):
+    e = _events(spark, SF_SMALL)
+    h = F.xxhash64(F.concat(F.lit("42:"), F.col("event_id").cast("string")))
+    brute = {r["event_id"]: r["r"] for r in e.withColumn("r", F.row_number().over(Window.orderBy(h, "event_id"))).collect()}
+    got = {r["event_id"]: r["r"] for r in S.hash_rank(e.repartition(5), "event_id", rank_col="r", order="xxhash64").collect()}
+    assert got == brute
+    n = len(brute)
+    sp = {r["event_id"]: r["split"] for r in S.split(e, "event_id", order="xxhash64", hex_digits=3).collect()}
+    assert all((sp[k] == "test") == (brute[k] <= -(-n * 2 // 5)) for k in brute)
+    cap = S.stratified_cap(e, "event_type", "event_id", 50, keep_all=["error"], order="xxhash64")
+    bc = (e.withColumn("rn", F.row_number().over(Window.partitionBy("event_type").orderBy(h, "event_id")))
+           .where((F.col("rn") <= 50) | (F.col("event_type") == "error")))
+    assert sorted(r[0] for r in cap.select("event_id").collect()) == sorted(r[0] for r in bc.select("event_id").collect())
