@@ -147,18 +147,10 @@ def _at_or_before(key: str, bound) -> Column:
     return (F.col("_h") < F.lit(h)) | ((F.col("_h") == F.lit(h)) & (F.col(key) <= F.lit(k)))
 
 
-def split(df: DataFrame, key: str, test: float = 0.4, val: float | None = None,
-          seed=DEFAULT_SEED, split_col: str = "split", hex_digits: int = RANK_HEX,
-          order: str | None = None) -> DataFrame:
-    """Exact seeded split (SRT4/SRT5).
-
-    ``test`` = first ceil(n*test) rows of the seeded order, ``val`` = next
-    ceil((n-test)*val) rows, ``train`` = the rest; sizes match
-    ``train_test_split`` exactly. Bucket counts (a partial aggregate, at
-    most 16**hex rows) locate the bucket holding each boundary position;
-    ranking that one bucket gives the boundary ``(hash, key)``. The split
-    itself is then a narrow projection against two constants: no join and
-    no shuffle of the rows, and reusing it costs one scan."""
+def split_bounds(df: DataFrame, key: str, test: float = 0.4, val: float | None = None,
+                 seed=DEFAULT_SEED, hex_digits: int = RANK_HEX, order: str | None = None) -> tuple:
+    """The boundary ``(hash, key)`` pairs of an exact split (see ``split``):
+    two constants that label any row, of a table or of a stream."""
     d = _with_hash(df, key, seed, hex_digits, order)
     counts = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_n"))              # <= 16**hex rows
     w = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)      # over bucket rows only
@@ -180,9 +172,36 @@ def split(df: DataFrame, key: str, test: float = 0.4, val: float | None = None,
     bounds = _boundaries(d, key, rows, wanted)
     b_t = bounds.get(t_sz)
     b_v = bounds.get(t_sz + v_sz) if val is not None else b_t
-    lbl = (F.when(_at_or_before(key, b_t), F.lit("test"))
-            .when(_at_or_before(key, b_v), F.lit("val")).otherwise(F.lit("train")))
-    return d.withColumn(split_col, lbl).drop("_h", "_bk")
+    return b_t, b_v
+
+
+def split_label(key: str, bounds: tuple) -> Column:
+    """``test`` / ``val`` / ``train`` of a row that carries ``_h``."""
+    b_t, b_v = bounds
+    return (F.when(_at_or_before(key, b_t), F.lit("test"))
+             .when(_at_or_before(key, b_v), F.lit("val")).otherwise(F.lit("train")))
+
+
+def split(df: DataFrame, key: str, test: float = 0.4, val: float | None = None,
+          seed=DEFAULT_SEED, split_col: str = "split", hex_digits: int = RANK_HEX,
+          order: str | None = None) -> DataFrame:
+    """Exact seeded split (SRT4/SRT5).
+
+    ``test`` = first ceil(n*test) rows of the seeded order, ``val`` = next
+    ceil((n-test)*val) rows, ``train`` = the rest; sizes match
+    ``train_test_split`` exactly. Bucket counts (a partial aggregate, at
+    most 16**hex rows) locate the bucket holding each boundary position;
+    ranking that one bucket gives the boundary ``(hash, key)``. The split
+    itself is then a narrow projection against two constants: no join and
+    no shuffle of the rows, and reusing it costs one scan."""
+    bounds = split_bounds(df, key, test, val, seed, hex_digits, order)
+    d = _with_hash(df, key, seed, hex_digits, order)
+    return d.withColumn(split_col, split_label(key, bounds)).drop("_h", "_bk")
+
+
+def with_order_key(df: DataFrame, key: str, seed=DEFAULT_SEED, order: str | None = None) -> DataFrame:
+    """Adds the order key ``_h`` (for ``split_label`` on a stream)."""
+    return df.withColumn("_h", hash_of(key, seed, order))
 
 
 def _straddles(positions: list) -> Column:

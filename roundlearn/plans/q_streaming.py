@@ -3,9 +3,17 @@ one round per micro-batch."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from roundlearn.operators import rounds as RD
+from roundlearn.operators import sampling as S
+from roundlearn.operators.heads import collect_heads
+from roundlearn.plans.evaluate import prepare
+from roundlearn.plans.oracle_evaluate import fused_ctes
 from roundlearn.plans.registry import query
 from roundlearn.session import scratch_path
 from roundlearn.sources.tables import table
+from roundlearn.streaming.evaluate_stream import confusion_stream
 from roundlearn.streaming.rounds_stream import run_rounds_stream
 
 
@@ -15,3 +23,23 @@ def rounds_stream(spark, d):
     schema = table(spark, d, "events").schema
     return run_rounds_stream(spark, d.rstrip("/"), "events.parquet", schema, "event_type",
                              scratch_path(spark, "registry"), scratch_path(spark, "stream-ckpt"))
+
+
+@query("evaluate_stream", f"""WITH {fused_ctes(RD.EMBEDDING_ROUNDS, 'none')}
+  pr0 AS (SELECT key, y, class AS pred FROM
+    (SELECT key, y, class, row_number() OVER (PARTITION BY key ORDER BY logit DESC, class_order) AS rn FROM zz) WHERE rn = 1)
+  SELECT y, pred, count(*) AS n FROM pr0 GROUP BY y, pred""")
+def evaluate_stream(spark, d):
+    """Heads fitted in batch on the training rows; the embeddings file then
+    read as a stream, test rows of registered classes scored, confusion
+    counts kept in streaming state."""
+    static = table(spark, d, "embeddings")
+    data = prepare(static)
+    bounds = S.split_bounds(data, "key", test=0.4)
+    train = S.with_order_key(data, "key").where(S.split_label("key", bounds) == "train")
+    heads = collect_heads(RD.round_heads(train, RD.registry_frame(spark, RD.EMBEDDING_ROUNDS), "y", "embedding", 9))
+    stream = (spark.readStream.schema(static.schema).option("pathGlobFilter", "embeddings.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(d.rstrip("/")))
+    stream = stream.select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("y"), "embedding")
+    return confusion_stream(spark, stream, "key", "y", "embedding", heads, bounds,
+                            scratch_path(spark, "stream-confusion"), scratch_path(spark, "stream-eval-ckpt"))
