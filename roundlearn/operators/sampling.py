@@ -2,7 +2,9 @@
 
 The order of a row is ``(md5('<seed>:' || key), key)``: the same in every
 engine, independent of partitioning, and uniform, so hash buckets (the
-first ``hex`` digits of the md5) are never skewed.
+first ``hex`` digits of the md5) are never skewed. ``key`` must identify a
+row (``event_id``, ``vec_id``, ``doc_id``); with duplicate keys positions
+among the copies are arbitrary and split sizes can overshoot.
 
 Nothing here uses a window without ``partitionBy`` over data rows: global
 positions come from per-bucket counts (at most ``16**hex`` rows, a proven
