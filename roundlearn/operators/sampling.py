@@ -245,6 +245,16 @@ def stratified_cap(df: DataFrame, class_col: str, key: str, n: int,
     return whole.unionByName(edge).drop("_h", "_bk", "_off", "_whole")
 
 
+def stratified_cap_report(df: DataFrame, class_col: str, n: int, keep_all: Sequence[str] = ()) -> DataFrame:
+    """Per class: rows available, rows kept by ``stratified_cap`` and whether
+    the class was smaller than the cap (kept whole instead of failing)."""
+    keep = F.col(class_col).isin(list(keep_all)) if keep_all else F.lit(False)
+    g = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("rows"), F.max(keep.cast("int")).alias("_k"))
+    kept = F.when(F.col("_k") == 1, F.col("rows")).otherwise(F.least(F.col("rows"), F.lit(n)))
+    return g.select(class_col, "rows", kept.cast("bigint").alias("kept"),
+                    ((F.col("_k") == 0) & (F.col("rows") < F.lit(n))).alias("short"))
+
+
 def seeded_shuffle(df: DataFrame, key: str, seed=DEFAULT_SEED, rank_col: str = "shuffle_pos",
                    hex_digits: int = RANK_HEX, order: str | None = None) -> DataFrame:
     """Full seeded permutation as a position column (SRT3). ``seed`` may be

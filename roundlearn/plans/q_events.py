@@ -448,6 +448,16 @@ def stratified_cap(spark, d):
     return S.stratified_cap(e, "event_type", "event_id", 500, keep_all=["error"])
 
 
+@query("stratified_cap_counts", """SELECT event_type, count(*) AS rows,
+  CAST(CASE WHEN event_type IN ('error') THEN count(*) ELSE least(count(*), 2000) END AS BIGINT) AS kept,
+  event_type NOT IN ('error') AND count(*) < 2000 AS short FROM events GROUP BY event_type""")
+def stratified_cap_counts(spark, d):
+    """SRT2 report: available and kept rows per class for a cap of 2 000 (a
+    class under the cap is kept whole and flagged, not an error)."""
+    e = events(spark, d).select("event_type")
+    return S.stratified_cap_report(e, "event_type", 2000, keep_all=["error"])
+
+
 @query("seeded_shuffle", f"SELECT event_id, {rank_sql('event_id')} AS pos FROM events")
 def seeded_shuffle(spark, d):
     return S.seeded_shuffle(events(spark, d).select("event_id"), "event_id", rank_col="pos")
