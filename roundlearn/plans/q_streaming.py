@@ -43,3 +43,23 @@ def evaluate_stream(spark, d):
     stream = stream.select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("y"), "embedding")
     return confusion_stream(spark, stream, "key", "y", "embedding", heads, bounds,
                             scratch_path(spark, "stream-confusion"), scratch_path(spark, "stream-eval-ckpt"))
+
+
+@query("rounds_stream_heads", """SELECT 0 AS round, event_type AS class, count(*) AS n_train,
+  round(-0.5 * (avg(value / 100.0) * avg(value / 100.0)
+        + avg(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100.0) * avg(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100.0)), 6) AS bias
+  FROM events GROUP BY event_type""")
+def rounds_stream_heads(spark, d):
+    """The round stream also fits each round's heads on that micro-batch's
+    rows of the new classes (features value/100, props.k/100)."""
+    schema = table(spark, d, "events").schema
+
+    def prepare(s):
+        return s.select("event_type", F.array(F.col("value") / 100.0,
+                                              F.get_json_object("props", "$.k").cast("double") / 100.0).alias("vec"))
+
+    heads_path = scratch_path(spark, "stream-heads")
+    run_rounds_stream(spark, d.rstrip("/"), "events.parquet", schema, "event_type", scratch_path(spark, "registry"),
+                      scratch_path(spark, "stream-ckpt"), prepare=prepare, vec_col="vec", heads_path=heads_path)
+    h = spark.read.parquet(heads_path)
+    return h.select(F.col("round").cast("int"), "class", F.col("n_train").cast("bigint"), F.round("bias", 6).alias("bias"))

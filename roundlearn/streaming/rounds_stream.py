@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from roundlearn.session import checked_broadcast
+
 
 def _read_registry(spark: SparkSession, path: str) -> DataFrame | None:
     try:
@@ -21,7 +23,13 @@ def _read_registry(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def register_batch(batch: DataFrame, batch_id: int, registry_path: str, class_col: str) -> None:
+def register_batch(batch: DataFrame, batch_id: int, registry_path: str, class_col: str,
+                   vec_col: str | None = None, heads_path: str | None = None) -> None:
+    """One micro-batch = one round: register the classes no earlier round
+    has, and (with ``vec_col``) fit their centroid heads on this batch's rows
+    of those classes. Both tables are written to the partition
+    ``round=<batch_id>`` with dynamic overwrite, so a replay rewrites the
+    same partition with the same content."""
     spark = batch.sparkSession
     seen = batch.select(F.col(class_col).cast("string").alias("class")).where(F.col("class").isNotNull()).distinct()
     reg = _read_registry(spark, registry_path)
@@ -30,19 +38,31 @@ def register_batch(batch: DataFrame, batch_id: int, registry_path: str, class_co
         seen = seen.join(earlier, "class", "left_anti")
     # distinct classes of one batch (the class universe, not the rows)
     new = seen.withColumn("pos", F.row_number().over(Window.orderBy("class")).cast("int"))
-    (new.withColumn("round", F.lit(batch_id).cast("int"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(registry_path))
+    new = new.withColumn("round", F.lit(batch_id).cast("int"))
+    if vec_col and heads_path:
+        from roundlearn.operators.heads import centroid_heads
+        rows = batch.withColumn(class_col, F.col(class_col).cast("string")).join(
+            checked_broadcast(new.select(F.col("class").alias(class_col))), class_col, "left_semi")
+        h = centroid_heads(rows, class_col, vec_col).withColumn("round", F.lit(batch_id).cast("int"))
+        (h.select("round", "class", "n_train", "bias", "mu").write.mode("overwrite")
+          .option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(heads_path))
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("round").parquet(registry_path))
 
 
 def run_rounds_stream(spark: SparkSession, source_dir: str, pattern: str, schema, class_col: str,
-                      registry_path: str, checkpoint: str, max_files: int | None = None) -> DataFrame:
+                      registry_path: str, checkpoint: str, max_files: int | None = None,
+                      prepare=None, vec_col: str | None = None, heads_path: str | None = None) -> DataFrame:
     """Drive the file source to completion (``availableNow``) and return the
-    registry ``(round, pos, class)``."""
+    registry ``(round, pos, class)``. ``prepare`` maps the raw stream (e.g.
+    builds the feature vector) before each batch is registered."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     stream = reader.parquet(source_dir)
-    q = (stream.writeStream.foreachBatch(lambda df, bid: register_batch(df, bid, registry_path, class_col))
+    if prepare is not None:
+        stream = prepare(stream)
+    q = (stream.writeStream.foreachBatch(
+            lambda df, bid: register_batch(df, bid, registry_path, class_col, vec_col, heads_path))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(registry_path).select(F.col("round").cast("int"), "pos", "class")
