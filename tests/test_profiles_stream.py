@@ -68,3 +68,26 @@ def test_round_stream_matches_batch_and_replay_is_idempotent(spark):
     register_batch(table(spark, SF_SMALL, "events"), 0, reg_path, "event_type")       # replay batch 0
     again = sorted(tuple(r) for r in spark.read.parquet(reg_path).select("round", "pos", "class").collect())
     assert again == first
+
+
+def test_stream_heads_equal_batch_heads_and_replay(spark):
+    from roundlearn.operators.heads import centroid_heads
+    from roundlearn.session import scratch_path
+    from roundlearn.sources.tables import table
+    from roundlearn.streaming.rounds_stream import register_batch, run_rounds_stream
+    ev = table(spark, SF_SMALL, "events")
+
+    def prep(s):
+        return s.select("event_type", F.array(F.col("value") / 100.0,
+                                              F.get_json_object("props", "$.k").cast("double") / 100.0).alias("vec"))
+
+    reg, heads = scratch_path(spark, "t-reg"), scratch_path(spark, "t-heads")
+    run_rounds_stream(spark, SF_SMALL, "events.parquet", ev.schema, "event_type", reg, scratch_path(spark, "t-ck"),
+                      prepare=prep, vec_col="vec", heads_path=heads)
+    got = {r["class"]: (r["n_train"], r["bias"]) for r in spark.read.parquet(heads).collect()}
+    want = {r["class"]: (r["n_train"], r["bias"]) for r in centroid_heads(prep(ev), "event_type", "vec").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[c][0] == want[c][0] and abs(got[c][1] - want[c][1]) < 1e-12 for c in got)
+    register_batch(prep(ev), 0, reg, "event_type", "vec", heads)          # replay batch 0
+    again = {r["class"]: (r["n_train"], r["bias"]) for r in spark.read.parquet(heads).collect()}
+    assert again.keys() == got.keys() and all(abs(again[c][1] - got[c][1]) < 1e-12 for c in got)
