@@ -133,6 +133,11 @@ def base_head_logreg(spark, d):
     s = S.split(e, "key", test=0.4)
     base = s.where(F.col("label").isin(0, 1, 2))
     model = logistic_head(base.where(F.col("split") == "train"), "label", "embedding", max_iter=30)
+    # SNK1/SRC4 for a trainable head: saved to the shared folder, scored by the reloaded model
+    from pyspark.ml.classification import LogisticRegressionModel
+    path = scratch_path(spark, "logreg-round0")
+    model.write().overwrite().save(path)
+    model = LogisticRegressionModel.load(path)
     t = base.where(F.col("split") == "test").select("key", F.col("label").cast("double").alias("label"),
                                                     array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
     p = model.transform(t)
