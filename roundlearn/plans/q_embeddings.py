@@ -235,8 +235,11 @@ def known_classes_only(spark, d):
 @query("concat_batches", f"""WITH {fused_ctes(ER, 'batch')} x AS (SELECT 1) SELECT 'batch' AS run, key AS vec_id, pred FROM pr
   UNION ALL (WITH {fused_ctes(ER, 'row')} x AS (SELECT 1) SELECT 'row', key, pred FROM pr)""")
 def concat_batches(spark, d):
-    a, _, _ = fused_scores(spark, emb(spark, d), ER, "batch")
-    b, _, _ = fused_scores(spark, emb(spark, d), ER, "row")
+    t, heads, _ = fused_scores(spark, emb(spark, d), ER, "none")      # one split, one heads fit, one scoring
+    t = t.select("key", "batch_id", "logits")
+    names = class_names(heads)
+    a = fusion.argmax_predict(fusion.zscore_batch(t, len(heads)), names)
+    b = fusion.argmax_predict(fusion.zscore_row(t), names)
     return (a.select(F.lit("batch").alias("run"), F.col("key").alias("vec_id"), "pred")
             .unionByName(b.select(F.lit("row").alias("run"), F.col("key").alias("vec_id"), "pred")))
 
