@@ -291,9 +291,11 @@ def normalise_text(spark, d):
 def encode_udf(spark, d):
     """text + label blocks -> ids, mask, multi-hot, as native expressions."""
     dl, _, _ = multi_hot_frame(spark, d)
+    # reduce every whole text to its fixed-size features first (narrow), so
+    # the join with the labels shuffles 128 ids per document, not all of them
     t = _ids(spark, d)
-    j = dl.select("doc_id", "y").join(t, "doc_id")
-    m = C.attention_mask(F.col("ids"))
-    return j.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                    F.aggregate(m, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"),
-                    F.array_join(C.pad_truncate(F.col("ids")), ",").alias("input_ids"), F.array_join("y", ",").alias("y"))
+    feats = t.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                     F.aggregate(C.attention_mask(F.col("ids")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"),
+                     F.array_join(C.pad_truncate(F.col("ids")), ",").alias("input_ids"))
+    j = dl.select("doc_id", F.array_join("y", ",").alias("y")).join(feats, "doc_id")
+    return j.select("doc_id", "n_tokens", "mask_sum", "input_ids", "y")
