@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundlearn.operators import fusion, metrics, rounds, sampling
-from roundlearn.operators.heads import class_names, collect_heads, logits_expr
+from roundlearn.operators.heads import class_names, collect_heads, score_wide
 from roundlearn.session import local_frame, small_local
 
 LONG_SCHEMA = ("scope", "class", "class_order", "metric", "value")
@@ -44,7 +44,7 @@ def fused_scores(spark: SparkSession, data: DataFrame, cfg_rounds: Sequence, zsc
     names = class_names(heads)
     t = rounds.known_rows(s.where(F.col("split") == "test"), reg, "y", n_cfg)
     t = sampling.with_batches(t.select("key", "y", "embedding"), "key", seed, batch_size)
-    t = t.select("key", "y", "batch_id", logits_expr(heads, "embedding").alias("logits"))
+    t = score_wide(t.select("key", "y", "batch_id", "embedding"), heads, "embedding").drop("embedding")
     if zscore == "batch":
         t = fusion.zscore_batch(t, k)
     elif zscore == "row":

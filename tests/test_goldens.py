@@ -99,3 +99,13 @@ def test_tokens_mask_pad(spark):
         "ids", C.pad_truncate(F.col("ids"), 5).alias("p"), C.attention_mask(F.col("ids"), 5).alias("m")).collect()
     assert len(r[0]["ids"]) == 3 and r[0]["m"] == [1, 1, 1, 0, 0] and r[0]["p"][3:] == [0, 0]
     assert r[1]["m"] == [1, 0, 0, 0, 0]          # '' splits to one empty token
+
+
+def test_large_head_sets_score_through_batches(spark):
+    from roundlearn.operators.heads import score_wide
+    heads = [{"class": str(c), "class_order": c + 1, "mu": [0.1 * c, -0.2, 0.3 + c], "bias": -0.5 * c} for c in range(5)]
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.0, -1.0, 0.5])], "key long, v array<float>")
+    lit = {r["key"]: r["logits"] for r in score_wide(rows, heads, "v").collect()}
+    bat = {r["key"]: r["logits"] for r in score_wide(rows, heads, "v", literal_numbers=1).collect()}
+    assert lit.keys() == bat.keys()
+    assert all(a == pytest.approx(b, abs=1e-12) for k in lit for a, b in zip(lit[k], bat[k]))
