@@ -109,3 +109,12 @@ def test_large_head_sets_score_through_batches(spark):
     bat = {r["key"]: r["logits"] for r in score_wide(rows, heads, "v", literal_numbers=1).collect()}
     assert lit.keys() == bat.keys()
     assert all(a == pytest.approx(b, abs=1e-12) for k in lit for a, b in zip(lit[k], bat[k]))
+
+
+def test_zscore_batch_long_form_equals_wide(spark):
+    rows = [(i, i // 3, [float((i * 7 + k * 3) % 11) for k in range(4)]) for i in range(10)]
+    df = spark.createDataFrame(rows, "key long, batch_id int, logits array<double>")
+    wide = {r["key"]: r["z"] for r in fusion.zscore_batch(df, 4).collect()}
+    long = {r["key"]: r["z"] for r in fusion.zscore_batch(df, 4, wide_classes=1).collect()}
+    assert wide.keys() == long.keys()
+    assert all(a == pytest.approx(b, abs=1e-12) for k in wide for a, b in zip(wide[k], long[k]))
