@@ -118,3 +118,11 @@ def test_zscore_batch_long_form_equals_wide(spark):
     long = {r["key"]: r["z"] for r in fusion.zscore_batch(df, 4, wide_classes=1).collect()}
     assert wide.keys() == long.keys()
     assert all(a == pytest.approx(b, abs=1e-12) for k in wide for a, b in zip(wide[k], long[k]))
+
+
+def test_cell_sums_long_form_equals_wide(spark):
+    df = spark.createDataFrame([([1, 0, 1], [1, 1, 0]), ([0, 0, 1], [0, 1, 1]), ([1, 1, 0], [0, 1, 0])],
+                               "y array<int>, p array<int>")
+    a = sorted(tuple(r) for r in M.cell_sums(df, "y", "p", 3).collect())
+    b = sorted(tuple(r) for r in M.cell_sums(df, "y", "p", 3, wide_cells=1).collect())
+    assert a == b and a[0] == (0, 1, 0, 1, 2)
