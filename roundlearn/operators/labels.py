@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roundlearn.functions.columns import col, multi_hot
 from roundlearn.session import checked_broadcast, small_local
@@ -26,16 +27,24 @@ class UnseenLabelError(ValueError):
 
 
 def fit_dictionary(df: DataFrame, label_cols: Sequence[str], keep: bool = True) -> DataFrame:
-    """WIN1 ``label_encode_fit``: one small table for all label columns."""
-    parts = []
-    for c in label_cols:
-        d = df.select(col(c).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-        w = Window.orderBy("_v")      # over distinct labels only (bounded)
-        parts.append(d.select(F.lit(c).alias("label_col"), F.col("_v").cast("string").alias("label"),
-                              (F.row_number().over(w) - 1).cast("int").alias("id")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """WIN1 ``label_encode_fit``: one small table for all label columns, from
+    one pass over the data (distinct ``(column, label)`` pairs, a partial
+    aggregate), ordered per column by the native type: integers by value,
+    fractions by value, text by code point."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def key(c):
+        t = types[c]
+        integral = isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        fractional = isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType))
+        return F.struct(F.lit(c).alias("label_col"), col(c).cast("string").alias("label"),
+                        (col(c).cast("long") if integral else F.lit(None).cast("long")).alias("_i"),
+                        (col(c).cast("double") if fractional else F.lit(None).cast("double")).alias("_d"))
+
+    d = (df.select(F.explode(F.array(*[key(c) for c in label_cols])).alias("p")).select("p.*")
+           .where(F.col("label").isNotNull()).distinct())
+    w = Window.partitionBy("label_col").orderBy("_i", "_d", "label")     # distinct labels of one column
+    out = d.select("label_col", "label", (F.row_number().over(w) - 1).cast("int").alias("id"))
     return small_local(out) if keep else out
 
 
