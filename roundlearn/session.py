@@ -55,6 +55,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it
+    (local runs, nodes that share the folder). Elsewhere it is installed on
+    the nodes or given with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared checkpoint folder (never machine-local
     on a cluster)."""
