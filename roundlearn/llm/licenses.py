@@ -2,7 +2,7 @@
 inheritance along directories.
 
 The lines of a file that speak of a licence (anywhere in its text) form its
-header; a licence file counts with its whole text. Headers are compared to
+header; a file named as a licence counts with its whole text. Headers are compared to
 template texts by the cosine of sparse TF-IDF vectors; the inverse document
 frequencies come from all headers of the table. Equal headers are compared
 once, whatever their number. A file without a licence of its own takes that of
@@ -101,7 +101,9 @@ def parents(directory: Column) -> Column:
 def scan(df: DataFrame, path: Column, is_file: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
          templates: dict[str, str] = TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
     """One row per file: doc_id, own_license, cosine, license (own or
-    inherited) and license_dir (the directory it comes from; null if own)."""
+    inherited) and license_dir (the directory it comes from; null if own).
+    Files named as licences, and those of ``is_file``, speak for their
+    directory."""
     spark = df.sparkSession
     whole = F.coalesce(path, F.lit(""))
     name = F.element_at(F.split(whole, "/"), -1)
@@ -109,7 +111,7 @@ def scan(df: DataFrame, path: Column, is_file: Column | None = None, id_col: str
     src = df.select(F.col(id_col).alias("doc_id"), F.array_join(F.filter(F.split(
         F.regexp_replace(whole, "[^/]*$", ""), "/"), lambda x: x != ""), "/").alias("dir"), name.alias("name"),
         F.coalesce(licence_file, F.lit(False)).alias("is_file"), F.col(text_col).cast("string").alias("text"))
-    src = src.withColumn("header", F.when(F.col("is_file") & (F.trim("text") != ""), F.col("text")).otherwise(header(F.col("text"))))
+    src = src.withColumn("header", F.when(F.col("name").rlike(NAMES) & (F.trim("text") != ""), F.col("text")).otherwise(header(F.col("text"))))
     # narrow rows: the header only where there is one, under the key of its text
     rows = written(src.select("doc_id", "dir", "name", "is_file", "header", F.when(
         F.col("header").isNotNull(), F.md5(F.col("header").cast("binary"))).alias("key")), "files")
