@@ -12,21 +12,30 @@ Allocation by cost. A segment gets the threshold 0 (not indexed), 1 (its
 subset is indexed) or more (its deletion neighbourhood is indexed as well):
 
 * empty segments cost most (all sets share them) and always get 0;
-* shingles held by many documents (shared passages) form segments of their own
-  behind all others, so that they are used last;
-* in the order of segments, a set gives 1 to its first ``D + 1`` non-empty
-  segments and 0 to the rest: of those D + 1 one is equal in any partner,
-  which indexes it too unless its own D + 1 end earlier, and then the same
-  holds with the roles changed;
-* a set with too few non-empty segments gives each of them 2 (subset and its
-  one-deletion neighbourhood), or as much more as the sum of D + 1 asks for.
+* shingles held by many documents (shared passages) form *hot* segments of
+  their own behind all others, which get 0 as long as the others suffice.
+
+Each set climbs a ladder until its thresholds add up to D + 1:
+
+1. threshold 1 for its first D + 1 non-empty cold segments;
+2. thresholds up to 2 (subset and one-deletion neighbourhood) for all cold
+   segments, then up to 3 and 4 (two and three deletions);
+3. in addition, threshold 1 for its first non-empty hot segments;
+4. deletions in all segments, as deep as it takes.
+
+What a set indexes on one step holds all that a set on a lower step asks of its
+partner, so the lower of the two finds the pair; on steps 1 and 3 the set whose
+prefix of segments is shorter does.
 
 Documents with the same set are one *node*. Nodes with a signature in common
-are verified exactly in two steps: each node with one hub, the smallest node
-of its groups; then, since linked nodes need no further links between them,
-only pairs of nodes of one group that lie in different components so far. So
-a group of many near copies costs one verification each, and no group is
-expanded into all its pairs.
+are tested in steps: each node with the hubs (a few nodes of each group, mostly
+the same over groups) it shares most signatures with; then, since linked nodes need no further
+links between them, only pairs of one group that lie in different components so
+far. Sizes and parity bitmaps, whose distance never exceeds that of the sets,
+rule most false pairs out; the rest are verified on whole texts, each node's
+nearest pairs first, until every pair is tested or joined through others. So a
+group of many near copies costs a few verifications for each member, and no
+group is expanded into all its pairs.
 
 Sets are sets of 64-bit hashes of the shingles (all word bytes count); two
 different shingles of one pair of documents meet with odds below 1e-12.
@@ -45,7 +54,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundlearn.llm.common import free_name, written
@@ -55,6 +64,8 @@ WORDS = 5
 SIM_NUM, SIM_DEN = 80, 100            # link: SIM_DEN * intersection >= SIM_NUM * union
 HOT_DOCS = 64                         # a shingle of fewer sets is not hot
 HOT_MAX = 1 << 20                     # at most so many hot shingles (8 MB) are broadcast
+ORDERS = 4                            # hubs of a group; a node is tested with twice as many
+DEEPEST = 3                           # deletions in cold segments before hot ones are used
 MAP_BITS = 26                         # size of the bitmap of wanted nodes (8 MB)
 
 _U = np.uint64
@@ -181,6 +192,39 @@ def nodes_of(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[b
     return keys, fps
 
 
+def bitmap_bits(size: int) -> int:
+    """Bits of a set's bitmap: the power of two from its size up, 64 at
+    least."""
+    return max(64, 1 << (size - 1).bit_length())
+
+
+def bitmaps_of(values: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
+    """A parity bitmap for each set: bit j tells whether an odd number of its
+    shingles hash to j. Two bitmaps differ in no more bits than their sets
+    differ in shingles; a bitmap folds to half its size by xor."""
+    out: list[bytes | None] = [None] * len(counts)
+    place = mix(values ^ _SALTS[5]) >> _U(8)
+    at = 0
+    for i, n in enumerate(counts.tolist()):
+        if n:
+            bits = bitmap_bits(n)
+            odd = np.bincount((place[at:at + n] & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+            out[i] = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+        at += n
+    return out
+
+
+def slack(na: int, a: bytes, nb: int, b: bytes) -> int:
+    """By how much two bitmaps are nearer than sets that link may be apart; a
+    negative number proves that the sets do not link."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return (SIM_DEN - SIM_NUM) * (na + nb) - (SIM_DEN + SIM_NUM) * int(np.bitwise_count(x ^ y).sum())
+
+
 def links(a: np.ndarray, b: np.ndarray) -> bool:
     """The exact test of two sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -231,32 +275,40 @@ def signatures(values: np.ndarray, counts: np.ndarray, hot: np.ndarray) -> tuple
         start = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (own[1:] != own[:-1])]))
         sums = np.add.reduceat(element, start)
         tag = mix(seg[start].astype(_U) ^ (_SALTS[4] + np.full(1, k, _U)))
-        g_own = own[start]
+        g_own, is_hot = own[start], seg[start] >= m
         n_groups = np.bincount(g_own, minlength=len(docs))
+        n_cold = np.bincount(g_own[~is_hot], minlength=len(docs))
         g_first = np.cumsum(n_groups) - n_groups
         need = (lens + np.minimum(top, lens * SIM_DEN // SIM_NUM)) * (SIM_DEN - SIM_NUM) // (SIM_DEN + SIM_NUM) + 1
-        enough = n_groups >= need
-        take = enough[g_own] & (np.arange(len(start)) - g_first[g_own] < need[g_own])   # thresholds 0 and 1
+        plain = n_cold >= need
+        take = plain[g_own] & (np.arange(len(start)) - g_first[g_own] < need[g_own])
         out_sig.append(mix(sums[take] ^ tag[take]))
         out_set.append(docs_a[g_own[take]])
         sizes = np.diff(start, append=len(element))
-        for j in np.flatnonzero(~enough).tolist():
+        for j in np.flatnonzero(~plain).tolist():
             g = slice(g_first[j], g_first[j] + n_groups[j])
-            x = _neighbourhoods(element, start[g], sizes[g], sums[g], tag[g], int(need[j]))
+            x = _neighbourhoods(element, start[g], sizes[g], sums[g], tag[g], int(n_cold[j]), int(need[j]))
             out_sig.append(x)
             out_set.append(np.full(len(x), docs_a[j]))
     return np.concatenate(out_sig).view(np.int64), np.concatenate(out_set)
 
 
-def _neighbourhoods(element, start, sizes, sums, tag, need: int) -> np.ndarray:
-    """Signatures of a set with fewer non-empty segments than it needs: all
-    subsets and their deletion neighbourhoods, of one deletion or as many as
-    the sum of the thresholds asks for."""
-    deep = 1
-    while int(np.minimum(sizes, 1 + deep).sum()) < need:
+def _neighbourhoods(element, start, sizes, sums, tag, cold: int, need: int) -> np.ndarray:
+    """Signatures of a set whose first ``cold`` segments, those without hot
+    shingles, are fewer than it needs: the higher steps of the ladder."""
+    deep, used = 1, cold
+    while deep < DEEPEST and int(np.minimum(sizes[:cold], 1 + deep).sum()) < need:
+        deep += 1
+    total = int(np.minimum(sizes[:cold], 1 + deep).sum())
+    if total < need:                                        # hot segments, as few as needed
+        used = min(cold + need - total, len(sizes))
+        total += used - cold
+    while total < need:                                     # deletions in all segments
         deep += 1
-    out = [mix(sums ^ tag)]
-    for i in np.flatnonzero(sizes > 1).tolist():
+        total = int(np.minimum(sizes, 1 + deep).sum())
+        cold = len(sizes)
+    out = [mix(sums[:used] ^ tag[:used])]
+    for i in np.flatnonzero(sizes[:cold] > 1).tolist():
         part = element[start[i]:start[i] + sizes[i]]
         out.append(mix((sums[i:i + 1] - part) ^ tag[i]))
         for d in range(2, min(deep, int(sizes[i]) - 1) + 1):
@@ -274,8 +326,8 @@ def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _survey(src: DataFrame, words: int) -> DataFrame:
-    """One pass over the texts. Rows with n: a document's size, key and
-    fingerprint; rows with hot: a shingle that at least eight different sets
+    """One pass over the texts. Rows with n: a document's size, key,
+    fingerprint and bitmap; rows with hot: a shingle that at least eight different sets
     of one stretch of rows hold, with their number."""
     stretch, least = 4_000_000, 8
 
@@ -304,26 +356,26 @@ def _survey(src: DataFrame, words: int) -> DataFrame:
                     hot += h
                     cnt += c
                     seen, held, total = set(), [], 0
-            yield _survey_batch(b.column(0), counts, keys, fps, None, None)
+            yield _survey_batch(b.column(0), counts, keys, fps, bitmaps_of(values, counts), None, None)
             if hot:
-                yield _survey_batch(pa.nulls(len(hot), src_type), None, None, None, hot, cnt)
+                yield _survey_batch(pa.nulls(len(hot), src_type), None, None, None, None, hot, cnt)
         if held:
             h, c = counted()
             if h:
-                yield _survey_batch(pa.nulls(len(h), src_type), None, None, None, h, c)
+                yield _survey_batch(pa.nulls(len(h), src_type), None, None, None, None, h, c)
 
     from pyspark.sql.pandas.types import to_arrow_type
     src_type = to_arrow_type(src.schema["doc_id"].dataType)
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, n long, k long, fp binary, hot long, docs long")
+    return src.mapInArrow(run, f"doc_id {kind}, n long, k long, fp binary, bits binary, hot long, docs long")
 
 
-def _survey_batch(ids, n, keys, fps, hot, cnt) -> pa.RecordBatch:
+def _survey_batch(ids, n, keys, fps, bits, hot, cnt) -> pa.RecordBatch:
     size = len(ids)
     col = lambda x, kind: pa.nulls(size, kind) if x is None else pa.array(x, kind)
     return pa.RecordBatch.from_arrays(
-        [ids, col(n, pa.int64()), col(keys, pa.int64()), col(fps, pa.binary()), col(hot, pa.int64()), col(cnt, pa.int64())],
-        names=["doc_id", "n", "k", "fp", "hot", "docs"])
+        [ids, col(n, pa.int64()), col(keys, pa.int64()), col(fps, pa.binary()), col(bits, pa.binary()), col(hot, pa.int64()),
+         col(cnt, pa.int64())], names=["doc_id", "n", "k", "fp", "bits", "hot", "docs"])
 
 
 def _hot(survey: DataFrame) -> np.ndarray:
@@ -395,13 +447,26 @@ def _texts(src: DataFrame, keys: DataFrame, words: int) -> DataFrame:
     return written(rows.groupBy("fp").agg(F.first("text").alias("text")), "node-texts")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, src: DataFrame, words: int) -> DataFrame:
-    """``pairs``: columns k, hub (keys). Returns the pairs of fingerprints
-    (a, b) that link, tested on whole texts."""
-    one = nodes.select(F.col("k"), F.col("fp").alias("a"), F.col("n").alias("na"))
-    two = nodes.select(F.col("k").alias("hub"), F.col("fp").alias("b"), F.col("n").alias("nb"))
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pairs``: columns k, hub (keys). Returns those whose sizes and bitmaps
+    allow a link, with their fingerprints and slack: (k, hub, a, b, slack)."""
+    one = nodes.select("k", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    two = nodes.select(F.col("k").alias("hub"), F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     close = SIM_DEN * F.least("na", "nb") >= SIM_NUM * F.greatest("na", "nb")
-    full = written(pairs.join(one, "k").join(two, "hub").where(close).select("a", "b", "k", "hub"), "candidates")
+    rows = (pairs.join(one, "k").join(two, "hub").where(close)
+            .select("k", "hub", "a", "b", "na", "bits_a", "nb", "bits_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            left = np.array([slack(*r) for r in zip(*(x.column(i).to_pylist() for i in range(4, 8)), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([*x.columns[:4], pa.array(left)], names=[*x.schema.names[:4], "slack"]).filter(
+                pa.array(left >= 0))
+    return written(rows.mapInArrow(run, "k long, hub long, a binary, b binary, slack long"), "candidates")
+
+
+def _verify(full: DataFrame, src: DataFrame, words: int) -> DataFrame:
+    """``full``: pairs (k, hub, a, b). Returns those that link, as (a, b),
+    tested on whole texts."""
     texts = _texts(src, full.select("k").union(full.select("hub")).distinct(), words)
     # a hub of many partners is dealt out over slices, its text once to each
     fan = full.groupBy("b").count().select("b", F.ceil(F.col("count") / 512).cast("int").alias("slices"))
@@ -426,36 +491,80 @@ def _verify(pairs: DataFrame, nodes: DataFrame, src: DataFrame, words: int) -> D
     return written(rows.mapInArrow(run, "a binary, b binary").distinct(), "links")
 
 
+def _stars(members: DataFrame) -> DataFrame:
+    """(k, hub): for each node the hubs it shares most signatures with. A
+    group has a hub in each of some orders of all keys (the smallest key after
+    an exclusive or with a constant), so groups with common members mostly
+    have the same hubs."""
+    turns = [int(x) for x in mix(np.arange(7, 7 + ORDERS, dtype=_U)).view(np.int64)]
+    turned = [F.col("k").bitwiseXOR(F.lit(t)) for t in turns]
+    hubs = members.groupBy("sig").agg(*[F.min(x).alias(f"h{i}") for i, x in enumerate(turned)])
+    each = F.explode(F.array_distinct(F.array(*[F.col(f"h{i}").bitwiseXOR(F.lit(t)) for i, t in enumerate(turns)])))
+    pairs = members.join(hubs.select("sig", each.alias("hub")), "sig").where("k <> hub")
+    order = Window.partitionBy("k").orderBy(F.desc("count"), "hub")
+    return (pairs.groupBy("k", "hub").count().withColumn("r", F.row_number().over(order))
+            .where(F.col("r") <= 2 * ORDERS).select("k", "hub"))
+
+
+def _root_keys(roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(k, c): key of each linked node and of its component's root."""
+    keys = nodes.select("fp", "k")
+    return (roots.join(keys.select(F.col("fp").alias("root"), F.col("k").alias("c")), "root")
+            .join(keys.withColumnRenamed("fp", "node"), "node").select("k", "c"))
+
+
+def _across(members: DataFrame, root_keys: DataFrame) -> DataFrame:
+    """Distinct pairs (k, hub) of nodes that share a signature but no
+    component. In each group all but the largest component's nodes meet the
+    others, so a group within one component gives nothing."""
+    placed = written(members.join(root_keys, "k", "left").select("sig", "k", F.coalesce("c", "k").alias("c")), "placed")
+    split = (placed.groupBy("sig", "c").count().groupBy("sig")
+             .agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
+    rows = written(placed.join(split.select("sig", "big"), "sig"), "groups")
+    small = rows.where("c <> big").select("sig", F.col("k").alias("k1"), F.col("c").alias("c1"))
+    other = rows.select("sig", F.col("k").alias("k2"), F.col("c").alias("c2"), "big")
+    return (small.join(other, "sig").where("c1 <> c2 and (c2 = big or k1 < k2)")
+            .select(F.greatest("k1", "k2").alias("k"), F.least("k1", "k2").alias("hub")).distinct())
+
+
+def _open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not in one component."""
+    one = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    two = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    return (pairs.join(one, "a", "left").join(two, "b", "left")
+            .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("k", "hub", "a", "b", "slack"))
+
+
 def join_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS):
-    """Returns (survey, groups): survey has a row (doc_id, n, k, fp) for each
-    document; groups has (fp, component_id, rep_fp) for each distinct set."""
+    """Returns (rows, groups): rows has (doc_id, n, k, fp) for each document;
+    groups has (fp, component_id, rep_fp) for each distinct set."""
     src = _source(df, id_col, text_col)
     survey = written(_survey(src, words), "survey")
     rows = survey.where("n is not null").select("doc_id", "n", "k", "fp")
-    nodes = written(rows.where("n > 0").groupBy("k", "fp").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")),
-                    "nodes")
+    nodes = written(survey.where("n > 0").groupBy("k", "fp").agg(
+        F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "nodes")
     hot = src.sparkSession.sparkContext.broadcast(_hot(survey))
     sigs = _signature_rows(src, hot, words)
     shared = sigs.groupBy("sig").agg(F.min("k").alias("hub"), F.max("k").alias("top")).where("hub <> top")
-    members = written(sigs.join(shared.select("sig", "hub"), "sig").distinct(), "members")
-    # first every node with the smallest hub of its groups
-    stars = members.where("k <> hub").groupBy("k").agg(F.min("hub").alias("hub"))
-    near = _verify(stars, nodes, src, words)
-    # then what lies in one group but not yet in one component
-    keys = nodes.select("fp", "k")
+    members = written(sigs.join(shared.select("sig"), "sig").distinct(), "members")
+    # first every node with the hubs it shares most signatures with
+    stars = written(_stars(members), "stars")
+    near = _verify(_possible(stars, nodes), src, words)
     roots = components(near)
-    root_key = (roots.join(keys.withColumnRenamed("fp", "root").withColumnRenamed("k", "c"), "root")
-                .join(keys.withColumnRenamed("fp", "node"), "node").select("k", "c"))
-    placed = written(members.join(root_key, "k", "left").select("sig", "k", F.coalesce("c", "k").alias("c")), "placed")
-    split = (placed.groupBy("sig", "c").count().groupBy("sig")
-             .agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
-    open_rows = written(placed.join(split.select("sig", "big"), "sig"), "open")
-    small = open_rows.where("c <> big").select("sig", F.col("k").alias("k1"), F.col("c").alias("c1"))
-    other = open_rows.select("sig", F.col("k").alias("k2"), F.col("c").alias("c2"), "big")
-    cross = (small.join(other, "sig").where("c1 <> c2 and (c2 = big or k1 < k2)")
-             .select(F.greatest("k1", "k2").alias("k"), F.least("k1", "k2").alias("hub")).distinct())
-    far = _verify(cross.join(stars, ["k", "hub"], "left_anti"), nodes, src, words)
-    roots = components(near.union(far))
+    # then what lies in one group but not in one component: the pairs that
+    # the bitmaps allow, each node's nearest first, until each pair is tested
+    # or joined through others
+    across = _across(members, _root_keys(roots, nodes))
+    open_pairs = _possible(across.join(stars, ["k", "hub"], "left_anti"), nodes)
+    width = 4
+    while not open_pairs.isEmpty():
+        order = Window.partitionBy("k").orderBy(F.desc("slack"), "hub")
+        ranked = written(open_pairs.withColumn("r", F.row_number().over(order)), "ranked")
+        found = _verify(ranked.where(F.col("r") <= width), src, words)
+        near = written(near.union(found), "links")
+        roots = components(near)
+        open_pairs = written(_open(ranked.where(F.col("r") > width), roots), "open")
+        width *= 16
     placed_nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     best = placed_nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.when(
