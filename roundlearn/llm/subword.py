@@ -315,7 +315,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "text", model: str =
     ship_package(df.sparkSession)
     pieces = df.sparkSession.sparkContext.broadcast(load_pieces(model))
     at = df.columns.index(ids_col)
-    schema = df.select("*", F.lit("").alias(out)).schema
+    schema = df.select("*", F.lit(None).cast("string").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _encoder(pieces, DROPOUT, SEED, VARIANTS).merger
