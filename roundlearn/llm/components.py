@@ -14,8 +14,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round moves edges towards smaller neighbours with one aggregate and
     one join for each half; no neighbourhood is gathered in one place. Rounds
-    grow with the logarithm of the longest chain. Every half round is written
-    to the shared folder."""
+    grow with the logarithm of the longest chain. Every round is written to the
+    shared folder."""
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
                 "edges")
     before = _state(e)
@@ -26,7 +26,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = written(e.distinct(), "edges")
         # small star: u and its smaller neighbours move to the smallest of them
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         moved = e.join(low, "u")

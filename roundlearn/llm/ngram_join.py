@@ -33,7 +33,7 @@ the same over groups) it shares most signatures with; then, since linked nodes n
 links between them, only pairs of one group that lie in different components so
 far. Sizes and parity bitmaps, whose distance never exceeds that of the sets,
 rule most false pairs out; the rest are verified on whole texts, each node's
-nearest pairs first, until every pair is tested or joined through others. So a
+nearest pairs first, then all that are not joined through others by then. So a
 group of many near copies costs a few verifications for each member, and no
 group is expanded into all its pairs.
 
@@ -65,6 +65,7 @@ SIM_NUM, SIM_DEN = 80, 100            # link: SIM_DEN * intersection >= SIM_NUM
 HOT_DOCS = 64                         # a shingle of fewer sets is not hot
 HOT_MAX = 1 << 20                     # at most so many hot shingles (8 MB) are broadcast
 ORDERS = 4                            # hubs of a group; a node is tested with twice as many
+NEAREST = 8                           # pairs of a node tested before the rest of its pairs
 DEEPEST = 3                           # deletions in cold segments before hot ones are used
 MAP_BITS = 26                         # size of the bitmap of wanted nodes (8 MB)
 
@@ -551,20 +552,18 @@ def join_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     stars = written(_stars(members), "stars")
     near = _verify(_possible(stars, nodes), src, words)
     roots = components(near)
-    # then what lies in one group but not in one component: the pairs that
-    # the bitmaps allow, each node's nearest first, until each pair is tested
-    # or joined through others
+    # then what lies in one group but not in one component: of the pairs that
+    # the bitmaps allow, each node's nearest, and then all others that these
+    # have not joined
     across = _across(members, _root_keys(roots, nodes))
     open_pairs = _possible(across.join(stars, ["k", "hub"], "left_anti"), nodes)
-    width = 4
-    while not open_pairs.isEmpty():
-        order = Window.partitionBy("k").orderBy(F.desc("slack"), "hub")
-        ranked = written(open_pairs.withColumn("r", F.row_number().over(order)), "ranked")
-        found = _verify(ranked.where(F.col("r") <= width), src, words)
-        near = written(near.union(found), "links")
-        roots = components(near)
-        open_pairs = written(_open(ranked.where(F.col("r") > width), roots), "open")
-        width *= 16
+    order = Window.partitionBy("k").orderBy(F.desc("slack"), "hub")
+    ranked = written(open_pairs.withColumn("r", F.row_number().over(order)), "ranked")
+    near = written(near.union(_verify(ranked.where(F.col("r") <= NEAREST), src, words)), "links")
+    roots = components(near)
+    rest = written(_open(ranked.where(F.col("r") > NEAREST), roots), "open")
+    if not rest.isEmpty():
+        roots = components(near.union(_verify(rest, src, words)))
     placed_nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     best = placed_nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.when(
