@@ -49,11 +49,21 @@ def canon(c: Column, dtype: T.DataType, upcast: bool = False) -> Column:
             return canon(c.cast("double"), T.DoubleType())
         return F.coalesce(c.cast("string"), F.lit("nan"))
     if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        d = c.cast("double")
-        return F.when(d.isNull() | F.isnan(d), F.lit("nan")).otherwise(d.cast("string"))
+        d, text = c.cast("double"), c.cast("string")
+        return F.when(d.isNull() | F.isnan(d), F.lit("nan")).when(text.contains("E"), _plain(text, d)).otherwise(text)
     return F.coalesce(c.cast("string"), F.lit("nan"))
 
 
+def _plain(text: Column, value: Column) -> Column:
+    """A number written with an exponent, as plain digits (magnitudes from
+    1e-13 to 1e27; others keep the exponent)."""
+    digits = F.when(F.abs(value) < 1, text.try_cast("decimal(38,30)").cast("string")).otherwise(
+        text.try_cast("decimal(38,10)").cast("string"))
+    cut = F.regexp_replace(digits, "0+$", "")
+    plain = F.when(cut.endswith("."), F.concat(cut, F.lit("0"))).otherwise(cut)
+    return F.when((F.abs(value) >= 1e-13) & (F.abs(value) < 1e27), plain).otherwise(text)
+
+
 def row_to_text(df: DataFrame, features: Sequence[str], upcast: bool = False,
                 sep: str = " ") -> Column:
     """``" ".join(str(row[c]) for c in features)`` in column order (PRJ6a/b/c)."""
@@ -75,7 +85,7 @@ def label_text_id(c: Column) -> Column:
 
 
 def format_metric(c: Column, digits: int = 4) -> Column:
-    return F.format_number(c, digits)
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double")))
 
 
 # ------------------------------------------------------------- vectors

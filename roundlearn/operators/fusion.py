@@ -21,25 +21,15 @@ def _z(logits: Column, means: list[Column], stds: list[Column], eps: float) -> C
     return F.array(*[(logits[k] - means[k]) / (stds[k] + F.lit(eps)) for k in range(len(means))])
 
 
-WIDE_CLASSES = 256      # up to this many classes the batch statistics are 2K window aggregates
-
-
 def zscore_batch(df: DataFrame, n_classes: int, batch_col: str = "batch_id",
-                 logits: str = "logits", out: str = "z", eps: float = ZSCORE_EPS,
-                 wide_classes: int = WIDE_CLASSES, key: str = "key") -> DataFrame:
+                 logits: str = "logits", out: str = "z", eps: float = ZSCORE_EPS) -> DataFrame:
+    """One form for any number of classes; a row without logits keeps its
+    place with null scores."""
     lg = F.col(logits)
-    if n_classes <= wide_classes:
-        w = Window.partitionBy(batch_col)
-        means = [F.avg(lg[k]).over(w) for k in range(n_classes)]
-        stds = [F.stddev_pop(lg[k]).over(w) for k in range(n_classes)]
-        return df.withColumn(out, _z(lg, means, stds, eps))
-    # many classes: long form, one window per (batch, class), then each row's
-    # K scores are put back in class order (a K-sized list per row)
-    long = df.select(key, batch_col, F.posexplode(lg).alias("_k", "_l"))
-    w = Window.partitionBy(batch_col, "_k")
-    z = long.select(key, "_k", ((F.col("_l") - F.avg("_l").over(w)) / (F.stddev_pop("_l").over(w) + F.lit(eps))).alias("_z"))
-    back = z.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_k", "_z"))).alias("_s"))
-    return df.join(back.select(key, F.transform("_s", lambda s: s["_z"]).alias(out)), key)
+    w = Window.partitionBy(batch_col)
+    means = [F.avg(lg[k]).over(w) for k in range(n_classes)]
+    stds = [F.stddev_pop(lg[k]).over(w) for k in range(n_classes)]
+    return df.withColumn(out, F.when(lg.isNotNull(), _z(lg, means, stds, eps)))
 
 
 def zscore_row(df: DataFrame, logits: str = "logits", out: str = "z", eps: float = ZSCORE_EPS) -> DataFrame:

@@ -74,47 +74,36 @@ def heads_literal(rows: list) -> Column:
     return F.expr(f"array({', '.join(parts)})")
 
 
-LITERAL_NUMBERS = 100_000    # heads up to this many numbers are constants of the plan
-
-
-def score_wide(rows: DataFrame, heads: list, vec_col: str, out_col: str = "logits",
-               literal_numbers: int = LITERAL_NUMBERS) -> DataFrame:
-    """JN8: every row meets every head of every round. Small head sets are a
-    constant of the expression, so scoring is a narrow projection: no join,
-    no shuffle, one codegen stage. ``logits`` is in class order. Larger head
-    sets (more than ``literal_numbers`` weights) are shipped once per task
-    to a ``mapInPandas`` scorer (numpy matmul per Arrow batch) instead of
-    being planned as literals."""
-    size = sum(len(h["mu"]) + 1 for h in heads)
-    if size <= literal_numbers:
-        return rows.withColumn(out_col, logits_expr(heads, vec_col))
-    return _score_batches(rows, heads, vec_col, out_col)
-
-
-def _score_batches(rows: DataFrame, heads: list, vec_col: str, out_col: str) -> DataFrame:
+def score_wide(rows: DataFrame, heads: list, vec_col: str, out_col: str = "logits") -> DataFrame:
+    """JN8: every row meets every head of every round. The heads (one row per
+    class) go to each task once, and Arrow batches are scored by a matrix
+    product: no join, no shuffle. ``logits`` is in class order; a row with a
+    null vector gets null logits."""
     import numpy as np
     from pyspark.sql import types as T
     mu = np.array([[float(v) for v in h["mu"]] for h in heads], dtype=np.float64)
     bias = np.array([float(h["bias"]) for h in heads], dtype=np.float64)
-    schema = T.StructType(rows.schema.fields + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+    fields = [f for f in rows.schema.fields if f.name != out_col]
+    schema = T.StructType([*fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+    names = [f.name for f in fields]
 
     def score(batches):
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            pdf[out_col] = list(x @ mu.T + bias)
+            there = pdf[vec_col].notna().to_numpy()
+            out = np.full(len(pdf), None, dtype=object)
+            if there.any():
+                x = np.stack(pdf.loc[there, vec_col].to_numpy()).astype(np.float64)
+                for i, z in zip(np.flatnonzero(there), x @ mu.T + bias, strict=True):
+                    out[i] = z
+            pdf = pdf[names].copy()
+            pdf[out_col] = out
             yield pdf
 
     return rows.mapInPandas(score, schema)
 
 
-def logits_expr(heads: list, vec_col: str) -> Column:
-    """The scoring expression itself (for use inside a wider ``select``)."""
-    x = F.col(vec_col)
-    return F.transform(heads_literal(heads), lambda h: dot(x, h["mu"]) + h["bias"])
-
-
 def class_names(heads: list) -> Column:
     return F.array(*[F.lit(str(r["class"])) for r in heads])
 

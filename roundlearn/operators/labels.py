@@ -63,7 +63,8 @@ def unseen_labels(df: DataFrame, dictionary: DataFrame, label_col: str) -> DataF
 def encode(df: DataFrame, dictionary: DataFrame, label_col: str, out_col: str | None = None,
            unseen: str = "error") -> DataFrame:
     """JN1 ``label_encode_apply``. ``unseen``: ``error`` (raise, like the
-    reference), ``skip`` (drop those rows) or ``keep`` (id -1)."""
+    reference), ``skip`` (drop those rows) or ``keep`` (id -1). A row with a
+    null label stays, with a null id, under every policy."""
     out_col = out_col or f"{label_col}_id"
     d = checked_broadcast(dictionary_for(dictionary, label_col)
                           .withColumnRenamed("label", "_lbl").withColumnRenamed("id", out_col))
@@ -71,11 +72,11 @@ def encode(df: DataFrame, dictionary: DataFrame, label_col: str, out_col: str |
         bad = unseen_labels(df, dictionary, label_col).limit(5).collect()
         if bad:
             raise UnseenLabelError(f"labels not in dictionary for {label_col}: {[r['label'] for r in bad]}")
-    how = "left" if unseen == "keep" else "inner"
-    out = df.join(d, col(label_col).cast("string") == F.col("_lbl"), how).drop("_lbl")
+    missing = col(label_col).isNull()
+    out = df.join(d, col(label_col).cast("string") == F.col("_lbl"), "left").drop("_lbl")
     if unseen == "keep":
-        out = out.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(-1)))
-    return out
+        return out.withColumn(out_col, F.when(~missing, F.coalesce(F.col(out_col), F.lit(-1))))
+    return out.where(missing | F.col(out_col).isNotNull()) if unseen == "skip" else out
 
 
 def check_unseen(df: DataFrame, dictionary: DataFrame, label_cols: Sequence[str]) -> None:
@@ -102,10 +103,11 @@ def encode_all(df: DataFrame, dictionary: DataFrame, label_cols: Sequence[str],
 
 
 def decode(df: DataFrame, dictionary: DataFrame, label_col: str, id_col: str, out_col: str) -> DataFrame:
-    """JN2 ``label_decode``: id -> label text."""
+    """JN2 ``label_decode``: id -> label text; a row whose id is null, -1 or
+    unknown stays, with a null label."""
     d = checked_broadcast(dictionary_for(dictionary, label_col)
                           .withColumnRenamed("id", "_id").withColumnRenamed("label", out_col))
-    return df.join(d, F.col(id_col) == F.col("_id"), "inner").drop("_id")
+    return df.join(d, F.col(id_col) == F.col("_id"), "left").drop("_id")
 
 
 def class_totals(dictionary: DataFrame) -> DataFrame:

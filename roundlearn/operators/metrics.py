@@ -84,35 +84,19 @@ def binary(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
                     _div(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-WIDE_CELLS = 256       # up to this many columns: one pass of 3W conditional sums
-
-
-def cell_sums(df: DataFrame, y: str, p: str, width: int, wide_cells: int = WIDE_CELLS) -> DataFrame:
-    """Per multi-hot column j: tp, fp, fn, support in one pass of 3W
-    conditional sums (no explode), unpivoted to ``(j, tp, fp, fn, support)``.
-    Wider label spaces explode the cells and aggregate by ``j`` (partial
-    aggregation: W rows per task reach the shuffle)."""
-    if width > wide_cells:
-        cells = df.select(F.posexplode(F.arrays_zip(F.col(y).alias("y"), F.col(p).alias("p"))).alias("j", "c"))
-        yy, pp = F.col("c.y"), F.col("c.p")
-        return (cells.groupBy(F.col("j").cast("int").alias("j"))
-                     .agg(F.sum(F.when((yy == 1) & (pp == 1), 1).otherwise(0)).cast("bigint").alias("tp"),
-                          F.sum(F.when((yy == 0) & (pp == 1), 1).otherwise(0)).cast("bigint").alias("fp"),
-                          F.sum(F.when((yy == 1) & (pp == 0), 1).otherwise(0)).cast("bigint").alias("fn"))
-                     .withColumn("support", F.col("tp") + F.col("fn")))
-    aggs = []
-    for j in range(width):
-        yj, pj = F.col(y)[j], F.col(p)[j]
-        aggs += [F.sum(F.when((yj == 1) & (pj == 1), 1).otherwise(0)).alias(f"tp{j}"),
-                 F.sum(F.when((yj == 0) & (pj == 1), 1).otherwise(0)).alias(f"fp{j}"),
-                 F.sum(F.when((yj == 1) & (pj == 0), 1).otherwise(0)).alias(f"fn{j}")]
-    wide = df.agg(*aggs)
-    structs = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"tp{j}").alias("tp"), F.col(f"fp{j}").alias("fp"),
-                                 F.col(f"fn{j}").alias("fn")) for j in range(width)])
-    return (wide.select(F.explode(structs).alias("s"))
-                .select(F.col("s.j").cast("int").alias("j"), F.col("s.tp").cast("bigint").alias("tp"),
-                        F.col("s.fp").cast("bigint").alias("fp"), F.col("s.fn").cast("bigint").alias("fn"))
-                .withColumn("support", F.col("tp") + F.col("fn")))
+def cell_sums(df: DataFrame, y: str, p: str, width: int) -> DataFrame:
+    """Per multi-hot column j: tp, fp, fn, support. Cells are exploded and
+    summed by ``j`` (partial aggregation: W rows per task reach the shuffle);
+    every known column has a row, also on empty input."""
+    cells = df.select(F.posexplode(F.arrays_zip(F.col(y).alias("y"), F.col(p).alias("p"))).alias("j", "c"))
+    yy, pp = F.col("c.y"), F.col("c.p")
+    sums = cells.groupBy(F.col("j").cast("int").alias("j")).agg(
+        F.count_if((yy == 1) & (pp == 1)).alias("tp"), F.count_if((yy == 0) & (pp == 1)).alias("fp"),
+        F.count_if((yy == 1) & (pp == 0)).alias("fn"))
+    known = df.sparkSession.range(width).select(F.col("id").cast("int").alias("j"))
+    n = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn")}
+    return (known.join(sums, "j", "left").select("j", *n.values())
+            .withColumn("support", F.col("tp") + F.col("fn")))
 
 
 def multilabel(cells: DataFrame) -> DataFrame:

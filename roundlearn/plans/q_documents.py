@@ -11,7 +11,7 @@ from roundlearn.operators import metrics as M
 from roundlearn.plans.common import BLOCKS, DOC_DICT_SQL, DOC_LABELS_SQL, doc_labels, r6
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import checked_broadcast, local_frame, small_local, spread
+from roundlearn.session import checked_broadcast, local_frame, small_local
 from roundlearn.sources.tables import table
 
 VOCAB = 30522
@@ -223,7 +223,7 @@ TOK_SQL = f"list_transform(regexp_split_to_array(text, '\\s+'), lambda t: CAST((
 
 
 def _ids(spark, d):
-    t = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    t = table(spark, d, "documents").select("doc_id", "text")
     return t.select("doc_id", C.tokenise_hash(F.col("text"), VOCAB).alias("ids"))
 
 
@@ -272,7 +272,7 @@ def label_mask(spark, d):
 
 @query("prompt_prefix", "SELECT doc_id, CAST(length('classify: ' || text) AS BIGINT) AS n_chars, md5('classify: ' || text) AS text_md5 FROM documents")
 def prompt_prefix(spark, d):
-    t = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select(
+    t = table(spark, d, "documents").select("doc_id", "text").select(
         "doc_id", C.prompt_prefix(F.col("text")).alias("x"))
     return t.select("doc_id", F.length("x").cast("bigint").alias("n_chars"), F.md5("x").alias("text_md5"))
 
@@ -280,7 +280,7 @@ def prompt_prefix(spark, d):
 @query("normalise_text", """SELECT conv_id, turn, lower(regexp_replace(role, '^\\s+|\\s+$', '', 'g')) AS role,
   md5(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS text_md5 FROM conversations""")
 def normalise_text(spark, d):
-    t = spread(table(spark, d, "conversations"))
+    t = table(spark, d, "conversations")
     return t.select("conv_id", "turn", C.normalise_text(F.col("role")).alias("role"),
                     F.md5(C.normalise_text(F.col("text"))).alias("text_md5"))
 

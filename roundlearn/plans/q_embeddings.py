@@ -259,7 +259,8 @@ def score_matrix(spark, d):
 @query("score_stats", f"""WITH {fused_ctes(ER, 'none')} x AS (SELECT 1)
   SELECT class, {s6('avg(logit)')} AS mean, {s6('stddev_pop(logit)')} AS std, {s6('max(logit)')} AS max FROM zz GROUP BY class""")
 def score_stats(spark, d):
-    long = _long(spark, d, "none", "logits")
+    t, heads, _ = fused_scores(spark, emb(spark, d), ER, "none")
+    long = fusion.to_long(t, ["key"], class_names(heads), "logits", "logits")      # unrounded
     return long.groupBy("class").agg(r6(F.avg("logits")).alias("mean"), r6(F.stddev_pop("logits")).alias("std"),
                                      r6(F.max("logits")).alias("max"))
 

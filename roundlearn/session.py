@@ -50,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="roundlearn-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -90,7 +92,7 @@ def checked_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     only after its row count is checked; a table over ``max_rows`` is left
     to the optimizer/AQE (shuffle join). Small results are kept as local
     relations so the count does not re-run their lineage."""
-    small = small_local(df, max_rows)
+    small = small_local(df)
     if _is_local(small) or small.count() <= max_rows:
         return F.broadcast(small)               # at most max_rows rows, counted
     return small
@@ -108,20 +110,21 @@ def _is_local(df: DataFrame) -> bool:
 LOCAL_ROWS = 5_000     # above this a small table is checkpointed instead of inlined
 
 
-def small_local(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def small_local(df: DataFrame) -> DataFrame:
     """Compute a small aggregate once (a confusion matrix, a dictionary, a
     registry: bounded by the class count, never by the data) and keep it as
     a local relation, so plans that reuse it do not recompute its lineage.
-    The bound is checked; a larger result is checkpointed instead."""
+    Only LOCAL_ROWS rows reach the driver; a larger result is checkpointed
+    from the copy that was computed for the check."""
     if _is_local(df):
-        if len(df.collect()) <= max_rows:       # already constant: nothing to compute
-            return df
-        return materialize(df)
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return materialize(df)
-    if len(rows) > LOCAL_ROWS:                  # too large to inline as a constant
-        return materialize(df)
+        return df                               # already constant: nothing to compute
+    held = df.persist()                         # computed once, whatever its size
+    try:
+        rows = held.limit(LOCAL_ROWS + 1).collect()
+        if len(rows) > LOCAL_ROWS:              # too large to inline as a constant
+            return materialize(held)
+    finally:
+        held.unpersist()
     return local_frame(df.sparkSession, rows, df.schema)
 
 
@@ -161,14 +164,3 @@ def local_frame(spark: SparkSession, rows, schema) -> DataFrame:
         return spark.sql(f"SELECT {cols} FROM VALUES {vals} AS t({aliases}) WHERE false")
     vals = ", ".join("(" + ", ".join(_sql_literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")" for r in rows)
     return spark.sql(f"SELECT {cols} FROM VALUES {vals} AS t({aliases})")
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Use every core for CPU-heavy per-row work (tokenising whole texts):
-    repartition only when the scan yields fewer partitions than the
-    session's parallelism. On a cluster reading a large table the scan
-    already has thousands of splits and this is a no-op (no text shuffle)."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, key) if key else df.repartition(want)

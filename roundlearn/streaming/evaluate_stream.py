@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roundlearn.functions.columns import argmax_first
-from roundlearn.operators.heads import class_names, logits_expr
+from roundlearn.operators.heads import class_names, score_wide
 from roundlearn.operators.sampling import split_label, with_order_key
 
 
@@ -26,8 +26,9 @@ def confusion_stream(spark: SparkSession, stream: DataFrame, key: str, class_col
     known = [str(h["class"]) for h in heads]
     rows = with_order_key(stream, key, seed)
     rows = rows.where((split_label(key, bounds) == "test") & F.col(class_col).cast("string").isin(known))
-    scored = rows.select(F.col(class_col).cast("string").alias("y"),
-                         F.element_at(names, argmax_first(logits_expr(heads, vec_col)) + 1).alias("pred"))
+    rows = score_wide(rows.select(F.col(class_col).cast("string").alias("y"), vec_col), heads, vec_col)
+    scored = rows.select("y",
+                         F.element_at(names, argmax_first(F.col("logits")) + 1).alias("pred"))
     counts = scored.groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:

@@ -101,28 +101,56 @@ def test_tokens_mask_pad(spark):
     assert r[1]["m"] == [1, 0, 0, 0, 0]          # '' splits to one empty token
 
 
-def test_large_head_sets_score_through_batches(spark):
+def test_scores_of_null_vectors_and_many_classes(spark):
     from roundlearn.operators.heads import score_wide
-    heads = [{"class": str(c), "class_order": c + 1, "mu": [0.1 * c, -0.2, 0.3 + c], "bias": -0.5 * c} for c in range(5)]
-    rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.0, -1.0, 0.5])], "key long, v array<float>")
-    lit = {r["key"]: r["logits"] for r in score_wide(rows, heads, "v").collect()}
-    bat = {r["key"]: r["logits"] for r in score_wide(rows, heads, "v", literal_numbers=1).collect()}
-    assert lit.keys() == bat.keys()
-    assert all(a == pytest.approx(b, abs=1e-12) for k in lit for a, b in zip(lit[k], bat[k]))
-
-
-def test_zscore_batch_long_form_equals_wide(spark):
-    rows = [(i, i // 3, [float((i * 7 + k * 3) % 11) for k in range(4)]) for i in range(10)]
-    df = spark.createDataFrame(rows, "key long, batch_id int, logits array<double>")
-    wide = {r["key"]: r["z"] for r in fusion.zscore_batch(df, 4).collect()}
-    long = {r["key"]: r["z"] for r in fusion.zscore_batch(df, 4, wide_classes=1).collect()}
-    assert wide.keys() == long.keys()
-    assert all(a == pytest.approx(b, abs=1e-12) for k in wide for a, b in zip(wide[k], long[k]))
-
-
-def test_cell_sums_long_form_equals_wide(spark):
+    heads = [{"class": str(c), "class_order": c + 1, "mu": [0.1 * c, -0.2, 0.3 + c], "bias": -0.5 * c} for c in range(300)]
+    rows = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, None)], "key long, v array<float>")
+    got = {r["key"]: r["logits"] for r in score_wide(rows, heads, "v").collect()}
+    assert got[2] is None
+    assert got[1] == pytest.approx([0.1 * c - 0.4 + 3 * (0.3 + c) - 0.5 * c for c in range(300)], abs=1e-5)
+    assert score_wide(rows.where("key = 9"), heads, "v").count() == 0
+
+
+def test_zscore_batch_keeps_rows_without_logits(spark):
+    for k in (4, 300):
+        rows = [(i, i // 3, [float((i * 7 + j * 3) % 11) for j in range(k)]) for i in range(10)] + [(99, 0, None)]
+        df = spark.createDataFrame(rows, "key long, batch_id int, logits array<double>")
+        got = {r["key"]: r["z"] for r in fusion.zscore_batch(df, k).collect()}
+        assert len(got) == 11 and got[99] is None
+        for j in (0, k - 1):
+            x = [r[2][j] for r in rows[:3]]
+            mean = sum(x) / 3
+            sd = (sum((v - mean) ** 2 for v in x) / 3) ** 0.5
+            assert got[1][j] == pytest.approx((x[1] - mean) / (sd + 1e-6), abs=1e-9)
+
+
+def test_cell_sums_on_empty_and_wide_input(spark):
     df = spark.createDataFrame([([1, 0, 1], [1, 1, 0]), ([0, 0, 1], [0, 1, 1]), ([1, 1, 0], [0, 1, 0])],
                                "y array<int>, p array<int>")
-    a = sorted(tuple(r) for r in M.cell_sums(df, "y", "p", 3).collect())
-    b = sorted(tuple(r) for r in M.cell_sums(df, "y", "p", 3, wide_cells=1).collect())
-    assert a == b and a[0] == (0, 1, 0, 1, 2)
+    got = sorted(tuple(r) for r in M.cell_sums(df, "y", "p", 3).collect())
+    assert got == [(0, 1, 0, 1, 2), (1, 1, 2, 0, 1), (2, 1, 0, 1, 2)]
+    none = sorted(tuple(r) for r in M.cell_sums(df.limit(0), "y", "p", 3).collect())
+    assert none == [(j, 0, 0, 0, 0) for j in range(3)]
+
+
+def test_numbers_are_written_without_exponent(spark):
+    from pyspark.sql import types as T
+    vals = [1e7, 1e-4, 123456789012.5, 1e12, 0.000001, -2.5e-6, 1234.5, 0.0, 3.0]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r[0] for r in df.select(C.canon(F.col("v"), T.DoubleType())).collect()]
+    assert got == ["10000000.0", "0.0001", "123456789012.5", "1000000000000.0", "0.000001", "-0.0000025", "1234.5", "0.0", "3.0"]
+    f32 = spark.createDataFrame([(0.1,)], "v float").select(C.canon(F.col("v"), T.FloatType())).first()[0]
+    assert f32 == "0.1"
+    assert [r[0] for r in df.select(C.format_metric(F.col("v"))).collect()][6] == "1234.5000"
+
+
+def test_null_and_unknown_labels_keep_their_rows(spark):
+    from roundlearn.operators import labels as L
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, "z")], "k int, y string")
+    d = spark.createDataFrame([("y", "a", 0), ("y", "b", 1)], "label_col string, label string, id int")
+    ids = lambda u, x=df: {r["k"]: r["y_id"] for r in L.encode(x, d, "y", unseen=u).collect()}
+    assert ids("keep") == {1: 0, 2: None, 3: 1, 4: -1}
+    assert ids("skip") == {1: 0, 2: None, 3: 1}
+    assert ids("error", df.where("k < 4")) == {1: 0, 2: None, 3: 1}
+    back = L.decode(L.encode(df, d, "y", unseen="keep"), d, "y", "y_id", "label")
+    assert {r["k"]: r["label"] for r in back.collect()} == {1: "a", 2: None, 3: "b", 4: None}

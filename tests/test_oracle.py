@@ -3,25 +3,21 @@
 import pytest
 
 import __spark_entry__ as E
+from roundlearn.plans import registry
 from conftest import SF_SMALL
 from oracle_compare import compare
 
-QUERIES = E.queries()
+QUERIES = {k: f for k, f in E.queries().items() if k in registry.QUERIES}
 ORACLE = E.oracle_sql()
-# float summation order differs between the engines; this key can land one
-# 6-digit rounding step apart (see README, known issues)
-FLOAT_NOISE = {"score_stats"}
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query(spark, key):
     df = QUERIES[key](spark, SF_SMALL)
     if key not in ORACLE:
-        assert df.count() >= 0
+        assert df.count() > 0 and df.columns
         return
     ok, msg = compare(df, SF_SMALL, ORACLE[key])
-    if not ok and key in FLOAT_NOISE:
-        pytest.xfail(msg)
     assert ok, msg
 
 
