@@ -226,17 +226,20 @@ def stratified_cap(df: DataFrame, class_col: str, key: str, n: int,
     kept whole; only the single boundary bucket of each class is ranked.
     The lookup table has at most ``n`` buckets per class (each kept bucket
     holds a row) and is size-checked before it is broadcast. A class that
-    holds a third of all rows costs one map-side filter, never one task."""
+    holds a third of all rows costs one map-side filter, never one task.
+    Rows without a class are a class of their own; rows without a key come
+    first in the order of theirs."""
     d = _with_hash(df, key, seed, hex_digits, order)
-    keep = F.col(class_col).isin(list(keep_all)) if keep_all else F.lit(False)
+    keep = F.coalesce(F.col(class_col).isin(list(keep_all)), F.lit(False)) if keep_all else F.lit(False)
     # keep-all classes bypass the lookup, which therefore holds at most n
     # buckets per capped class (every kept bucket holds a row)
     off = _bucket_offsets(d.where(~keep), hex_digits, [class_col])
     look = (off.filter(F.col("_off") < F.lit(n))
                .withColumn("_whole", F.col("_off") + F.col("_n") <= F.lit(n))
-               .select(class_col, "_bk", "_off", "_whole"))
+               .select(F.col(class_col).alias("_c"), F.col("_bk").alias("_b"), "_off", "_whole"))
     look = checked_broadcast(look, max_broadcast_rows)
-    d = d.join(look, [class_col, "_bk"], "left").where(keep | F.col("_whole").isNotNull())
+    same = F.col(class_col).eqNullSafe(F.col("_c")) & F.col("_bk").eqNullSafe(F.col("_b"))
+    d = d.join(look, same, "left").drop("_c", "_b").where(keep | F.col("_whole").isNotNull())
     whole = d.where(keep | F.col("_whole"))
     w = Window.partitionBy(class_col, "_bk").orderBy("_h", key)
     edge = (d.where(~keep & ~F.col("_whole"))
@@ -248,7 +251,7 @@ def stratified_cap(df: DataFrame, class_col: str, key: str, n: int,
 def stratified_cap_report(df: DataFrame, class_col: str, n: int, keep_all: Sequence[str] = ()) -> DataFrame:
     """Per class: rows available, rows kept by ``stratified_cap`` and whether
     the class was smaller than the cap (kept whole instead of failing)."""
-    keep = F.col(class_col).isin(list(keep_all)) if keep_all else F.lit(False)
+    keep = F.coalesce(F.col(class_col).isin(list(keep_all)), F.lit(False)) if keep_all else F.lit(False)
     g = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("rows"), F.max(keep.cast("int")).alias("_k"))
     kept = F.when(F.col("_k") == 1, F.col("rows")).otherwise(F.least(F.col("rows"), F.lit(n)))
     return g.select(class_col, "rows", kept.cast("bigint").alias("kept"),

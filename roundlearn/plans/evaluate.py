@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roundlearn.operators import fusion, metrics, rounds, sampling
@@ -68,20 +68,25 @@ def evaluate_frame(spark: SparkSession, data: DataFrame, cfg_rounds: Sequence =
     """ML7: rows ``(key, y, embedding)`` -> long metric table
     ``(scope, class, class_order, metric, value)``."""
     t, heads, reg = fused_scores(spark, data, cfg_rounds, zscore, seed)
-    t = t.withColumn("loss", fusion.row_ce(F.col("z"), F.col("y_index")))
+    known = rounds.registry_rows(cfg_rounds)
+    loss = fusion.row_ce(F.col("z"), F.col("y_index"))
+    if len(heads) < len(known):
+        # a batch that holds a true class without a head has no loss (AGG21)
+        loss = F.when(F.min("y_index").over(Window.partitionBy("batch_id")) >= 0, loss)
+    t = t.withColumn("loss", loss)
     # one pass over the scored rows: K*K counts plus the loss sums ride along
     conf = (t.groupBy(F.col("y").cast("string").alias("y"), F.col("pred").cast("string").alias("pred"))
              .agg(F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss_sum"), F.count("loss").alias("loss_n")))
     # K*K rows: materialize once so every metric below reads the small table
     # instead of re-planning the scoring lineage per branch
     conf = small_local(conf)
-    labels = local_frame(spark, [(str(h["class"]), int(h["class_order"])) for h in heads],
-                                   "class string, class_order int")
+    # every registered class has its line, one without training rows too
+    labels = local_frame(spark, [(c, order) for _, _, c, order in known], "class string, class_order int")
     pc = metrics.per_class(conf, labels)
     per = metrics.long_metrics(pc.withColumn("scope", F.lit("class")), ["scope", "class", "class_order"],
                                ["precision", "recall", "f1", "support"])
-    # every prediction is a registered class, so the weighted means over the
-    # registered classes equal the open-universe ones
+    # every true and every predicted class is registered, so the weighted
+    # means over the registered classes equal the open-universe ones
     s = F.sum("support")
     wt = pc.agg(*[(F.sum(F.col(m) * F.col("support")) / s).alias(f"weighted_{m}") for m in ("precision", "recall", "f1")])
     cv = conf.agg((F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),

@@ -34,7 +34,7 @@ def fused_ctes(rounds=EMBEDDING_ROUNDS, zscore: str = "batch") -> str:
             "row": "PARTITION BY t.key", "none": None}[zscore]
     zexpr = ("t.logit" if part is None else
              f"(t.logit - avg(t.logit) OVER ({part})) / (stddev_pop(t.logit) OVER ({part}) + 1e-6)")
-    return f"""{heads_ctes(rounds)}te AS (SELECT key, y, h, embedding FROM s WHERE split = 'test' AND y IN (SELECT class FROM heads)),
+    return f"""{heads_ctes(rounds)}te AS (SELECT key, y, h, embedding FROM s WHERE split = 'test' AND y IN (SELECT class FROM reg)),
 tb AS (SELECT *, (row_number() OVER (ORDER BY h, key) - 1) // 32 AS batch_id FROM te),
 tx AS (SELECT tb.key, tb.y, tb.batch_id, CAST(u.v AS DOUBLE) AS x, u.i AS dim
        FROM tb, (SELECT unnest(tb.embedding) AS v, generate_subscripts(tb.embedding, 1) AS i) u),
@@ -48,7 +48,8 @@ pr AS (SELECT key, y, class AS pred FROM
        WHERE rn = 1),
 ls AS (SELECT key, max(z) AS m FROM zz GROUP BY key),
 lo AS (SELECT z.key, ln(sum(exp(z.z - l.m))) + l.m - max(CASE WHEN z.class = z.y THEN z.z END) AS loss
-       FROM zz z JOIN ls l ON z.key = l.key GROUP BY z.key, l.m),
+       FROM zz z JOIN ls l ON z.key = l.key
+       WHERE z.batch_id NOT IN (SELECT batch_id FROM tb WHERE y NOT IN (SELECT class FROM heads)) GROUP BY z.key, l.m),
 """
 
 
@@ -60,7 +61,7 @@ pp AS (SELECT pred AS class, sum(n) AS pp FROM conf GROUP BY pred),
 tp AS (SELECT y AS class, sum(n) AS tp FROM conf WHERE y = pred GROUP BY y),
 pc AS (SELECT h.class, h.class_order, coalesce(tp.tp, 0) AS tp, coalesce(pp.pp, 0) AS pp,
               CAST(coalesce(sup.support, 0) AS DOUBLE) AS support
-       FROM heads h LEFT JOIN sup ON h.class = sup.class LEFT JOIN pp ON h.class = pp.class
+       FROM reg h LEFT JOIN sup ON h.class = sup.class LEFT JOIN pp ON h.class = pp.class
        LEFT JOIN tp ON h.class = tp.class),
 pcm AS (SELECT *, CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS precision,
                CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,

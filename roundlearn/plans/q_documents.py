@@ -242,9 +242,10 @@ PAD_SQL = "list_slice(ids || list_transform(range(128), lambda i: 0), 1, 128)"
 @query("pad_truncate", f"""SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, array_to_string({PAD_SQL}, ',') AS input_ids
   FROM (SELECT doc_id, {TOK_SQL} AS ids FROM documents)""")
 def pad_truncate(spark, d):
-    t = _ids(spark, d)
-    return t.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                    F.array_join(C.pad_truncate(F.col("ids")), ",").alias("input_ids"))
+    t = table(spark, d, "documents").select("doc_id", C.tokens(F.col("text")).alias("toks"))
+    ids = F.transform(F.slice("toks", 1, C.MAX_TOKENS), lambda w: C.token_id(w, VOCAB))      # only the kept ones are hashed
+    return t.select("doc_id", F.size("toks").cast("bigint").alias("n_tokens"),
+                    F.array_join(C.pad_truncate(ids), ",").alias("input_ids"))
 
 
 MASK_SQL = "list_transform(range(1, 129), lambda i: CAST(i <= least(len(ids), 128) AS INTEGER))"
@@ -253,7 +254,7 @@ MASK_SQL = "list_transform(range(1, 129), lambda i: CAST(i <= least(len(ids), 12
 @query("attention_mask", f"""SELECT doc_id, CAST(list_sum({MASK_SQL}) AS BIGINT) AS mask_sum, array_to_string({MASK_SQL}, ',') AS mask
   FROM (SELECT doc_id, {TOK_SQL} AS ids FROM documents)""")
 def attention_mask(spark, d):
-    t = _ids(spark, d).withColumn("m", C.attention_mask(F.col("ids")))
+    t = table(spark, d, "documents").select("doc_id", C.attention_mask(C.tokens(F.col("text"))).alias("m"))
     return t.select("doc_id", F.aggregate("m", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"),
                     F.array_join("m", ",").alias("mask"))
 

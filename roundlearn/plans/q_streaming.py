@@ -1,5 +1,5 @@
-"""Streaming form of the rounds (STR1): the ``events`` file as a stream,
-one round per micro-batch."""
+"""Streaming form of the rounds (STR1): the ``events`` table as a stream,
+one round per micro-batch with new classes."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from roundlearn.plans.evaluate import prepare
 from roundlearn.plans.oracle_evaluate import fused_ctes
 from roundlearn.plans.registry import query
 from roundlearn.session import scratch_path
-from roundlearn.sources.tables import table
+from roundlearn.sources.tables import table, table_stream
 from roundlearn.streaming.evaluate_stream import confusion_stream
 from roundlearn.streaming.rounds_stream import run_rounds_stream
 
@@ -20,8 +20,7 @@ from roundlearn.streaming.rounds_stream import run_rounds_stream
 @query("rounds_stream", """SELECT 0 AS round, CAST(row_number() OVER (ORDER BY event_type) AS INTEGER) AS pos, event_type AS class
   FROM (SELECT DISTINCT event_type FROM events)""")
 def rounds_stream(spark, d):
-    schema = table(spark, d, "events").schema
-    return run_rounds_stream(spark, d.rstrip("/"), "events.parquet", schema, "event_type",
+    return run_rounds_stream(spark, table_stream(spark, d, "events"), "event_type",
                              scratch_path(spark, "registry"), scratch_path(spark, "stream-ckpt"))
 
 
@@ -38,10 +37,10 @@ def evaluate_stream(spark, d):
     bounds = S.split_bounds(data, "key", test=0.4)
     train = S.with_order_key(data, "key").where(S.split_label("key", bounds) == "train")
     heads = collect_heads(RD.round_heads(train, RD.registry_frame(spark, RD.EMBEDDING_ROUNDS), "y", "embedding", 9))
-    stream = (spark.readStream.schema(static.schema).option("pathGlobFilter", "embeddings.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(d.rstrip("/")))
+    stream = table_stream(spark, d, "embeddings", max_files=64)
     stream = stream.select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("y"), "embedding")
-    return confusion_stream(spark, stream, "key", "y", "embedding", heads, bounds,
+    known = [c for _, _, c, _ in RD.registry_rows(RD.EMBEDDING_ROUNDS)]
+    return confusion_stream(spark, stream, "key", "y", "embedding", heads, known, bounds,
                             scratch_path(spark, "stream-confusion"), scratch_path(spark, "stream-eval-ckpt"))
 
 
@@ -52,14 +51,10 @@ def evaluate_stream(spark, d):
 def rounds_stream_heads(spark, d):
     """The round stream also fits each round's heads on that micro-batch's
     rows of the new classes (features value/100, props.k/100)."""
-    schema = table(spark, d, "events").schema
-
-    def prepare(s):
-        return s.select("event_type", F.array(F.col("value") / 100.0,
-                                              F.get_json_object("props", "$.k").cast("double") / 100.0).alias("vec"))
-
+    stream = table_stream(spark, d, "events").select("event_type", F.array(
+        F.col("value") / 100.0, F.get_json_object("props", "$.k").cast("double") / 100.0).alias("vec"))
     heads_path = scratch_path(spark, "stream-heads")
-    run_rounds_stream(spark, d.rstrip("/"), "events.parquet", schema, "event_type", scratch_path(spark, "registry"),
-                      scratch_path(spark, "stream-ckpt"), prepare=prepare, vec_col="vec", heads_path=heads_path)
+    run_rounds_stream(spark, stream, "event_type", scratch_path(spark, "registry"),
+                      scratch_path(spark, "stream-ckpt"), vec_col="vec", heads_path=heads_path)
     h = spark.read.parquet(heads_path)
     return h.select(F.col("round").cast("int"), "class", F.col("n_train").cast("bigint"), F.round("bias", 6).alias("bias"))

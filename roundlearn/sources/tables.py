@@ -12,3 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; projections and filters applied later are pushed
     into the scan by the optimizer."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """The same table as a file stream, of one file or of a folder of part
+    files (the braces make the path a pattern: the file source takes a plain
+    path as a folder only)."""
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{{{name}}}.parquet")

@@ -7,7 +7,9 @@ The split boundaries and the heads come from batch jobs over the training
 data; the stream itself only filters, projects and aggregates, so its
 state is K*K counts whatever the input rate. The sink is ``foreachBatch``
 overwriting a table with the complete counts (idempotent on replay), with
-the query's checkpoint in the shared folder.
+the query's checkpoint in the shared folder. Logits are compared as they are:
+z-scores need whole batches or global statistics, which a stream has not.
+``known``: the registered classes, whose test rows are scored.
 """
 
 from __future__ import annotations
@@ -21,9 +23,8 @@ from roundlearn.operators.sampling import split_label, with_order_key
 
 
 def confusion_stream(spark: SparkSession, stream: DataFrame, key: str, class_col: str, vec_col: str,
-                     heads: list, bounds: tuple, out_path: str, checkpoint: str, seed=42) -> DataFrame:
+                     heads: list, known: list[str], bounds: tuple, out_path: str, checkpoint: str, seed=42) -> DataFrame:
     names = class_names(heads)
-    known = [str(h["class"]) for h in heads]
     rows = with_order_key(stream, key, seed)
     rows = rows.where((split_label(key, bounds) == "test") & F.col(class_col).cast("string").isin(known))
     rows = score_wide(rows.select(F.col(class_col).cast("string").alias("y"), vec_col), heads, vec_col)

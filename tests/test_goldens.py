@@ -154,3 +154,29 @@ def test_null_and_unknown_labels_keep_their_rows(spark):
     assert ids("error", df.where("k < 4")) == {1: 0, 2: None, 3: 1}
     back = L.decode(L.encode(df, d, "y", unseen="keep"), d, "y", "y_id", "label")
     assert {r["k"]: r["label"] for r in back.collect()} == {1: "a", 2: None, 3: "b", 4: None}
+
+
+def test_stratified_cap_keeps_rows_without_class(spark):
+    from roundlearn.operators import sampling as S
+    rows = [(i, "a" if i % 2 else None) for i in range(20)] + [(None, "k")]
+    df = spark.createDataFrame(rows, "id long, c string")
+    for keep, n in (((), [3, 3, 1]), (("a",), [3, 10, 1])):
+        got = S.stratified_cap(df, "c", "id", 3, keep_all=keep).groupBy("c").count().collect()
+        assert {r["c"]: r["count"] for r in got} == dict(zip([None, "a", "k"], n, strict=True))
+
+
+def test_evaluation_counts_a_registered_class_without_training_rows(spark):
+    from roundlearn.operators import sampling as S
+    from roundlearn.plans.evaluate import evaluate_frame
+    keys = spark.range(200).select(F.col("id").alias("key"))
+    split = {r["key"]: r["split"] for r in S.split(keys, "key", test=0.4, seed=42).collect()}
+    rows = []
+    for k, part in sorted(split.items()):
+        y = "late" if part == "test" and k % 9 == 0 else ("a", "b")[k % 2]
+        rows.append((k, y, [1.0, 0.0] if y == "a" else [0.0, 1.0]))
+    data = spark.createDataFrame(rows, "key long, y string, embedding array<double>")
+    got = {(r["scope"], r["class"], r["metric"]): r["value"]
+           for r in evaluate_frame(spark, data, [(0, ["a", "b"]), (1, ["late"])], zscore="none").collect()}
+    late = sum(y == "late" for _, y, _ in rows)
+    assert late and got["class", "late", "support"] == late and got["class", "late", "recall"] == 0
+    assert got["overall", None, "weighted_recall"] == got["overall", None, "accuracy"] < 1

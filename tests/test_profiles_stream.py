@@ -55,11 +55,10 @@ def test_ton_profile_rename_remap(spark):
 
 def test_round_stream_matches_batch_and_replay_is_idempotent(spark):
     from roundlearn.session import scratch_path
-    from roundlearn.sources.tables import table
+    from roundlearn.sources.tables import table, table_stream
     from roundlearn.streaming.rounds_stream import register_batch, run_rounds_stream
-    schema = table(spark, SF_SMALL, "events").schema
     reg_path = scratch_path(spark, "t-registry")
-    out = run_rounds_stream(spark, SF_SMALL, "events.parquet", schema, "event_type", reg_path,
+    out = run_rounds_stream(spark, table_stream(spark, SF_SMALL, "events"), "event_type", reg_path,
                             scratch_path(spark, "t-ckpt"))
     first = sorted(tuple(r) for r in out.collect())
     expect = sorted((0, i + 1, c) for i, c in enumerate(sorted(
@@ -73,7 +72,7 @@ def test_round_stream_matches_batch_and_replay_is_idempotent(spark):
 def test_stream_heads_equal_batch_heads_and_replay(spark):
     from roundlearn.operators.heads import centroid_heads
     from roundlearn.session import scratch_path
-    from roundlearn.sources.tables import table
+    from roundlearn.sources.tables import table, table_stream
     from roundlearn.streaming.rounds_stream import register_batch, run_rounds_stream
     ev = table(spark, SF_SMALL, "events")
 
@@ -82,8 +81,8 @@ def test_stream_heads_equal_batch_heads_and_replay(spark):
                                               F.get_json_object("props", "$.k").cast("double") / 100.0).alias("vec"))
 
     reg, heads = scratch_path(spark, "t-reg"), scratch_path(spark, "t-heads")
-    run_rounds_stream(spark, SF_SMALL, "events.parquet", ev.schema, "event_type", reg, scratch_path(spark, "t-ck"),
-                      prepare=prep, vec_col="vec", heads_path=heads)
+    run_rounds_stream(spark, prep(table_stream(spark, SF_SMALL, "events")), "event_type", reg,
+                      scratch_path(spark, "t-ck"), vec_col="vec", heads_path=heads)
     got = {r["class"]: (r["n_train"], r["bias"]) for r in spark.read.parquet(heads).collect()}
     want = {r["class"]: (r["n_train"], r["bias"]) for r in centroid_heads(prep(ev), "event_type", "vec").collect()}
     assert got.keys() == want.keys()
@@ -91,3 +90,23 @@ def test_stream_heads_equal_batch_heads_and_replay(spark):
     register_batch(prep(ev), 0, reg, "event_type", "vec", heads)          # replay batch 0
     again = {r["class"]: (r["n_train"], r["bias"]) for r in spark.read.parquet(heads).collect()}
     assert again.keys() == got.keys() and all(abs(again[c][1] - got[c][1]) < 1e-12 for c in got)
+
+
+def test_round_stream_over_a_folder_of_part_files(spark):
+    from roundlearn.session import scratch_path
+    from roundlearn.sources.tables import table_stream
+    from roundlearn.streaming.rounds_stream import register_batch, run_rounds_stream
+    folder, reg = scratch_path(spark, "t-folder"), scratch_path(spark, "t-reg")
+
+    def part(classes):
+        return spark.createDataFrame([(c,) for c in classes], "event_type string").coalesce(1)
+
+    batches = [["b", "a", None], ["a", "b"], ["c", "a"]]
+    for classes in batches:
+        part(classes).write.mode("append").parquet(f"{folder}/events.parquet")
+        run_rounds_stream(spark, table_stream(spark, folder, "events", max_files=1), "event_type", reg, f"{folder}/ckpt")
+    want = [(0, 1, "a"), (0, 2, "b"), (1, 1, "c")]          # the second batch uses no round number
+    assert sorted(tuple(r) for r in spark.read.parquet(reg).select("round", "pos", "class").collect()) == want
+    for i, classes in enumerate(batches):
+        register_batch(part(classes), i, reg, "event_type")                  # replay
+    assert sorted(tuple(r) for r in spark.read.parquet(reg).select("round", "pos", "class").collect()) == want
