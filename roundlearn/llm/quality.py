@@ -228,14 +228,24 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """The kept documents with all their columns. The cutoffs are fitted in a
     first pass over the labelled documents; the second pass is a filter that
     moves no text."""
-    own = df.select(F.col(id_col).alias("id"), _stratum(stratum_col).alias("stratum"), F.col(text_col).alias("t"))
-    f = own.withColumn("f", features(F.col("t"))).select("id", "stratum", "f.*")
-    counts = {c: F.col(c) for c in f.columns}
-    rows = f.select("id", "stratum", base_failed(counts).alias("base_failed"),
-                    *[v.alias(r) for r, v in rule_values(counts).items()])
+    def once(text: Column, fn) -> Column:
+        """``fn`` of the features of a text as one expression, which the
+        optimizer cannot take apart and evaluate several times."""
+        return F.transform(F.array(features(text)), fn)[0]
+
+    def passing(f: Column) -> Column:
+        return F.when(~base_failed(f), F.struct(*[v.alias(r) for r, v in rule_values(f).items()]))
+
+    # a generator is evaluated once a row, whatever later steps filter on
+    own = df.select(F.col(id_col).alias("id"), _stratum(stratum_col).alias("stratum"),
+                    F.explode_outer(F.array(once(F.col(text_col), passing))).alias("v"))
+    rows = own.select("id", "stratum", F.col("v").isNull().alias("base_failed"), "v.*")
     table = rule_table(rows, labels, label_id, label_col, alpha, delta)
-    st, fs, cut = (free_name(df.columns, x) for x in ("stratum__", "features__", "cutoffs__"))
-    out = df.withColumn(st, _stratum(stratum_col)).withColumn(fs, features(F.col(text_col)))
-    out = _with_cutoffs(out, table, st, cut)
-    n_broken = F.coalesce(F.size(_broken(rule_values(F.col(fs)), F.col(cut))), F.lit(0))
-    return out.where(~base_failed(F.col(fs)) & (n_broken == 0)).select(*[F.col(f"`{c}`") for c in df.columns])
+    st, cut = (free_name(df.columns, x) for x in ("stratum__", "cutoffs__"))
+    out = _with_cutoffs(df.withColumn(st, _stratum(stratum_col)), table, st, cut)
+
+    def good(f: Column) -> Column:
+        broken = F.coalesce(F.size(_broken(rule_values(f), F.col(cut))), F.lit(0))
+        return ~base_failed(f) & (broken == 0)
+
+    return out.where(once(F.col(text_col), good)).select(*[F.col(f"`{c}`") for c in df.columns])
