@@ -414,6 +414,15 @@ def _signature_rows(src: DataFrame, hot, words: int) -> DataFrame:
     return src.mapInArrow(run, "sig long, k long")
 
 
+def _members(src: DataFrame, hot, words: int) -> DataFrame:
+    """(sig, k) of the signatures that two nodes or more have, written. The
+    frames of the signatures, whose two shuffles are the largest of the join,
+    live no longer than this call, so Spark can drop those files after it."""
+    sigs = _signature_rows(src, hot, words)
+    shared = sigs.groupBy("sig").agg(F.min("k").alias("hub"), F.max("k").alias("top")).where("hub <> top")
+    return written(sigs.join(shared.select("sig"), "sig").distinct(), "members")
+
+
 def _wanted(keys: DataFrame) -> np.ndarray:
     """A bitmap of fixed size over the low bits of the wanted keys: a filter
     that lets some others pass, never one too few."""
@@ -545,9 +554,7 @@ def join_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     nodes = written(survey.where("n > 0").groupBy("k", "fp").agg(
         F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id")), "nodes")
     hot = src.sparkSession.sparkContext.broadcast(_hot(survey))
-    sigs = _signature_rows(src, hot, words)
-    shared = sigs.groupBy("sig").agg(F.min("k").alias("hub"), F.max("k").alias("top")).where("hub <> top")
-    members = written(sigs.join(shared.select("sig"), "sig").distinct(), "members")
+    members = _members(src, hot, words)
     # first every node with the hubs it shares most signatures with
     stars = written(_stars(members), "stars")
     near = _verify(_possible(stars, nodes), src, words)
