@@ -1,26 +1,26 @@
 """Trainable heads and cross-dataset evaluation.
 
-Centroid heads are exact (SQL-checkable); MLlib logistic heads are the
-trainable variant and are checked on rows only (an iterative optimizer has
-no SQL twin)."""
+Centroid heads have a closed form; the trainable heads take a fixed number of
+full-batch gradient steps (operators/gradient.py), so both have an exact SQL
+twin."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from roundlearn.operators import fusion
+from roundlearn.operators import fusion, gradient
 from roundlearn.operators import labels as L
 from roundlearn.operators import metrics as M
 from roundlearn.operators import rounds as RD
 from roundlearn.operators import sampling as S
-from roundlearn.operators.heads import centroid_heads, class_names, collect_heads, logistic_head, score_wide
-from roundlearn.plans.common import doc_labels, events, r6
+from roundlearn.operators.gradient import gradient_sql, predictions_sql
+from roundlearn.operators.heads import centroid_heads, class_names, collect_heads, score_wide
+from roundlearn.plans.common import DOC_LABELS_SQL, doc_labels, events, r6
 from roundlearn.plans.oracle_evaluate import heads_ctes
 from roundlearn.plans.q_events import REMAP, remapped
 from roundlearn.plans.q_io import SPLIT_TS
 from roundlearn.plans.registry import query
-from roundlearn.plans.sqlfrag import prf_ctes
+from roundlearn.plans.sqlfrag import prf_ctes, rank_sql, split_case_sql
 from roundlearn.plans.sqlfrag import r6 as s6
 from roundlearn.session import checked_broadcast, local_frame, materialize, scratch_path, small_local
 from roundlearn.sources import sinks
@@ -123,83 +123,204 @@ def rounds_loop(spark, d):
     return g.select("round", "class", F.col("n_train").cast("bigint"), r6(F.col("bias")).alias("bias"))
 
 
-# ------------------------------------------------------ MLlib (rows only)
+# ------------------------------------------------------ trainable heads
 
-@query("base_head_logreg")
+STEPS = 10            # gradient steps of every trainable head below
+
+
+def _prf_cells(conf, keys):
+    """(keys, class, tp, pp, support, precision, recall, f1) from counts
+    (keys, y, pred, n): every true and every predicted class has its row."""
+    zero, n = F.lit(0).cast("bigint"), F.col("n")
+    hit = F.when(F.col("y") == F.col("pred"), n).otherwise(zero)
+    both = F.array(F.struct(F.col("y").alias("class"), n.alias("sup"), hit.alias("hit"), zero.alias("got")),
+                   F.struct(F.col("pred").alias("class"), zero.alias("sup"), zero.alias("hit"), n.alias("got")))
+    c = (conf.select(*keys, F.explode(both).alias("c")).groupBy(*keys, F.col("c.class").alias("class"))
+         .agg(F.sum("c.hit").alias("tp"), F.sum("c.got").alias("pp"), F.sum("c.sup").alias("support")))
+    ratio = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))      # noqa: E731
+    tp, pp, sup = F.col("tp"), F.col("pp"), F.col("support")
+    return c.withColumns({"precision": ratio(tp, pp), "recall": ratio(tp, sup), "f1": ratio(tp * 2, pp + sup)})
+
+
+def _weighted(cells, keys):
+    m = lambda c: (F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"weighted_{c}")      # noqa: E731
+    return cells.groupBy(*keys).agg((F.sum("tp") / F.sum("support")).alias("accuracy"), *[m(c) for c in ("precision", "recall", "f1")])
+
+
+def _cells_sql(src, keys):
+    """The same cells over predictions ``src`` (keys, y, pred)."""
+    return f"""(SELECT {keys}, class, tp, pp, support, CASE WHEN pp > 0 THEN tp / pp ELSE 0.0 END AS precision,
+   CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, CASE WHEN pp + support > 0 THEN 2.0 * tp / (pp + support) ELSE 0.0 END AS f1
+  FROM (SELECT {keys}, class, CAST(sum(tp) AS DOUBLE) AS tp, CAST(sum(pp) AS DOUBLE) AS pp, CAST(sum(sup) AS DOUBLE) AS support FROM
+    (SELECT {keys}, y AS class, 1 AS sup, CAST(y = pred AS INTEGER) AS tp, 0 AS pp FROM {src}
+     UNION ALL SELECT {keys}, pred, 0, 0, 1 FROM {src}) GROUP BY {keys}, class))"""
+
+
+def _weighted_sql(src, keys):
+    w = ", ".join(f"sum({m} * support) / sum(support) AS weighted_{m}" for m in ("precision", "recall", "f1"))
+    return f"(SELECT {keys}, sum(tp) / sum(support) AS accuracy, {w} FROM {_cells_sql(src, keys)} GROUP BY {keys})"
+
+
+BASE_TRAIN = """SELECT vec_id AS id, split, label AS y FROM (SELECT e.vec_id, e.label, s.split FROM embeddings e JOIN s ON e.vec_id = s.key)
+  WHERE label IN (0, 1, 2)"""
+BASE_DIMS = """SELECT vec_id AS id, u.j, CAST(u.v AS DOUBLE) AS v FROM embeddings, (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS j) u
+  WHERE label IN (0, 1, 2) UNION ALL SELECT vec_id, 0, 1.0 FROM embeddings WHERE label IN (0, 1, 2)"""
+
+
+@query("base_head_logreg", f"""WITH {heads_ctes()} {gradient_sql(BASE_TRAIN, BASE_DIMS, "3", STEPS)}
+  SELECT id AS vec_id, CAST(y AS INTEGER) AS y, CAST(arg_max(k, (l, -k)) AS INTEGER) AS pred, {s6('max(l)')} AS logit
+  FROM p_{STEPS} WHERE split = 'test' GROUP BY id, y""")
 def base_head_logreg(spark, d):
-    """ML1 trainable: multinomial logistic head on the round-0 classes;
-    predictions on the test rows of those classes."""
+    """ML1 trainable: multinomial logistic head on the round-0 classes, saved
+    to the shared folder and read back (SNK1/SRC4); predictions on the test
+    rows of those classes."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "label", "embedding")
-    s = S.split(e, "key", test=0.4)
-    base = s.where(F.col("label").isin(0, 1, 2))
-    model = logistic_head(base.where(F.col("split") == "train"), "label", "embedding", max_iter=30)
-    # SNK1/SRC4 for a trainable head: saved to the shared folder, scored by the reloaded model
-    from pyspark.ml.classification import LogisticRegressionModel
-    path = scratch_path(spark, "logreg-round0")
-    model.write().overwrite().save(path)
-    model = LogisticRegressionModel.load(path)
-    t = base.where(F.col("split") == "test").select("key", F.col("label").cast("double").alias("label"),
-                                                    array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    p = model.transform(t)
-    return p.select(F.col("key").alias("vec_id"), F.col("label").cast("int").alias("y"),
-                    F.col("prediction").cast("int").alias("pred"), vector_to_array("rawPrediction").alias("logits"))
+    base = materialize(S.split(e, "key", test=0.4).where(F.col("label").isin(0, 1, 2)))
+    head = gradient.fit(base, "label", "embedding", 3, STEPS)
+    path = scratch_path(spark, "softmax-round0")
+    sinks.save_heads(gradient.to_frame(spark, head, 0), path)
+    head = gradient.from_rows(sinks.load_heads(spark, path).where(F.col("round") == 0))
+    p = gradient.predict(base.where(F.col("split") == "test"), head, "embedding", ["key", "label"])
+    return p.select(F.col("key").alias("vec_id"), F.col("label").cast("int").alias("y"), "pred",
+                    r6(F.array_max("logits")).alias("logit"))
 
 
 def _doc_features(spark, d):
+    """One float for the length and a one-hot block as wide as the fitted
+    language dictionary."""
     dl = doc_labels(spark, d)
-    return (dl.withColumn("f", F.array(F.log1p(F.col("n_chars").cast("double")),
-                                      *[(F.col("lang") == l).cast("double") for l in ("de", "en", "es", "fr")]))
-              .select("doc_id", "quality", "toxic", "f"))
+    langs = [r["label"] for r in L.fit_dictionary(dl, ["lang"]).orderBy("id").collect()]      # class-sized
+    return (dl.withColumn("f", F.array(F.log1p(F.col("n_chars").cast("double")) / 10.0,
+                                      *[F.coalesce((F.col("lang") == l).cast("double"), F.lit(0.0)) for l in langs]))
+              .select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"), "f"))
+
+
+_ML_DIMS = f"""SELECT doc_id AS id, 'bias' AS j, CAST(1.0 AS DOUBLE) AS v FROM {DOC_LABELS_SQL}
+  UNION ALL SELECT doc_id, 'length', ln(1.0 + n_chars) / 10.0 FROM {DOC_LABELS_SQL}
+  UNION ALL SELECT doc_id, 'lang:' || lang, 1.0 FROM {DOC_LABELS_SQL}"""
+
 
+def _ml_rows(label):
+    split = split_case_sql(rank_sql("doc_id"), "count(*) OVER ()", 0.4)
+    return f"SELECT doc_id AS id, {split} AS split, CAST({label} AS INTEGER) AS y FROM {DOC_LABELS_SQL}"
 
-@query("multilabel_heads")
+
+def _ml_out(label):
+    src = predictions_sql(f"p{label}_{STEPS}", "split = 'test'")
+    return f"""SELECT '{label}' AS label_col, {s6('w.accuracy')} AS accuracy, {s6('c.precision')} AS precision, {s6('c.recall')} AS recall,
+  {s6('c.f1')} AS f1, {s6(f"(SELECT avg(loss) FROM {src})")} AS loss
+  FROM {_weighted_sql(src, 'split')} w JOIN (SELECT * FROM {_cells_sql(src, 'split')} WHERE class = 1) c ON w.split = c.split"""
+
+
+@query("multilabel_heads", f"""WITH {", ".join(gradient_sql(_ml_rows(c), _ML_DIMS, "2", STEPS, name=c) for c in ("quality", "toxic"))}
+  {_ml_out("quality")} UNION ALL {_ml_out("toxic")}""")
 def multilabel_heads(spark, d):
-    """ML3: one binary logistic head per label column over the same cached
-    features; per-column binary metrics."""
-    f = materialize(_doc_features(spark, d))
-    s = S.split(f, "doc_id", test=0.4)
+    """ML3: one binary logistic head per label column over the same stored
+    features; per-column binary metrics and loss on the test rows."""
+    s = materialize(S.split(_doc_features(spark, d), "doc_id", test=0.4))
     out = None
-    for col in ("quality", "toxic"):
-        m = logistic_head(s.where(F.col("split") == "train"), col, "f", family="binomial", max_iter=30)
-        t = s.where(F.col("split") == "test").select(F.col(col).cast("double").alias("label"),
-                                                     array_to_vector(F.col("f")).alias("features"))
-        p = m.transform(t).select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred"))
-        r = M.binary(p).select(F.lit(col).alias("label_col"), *[r6(F.col(x)).alias(x) for x in ("accuracy", "precision", "recall", "f1")])
+    for label in ("quality", "toxic"):
+        head = gradient.fit(s, label, "f", 2, STEPS)
+        conf = local_frame(spark, [("test", *c) for c in gradient.confusion_rows(head, "test")], CONF_SCHEMA)
+        cells = _prf_cells(conf, ["split"])
+        r = (_weighted(cells, ["split"]).join(cells.where("class = '1'").select("split", "precision", "recall", "f1"), "split")
+             .select(F.lit(label).alias("label_col"), *[r6(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
+                     r6(F.lit(head.history[-1]["test"][0])).alias("loss")))
         out = r if out is None else out.unionByName(r)
     return out
 
 
-@query("dual_head")
+CONF_SCHEMA = "split string, y string, pred string, n bigint"
+_EV_DIMS = """SELECT event_id AS id, u.j, u.v FROM events, (SELECT unnest([1.0, value / 100.0,
+  CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100.0]) AS v, unnest([0, 1, 2]) AS j) u"""
+_EV_TYPES = "(SELECT event_type AS t, row_number() OVER (ORDER BY event_type) - 1 AS i FROM (SELECT DISTINCT event_type FROM events))"
+
+
+def _ev_rows(label, val=None):
+    split = split_case_sql(rank_sql("event_id"), "count(*) OVER ()", 0.4, val)
+    return f"SELECT event_id AS id, {split} AS split, CAST({label} AS INTEGER) AS y FROM events JOIN {_EV_TYPES} ON event_type = t"
+
+
+def _dual_out():
+    b, m = (predictions_sql(f"p{x}_{STEPS}", "split = 'test'") for x in ("bin", "mul"))
+    long = lambda head, cls, src, cols: (      # noqa: E731
+        f"SELECT '{head}' AS head, {cls} AS class, metric, {s6('value')} AS value FROM (SELECT * FROM {src}) UNPIVOT (value FOR metric IN ({cols}))")
+    macro = f"(SELECT avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM {_cells_sql(m, 'split')})"
+    loss = (f"(SELECT (SELECT avg(loss) FROM {b}) AS loss_binary, (SELECT avg(loss) FROM {m}) AS loss_multi, "
+            f"(SELECT avg(loss) FROM {b}) + (SELECT avg(loss) FROM {m}) AS loss_joint)")
+    w = "accuracy, weighted_precision, weighted_recall, weighted_f1"
+    named = f"(SELECT c.precision, c.recall, c.f1, t.t FROM {_cells_sql(m, 'split')} c JOIN {_EV_TYPES} t ON c.class = t.i)"
+    return " UNION ALL ".join([
+        long("binary", "'1'", f"(SELECT precision, recall, f1 FROM {_cells_sql(b, 'split')} WHERE class = 1)", "precision, recall, f1"),
+        long("binary", "NULL", _weighted_sql(b, "split"), w), long("multi", "t", named, "precision, recall, f1"),
+        long("multi", "NULL", _weighted_sql(m, "split"), w), long("multi", "NULL", macro, "macro_precision, macro_recall, macro_f1"),
+        long("joint", "NULL", loss, "loss_binary, loss_multi, loss_joint")])
+
+
+@query("dual_head", f"""WITH {gradient_sql(_ev_rows("event_type = 'error'"), _EV_DIMS, "2", STEPS, name="bin")},
+  {gradient_sql(_ev_rows("i"), _EV_DIMS, f"(SELECT count(*) FROM {_EV_TYPES})", STEPS, name="mul")} {_dual_out()}""")
 def dual_head(spark, d):
     """ML4: a binary head (error or not) and a multi-class head (event type)
-    over the same features; one report: binary P/R/F1 and weighted P/R/F1."""
+    over the same features. The features are frozen, so each head's part of
+    the summed loss has its own gradient. One report on the test rows: the
+    positive class, every event type, weighted and macro P/R/F1, both losses
+    and their sum."""
     e = _vec(events(spark, d)).withColumn("is_error", (F.col("event_type") == "error").cast("int"))
     dic = L.fit_dictionary(e, ["event_type"])
-    e = materialize(L.encode(e, dic, "event_type", "type_id").select("event_id", "is_error", "type_id", "vec"))
-    s = S.split(e, "event_id", test=0.4)
-    tr, te = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
-    mb = logistic_head(tr, "is_error", "vec", family="binomial", max_iter=30)
-    mm = logistic_head(tr, "type_id", "vec", family="multinomial", max_iter=30)
-    feats = array_to_vector(F.col("vec")).alias("features")
-    pb = mb.transform(te.select(F.col("is_error").cast("double").alias("label"), feats))
-    pm = mm.transform(te.select(F.col("type_id").cast("double").alias("label"), feats))
-    b = M.binary(pb.select(F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("pred")))
-    w = M.weighted(M.per_class(M.confusion(pm.select(F.col("label").cast("int").alias("y"),
-                                                     F.col("prediction").cast("int").alias("pred")))))
-    rb = M.long_metrics(b.withColumn("head", F.lit("binary")), ["head"], ["accuracy", "precision", "recall", "f1"])
-    rw = M.long_metrics(w.withColumn("head", F.lit("multi_weighted")), ["head"], ["precision", "recall", "f1"])
-    return rb.unionByName(rw).withColumn("value", r6(F.col("value")))
-
-
-@query("epoch_metrics")
+    e = L.encode(e, dic, "event_type", "type_id", unseen="keep")       # fitted on these rows: nothing is unseen
+    s = materialize(S.split(e.select("event_id", "is_error", "type_id", "vec"), "event_id", test=0.4))
+    names = [r["label"] for r in dic.orderBy("id").collect()]          # class-sized
+    out, losses = [], {}
+    for head_name, label, k in (("binary", "is_error", 2), ("multi", "type_id", len(names))):
+        head = gradient.fit(s, label, "vec", k, STEPS)
+        conf = local_frame(spark, [("test", *c) for c in gradient.confusion_rows(head, "test")], CONF_SCHEMA)
+        cells = _prf_cells(conf, ["split"])
+        per = cells.where("class = '1'") if head_name == "binary" else cells.withColumn(
+            "class", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("class").cast("int") + 1))
+        lines = [M.long_metrics(per, ["class"], ["precision", "recall", "f1"]),
+                 _no_class(M.long_metrics(_weighted(cells, ["split"]), [], ["accuracy", "weighted_precision", "weighted_recall", "weighted_f1"]))]
+        if head_name == "multi":
+            macro = cells.agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+            lines.append(_no_class(M.long_metrics(macro, [], ["macro_precision", "macro_recall", "macro_f1"])))
+        out += [x.withColumn("head", F.lit(head_name)) for x in lines]
+        losses[f"loss_{head_name}"] = head.history[-1]["test"][0]
+    losses["loss_joint"] = sum(losses.values())
+    out.append(local_frame(spark, [("joint", None, m, v) for m, v in losses.items()], "head string, class string, metric string, value double"))
+    all_rows = out[0].select("head", "class", "metric", "value")
+    for x in out[1:]:
+        all_rows = all_rows.unionByName(x.select("head", "class", "metric", "value"))
+    return all_rows.withColumn("value", r6(F.col("value")))
+
+
+def _no_class(long):
+    return long.withColumn("class", F.lit(None).cast("string"))
+
+
+def _epoch_sql():
+    preds = "(" + " UNION ALL ".join(f"SELECT {t} AS epoch, split, y, pred, loss FROM {predictions_sql(f'p_{t}')}" for t in range(STEPS + 1)) + ")"
+    return f"""WITH {gradient_sql(_ev_rows("i", 0.2), _EV_DIMS, f"(SELECT count(*) FROM {_EV_TYPES})", STEPS)},
+  pe AS MATERIALIZED {preds}
+  SELECT 'run0' AS run, CAST(epoch AS INTEGER) AS epoch, split, metric, {s6('value')} AS value FROM
+  (SELECT w.*, l.loss FROM {_weighted_sql('pe', 'epoch, split')} w JOIN (SELECT epoch, split, avg(loss) AS loss FROM pe GROUP BY ALL) l
+   ON w.epoch = l.epoch AND w.split = l.split)
+  UNPIVOT (value FOR metric IN (loss, accuracy, weighted_precision, weighted_recall, weighted_f1))"""
+
+
+@query("epoch_metrics", _epoch_sql())
 def epoch_metrics(spark, d):
-    """ML12: the objective per optimizer iteration of the multi-class head,
-    as a history table ``(run, epoch, split, metric, value)``."""
+    """ML12: loss, accuracy and weighted P/R/F1 of the multi-class head on
+    each split before the first step (epoch 0) and after every full-batch
+    step, as a history table ``(run, epoch, split, metric, value)``."""
     e = _vec(events(spark, d))
     dic = L.fit_dictionary(e, ["event_type"])
-    e = L.encode(e, dic, "event_type", "type_id")
-    tr = S.split(e, "event_id", test=0.4).where(F.col("split") == "train")
-    m = logistic_head(tr, "type_id", "vec", max_iter=15)
-    hist = m.summary.objectiveHistory
-    rows = [("run0", i, "train", "loss", float(v)) for i, v in enumerate(hist)]
-    return local_frame(spark, rows, "run string, epoch int, split string, metric string, value double")
+    e = L.encode(e, dic, "event_type", "type_id", unseen="keep")       # fitted on these rows: nothing is unseen
+    s = materialize(S.split(e.select("event_id", "type_id", "vec"), "event_id", test=0.4, val=0.2))
+    head = gradient.fit(s, "type_id", "vec", dic.count(), STEPS)
+    seen = [(t, split, loss, y, p, n) for t, at in enumerate(head.history) for split, (loss, cells) in at.items()
+            for (y, p), n in cells.items()]                            # epochs x splits x classes^2 counts
+    conf = local_frame(spark, [(t, sp, loss, str(y), str(p), int(n)) for t, sp, loss, y, p, n in seen],
+                       "epoch int, split string, loss double, y string, pred string, n bigint")
+    keys = ["epoch", "split", "loss"]
+    w = _weighted(_prf_cells(conf, keys), keys).withColumn("run", F.lit("run0"))
+    return M.long_metrics(w, ["run", "epoch", "split"], ["loss", "accuracy", "weighted_precision", "weighted_recall", "weighted_f1"]).withColumn(
+        "value", r6(F.col("value")))
