@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roundlearn.functions.columns import col, multi_hot
-from roundlearn.session import checked_broadcast, small_local
+from roundlearn.operators.sampling import ordered_rank
+from roundlearn.session import checked_broadcast, is_local, materialize, small_local
 
 DICT_COLS = ("label_col", "label", "id")
 
@@ -43,9 +44,14 @@ def fit_dictionary(df: DataFrame, label_cols: Sequence[str], keep: bool = True)
 
     d = (df.select(F.explode(F.array(*[key(c) for c in label_cols])).alias("p")).select("p.*")
            .where(F.col("label").isNotNull()).distinct())
-    w = Window.partitionBy("label_col").orderBy("_i", "_d", "label")     # distinct labels of one column
-    out = d.select("label_col", "label", (F.row_number().over(w) - 1).cast("int").alias("id"))
-    return small_local(out) if keep else out
+    d = small_local(d)
+    if is_local(d):                 # a few thousand labels at most, counted: one small task ranks them
+        w = Window.partitionBy("label_col").orderBy("_i", "_d", "label")
+        out = d.select("label_col", "label", (F.row_number().over(w) - 1).cast("int").alias("id"))
+        return small_local(out) if keep else out
+    ranked = ordered_rank(d, ["_i", "_d", "label"], "_r", ["label_col"])
+    out = ranked.select("label_col", "label", (F.col("_r") - 1).cast("int").alias("id"))
+    return materialize(out) if keep else out
 
 
 def dictionary_for(dictionary: DataFrame, label_col: str) -> DataFrame:

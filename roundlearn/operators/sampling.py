@@ -83,6 +83,21 @@ def hash_rank(df: DataFrame, key: str, seed=DEFAULT_SEED, rank_col: str = "rank"
     return d.select(*df.columns, *extra, (F.col("_off") + F.row_number().over(w)).cast("bigint").alias(rank_col))
 
 
+def ordered_rank(df: DataFrame, order: Sequence[str], rank_col: str, part: Sequence[str] = ()) -> DataFrame:
+    """1-based position of every row in the order of ``order`` (within each
+    value of ``part``), with no window over a whole part: rows go to range
+    partitions once, each partition's count per part gives its offset, and
+    ``row_number`` runs inside a partition. Ties take any order."""
+    pid, off = "_pid", "_off"
+    ranged = materialize(df.repartitionByRange(*part, *order).withColumn(pid, F.spark_partition_id()))
+    counts = ranged.groupBy(*part, pid).agg(F.count(F.lit(1)).alias("_n"))       # at most parts x partitions rows
+    before = Window.partitionBy(*part).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn(off, F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*part, pid, off)
+    inside = Window.partitionBy(*part, pid).orderBy(*order)
+    return (ranged.join(checked_broadcast(offsets), [*part, pid])
+            .select(*df.columns, (F.col(off) + F.row_number().over(inside)).alias(rank_col)))
+
+
 def batch_id(rank: Column, batch_size: int = 32) -> Column:
     """``floor((rank-1)/B)`` (WIN3)."""
     return ((rank - F.lit(1)) / F.lit(batch_size)).cast("bigint").cast("int")
@@ -215,12 +230,20 @@ def _straddles(positions: list) -> Column:
 
 # ------------------------------------------------------- stratified cap
 
-def stratified_cap(df: DataFrame, class_col: str, key: str, n: int,
+def _cap_of(class_col: str, n: int | dict) -> Column:
+    if isinstance(n, int):
+        return F.lit(n)
+    caps = F.create_map(*[x for c, m in n.items() for x in (F.lit(str(c)), F.lit(int(m)))])
+    return F.coalesce(caps[F.col(class_col).cast("string")], F.lit(0))
+
+
+def stratified_cap(df: DataFrame, class_col: str, key: str, n: int | dict,
                    keep_all: Sequence[str] = (), seed=DEFAULT_SEED,
                    hex_digits: int = RANK_HEX, max_broadcast_rows: int = 2_000_000,
                    order: str | None = None) -> DataFrame:
     """At most ``n`` rows per class (the first ``n`` of the seeded order),
-    all rows for the classes in ``keep_all`` (SRT2).
+    all rows for the classes in ``keep_all`` (SRT2). ``n`` may give each class
+    its own cap; a class it does not name has none of its rows kept.
 
     Exact and skew-proof: per class, bucket counts decide which buckets are
     kept whole; only the single boundary bucket of each class is ranked.
@@ -231,11 +254,12 @@ def stratified_cap(df: DataFrame, class_col: str, key: str, n: int,
     first in the order of theirs."""
     d = _with_hash(df, key, seed, hex_digits, order)
     keep = F.coalesce(F.col(class_col).isin(list(keep_all)), F.lit(False)) if keep_all else F.lit(False)
+    cap = _cap_of(class_col, n)
     # keep-all classes bypass the lookup, which therefore holds at most n
     # buckets per capped class (every kept bucket holds a row)
     off = _bucket_offsets(d.where(~keep), hex_digits, [class_col])
-    look = (off.filter(F.col("_off") < F.lit(n))
-               .withColumn("_whole", F.col("_off") + F.col("_n") <= F.lit(n))
+    look = (off.filter(F.col("_off") < cap)
+               .withColumn("_whole", F.col("_off") + F.col("_n") <= cap)
                .select(F.col(class_col).alias("_c"), F.col("_bk").alias("_b"), "_off", "_whole"))
     look = checked_broadcast(look, max_broadcast_rows)
     same = F.col(class_col).eqNullSafe(F.col("_c")) & F.col("_bk").eqNullSafe(F.col("_b"))
@@ -244,7 +268,7 @@ def stratified_cap(df: DataFrame, class_col: str, key: str, n: int,
     w = Window.partitionBy(class_col, "_bk").orderBy("_h", key)
     edge = (d.where(~keep & ~F.col("_whole"))
              .withColumn("_pos", F.col("_off") + F.row_number().over(w))
-             .filter(F.col("_pos") <= F.lit(n)).drop("_pos"))
+             .filter(F.col("_pos") <= cap).drop("_pos"))
     return whole.unionByName(edge).drop("_h", "_bk", "_off", "_whole")
 
 

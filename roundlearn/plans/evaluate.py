@@ -43,8 +43,9 @@ def fused_scores(spark: SparkSession, data: DataFrame, cfg_rounds: Sequence, zsc
     k = len(heads)
     names = class_names(heads)
     t = rounds.known_rows(s.where(F.col("split") == "test"), reg, "y", n_cfg)
-    t = sampling.with_batches(t.select("key", "y", "embedding"), "key", seed, batch_size)
-    t = score_wide(t.select("key", "y", "batch_id", "embedding"), heads, "embedding").drop("embedding")
+    # scored where they are read: the exchanges below carry K scores, no vectors
+    t = score_wide(t.select("key", "y", "embedding"), heads, "embedding").drop("embedding")
+    t = sampling.with_batches(t, "key", seed, batch_size).select("key", "y", "batch_id", "logits")
     if zscore == "batch":
         t = fusion.zscore_batch(t, k)
     elif zscore == "row":

@@ -107,12 +107,14 @@ def multi_hot(spark, d):
 
 
 @query("one_hot_concat", f"""WITH {BASE_SQL} SELECT doc_id, array_to_string(
-  list_transform(range(4), lambda i: CAST(i = ya AS INTEGER)) || list_transform(range(2), lambda i: CAST(i = yb - 4 AS INTEGER)), ',') AS x FROM b""")
+  list_transform(range(nl), lambda i: CAST(i = ya AS INTEGER)) || list_transform(range(nq), lambda i: CAST(i = yb - nl AS INTEGER)), ',') AS x
+  FROM b, (SELECT count(*) FILTER (label_col = 'lang') AS nl, count(*) FILTER (label_col = 'quality') AS nq FROM dct)""")
 def one_hot_concat(spark, d):
     dl = doc_labels(spark, d)
     dic = _dict(dl)
-    dl = L.encode(L.encode(dl, dic, "lang", "lang_id"), dic, "quality", "quality_id")
-    return dl.select("doc_id", F.array_join(C.one_hot_concat([F.col("lang_id"), F.col("quality_id")], [4, 2]), ",").alias("x"))
+    widths = [w for _, _, w in L.block_layout(dic, ["lang", "quality"])]
+    dl = L.encode_all(dl, dic, ["lang", "quality"], unseen="keep")      # fitted on these rows: nothing is unseen
+    return dl.select("doc_id", F.array_join(C.one_hot_concat([F.col("lang_id"), F.col("quality_id")], widths), ",").alias("x"))
 
 
 @query("label_block_slice", f"""WITH {BASE_SQL} SELECT doc_id, array_to_string(list_slice(

@@ -153,7 +153,7 @@ def event_dict(spark, d) -> DataFrame:
 def encoded(spark, d) -> DataFrame:
     e = events(spark, d).withColumn("Attack_label", (F.col("event_type") == "error").cast("int"))
     dic = event_dict(spark, d)
-    e = L.encode_all(e, dic, ["event_type", "Attack_label"])
+    e = L.encode_all(e, dic, ["event_type", "Attack_label"], unseen="keep")      # fitted on these rows: nothing is unseen
     return e.withColumnsRenamed({"event_type_id": "type_id", "Attack_label_id": "label_id"})
 
 
@@ -227,14 +227,15 @@ def empty_guard(spark, d):
 def label_encode_apply(spark, d):
     e = events(spark, d)
     dic = L.fit_dictionary(e, ["event_type"])
-    return L.encode(e, dic, "event_type", "event_type_id").select("event_id", "event_type_id")
+    # fitted on these very rows: nothing can be unseen, so no scan looks for it
+    return L.encode(e, dic, "event_type", "event_type_id", unseen="keep").select("event_id", "event_type_id")
 
 
 @query("label_decode", f"SELECT event_id, event_type AS label FROM {ENC_SQL}")
 def label_decode(spark, d):
     e = events(spark, d)
     dic = L.fit_dictionary(e, ["event_type"])
-    ids = L.encode(e, dic, "event_type", "type_id").select("event_id", "type_id")
+    ids = L.encode(e, dic, "event_type", "type_id", unseen="keep").select("event_id", "type_id")
     return L.decode(ids, dic, "event_type", "type_id", "label").select("event_id", "label")
 
 
@@ -435,9 +436,8 @@ def label_encode_fit(spark, d):
   CAST(row_number() OVER (ORDER BY CAST(user_id AS VARCHAR)) AS INTEGER) AS text_pos FROM (SELECT DISTINCT user_id FROM events)""")
 def ordered_labels(spark, d):
     u = events(spark, d).select("user_id").distinct()        # the label universe, not the rows
-    return u.select(F.col("user_id").cast("string").alias("label"),
-                    F.row_number().over(Window.orderBy("user_id")).cast("int").alias("num_pos"),
-                    F.row_number().over(Window.orderBy(F.col("user_id").cast("string"))).cast("int").alias("text_pos"))
+    u = S.ordered_rank(u.withColumn("label", F.col("user_id").cast("string")), ["user_id"], "num_pos")
+    return S.ordered_rank(u, ["label"], "text_pos").select("label", F.col("num_pos").cast("int"), F.col("text_pos").cast("int"))
 
 
 @query("stratified_cap", f"""SELECT event_id, event_type FROM
@@ -492,12 +492,7 @@ CAPS = {"click": 300, "view": 400, "purchase": 200, "signup": 100}
   WHERE event_type = 'error' OR {' OR '.join(f"(event_type = '{k}' AND rn <= {v})" for k, v in CAPS.items())}""")
 def concat_samples(spark, d):
     e = events(spark, d).select("event_id", "event_type")
-    parts = [S.stratified_cap(e.where(F.col("event_type") == k), "event_type", "event_id", v) for k, v in CAPS.items()]
-    parts.append(e.where(F.col("event_type") == "error"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return S.stratified_cap(e, "event_type", "event_id", CAPS, keep_all=["error"])      # one pass for all classes
 
 
 # ------------------------------------------------------------- scalars

@@ -19,7 +19,7 @@ from roundlearn.plans.q_events import FIXED_UNIVERSE, FIXED_UNIVERSE_SQL, PREDS_
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import bce_sql, prf_ctes, rank_sql
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import scratch_path
+from roundlearn.session import materialize, scratch_path
 from roundlearn.sources import sinks
 from roundlearn.sources.profiles import csv_scan as read_csv
 from roundlearn.sources.tables import table
@@ -69,7 +69,7 @@ def head_save(spark, d):
     """SNK1: one folder per round; the last round is written twice (replay)
     and dynamic partition overwrite keeps one copy."""
     reg, h = _round_heads_long(spark, d)
-    long = h.select("round", "class", F.posexplode("mu").alias("dim", "value"))
+    long = materialize(h.select("round", "class", F.posexplode("mu").alias("dim", "value")))      # fitted once, written five times
     path = scratch_path(spark, "heads")
     for r in [0, 1, 2, 3, 3]:
         sinks.save_heads(long.where(F.col("round") == r), path)

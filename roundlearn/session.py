@@ -93,12 +93,12 @@ def checked_broadcast(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     to the optimizer/AQE (shuffle join). Small results are kept as local
     relations so the count does not re-run their lineage."""
     small = small_local(df)
-    if _is_local(small) or small.count() <= max_rows:
+    if is_local(small) or small.count() <= max_rows:
         return F.broadcast(small)               # at most max_rows rows, counted
     return small
 
 
-def _is_local(df: DataFrame) -> bool:
+def is_local(df: DataFrame) -> bool:
     """True when the optimized plan is a constant local relation (computing
     or counting it needs no job)."""
     try:
@@ -116,7 +116,7 @@ def small_local(df: DataFrame) -> DataFrame:
     a local relation, so plans that reuse it do not recompute its lineage.
     Only LOCAL_ROWS rows reach the driver; a larger result is checkpointed
     from the copy that was computed for the check."""
-    if _is_local(df):
+    if is_local(df):
         return df                               # already constant: nothing to compute
     held = df.persist()                         # computed once, whatever its size
     try:

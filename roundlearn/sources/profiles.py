@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,22 +73,66 @@ EVENTS_PROFILE = Profile("events", fmt="parquet", rename={"event_type": "Attack_
                          keep=["user_id", "value", "props_k"], key="event_id", derive_label=True, positive="error")
 
 
-def csv_scan(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True) -> DataFrame:
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _typed(v: Column, kind: T.DataType) -> Column:
+    """Text as ``kind``. Writers give the integers of a column with gaps as
+    ``3.0`` or ``1e2``; such text of a whole number is that integer."""
+    if not isinstance(kind, WHOLE):
+        return v.try_cast(kind)
+    number = v.try_cast("double")
+    return F.coalesce(v.try_cast("long"), F.when(number == F.floor(number), number.try_cast("long"))).try_cast(kind)
+
+
+def csv_scan(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True,
+             multiline: bool = True) -> DataFrame:
     """SRC1: headed comma-separated file. All NA tokens become null, then
     each column is cast to the given type (``try_cast``: text that is not a
     number becomes null rather than failing the job). Without a schema the
-    columns stay text (type inference is a profiling aid only)."""
-    raw = spark.read.option("header", header).option("delimiter", ",").option("escape", '"').csv(path)
+    columns stay text (``infer_types`` proposes one).
+
+    A quoted field may hold line breaks, so a file is one split; a large table
+    should come as many files. ``multiline=False`` splits large files, for
+    data known to have no line breaks in fields."""
+    raw = (spark.read.option("header", header).option("delimiter", ",").option("escape", '"')
+           .option("multiLine", multiline).csv(path))
     out = []
     fields = {f.name: f.dataType for f in schema.fields} if schema else {}
     for c in raw.columns:
         v = F.when(col(c).isin(NA_TOKENS), F.lit(None)).otherwise(col(c))
         if c in fields:
-            v = v.try_cast(fields[c])
+            v = _typed(v, fields[c])
         out.append(v.alias(c))
     return raw.select(*out)
 
 
+def infer_types(text: DataFrame) -> T.StructType:
+    """A schema for a table of text columns, from one pass over all rows:
+    BIGINT where every value is a whole number written plainly and none is
+    missing, DOUBLE where every value is a number (a whole-number column with
+    gaps as well, as data frames have it), BOOLEAN for True/False, else text;
+    a column without values is DOUBLE."""
+    aggs = []
+    for i, c in enumerate(text.columns):
+        v = col(c)
+        aggs += [F.count(F.when(v.isNull(), 1)).alias(f"null{i}"), F.count(v).alias(f"n{i}"),
+                 F.count(F.when(v.rlike(r"^\s*[+-]?\d+\s*$"), v.try_cast("long"))).alias(f"long{i}"),
+                 F.count(v.try_cast("double")).alias(f"double{i}"),
+                 F.count(F.when(v.isin("True", "False", "TRUE", "FALSE", "true", "false"), 1)).alias(f"bool{i}")]
+    r = text.agg(*aggs).first()
+
+    def kind(i: int) -> T.DataType:
+        n = r[f"n{i}"]
+        if n and r[f"bool{i}"] == n and not r[f"null{i}"]:
+            return T.BooleanType()
+        if n and r[f"long{i}"] == n and not r[f"null{i}"]:
+            return T.LongType()
+        return T.DoubleType() if r[f"double{i}"] == n else T.StringType()
+
+    return T.StructType([T.StructField(c, kind(i)) for i, c in enumerate(text.columns)])
+
+
 def load(spark: SparkSession, p: Profile, schema: T.StructType | None = None) -> DataFrame:
     """SRC2 ``scan_profile``: read by profile and shape it."""
     if p.fmt == "csv":
