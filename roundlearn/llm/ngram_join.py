@@ -523,17 +523,30 @@ def _root_keys(roots: DataFrame, nodes: DataFrame) -> DataFrame:
             .join(keys.withColumnRenamed("fp", "node"), "node").select("k", "c"))
 
 
-def _across(members: DataFrame, root_keys: DataFrame) -> DataFrame:
+def _folded(nodes: DataFrame) -> DataFrame:
+    """(k, n, low): size of each node and its bitmap folded to 64 bits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = [int(np.bitwise_xor.reduce(np.frombuffer(x, np.int64))) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(low, pa.int64())], names=["k", "n", "low"])
+    return nodes.select("k", "n", "bits").mapInArrow(run, "k long, n long, low long")
+
+
+def _across(members: DataFrame, root_keys: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct pairs (k, hub) of nodes that share a signature but no
     component. In each group all but the largest component's nodes meet the
-    others, so a group within one component gives nothing."""
+    others, so a group within one component gives nothing; of the rest only
+    pairs whose sizes and folded bitmaps allow a link leave the join."""
     placed = written(members.join(root_keys, "k", "left").select("sig", "k", F.coalesce("c", "k").alias("c")), "placed")
     split = (placed.groupBy("sig", "c").count().groupBy("sig")
              .agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
-    rows = written(placed.join(split.select("sig", "big"), "sig"), "groups")
-    small = rows.where("c <> big").select("sig", F.col("k").alias("k1"), F.col("c").alias("c1"))
-    other = rows.select("sig", F.col("k").alias("k2"), F.col("c").alias("c2"), "big")
-    return (small.join(other, "sig").where("c1 <> c2 and (c2 = big or k1 < k2)")
+    rows = written(placed.join(split.select("sig", "big"), "sig").join(_folded(nodes), "k"), "groups")
+    small = rows.where("c <> big").select("sig", *[F.col(x).alias(f"{x}1") for x in ("k", "c", "n", "low")])
+    other = rows.select("sig", "big", *[F.col(x).alias(f"{x}2") for x in ("k", "c", "n", "low")])
+    size = SIM_DEN * F.least("n1", "n2") >= SIM_NUM * F.greatest("n1", "n2")
+    apart = F.bit_count(F.col("low1").bitwiseXOR(F.col("low2")))
+    near = (SIM_DEN - SIM_NUM) * (F.col("n1") + F.col("n2")) >= (SIM_DEN + SIM_NUM) * apart
+    return (small.join(other, "sig").where("c1 <> c2 and (c2 = big or k1 < k2)").where(size & near)
             .select(F.greatest("k1", "k2").alias("k"), F.least("k1", "k2").alias("hub")).distinct())
 
 
@@ -562,7 +575,7 @@ def join_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     # then what lies in one group but not in one component: of the pairs that
     # the bitmaps allow, each node's nearest, and then all others that these
     # have not joined
-    across = _across(members, _root_keys(roots, nodes))
+    across = _across(members, _root_keys(roots, nodes), nodes)
     open_pairs = _possible(across.join(stars, ["k", "hub"], "left_anti"), nodes)
     order = Window.partitionBy("k").orderBy(F.desc("slack"), "hub")
     ranked = written(open_pairs.withColumn("r", F.row_number().over(order)), "ranked")
