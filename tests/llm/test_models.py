@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -256,6 +257,84 @@ def test_licences_on_table(spark):
     assert sorted(map(str, map(tuple, queries.op4_license_scan(spark, SF).collect()))) == sorted(map(str, plain_licences(rows)))
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more
+contributor license agreements.  See the NOTICE file distributed with
+this work for additional information regarding copyright ownership.
+The ASF licenses this file to You under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance with
+the License.  You may obtain a copy of the License at"""
+GNU = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MIT = """Copyright (c) 2020 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Copyright (c) 2020, Jane Roe. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def test_licences_real_headers(spark):
+    marked = lambda mark, t: "\n".join(mark + x for x in t.split("\n")) + "\n\nimport os\n\nprint(os.name)"
+    prose = "\n".join(f"A line of plain words, number {i}, about a copyright of old" for i in range(30))
+    want = [
+        ("Apache-2.0", "a.py", marked("# ", APACHE)), ("Apache-2.0", "b.java", "/*\n" + marked(" * ", ASF)),
+        ("GPL-3.0", "c.py", marked("# ", GNU)), ("GPL-2.0", "d.c", marked("// ", GNU.replace("version 3", "version 2"))),
+        ("LGPL-2.1", "e.c", marked("// ", GNU.replace("GNU", "GNU Lesser").replace("version 3", "version 2.1"))),
+        ("AGPL-3.0", "f.c", marked("// ", GNU.replace("GNU", "GNU Affero"))), ("MIT", "g/LICENSE", MIT), ("MIT", "h.js", MIT),
+        ("BSD-2-Clause", "i/LICENSE", BSD), ("BSD-3-Clause", "j.c", marked("// ", BSD3)),
+        ("MIT", "k.py", "# SPDX-License-Identifier: MIT\nx"), ("Apache-2.0", "l.py", "# SPDX-License-Identifier: Apache-2.0"),
+        ("GPL-3.0", "m.c", "/* SPDX-License-Identifier: GPL-3.0-or-later */"),
+        ("MIT", "n.py", "# Copyright 2020 Jane Roe. All rights reserved.\n# SPDX-License-Identifier: MIT"),
+        (None, "o.py", "# SPDX-License-Identifier: Zlib"), (None, "p.py", "# Released under the Quux Community License of Mars"),
+        ("MIT", "q.md", prose + "\nReleased under the MIT License.\n" + prose), (None, "r.md", prose),
+    ]
+    full = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+            "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for name, licence in full.items():                       # full texts, where the system has them
+        path = Path("/usr/share/common-licenses") / name
+        if path.exists():
+            want.append((licence, f"{name}/LICENSE", path.read_text()))
+    rows = [(i, f"x{i}/{p}", t) for i, (_, p, t) in enumerate(want)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id int, path string, text string"), F.col("path"))
+    got = {r.doc_id: r.own_license for r in got.collect()}
+    assert [(p, got[i]) for i, (_, p, _) in enumerate(want)] == [(p, k) for k, p, _ in want]
+
+
 # ---- the pipeline
 
 def test_pipeline_against_plain_version(spark):
