@@ -2,11 +2,14 @@
 
 Base patterns (assignments, access keys, long hex runs) are reported as they
 stand. Further candidates, runs of base64 or hex characters, PEM blocks and
-three-part signed tokens, are reported only if their structure confirms them:
-they decode, and the bytes are a DER key (nested tag lengths that end where
+three-part signed tokens, are reported only if their structure confirms them
+(line breaks may be real ones or escaped as in JSON strings; consecutive lines
+of base64 are joined): they decode, and the bytes are a DER key (nested tag lengths that end where
 their parents do, around a key's version, algorithm or modulus), an OpenSSH
 key (magic and length-prefixed fields that fill the block), or the first part
-is a JSON header that names a signature algorithm.
+is a JSON header that names a signature algorithm. The bytes of a PEM block
+with encryption headers have no structure of their own; whole cipher blocks
+confirm them.
 
 Cases: a null text counts as empty, without spans; a text of any length is
 scanned whole; a null id is kept as null; equal rows give equal rows; an empty
@@ -20,6 +23,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,11 +41,15 @@ KINDS = ("assign", "access", "hex", "signed_token", "pem_key", "der_key", "ssh_k
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY|PUBLIC KEY|[A-Z0-9 ]*PUBLIC KEY)-----"
-                  r"([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+                  r"((?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*?)-----END \1-----")
+_ESCAPED = re.compile(r"\\+[nrt]")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:[ \t]*[\r\n]+[ \t]*[A-Za-z0-9+/_-]++)+")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _RUN64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _RUNHEX = re.compile(r"[0-9A-Fa-f]{64,}")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 _MAGIC = b"openssh-key-v1\x00"
+_SSH_HEAD = re.compile(rb"\x00\x00\x00.(?:ssh|ecdsa|sk)-", re.S)
 _ALGS = re.compile(r"(?:HS|RS|ES|PS)(?:256|384|512)|EdDSA|none")
 
 
@@ -92,6 +101,11 @@ def is_der_key(b: bytes) -> bool:
         return bool(alg) and alg[0][0] == 0x06
     if tags[:2] == [0x02, 0x04] and inner[0][1] == b"\x01" and len(inner[1][1]) >= 20:
         return True                                        # curve key: version 1, scalar
+    if tags == [0x02] * 6 and len(inner[0][1]) == 1 and len(inner[1][1]) >= 64:
+        return True                                        # DSA key: version, p, q, g, public and private number
+    if tags == [0x30, 0x04] and len(inner[1][1]) >= 24:
+        alg = der_items(inner[0][1])                       # encrypted key: algorithm with parameters, octets
+        return bool(alg) and [t for t, _ in alg] == [0x06, 0x30]
     if tags == [0x30, 0x03]:
         alg = der_items(inner[0][1])                       # algorithm, key bits
         return bool(alg) and alg[0][0] == 0x06 and len(inner[1][1]) >= 30
@@ -151,6 +165,54 @@ def _key_kind(b: bytes | None) -> str | None:
     return "ssh_key" if is_ssh_key(b) else "der_key" if is_der_key(b) else None
 
 
+def is_pem_key(body: str) -> bool:
+    """True if the text between PEM marks holds a key."""
+    body = re.sub(r"\\+/", "/", _ESCAPED.sub(" ", body))
+    raw = _from_base64("".join(x for x in body.split() if ":" not in x and "," not in x))
+    if raw and "Proc-Type:" in body and "ENCRYPTED" in body:
+        return len(raw) >= 16 and len(raw) % 8 == 0
+    return _key_kind(raw) is not None
+
+
+def _der_chars(head: bytes) -> int:
+    """Base64 characters, without padding, of the DER sequence that starts
+    with ``head``; 0 if none does."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    size = head[1] & 0x7F if head[1] & 0x80 else 0
+    if size > 4 or head[1] == 0x80:
+        return 0
+    n = 2 + size + (int.from_bytes(head[2:2 + size], "big") if size else head[1])
+    return -(-n * 4 // 3)
+
+
+def wrapped_keys(text: str) -> list[tuple[int, int, int]]:
+    """Spans of keys over consecutive lines of base64, from any line on."""
+    out = []
+    for m in _LINES.finditer(text):
+        lines = [(x.start(), x.end(), x[0]) for x in _LINE.finditer(text, m.start(), m.end())]
+        ends = list(accumulate(len(x) for _, _, x in lines))        # characters up to each line's end
+        i = 0
+        while i < len(lines) - 1:
+            j, head = i, _from_base64(lines[i][2][:40]) or b""
+            if need := _der_chars(head):
+                j = bisect_left(ends, need + ends[i] - len(lines[i][2]))
+                j = j if j < len(lines) and ends[j] == need + ends[i] - len(lines[i][2]) else i
+            elif head.startswith(_MAGIC) or _SSH_HEAD.match(head):
+                while j + 1 < len(lines) and len(lines[j][2]) == len(lines[i][2]):
+                    j += 1
+            found = False
+            for k in (j, j - 1) if j > i + 1 else (j,) if j > i else ():   # the last line may be text
+                if kind := _key_kind(_from_base64("".join(x for _, _, x in lines[i:k + 1]))):
+                    end = lines[k][1]
+                    end += len(text[end:end + 2]) - len(text[end:end + 2].lstrip("="))
+                    out.append((lines[i][0], ORDER[kind], end))
+                    i, found = k + 1, True
+                    break
+            i += not found
+    return out
+
+
 def scan(text: str | None) -> tuple[list, list]:
     """(base spans, all spans) of one text, each (start, kind order, end)."""
     if not text:
@@ -162,8 +224,7 @@ def scan(text: str | None) -> tuple[list, list]:
     more = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            body = "".join(x for x in m[2].split() if ":" not in x and "," not in x)
-            if body and _from_base64(body.rstrip("-")):
+            if is_pem_key(m[2]):
                 more.append((m.start(), ORDER["pem_key"], m.end()))
     if text.count(".") >= 2 and "." in text:
         more += [(m.start(), ORDER["signed_token"], m.end()) for m in _SIGNED.finditer(text)
@@ -171,7 +232,12 @@ def scan(text: str | None) -> tuple[list, list]:
     for m in _RUNHEX.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := _key_kind(bytes.fromhex(m[0]))):
             more.append((m.start(), ORDER[kind], m.end()))
-    for m in _RUN64.finditer(text):
+    pems = [(a, e) for a, k, e in more if k == ORDER["pem_key"]]
+    # escaped breaks as real ones, every offset kept
+    plain = _ESCAPED.sub(lambda m: "\n" * len(m[0]), text) if "\\" in text else text
+    if "\n" in plain or "\r" in plain:
+        more += [x for x in wrapped_keys(plain) if not any(a <= x[0] and x[2] <= e for a, e in pems)]
+    for m in _RUN64.finditer(plain):
         if kind := _key_kind(_from_base64(m[0])):
             more.append((m.start(), ORDER[kind], m.end()))
     base.sort()
