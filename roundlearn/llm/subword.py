@@ -3,10 +3,14 @@
 The vocabulary is that of a SentencePiece BPE model file. A text is cut into
 pretokens (spaces with the word that follows them, lines apart); in each, the
 agenda of adjacent pairs is processed best rank first, leftmost on ties. Every
-candidate merge is skipped if a keyed hash of its place in the pretoken falls
-under the dropout rate, so a seed (an epoch, say) fixes one segmentation and
-another seed gives another; each document draws one of ``variants`` streams
-by its id. With no dropout the ids are those of the model itself. Characters
+candidate merge is skipped if a keyed hash of its place falls under the dropout
+rate: of the seed, the document's id, the number of the pretoken in the
+document and the place in the pretoken. So a seed (an epoch, say) fixes one
+segmentation of a document and another seed gives another, and each occurrence
+of a word is drawn by itself (``variants`` limits the documents' streams to so
+many, if given). Only what no draw touches is remembered between occurrences:
+the merges of a pretoken without dropout and the candidates they meet, none of
+which may be skipped. With no dropout the ids are those of the model itself. Characters
 without a piece become byte pieces, and a literal piece mark in the text does
 too, so that decoding gives back every text exactly.
 
@@ -25,7 +29,6 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,10 @@ from roundlearn.session import ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4
 SEED = 7
 MARK = "▁"
 PRETOKEN = re.compile(r"\n| *[^ \n]+| +")
-CACHED = 800_000           # pretokens that a worker remembers, over all variants
+CACHED = 300_000           # pretokens that a worker remembers, with their candidates
 SHORT = 32                 # characters; longer pretokens go by the heap
 _M = (1 << 64) - 1
 
@@ -149,7 +151,7 @@ class Merger:
 
     # ---- many short pretokens: one merge of each a step
 
-    def _pairs(self, sym, start, end, own, key, limit, at):
+    def _pairs(self, sym, start, end, own, key, limit, at, met=None):
         """Rank and merged id, as one number, of the pairs (at, at + 1); no
         merge: the rank is past all others."""
         out = np.full(len(at), self.none * self.width, np.int64)
@@ -159,15 +161,20 @@ class Merger:
         ok, a = ok[both], a[both]
         found, value = self.table.get(sym[a] * self.width + sym[a + 1])
         ok, a, value = ok[found], a[found], value[found]
-        if limit:
+        if limit or met is not None:
             u = np.uint64
             place = (start[a].astype(u) << u(42)) | (start[a + 1].astype(u) << u(21)) | end[a + 1].astype(u)
-            stay = _scrambled(key[own[a]] ^ _scrambled(place)) >= u(limit)
+            place = _scrambled(place)
+            if met is not None:
+                met.append((own[a], place))
+        if limit:
+            stay = _scrambled(key[own[a]] ^ place) >= u(limit)
             ok, value = ok[stay], value[stay]
         out[ok] = value
         return out
 
-    def together(self, words: list[str], keys: np.ndarray, limit: int) -> list[bytes]:
+    def together(self, words: list[str], keys: np.ndarray, limit: int, met: list | None = None) -> list[bytes]:
+        """The ids of each word; ``met`` gets the candidates, as (words, scrambled places)."""
         out = [b""] * len(words)
         lens = np.array([len(w) for w in words], np.int64)
         sym = self.by_code[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].astype(np.int64)
@@ -175,7 +182,7 @@ class Merger:
         start = np.arange(len(sym)) - np.repeat(np.cumsum(lens) - lens, lens)
         end = start + 1
         key = keys
-        pair = self._pairs(sym, start, end, own, key, limit, np.arange(len(sym)))
+        pair = self._pairs(sym, start, end, own, key, limit, np.arange(len(sym)), met)
         while len(sym):
             size = len(sym)
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -201,7 +208,7 @@ class Merger:
             at = at - np.arange(len(at))                     # one symbol is gone for each word before
             sym, start, end, own, pair = (x[keep] for x in (sym, start, end, own, pair))
             new = np.concatenate([at, at[at > 0] - 1])
-            pair[new] = self._pairs(sym, start, end, own, key, limit, new)
+            pair[new] = self._pairs(sym, start, end, own, key, limit, new, met)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -213,47 +220,77 @@ class Merger:
 class Encoder:
     """Encodes texts with one seed; remembers frequent pretokens."""
 
-    def __init__(self, merger: Merger, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        if not 0 <= dropout < 1 or variants < 1:
+    def __init__(self, merger: Merger, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = None):
+        if not 0 <= dropout < 1 or (variants is not None and variants < 1):
             raise ValueError("dropout must be in [0, 1) and variants at least 1")
-        self.merger, self.seed, self.variants = merger, seed, variants if dropout else 1
+        self.merger, self.seed, self.variants = merger, seed, variants
         self.limit = int(dropout * 2.0**64)
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.known: dict[str, tuple[bytes, bytes]] = {}      # ids without dropout, scrambled places of the candidates
 
-    def variant(self, doc_id) -> int:
+    def stream(self, doc_id) -> int:
+        """The 64-bit key of a document under the seed."""
         raw = hashlib.blake2b(str("null" if doc_id is None else doc_id).encode(), digest_size=8,
                               key=f"doc {self.seed}".encode()).digest()
-        return int.from_bytes(raw, "big") % self.variants
-
-    def keys(self, words: list[str], variant: int) -> np.ndarray:
-        """A 64-bit key for each pretoken under the seed and variant."""
-        salt = int.from_bytes(hashlib.blake2b(f"{self.seed} {variant}".encode(), digest_size=8).digest(), "big")
-        sums = np.array([crc32(w.encode()) for w in words], np.uint64)
-        return _scrambled(_scrambled(sums ^ np.uint64(salt)) + np.array([len(w) for w in words], np.uint64))
-
-    def _learn(self, words: set[str], variant: int) -> dict[str, bytes]:
-        known = self.known[variant]
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHED // self.variants:
-            known = self.known[variant] = {}
-            new = list(words)
-        short = [w for w in new if len(w) <= SHORT]
-        for i in range(0, len(short), 5_000):
-            part = short[i:i + 5_000]
-            known.update(zip(part, self.merger.together(part, self.keys(part, variant), self.limit), strict=True))
-        long = [w for w in new if len(w) > SHORT]
-        for w, key in zip(long, self.keys(long, variant).tolist(), strict=True):
-            known[w] = self.merger.by_agenda(w, key, self.limit)
-        return known
+        n = int.from_bytes(raw, "big")
+        return n if self.variants is None else _scramble(n % self.variants ^ _scramble(self.seed & _M))
+
+    def _learn(self, words: list[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHED:
+            self.known = {}
+            new = words
+        for i in range(0, len(new), 5_000):
+            part = new[i:i + 5_000]
+            met: list[tuple[np.ndarray, np.ndarray]] = []
+            ids = self.merger.together(part, np.zeros(len(part), np.uint64), 0, met)
+            own, place = (np.concatenate([x[k] for x in met]) for k in (0, 1))
+            order = np.argsort(own, kind="stable")
+            raw = place[order].tobytes()
+            ends = np.cumsum(np.bincount(own, minlength=len(part))).tolist()
+            self.known.update((w, (x, raw[8 * a:8 * b])) for w, x, a, b in zip(part, ids, [0, *ends], ends, strict=False))
+
+    def _touched(self, word: np.ndarray, key: np.ndarray, first: np.ndarray, count: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Which occurrences skip a candidate that their word meets without dropout."""
+        n = count[word]
+        of = np.repeat(np.arange(len(word)), n)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[word], n)
+        skipped = _scrambled(key[of] ^ places[at]) < np.uint64(self.limit)
+        out = np.zeros(len(word), bool)
+        out[of[skipped]] = True
+        return out
 
     def encode(self, texts: list[str | None], doc_ids: list) -> list[bytes | None]:
         """The ids of each text as 32-bit numbers end to end."""
         cut = [None if t is None else PRETOKEN.findall(" " + t) if t else [] for t in texts]
-        which = [self.variant(d) for d in doc_ids]
-        tables: dict[int, dict] = {}
-        for v in set(which):
-            tables[v] = self._learn({w for c, x in zip(cut, which, strict=True) if c and x == v for w in c}, v)
-        return [None if c is None else b"".join(map(tables[v].__getitem__, c)) for c, v in zip(cut, which, strict=True)]
+        index: dict[str, int] = {}
+        word = np.array([index.setdefault(w, len(index)) for c in cut if c for w in c], np.int64)
+        words = list(index)
+        self._learn([w for w in words if len(w) <= SHORT])
+        none = (b"", b"")
+        got = [self.known.get(w, none) for w in words]       # a long pretoken is never remembered
+        out = list(map([x for x, _ in got].__getitem__, word.tolist()))
+        sizes = np.array([len(c or ()) for c in cut], np.int64)
+        streams = np.array([self.stream(d) for d in doc_ids], np.uint64)
+        nth = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = _scrambled(np.repeat(_scrambled(streams), sizes) + nth.astype(np.uint64))
+        count = np.array([len(x) // 8 for _, x in got], np.int64)
+        places = np.frombuffer(b"".join(x for _, x in got), np.uint64)
+        for i in range(0, len(word) if self.limit else 0, 50_000):
+            part = word[i:i + 50_000]
+            todo = i + np.flatnonzero(self._touched(part, key[i:i + 50_000], np.cumsum(count) - count, count, places))
+            for at, ids in zip(todo.tolist(), self.merger.together([words[w] for w in word[todo].tolist()], key[todo], self.limit),
+                               strict=True):
+                out[at] = ids
+        long = np.array([len(w) > SHORT for w in words], bool)
+        plain: dict[int, bytes] = {}
+        for at in np.flatnonzero(long[word]).tolist():
+            w = int(word[at])
+            if self.limit:
+                out[at] = self.merger.by_agenda(words[w], int(key[at]), self.limit)
+            else:
+                out[at] = plain[w] = plain.get(w) or self.merger.by_agenda(words[w], 0, 0)
+        ends = np.cumsum(sizes).tolist()
+        return [None if c is None else b"".join(out[a:b]) for c, a, b in zip(cut, [0, *ends], ends, strict=False)]
 
 
 _ready: dict[tuple, Encoder] = {}
@@ -276,7 +313,7 @@ def portions(b: pa.RecordBatch, col: int, size: int = 4_000_000) -> Iterator[pa.
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None,
-           dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, model: str = MODEL,
+           dropout: float = DROPOUT, seed: int = SEED, variants: int | None = None, model: str = MODEL,
            with_ids: bool = True) -> DataFrame:
     """doc_id, the columns of ``keep``, n_tokens, ids_sha256, lossless (the
     ids decode to the text) and, if asked for, the ids."""
@@ -318,7 +355,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "text", model: str =
     schema = df.select("*", F.lit(None).cast("string").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = _encoder(pieces, DROPOUT, SEED, VARIANTS).merger
+        merger = _encoder(pieces, DROPOUT, SEED, None).merger
         for b in batches:
             texts = [None if x is None else merger.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])

@@ -59,6 +59,28 @@ def test_dropout_varies_by_seed_and_decodes(spark, odd, empty):
     assert subword.encode(empty).count() == 0
 
 
+def test_dropout_draws_each_occurrence(merger):
+    word, limit = "international", int(0.1 * 2.0**64)
+    enc = subword.Encoder(merger)
+    text = " ".join([word] * 400)
+    docs = enc.encode([text] * 30, list(range(30)))
+    assert len(set(docs)) == 30 and enc.encode([text], [7]) == [docs[7]]           # no streams shared, repeatable
+    alone = [merger.by_agenda(" " + word, k, limit) for k in range(1, 12_001)]
+    apart = Counter(x for d in range(30) for x in _cut_words(merger, docs[d], " " + word).elements())
+    assert len(apart) > 4 and len(_cut_words(merger, docs[0], " " + word).keys()) > 4   # many within one document
+    most, n = Counter(alone).most_common(1)[0]
+    assert abs(apart[most] - n) < 400                          # the law of the merges themselves, of 12 000 draws
+
+
+def _cut_words(merger, raw, word):
+    out, ids, at = Counter(), np.frombuffer(raw, np.int32).tolist(), 0
+    for i in range(1, len(ids) + 1):
+        if len(b"".join(merger.bytes_of[x] for x in ids[at:i])) == len(word):
+            out[np.array(ids[at:i], np.int32).tobytes()] += 1
+            at = i
+    return out
+
+
 # ---- 9: token counts
 
 def best_cut(w, scores):
