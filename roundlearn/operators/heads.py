@@ -109,9 +109,9 @@ def class_names(heads: list) -> Column:
 
 
 def logistic_head(train: DataFrame, label_col: str, vec_col: str, family: str = "multinomial",
-                  max_iter: int = 50, reg: float = 0.0):
+                  max_iter: int = 50, reg: float = 0.0, tol: float = 1e-6):
     """ML1/ML3 trainable head: MLlib ``LogisticRegression`` over the vector."""
     from pyspark.ml.classification import LogisticRegression
     d = train.select(F.col(label_col).cast("double").alias("label"),
                      array_to_vector(to_double_array(F.col(vec_col))).alias("features"))
-    return LogisticRegression(family=family, maxIter=max_iter, regParam=reg).fit(d)
+    return LogisticRegression(family=family, maxIter=max_iter, regParam=reg, tol=tol).fit(d)

@@ -14,7 +14,7 @@ from roundlearn.operators import metrics as M
 from roundlearn.operators import rounds as RD
 from roundlearn.operators import sampling as S
 from roundlearn.operators.gradient import gradient_sql, predictions_sql
-from roundlearn.operators.heads import centroid_heads, class_names, collect_heads, score_wide
+from roundlearn.operators.heads import centroid_heads, class_names, collect_heads, logistic_head, score_wide
 from roundlearn.plans.common import DOC_LABELS_SQL, doc_labels, events, r6
 from roundlearn.plans.oracle_evaluate import heads_ctes
 from roundlearn.plans.q_events import REMAP, remapped
@@ -324,3 +324,34 @@ def epoch_metrics(spark, d):
     w = _weighted(_prf_cells(conf, keys), keys).withColumn("run", F.lit("run0"))
     return M.long_metrics(w, ["run", "epoch", "split"], ["loss", "accuracy", "weighted_precision", "weighted_recall", "weighted_f1"]).withColumn(
         "value", r6(F.col("value")))
+
+
+CONVERGED = 1e-6      # relative change of the objective at which a fit ends
+MAX_ITERATIONS = 500
+
+
+@query("head_convergence")
+def head_convergence(spark, d):
+    """The heads above fitted by MLlib (L-BFGS) until the objective changes by
+    less than ``CONVERGED``, beside their ``STEPS`` gradient steps: iterations,
+    last change, and the training loss of both fits."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("y"), "embedding")
+    base = S.split(e, "key", test=0.4).where(F.col("y").isin(0, 1, 2)).withColumnRenamed("embedding", "f")
+    docs = S.split(_doc_features(spark, d), "doc_id", test=0.4)
+    ev = _vec(events(spark, d)).withColumn("is_error", (F.col("event_type") == "error").cast("int"))
+    dic = L.fit_dictionary(ev, ["event_type"])
+    ev = L.encode(ev, dic, "event_type", "type_id", unseen="keep").withColumnRenamed("vec", "f")
+    ev = S.split(ev.select("event_id", "is_error", "type_id", "f"), "event_id", test=0.4)
+    out = []
+    for head, rows, label, k in (("base", base, "y", 3), ("quality", docs, "quality", 2), ("toxic", docs, "toxic", 2),
+                                 ("binary", ev, "is_error", 2), ("multi", ev, "type_id", dic.count())):
+        rows = materialize(rows.where((F.col("split") == "train") & F.col("f").isNotNull() & F.col(label).between(0, k - 1))
+                           .select("split", label, "f"))
+        few = gradient.fit(rows, label, "f", k, STEPS)
+        objective = list(logistic_head(rows, label, "f", max_iter=MAX_ITERATIONS, tol=CONVERGED).summary.objectiveHistory)
+        change = objective[-1] - objective[-2] if len(objective) > 1 else 0.0
+        done = abs(change) <= CONVERGED * max(abs(objective[-1]), abs(objective[-2])) if len(objective) > 1 else True
+        out.append((head, len(objective) - 1, len(objective) - 1 < MAX_ITERATIONS or done, float(change), float(objective[-1]),
+                    STEPS, few.loss_change(), few.history[-1]["train"][0]))
+    return local_frame(spark, out, "head string, iterations int, converged boolean, last_change double, loss double, "
+                                   "steps int, steps_last_change double, steps_loss double")

@@ -106,3 +106,13 @@ def test_no_vector_crosses_an_exchange(spark):
         assert "embedding" not in m.group(1)
     above = plan[:plan.index("MapInPandas")]
     assert "embedding" not in above
+
+
+def test_head_convergence_is_reported(spark):
+    from roundlearn.plans import q_models
+    got = {r["head"]: r for r in q_models.head_convergence(spark, "/root/testdata/sf0.01").collect()}
+    assert set(got) == {"base", "quality", "toxic", "binary", "multi"}
+    for r in got.values():
+        assert r.converged and r.iterations >= 1 and r.steps == q_models.STEPS
+        assert r.loss <= r.steps_loss + 1e-9                    # the converged fit is no worse on its own training rows
+    assert got["base"].loss < got["base"].steps_loss - 0.01     # ten steps leave the base head hardly trained
