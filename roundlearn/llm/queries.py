@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roundlearn.llm import (decontaminate, langid, licenses, ngram_join, quality, secrets, sharding, subword,
-                            token_counts, toxicity)
+from roundlearn.llm import (alignment, decontaminate, html_text, langid, licenses, ngram_join, periodic, quality, secrets,
+                            sharding, subword, token_counts, toxicity)
 from roundlearn.llm.common import held_out, read_table
 
 
@@ -79,7 +79,24 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Groups, links and corpus-wide link counts of two tokenizers' tokens."""
+    return alignment.align(read_table(spark, d, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of each document's words, and its text with each run kept once."""
+    docs = read_table(spark, d, "documents")
+    return periodic.runs_digest(docs, rewrite=periodic.planted_tail)
+
+
+def op13_html_text(spark: SparkSession, d: str) -> DataFrame:
+    """Main text of each page."""
+    return html_text.extract(read_table(spark, d, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_sentencepiece, op3_decontaminate, op4_license_scan, op5_quality_rules, op6_sharding,
-    op7_toxicity, op8_secret_scan, op9_token_counts, op10_language_id)}
+    op7_toxicity, op8_secret_scan, op9_token_counts, op10_language_id, op11_token_alignment, op12_periodic_runs,
+    op13_html_text)}
 ORACLE: dict[str, str] = {}
