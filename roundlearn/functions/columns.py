@@ -125,10 +125,6 @@ def threshold_predict(p: Column, thr: float = THRESHOLD) -> Column:
     return (p > F.lit(thr)).cast("int")
 
 
-def threshold_array(p: Column, thr: float = THRESHOLD) -> Column:
-    return F.transform(p, lambda x: (x > F.lit(thr)).cast("int"))
-
-
 # ------------------------------------------------------------- tokens
 
 def tokens(text: Column) -> Column:
@@ -213,12 +209,5 @@ def argmax_first(arr: Column) -> Column:
     return F.array_position(arr, F.array_max(arr)).cast("int") - 1
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Sequential dot product; elements are cast inside the lambda so a
-    float32 vector is never converted as a whole per call."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
-                       lambda acc, v: acc + v)
-
-
 def to_double_array(c: Column) -> Column:
     return F.transform(c, lambda x: x.cast("double"))

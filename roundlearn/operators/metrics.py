@@ -126,22 +126,12 @@ def accuracy_exact(df: DataFrame, y: str, p: str, scale: float = 1.0) -> DataFra
     return df.agg((F.lit(scale) * F.avg((F.col(y) == F.col(p)).cast("double"))).alias("accuracy"))
 
 
-def bce_mean(x: Column, z: Column) -> Column:
-    """AGG17 cell loss; average it over cells."""
-    return bce_with_logits(x, z)
-
-
 def batch_mean_loss(df: DataFrame, batch_col: str, loss_col: str) -> DataFrame:
     """AGG20: mean of per-batch means (short last batch over-weighted)."""
     return (df.groupBy(batch_col).agg(F.avg(loss_col).alias("_bl"))
               .agg(F.avg("_bl").alias("loss_batch_mean")))
 
 
-def row_mean_loss(df: DataFrame, loss_col: str) -> DataFrame:
-    """AGG21: mean over rows (= batch loss weighted by batch size)."""
-    return df.agg(F.avg(loss_col).alias("loss_row_mean"))
-
-
 def report(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     """AGG23: one table with per-class, per-block and overall lines:
     ``GROUPING SETS ((block, class), (block), ())`` over the per-column

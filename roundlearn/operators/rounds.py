@@ -15,8 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from roundlearn.operators import gradient
 from roundlearn.operators.heads import centroid_heads
-from roundlearn.session import bounded_broadcast, checked_broadcast, local_frame, small_local
+from roundlearn.session import checked_broadcast, local_frame, materialize
 
 # The standard experiment of the reference, 4 rounds of
 # 3/2/2/2 classes (traffic class names) ...
@@ -73,13 +74,6 @@ def registry(cfg: DataFrame, known: DataFrame | None = None, present: DataFrame
                       F.col("class_order").cast("int"))
 
 
-def local_registry(reg: DataFrame) -> DataFrame:
-    """Compute the registry once and keep it as a local relation: it is one
-    row per configured class (metadata, like a dictionary), so every plan
-    that uses it reads a constant instead of re-running its windows."""
-    return small_local(reg)
-
-
 def registry_rows(rounds: Sequence[tuple[int, Sequence[str]]], present: set | None = None) -> list[tuple]:
     """The same registry computed from an in-memory round config (a driver
     parameter, one entry per class): ``(round, pos, class, class_order)``."""
@@ -109,21 +103,56 @@ def new_classes(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return candidates.join(known.select("class"), "class", "left_anti")
 
 
-def known_rows(df: DataFrame, reg: DataFrame, class_col: str, n_classes: int) -> DataFrame:
-    """FLT4: rows whose class is registered (broadcast semi join; the
-    registry bound is the number of configured classes)."""
-    r = bounded_broadcast(reg.select(F.col("class").alias("_c")), n_classes)
+def known_rows(df: DataFrame, reg: DataFrame, class_col: str, n_classes: int | None = None) -> DataFrame:
+    """FLT4: rows whose class is registered (semi join; the registry is
+    broadcast behind a count of its rows)."""
+    r = checked_broadcast(reg.select(F.col("class").alias("_c")))
     return df.join(r, F.col(class_col).cast("string") == F.col("_c"), "left_semi")
 
 
-def round_heads(train: DataFrame, reg: DataFrame, class_col: str, vec_col: str, n_classes: int) -> DataFrame:
+def round_heads(train: DataFrame, reg: DataFrame, class_col: str, vec_col: str) -> DataFrame:
     """ML1/ML2 for all rounds at once: a centroid per registered class over
     its own training rows; ``(round, pos, class, class_order, mu, bias, n_train)``."""
-    rows = known_rows(train, reg, class_col, n_classes)
+    rows = known_rows(train, reg, class_col)
     h = centroid_heads(rows.withColumn(class_col, F.col(class_col).cast("string")), class_col, vec_col)
     return reg.join(h, "class", "inner")
 
 
+def trained_round_heads(train: DataFrame, reg_rows: Sequence[tuple], class_col: str, vec_col: str,
+                        kinds: dict[int, str] | None = None, ridge: float = gradient.RIDGE) -> tuple[list[dict], gradient.Fit | None]:
+    """ML2 trainable: for each round a softmax head over that round's new
+    classes, fitted on its rows only, all rounds in one fit (a row belongs to
+    the round that knows its class). ``kinds``: round -> "softmax" (default)
+    or "centroid"; a round with one class has nothing to tell apart and gets a
+    centroid. Returns the heads of all classes in class order, as
+    ``collect_heads`` gives them, and how the fit went (objectives in the
+    order of the trained rounds)."""
+    kinds = kinds or {}
+    by_round: dict[int, list[tuple]] = {}
+    for r in reg_rows:
+        by_round.setdefault(r[0], []).append(r)
+    trained = [r for r, cs in sorted(by_round.items()) if kinds.get(r, "softmax") == "softmax" and len(cs) > 1]
+    out: list[dict] = []
+    fit = None
+    if trained:
+        place = {r: i for i, r in enumerate(trained)}
+        spark = train.sparkSession
+        known = local_frame(spark, [(c, place[r], pos - 1) for r in trained for _, pos, c, _ in by_round[r]], "_c string, _obj int, _pos int")
+        rows = train.join(checked_broadcast(known), F.col(class_col).cast("string") == F.col("_c")).select(
+            vec_col, *[F.when(F.col("_obj") == i, F.col("_pos")).alias(f"_y{i}") for i in range(len(trained))])
+        rows = materialize(rows)              # read again in every pass
+        fit = gradient.fit(rows, [gradient.Objective(f"_y{i}", len(by_round[r])) for i, r in enumerate(trained)], vec_col, ridge=ridge)
+        for r, head in zip(trained, fit.heads, strict=True):
+            out += [{"round": r, "class": c, "class_order": order, "mu": w[:-1].tolist(), "bias": float(w[-1]), "kind": "softmax"}
+                    for (_, _, c, order), w in zip(by_round[r], head.weights, strict=True)]
+    rest = [x for r, cs in by_round.items() if r not in trained for x in cs]
+    if rest:
+        reg = local_frame(train.sparkSession, rest, "round int, pos int, class string, class_order int")
+        out += [{"round": h["round"], "class": h["class"], "class_order": h["class_order"], "mu": list(h["mu"]), "bias": float(h["bias"]),
+                 "kind": "centroid"} for h in round_heads(train, reg, class_col, vec_col).collect()]      # one row a class
+    return sorted(out, key=lambda h: h["class_order"]), fit
+
+
 def model_summary(reg: DataFrame) -> DataFrame:
     """ML10: current round, number of classes, base classes, rounds and the
     class -> round map, as one row."""

@@ -69,13 +69,17 @@ def _bucket_offsets(d: DataFrame, hex_digits: int, part_cols: Sequence[str] = ()
 
 
 def hash_rank(df: DataFrame, key: str, seed=DEFAULT_SEED, rank_col: str = "rank",
-              hex_digits: int = RANK_HEX, total_col: str | None = None, order: str | None = None) -> DataFrame:
+              hex_digits: int = RANK_HEX, total_col: str | None = None, order: str | None = None,
+              keys: DataFrame | None = None) -> DataFrame:
     """Exact 1-based position of every row in the seeded order (SRT3).
 
     Equal to ``row_number() over (order by md5(seed:key), key)`` but spread
-    over up to 16**hex window partitions instead of one task."""
+    over up to 16**hex window partitions instead of one task. ``keys``: a frame
+    with the same keys that is cheaper to read, from which the rows per bucket
+    are counted (``df`` is read once then, which a Python step in it needs, as
+    such a step cannot be pruned)."""
     d = _with_hash(df, key, seed, hex_digits, order)
-    off = _bucket_offsets(d, hex_digits)
+    off = _bucket_offsets(d if keys is None else _with_hash(keys.select(key), key, seed, hex_digits, order), hex_digits)
     cols = ["_bk", "_off"] + (["_total"] if total_col else [])
     d = d.join(bounded_broadcast(off.select(*cols), 16 ** hex_digits), "_bk")
     w = Window.partitionBy("_bk").orderBy("_h", key)
@@ -104,9 +108,10 @@ def batch_id(rank: Column, batch_size: int = 32) -> Column:
 
 
 def with_batches(df: DataFrame, key: str, seed=DEFAULT_SEED, batch_size: int = 32,
-                 batch_col: str = "batch_id", hex_digits: int = RANK_HEX, order: str | None = None) -> DataFrame:
+                 batch_col: str = "batch_id", hex_digits: int = RANK_HEX, order: str | None = None,
+                 keys: DataFrame | None = None) -> DataFrame:
     """Ordered (seeded) loader batches as a column (SRC5)."""
-    r = hash_rank(df, key, seed, "row_pos", hex_digits, order=order)
+    r = hash_rank(df, key, seed, "row_pos", hex_digits, order=order, keys=keys)
     return r.withColumn(batch_col, batch_id(F.col("row_pos"), batch_size))
 
 

@@ -2,7 +2,11 @@
 window rank instead of buckets, unnested vectors instead of arrays, and
 long-form windows instead of wide arrays. Used only as a test oracle."""
 
-from roundlearn.operators.rounds import EMBEDDING_ROUNDS, config_sql
+from roundlearn.operators.gradient import RIDGE, descent_sql
+from roundlearn.operators.rounds import EMBEDDING_ROUNDS, config_sql, registry_rows
+
+DESCENT_STEPS = 200            # of the SQL twins of fitted heads: enough for ten digits at the curvatures used
+UNIT_CURVATURE = 0.5 * 2.001 + RIDGE      # features of length 1 and the constant
 
 
 def heads_ctes(rounds=EMBEDDING_ROUNDS, test="0.4") -> str:
@@ -27,9 +31,37 @@ heads AS (SELECT m.class, g.class_order, g.round, -0.5 * sum(m.mu * m.mu) AS bia
 """
 
 
-def fused_ctes(rounds=EMBEDDING_ROUNDS, zscore: str = "batch") -> str:
+def trained_ctes(rounds, kinds: dict[int, str]) -> str:
+    """CTEs mu_t and heads_t: trained heads of the softmax rounds (descents
+    over each round's training rows) beside the centroids of the others, and
+    the objective ``o<round>`` of each; no leading WITH, trailing comma."""
+    trained = [r for r in sorted({x[0] for x in registry_rows(rounds)}) if kinds.get(r) == "softmax"]
+    fits = ",\n".join(descent_sql(
+        f"SELECT s.key AS id, s.split, g.pos - 1 AS y FROM s JOIN reg g ON s.y = g.class WHERE g.round = {r} AND s.split = 'train'",
+        f"""SELECT s.key AS id, u.j, CAST(u.v AS DOUBLE) AS v FROM s JOIN reg g ON s.y = g.class,
+  (SELECT unnest(s.embedding) AS v, generate_subscripts(s.embedding, 1) AS j) u WHERE g.round = {r} AND s.split = 'train'
+  UNION ALL SELECT s.key, 0, 1.0 FROM s JOIN reg g ON s.y = g.class WHERE g.round = {r} AND s.split = 'train'""",
+        f"(SELECT count(*) FROM reg WHERE round = {r})", DESCENT_STEPS, UNIT_CURVATURE, name=str(r)) for r in trained)
+    of = ", ".join(map(str, trained)) or "-1"
+    weights = "".join(f"""
+  UNION ALL SELECT g.class, w.j, w.w FROM w{r} w JOIN reg g ON g.round = {r} AND g.pos = w.k + 1 WHERE w.t = {DESCENT_STEPS} AND w.j > 0""" for r in trained)
+    biases = "".join(f"""
+  UNION ALL SELECT g.class, g.class_order, g.round, w.w FROM w{r} w JOIN reg g ON g.round = {r} AND g.pos = w.k + 1
+  WHERE w.t = {DESCENT_STEPS} AND w.j = 0""" for r in trained)
+    return f"""{fits},
+mu_t AS (SELECT mu.class, mu.dim, mu.mu FROM mu JOIN reg g ON mu.class = g.class WHERE g.round NOT IN ({of}){weights}),
+heads_t AS (SELECT class, class_order, round, bias FROM heads WHERE round NOT IN ({of}){biases}),
+"""
+
+
+def fused_ctes(rounds=EMBEDDING_ROUNDS, zscore: str = "batch", kinds: dict[int, str] | None = None) -> str:
     """CTEs through ``zz`` (long scores with z) and ``pr`` (key, y, pred),
     ``lo`` (per-row loss); no leading WITH, trailing comma."""
+    if kinds is not None:
+        base = fused_ctes(rounds, zscore)
+        head = heads_ctes(rounds)
+        rest = base[len(head):].replace("JOIN mu m ", "JOIN mu_t m ").replace("JOIN heads h ", "JOIN heads_t h ").replace("FROM heads)", "FROM heads_t)")
+        return head + trained_ctes(rounds, kinds) + rest
     part = {"batch": "PARTITION BY t.batch_id, t.hclass", "global": "PARTITION BY t.hclass",
             "row": "PARTITION BY t.key", "none": None}[zscore]
     zexpr = ("t.logit" if part is None else
@@ -53,8 +85,15 @@ lo AS (SELECT z.key, ln(sum(exp(z.z - l.m))) + l.m - max(CASE WHEN z.class = z.y
 """
 
 
-def evaluate_rounds_sql(rounds=EMBEDDING_ROUNDS, zscore: str = "batch") -> str:
-    return f"""WITH {fused_ctes(rounds, zscore)}
+def trained_rounds_sql(rounds, kinds: dict[int, str]) -> str:
+    fit = "".join(f"""UNION ALL SELECT 'fit', '{r}', NULL, 'objective', round(objective, 4) FROM o{r} WHERE t = {DESCENT_STEPS}
+UNION ALL SELECT 'fit', '{r}', NULL, 'converged', 1.0
+""" for r in sorted(kinds) if kinds[r] == "softmax")
+    return evaluate_rounds_sql(rounds, "batch", kinds) + fit
+
+
+def evaluate_rounds_sql(rounds=EMBEDDING_ROUNDS, zscore: str = "batch", kinds: dict[int, str] | None = None) -> str:
+    return f"""WITH {'RECURSIVE ' if kinds is not None else ''}{fused_ctes(rounds, zscore, kinds)}
 conf AS (SELECT y, pred, count(*) AS n FROM pr GROUP BY y, pred),
 sup AS (SELECT y AS class, sum(n) AS support FROM conf GROUP BY y),
 pp AS (SELECT pred AS class, sum(n) AS pp FROM conf GROUP BY pred),

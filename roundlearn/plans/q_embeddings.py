@@ -14,8 +14,8 @@ from roundlearn.operators import sampling as S
 from roundlearn.operators.heads import class_names, collect_heads
 from roundlearn.plans.common import r6
 from roundlearn.plans.evaluate import evaluate_rounds as _evaluate_rounds
-from roundlearn.plans.evaluate import fused_scores, prepare
-from roundlearn.plans.oracle_evaluate import evaluate_rounds_sql, fused_ctes, heads_ctes
+from roundlearn.plans.evaluate import fused_blocks, fused_scores, prepare
+from roundlearn.plans.oracle_evaluate import evaluate_rounds_sql, fused_ctes, heads_ctes, trained_rounds_sql
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import r6 as s6
 from roundlearn.session import checked_broadcast, small_local
@@ -144,17 +144,19 @@ def experiment_setup(spark, d):
     rows each round's head sees."""
     reg = RD.registry(RD.config_table(spark, ER))
     s = S.split(emb(spark, d), "key", test=0.4).where(F.col("split") == "train")
-    cnt = RD.known_rows(s, reg, "y", 9).groupBy(F.col("y").alias("class")).agg(F.count(F.lit(1)).alias("train_rows"))
+    cnt = RD.known_rows(s, reg, "y").groupBy(F.col("y").alias("class")).agg(F.count(F.lit(1)).alias("train_rows"))
     return reg.join(cnt, "class", "left").fillna(0, ["train_rows"]).select("round", "pos", "class", "train_rows")
 
 
+MIXED = {0: "softmax", 1: "centroid", 2: "softmax", 3: "centroid"}
+
+
 # ------------------------------------------------------------- heads
 
 def _heads(spark, d, rounds=ER):
     reg = RD.registry(RD.config_table(spark, rounds))
     s = S.split(emb(spark, d), "key", test=0.4)
-    n = sum(len(c) for _, c in rounds)
-    return RD.round_heads(s.where(F.col("split") == "train"), reg, "y", "embedding", n)
+    return RD.round_heads(s.where(F.col("split") == "train"), reg, "y", "embedding")
 
 
 @query("base_head_centroid", f"""WITH {heads_ctes()} x AS (SELECT 1)
@@ -173,14 +175,14 @@ def round_head(spark, d):
     classes only (a semi join on the registry)."""
     reg = RD.registry(RD.config_table(spark, ER)).where(F.col("round") == 2)
     s = S.split(emb(spark, d), "key", test=0.4).where(F.col("split") == "train")
-    h = RD.round_heads(s, reg, "y", "embedding", 2)
+    h = RD.round_heads(s, reg, "y", "embedding")
     return h.select("class", "n_train", r6(F.col("bias")).alias("bias"))
 
 
 # ------------------------------------------------------ scoring/fusion
 
 def _long(spark, d, zscore, col):
-    t, heads, _ = fused_scores(spark, emb(spark, d), ER, zscore)
+    t, heads, _ = fused_scores(spark, emb(spark, d), ER, zscore, batches=zscore == "batch")
     names = class_names(heads)
     long = fusion.to_long(t, ["key"], names, col, "v")
     return long.select(F.col("key").alias("vec_id"), "class", r6(F.col("v")).alias(col))
@@ -208,8 +210,9 @@ def zscore_global(spark, d):
 
 @query("batch_id", f"WITH {fused_ctes(ER, 'none')} x AS (SELECT 1) SELECT key AS vec_id, CAST(batch_id AS INTEGER) AS batch_id FROM tb")
 def batch_id(spark, d):
-    t, _, _ = fused_scores(spark, emb(spark, d), ER, "none")
-    return t.select(F.col("key").alias("vec_id"), "batch_id")
+    reg = RD.registry_frame(spark, ER)
+    s = S.split(emb(spark, d), "key", test=0.4).where(F.col("split") == "test")
+    return S.with_batches(RD.known_rows(s, reg, "y").select("key"), "key").select(F.col("key").alias("vec_id"), "batch_id")
 
 
 @query("argmax_class", f"WITH {fused_ctes(ER, 'batch')} x AS (SELECT 1) SELECT key AS vec_id, pred FROM pr")
@@ -225,11 +228,21 @@ def fused_predict(spark, d):
     return t.select(F.col("key").alias("vec_id"), "y", "batch_id", "pred")
 
 
+@query("fused_predict_blocks", f"""WITH {fused_ctes(ER, 'batch')} x AS (SELECT 1)
+  SELECT p.key AS vec_id, p.y, CAST(b.batch_id AS INTEGER) AS batch_id, p.pred, {s6('l.loss')} AS loss
+  FROM pr p JOIN tb b ON p.key = b.key LEFT JOIN lo l ON p.key = l.key""")
+def fused_predict_blocks(spark, d):
+    """JN8/ML6 for any number of classes, here by blocks of four heads: the
+    best score, the first in class order, and the loss over all blocks."""
+    t, _ = fused_blocks(spark, emb(spark, d), ER, block=4)
+    return t.select(F.col("key").alias("vec_id"), "y", "batch_id", "pred", r6(F.col("loss")).alias("loss"))
+
+
 @query("known_classes_only", f"WITH {fused_ctes(ER, 'none')} x AS (SELECT 1) SELECT key AS vec_id, y FROM te")
 def known_classes_only(spark, d):
     reg = RD.registry(RD.config_table(spark, ER))
     s = S.split(emb(spark, d), "key", test=0.4).where(F.col("split") == "test")
-    return RD.known_rows(s, reg, "y", 9).select(F.col("key").alias("vec_id"), "y")
+    return RD.known_rows(s, reg, "y").select(F.col("key").alias("vec_id"), "y")
 
 
 @query("concat_batches", f"""WITH {fused_ctes(ER, 'batch')} x AS (SELECT 1) SELECT 'batch' AS run, key AS vec_id, pred FROM pr
@@ -259,7 +272,7 @@ def score_matrix(spark, d):
 @query("score_stats", f"""WITH {fused_ctes(ER, 'none')} x AS (SELECT 1)
   SELECT class, {s6('avg(logit)')} AS mean, {s6('stddev_pop(logit)')} AS std, {s6('max(logit)')} AS max FROM zz GROUP BY class""")
 def score_stats(spark, d):
-    t, heads, _ = fused_scores(spark, emb(spark, d), ER, "none")
+    t, heads, _ = fused_scores(spark, emb(spark, d), ER, "none", batches=False)
     lg = F.col("logits")            # unrounded; one partial aggregate of 3K numbers, no explode
     lines = F.array(*[F.struct(F.lit(str(h["class"])).alias("class"), r6(F.avg(lg[i])).alias("mean"),
                                r6(F.stddev_pop(lg[i])).alias("std"), r6(F.max(lg[i])).alias("max")) for i, h in enumerate(heads)])
@@ -277,6 +290,20 @@ def evaluate_rounds_global(spark, d):
     return _evaluate_rounds(spark, table(spark, d, "embeddings"), ER, "global")
 
 
+@query("evaluate_rounds_trained", trained_rounds_sql(ER, {0: "softmax", 1: "softmax", 2: "softmax", 3: "softmax"}))
+def evaluate_rounds_trained(spark, d):
+    """ML2/ML6/ML7 with trained heads: a softmax head for every round over
+    its new classes, all fitted to the tolerance, fused and evaluated."""
+    return _evaluate_rounds(spark, table(spark, d, "embeddings"), ER, "batch", kinds={})
+
+
+@query("evaluate_rounds_mixed", trained_rounds_sql(ER, MIXED))
+def evaluate_rounds_mixed(spark, d):
+    """The fusion of heads of two kinds: trained ones in rounds 0 and 2,
+    centroids in the others."""
+    return _evaluate_rounds(spark, table(spark, d, "embeddings"), ER, "batch", kinds=MIXED)
+
+
 # ----------------------------------------------------- python scoring
 
 @query("batch_score", f"""WITH {fused_ctes(ER, 'none')} x AS (SELECT 1)
@@ -292,7 +319,7 @@ def batch_score(spark, d):
     bias = np.array([float(h["bias"]) for h in heads])
     reg = RD.registry(RD.config_table(spark, ER))
     s = S.split(emb(spark, d), "key", test=0.4).where(F.col("split") == "test")
-    rows = RD.known_rows(s, reg, "y", 9).select("key", "embedding")
+    rows = RD.known_rows(s, reg, "y").select("key", "embedding")
 
     def score(batches):
         for pdf in batches:

@@ -559,26 +559,3 @@ def row_lambda(spark, d):
     e = encoded(spark, d)
     return e.select("event_id", C.row_to_text(e, ["user_id", "value", "props"]).alias("text"),
                     F.array_join(C.label_pair(F.col("type_id"), F.col("label_id")), ",").alias("pair"))
-
-
-@query("text_label_head", f"""WITH tp0 AS (SELECT lower(trim(CAST(t.id AS VARCHAR))) AS y,
-     lower(trim(coalesce(CAST(p.id AS VARCHAR), x.pred))) AS pred
-   FROM {PREDS_SQL} x JOIN {DICT_TYPE_SQL} t ON x.y = t.label LEFT JOIN {DICT_TYPE_SQL} p ON x.pred = p.label),
-  {prf_ctes('tp0')}
-  SELECT {s6('100.0 * (SELECT avg(CAST(y = pred AS DOUBLE)) FROM tp0)')} AS accuracy, {s6('avg(precision)')} AS precision,
-         {s6('avg(recall)')} AS recall, {s6('avg(f1)')} AS f1 FROM pcm""")
-def text_label_head(spark, d):
-    """ML5: class ids predicted as text, scored in string space over the open
-    universe (a prediction may be no id at all)."""
-    p = preds(spark, d)
-    dic = L.fit_dictionary(events(spark, d), ["event_type"])
-    p = L.encode(p.withColumnRenamed("y", "event_type"), dic, "event_type", "y_id")
-    pd_ = L.dictionary_for(dic, "event_type").withColumnRenamed("label", "pred").withColumnRenamed("id", "p_id")
-    p = p.join(checked_broadcast(pd_), "pred", "left")
-    t = p.select(C.normalise_text(C.label_text_id(F.col("y_id"))).alias("y"),
-                 C.normalise_text(F.coalesce(C.label_text_id(F.col("p_id")), F.col("pred"))).alias("pred"))
-    t = small_local(t.groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n")))
-    pc = M.per_class(t)
-    # accuracy = sum(tp) / sum(support) over the universe: one aggregate, no join
-    return pc.agg(r6(F.lit(100.0) * F.sum("tp") / F.sum("support")).alias("accuracy"),
-                  *[r6(F.avg(m)).alias(m) for m in ("precision", "recall", "f1")])

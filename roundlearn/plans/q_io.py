@@ -59,7 +59,7 @@ def _round_heads_long(spark, d):
     cfg = RD.config_table(spark, RD.EMBEDDING_ROUNDS)
     reg = RD.registry(cfg)
     s = S.split(prepare(table(spark, d, "embeddings")), "key", test=0.4)
-    h = RD.round_heads(s.where(F.col("split") == "train"), reg, "y", "embedding", 9)
+    h = RD.round_heads(s.where(F.col("split") == "train"), reg, "y", "embedding")
     return reg, h
 
 

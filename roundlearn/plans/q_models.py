@@ -1,22 +1,25 @@
 """Trainable heads and cross-dataset evaluation.
 
-Centroid heads have a closed form; the trainable heads take a fixed number of
-full-batch gradient steps (operators/gradient.py), so both have an exact SQL
-twin."""
+Centroid heads have a closed form. Trainable heads minimise a penalised loss
+with one minimum to a tolerance (operators/gradient.py), so any other way to it
+is a twin: the SQL takes a fixed number of descent steps, enough for the four
+digits that are compared."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roundlearn.operators import fusion, gradient
+from roundlearn.functions import columns as C
+from roundlearn.operators import fusion, gradient, text_features
 from roundlearn.operators import labels as L
 from roundlearn.operators import metrics as M
 from roundlearn.operators import rounds as RD
 from roundlearn.operators import sampling as S
-from roundlearn.operators.gradient import gradient_sql, predictions_sql
-from roundlearn.operators.heads import centroid_heads, class_names, collect_heads, logistic_head, score_wide
-from roundlearn.plans.common import DOC_LABELS_SQL, doc_labels, events, r6
-from roundlearn.plans.oracle_evaluate import heads_ctes
+from roundlearn.operators.gradient import Objective, descent_sql, epochs_sql, predictions_sql
+from roundlearn.operators.heads import centroid_heads, class_names, collect_heads, score_wide
+from roundlearn.plans.common import events, r6
+from roundlearn.plans.oracle_evaluate import DESCENT_STEPS, UNIT_CURVATURE, heads_ctes
+from roundlearn.plans.q_documents import TOK_SQL
 from roundlearn.plans.q_events import REMAP, remapped
 from roundlearn.plans.q_io import SPLIT_TS
 from roundlearn.plans.registry import query
@@ -113,7 +116,7 @@ def rounds_loop(spark, d):
         if not new:
             continue                                    # no round number burnt
         reg = local_frame(spark, [(nxt, i + 1, c) for i, c in enumerate(new)], "round int, pos int, class string")
-        h = RD.round_heads(train, reg, "y", "embedding", len(new))     # Spark job: this round's rows only
+        h = RD.round_heads(train, reg, "y", "embedding")     # Spark job: this round's rows only
         sinks.save_heads(h.select("round", "class", "n_train", F.posexplode("mu").alias("dim", "value")), path)
         known.update(new)
         nxt += 1
@@ -125,9 +128,6 @@ def rounds_loop(spark, d):
 
 # ------------------------------------------------------ trainable heads
 
-STEPS = 10            # gradient steps of every trainable head below
-
-
 def _prf_cells(conf, keys):
     """(keys, class, tp, pp, support, precision, recall, f1) from counts
     (keys, y, pred, n): every true and every predicted class has its row."""
@@ -167,72 +167,81 @@ BASE_DIMS = """SELECT vec_id AS id, u.j, CAST(u.v AS DOUBLE) AS v FROM embedding
   WHERE label IN (0, 1, 2) UNION ALL SELECT vec_id, 0, 1.0 FROM embeddings WHERE label IN (0, 1, 2)"""
 
 
-@query("base_head_logreg", f"""WITH {heads_ctes()} {gradient_sql(BASE_TRAIN, BASE_DIMS, "3", STEPS)}
-  SELECT id AS vec_id, CAST(y AS INTEGER) AS y, CAST(arg_max(k, (l, -k)) AS INTEGER) AS pred, {s6('max(l)')} AS logit
-  FROM p_{STEPS} WHERE split = 'test' GROUP BY id, y""")
+def r4(c):
+    return F.round(c.cast("double"), 4)
+
+
+def s4(expr):
+    return f"round(CAST({expr} AS DOUBLE), 4)"
+
+
+@query("base_head_logreg", f"""WITH RECURSIVE {heads_ctes()} {descent_sql(BASE_TRAIN, BASE_DIMS, "3", DESCENT_STEPS, UNIT_CURVATURE)}
+  SELECT id AS vec_id, CAST(y AS INTEGER) AS y, CAST(arg_max(k, (l, -k)) AS INTEGER) AS pred, {s4('max(l)')} AS logit,
+  {s4('(SELECT objective FROM o WHERE t = ' + str(DESCENT_STEPS) + ')')} AS objective, true AS converged
+  FROM l WHERE split = 'test' GROUP BY id, y""")
 def base_head_logreg(spark, d):
-    """ML1 trainable: multinomial logistic head on the round-0 classes, saved
-    to the shared folder and read back (SNK1/SRC4); predictions on the test
-    rows of those classes."""
+    """ML1 trainable: multinomial logistic head on the round-0 classes, fitted
+    to the tolerance, saved to the shared folder and read back (SNK1/SRC4);
+    predictions on the test rows of those classes, with the objective."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "label", "embedding")
     base = materialize(S.split(e, "key", test=0.4).where(F.col("label").isin(0, 1, 2)))
-    head = gradient.fit(base, "label", "embedding", 3, STEPS)
+    fit = gradient.fit(base.where(F.col("split") == "train"), [Objective("label", 3)], "embedding")
     path = scratch_path(spark, "softmax-round0")
-    sinks.save_heads(gradient.to_frame(spark, head, 0), path)
+    sinks.save_heads(gradient.to_frame(spark, fit.heads[0], 0), path)
     head = gradient.from_rows(sinks.load_heads(spark, path).where(F.col("round") == 0))
     p = gradient.predict(base.where(F.col("split") == "test"), head, "embedding", ["key", "label"])
-    return p.select(F.col("key").alias("vec_id"), F.col("label").cast("int").alias("y"), "pred",
-                    r6(F.array_max("logits")).alias("logit"))
+    return p.select(F.col("key").alias("vec_id"), F.col("label").cast("int").alias("y"), "pred", r4(F.array_max("logits")).alias("logit"),
+                    F.lit(round(fit.penalised(0), 4)).alias("objective"), F.lit(fit.converged).alias("converged"))
 
 
-def _doc_features(spark, d):
-    """One float for the length and a one-hot block as wide as the fitted
-    language dictionary."""
-    dl = doc_labels(spark, d)
-    langs = [r["label"] for r in L.fit_dictionary(dl, ["lang"]).orderBy("id").collect()]      # class-sized
-    return (dl.withColumn("f", F.array(F.log1p(F.col("n_chars").cast("double")) / 10.0,
-                                      *[F.coalesce((F.col("lang") == l).cast("double"), F.lit(0.0)) for l in langs]))
-              .select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"), "f"))
+def _labelled_texts(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    lab = table(spark, d, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    return docs.join(lab, "doc_id")
 
 
-_ML_DIMS = f"""SELECT doc_id AS id, 'bias' AS j, CAST(1.0 AS DOUBLE) AS v FROM {DOC_LABELS_SQL}
-  UNION ALL SELECT doc_id, 'length', ln(1.0 + n_chars) / 10.0 FROM {DOC_LABELS_SQL}
-  UNION ALL SELECT doc_id, 'lang:' || lang, 1.0 FROM {DOC_LABELS_SQL}"""
+_LABELLED = "(SELECT d.doc_id, d.text, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
+_TEXT_DIMS = text_features.vectors_sql("doc_id", TOK_SQL, _LABELLED)
 
 
 def _ml_rows(label):
     split = split_case_sql(rank_sql("doc_id"), "count(*) OVER ()", 0.4)
-    return f"SELECT doc_id AS id, {split} AS split, CAST({label} AS INTEGER) AS y FROM {DOC_LABELS_SQL}"
+    return f"SELECT doc_id AS id, {split} AS split, CAST({label} AS INTEGER) AS y FROM {_LABELLED}"
 
 
 def _ml_out(label):
-    src = predictions_sql(f"p{label}_{STEPS}", "split = 'test'")
+    src = predictions_sql(f"l{label}", "split = 'test'")
     return f"""SELECT '{label}' AS label_col, {s6('w.accuracy')} AS accuracy, {s6('c.precision')} AS precision, {s6('c.recall')} AS recall,
-  {s6('c.f1')} AS f1, {s6(f"(SELECT avg(loss) FROM {src})")} AS loss
+  {s6('c.f1')} AS f1, {s4(f"(SELECT avg(loss) FROM {src})")} AS loss, {s4(f"(SELECT objective FROM o{label} WHERE t = {DESCENT_STEPS})")} AS objective
   FROM {_weighted_sql(src, 'split')} w JOIN (SELECT * FROM {_cells_sql(src, 'split')} WHERE class = 1) c ON w.split = c.split"""
 
 
-@query("multilabel_heads", f"""WITH {", ".join(gradient_sql(_ml_rows(c), _ML_DIMS, "2", STEPS, name=c) for c in ("quality", "toxic"))}
+@query("multilabel_heads", f"""WITH RECURSIVE {", ".join(descent_sql(_ml_rows(c), _TEXT_DIMS, "2", DESCENT_STEPS, UNIT_CURVATURE, name=c) for c in ("quality", "toxic"))}
   {_ml_out("quality")} UNION ALL {_ml_out("toxic")}""")
 def multilabel_heads(spark, d):
-    """ML3: one binary logistic head per label column over the same stored
-    features; per-column binary metrics and loss on the test rows."""
-    s = materialize(S.split(_doc_features(spark, d), "doc_id", test=0.4))
+    """ML3: one binary logistic head per label column over the whole texts
+    (hashed sparse token vectors), both fitted in the same passes; per-column
+    binary metrics and loss on the test rows."""
+    s = S.split(_labelled_texts(spark, d), "doc_id", test=0.4)
+    s = materialize(text_features.text_vectors(s, "text", ["doc_id", "split", "quality", "toxic"]))
+    objectives = [Objective("quality", 2), Objective("toxic", 2)]
+    fit = gradient.fit(s.where(F.col("split") == "train"), objectives, "f", text_features.DIMS)
     out = None
-    for label in ("quality", "toxic"):
-        head = gradient.fit(s, label, "f", 2, STEPS)
-        conf = local_frame(spark, [("test", *c) for c in gradient.confusion_rows(head, "test")], CONF_SCHEMA)
+    for i, (o, seen) in enumerate(zip(objectives, gradient.evaluate(s, objectives, "f", fit.heads), strict=True)):
+        loss, cells = seen["test"]
+        conf = local_frame(spark, [("test", *c) for c in gradient.confusion_rows(cells)], CONF_SCHEMA)
         cells = _prf_cells(conf, ["split"])
         r = (_weighted(cells, ["split"]).join(cells.where("class = '1'").select("split", "precision", "recall", "f1"), "split")
-             .select(F.lit(label).alias("label_col"), *[r6(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
-                     r6(F.lit(head.history[-1]["test"][0])).alias("loss")))
+             .select(F.lit(o.label).alias("label_col"), *[r6(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
+                     r4(F.lit(loss)).alias("loss"), F.lit(round(fit.penalised(i), 4)).alias("objective")))
         out = r if out is None else out.unionByName(r)
     return out
 
 
 CONF_SCHEMA = "split string, y string, pred string, n bigint"
-_EV_DIMS = """SELECT event_id AS id, u.j, u.v FROM events, (SELECT unnest([1.0, value / 100.0,
+_EV_DIMS = """SELECT event_id AS id, u.j, u.v FROM events, (SELECT unnest([1.0, value / (value + 100.0),
   CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100.0]) AS v, unnest([0, 1, 2]) AS j) u"""
+EV_CURVATURE = 0.5 * 3.0 + gradient.RIDGE      # features in [0, 1] and the constant
 _EV_TYPES = "(SELECT event_type AS t, row_number() OVER (ORDER BY event_type) - 1 AS i FROM (SELECT DISTINCT event_type FROM events))"
 
 
@@ -241,39 +250,48 @@ def _ev_rows(label, val=None):
     return f"SELECT event_id AS id, {split} AS split, CAST({label} AS INTEGER) AS y FROM events JOIN {_EV_TYPES} ON event_type = t"
 
 
+def _saturating(df):
+    """Features in [0, 1]: a long-tailed value and a percentage."""
+    return df.withColumn("vec", F.array(F.col("value") / (F.col("value") + 100.0), F.col("props_k").cast("double") / 100.0))
+
+
 def _dual_out():
-    b, m = (predictions_sql(f"p{x}_{STEPS}", "split = 'test'") for x in ("bin", "mul"))
-    long = lambda head, cls, src, cols: (      # noqa: E731
-        f"SELECT '{head}' AS head, {cls} AS class, metric, {s6('value')} AS value FROM (SELECT * FROM {src}) UNPIVOT (value FOR metric IN ({cols}))")
+    b, m = (predictions_sql(f"l{x}", "split = 'test'") for x in ("bin", "mul"))
+    long = lambda head, cls, src, cols, cut=s6: (      # noqa: E731
+        f"SELECT '{head}' AS head, {cls} AS class, metric, {cut('value')} AS value FROM (SELECT * FROM {src}) UNPIVOT (value FOR metric IN ({cols}))")
     macro = f"(SELECT avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM {_cells_sql(m, 'split')})"
+    at = f"WHERE t = {DESCENT_STEPS}"
     loss = (f"(SELECT (SELECT avg(loss) FROM {b}) AS loss_binary, (SELECT avg(loss) FROM {m}) AS loss_multi, "
-            f"(SELECT avg(loss) FROM {b}) + (SELECT avg(loss) FROM {m}) AS loss_joint)")
+            f"(SELECT avg(loss) FROM {b}) + (SELECT avg(loss) FROM {m}) AS loss_joint, "
+            f"(SELECT objective FROM obin {at}) + (SELECT objective FROM omul {at}) AS train_objective)")
     w = "accuracy, weighted_precision, weighted_recall, weighted_f1"
     named = f"(SELECT c.precision, c.recall, c.f1, t.t FROM {_cells_sql(m, 'split')} c JOIN {_EV_TYPES} t ON c.class = t.i)"
     return " UNION ALL ".join([
         long("binary", "'1'", f"(SELECT precision, recall, f1 FROM {_cells_sql(b, 'split')} WHERE class = 1)", "precision, recall, f1"),
         long("binary", "NULL", _weighted_sql(b, "split"), w), long("multi", "t", named, "precision, recall, f1"),
         long("multi", "NULL", _weighted_sql(m, "split"), w), long("multi", "NULL", macro, "macro_precision, macro_recall, macro_f1"),
-        long("joint", "NULL", loss, "loss_binary, loss_multi, loss_joint")])
+        long("joint", "NULL", loss, "loss_binary, loss_multi, loss_joint, train_objective", s4)])
 
 
-@query("dual_head", f"""WITH {gradient_sql(_ev_rows("event_type = 'error'"), _EV_DIMS, "2", STEPS, name="bin")},
-  {gradient_sql(_ev_rows("i"), _EV_DIMS, f"(SELECT count(*) FROM {_EV_TYPES})", STEPS, name="mul")} {_dual_out()}""")
+@query("dual_head", f"""WITH RECURSIVE {descent_sql(_ev_rows("event_type = 'error'"), _EV_DIMS, "2", DESCENT_STEPS, EV_CURVATURE, name="bin")},
+  {descent_sql(_ev_rows("i"), _EV_DIMS, f"(SELECT count(*) FROM {_EV_TYPES})", DESCENT_STEPS, EV_CURVATURE, name="mul")} {_dual_out()}""")
 def dual_head(spark, d):
     """ML4: a binary head (error or not) and a multi-class head (event type)
-    over the same features. The features are frozen, so each head's part of
-    the summed loss has its own gradient. One report on the test rows: the
-    positive class, every event type, weighted and macro P/R/F1, both losses
-    and their sum."""
-    e = _vec(events(spark, d)).withColumn("is_error", (F.col("event_type") == "error").cast("int"))
+    over the same features, fitted jointly: the summed loss of both goes down
+    in the same passes. One report on the test rows: the positive class, every
+    event type, weighted and macro P/R/F1, both losses and their sum, and the
+    objective that was minimised."""
+    e = _saturating(events(spark, d)).withColumn("is_error", (F.col("event_type") == "error").cast("int"))
     dic = L.fit_dictionary(e, ["event_type"])
     e = L.encode(e, dic, "event_type", "type_id", unseen="keep")       # fitted on these rows: nothing is unseen
     s = materialize(S.split(e.select("event_id", "is_error", "type_id", "vec"), "event_id", test=0.4))
     names = [r["label"] for r in dic.orderBy("id").collect()]          # class-sized
+    objectives = [Objective("is_error", 2), Objective("type_id", len(names))]
+    fit = gradient.fit(s.where(F.col("split") == "train"), objectives, "vec")
     out, losses = [], {}
-    for head_name, label, k in (("binary", "is_error", 2), ("multi", "type_id", len(names))):
-        head = gradient.fit(s, label, "vec", k, STEPS)
-        conf = local_frame(spark, [("test", *c) for c in gradient.confusion_rows(head, "test")], CONF_SCHEMA)
+    for head_name, seen in zip(("binary", "multi"), gradient.evaluate(s, objectives, "vec", fit.heads), strict=True):
+        loss, counts = seen["test"]
+        conf = local_frame(spark, [("test", *c) for c in gradient.confusion_rows(counts)], CONF_SCHEMA)
         cells = _prf_cells(conf, ["split"])
         per = cells.where("class = '1'") if head_name == "binary" else cells.withColumn(
             "class", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("class").cast("int") + 1))
@@ -282,24 +300,31 @@ def dual_head(spark, d):
         if head_name == "multi":
             macro = cells.agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
             lines.append(_no_class(M.long_metrics(macro, [], ["macro_precision", "macro_recall", "macro_f1"])))
-        out += [x.withColumn("head", F.lit(head_name)) for x in lines]
-        losses[f"loss_{head_name}"] = head.history[-1]["test"][0]
-    losses["loss_joint"] = sum(losses.values())
-    out.append(local_frame(spark, [("joint", None, m, v) for m, v in losses.items()], "head string, class string, metric string, value double"))
-    all_rows = out[0].select("head", "class", "metric", "value")
+        out += [x.select(F.lit(head_name).alias("head"), "class", "metric", r6(F.col("value")).alias("value")) for x in lines]
+        losses[f"loss_{head_name}"] = loss
+    losses |= {"loss_joint": sum(losses.values()), "train_objective": fit.objective[-1]}
+    out.append(local_frame(spark, [("joint", None, m, round(v, 4)) for m, v in losses.items()],
+                           "head string, class string, metric string, value double"))
+    all_rows = out[0]
     for x in out[1:]:
-        all_rows = all_rows.unionByName(x.select("head", "class", "metric", "value"))
-    return all_rows.withColumn("value", r6(F.col("value")))
+        all_rows = all_rows.unionByName(x)
+    return all_rows
 
 
 def _no_class(long):
     return long.withColumn("class", F.lit(None).cast("string"))
 
 
+EPOCH_CHANGE = 1e-7       # relative change of the objective that ends the epochs
+EPOCH_MOST = 80           # epochs that the SQL twin computes
+
+
 def _epoch_sql():
-    preds = "(" + " UNION ALL ".join(f"SELECT {t} AS epoch, split, y, pred, loss FROM {predictions_sql(f'p_{t}')}" for t in range(STEPS + 1)) + ")"
-    return f"""WITH {gradient_sql(_ev_rows("i", 0.2), _EV_DIMS, f"(SELECT count(*) FROM {_EV_TYPES})", STEPS)},
-  pe AS MATERIALIZED {preds}
+    ctes = epochs_sql(descent_sql(_ev_rows("i", 0.2), _EV_DIMS, f"(SELECT count(*) FROM {_EV_TYPES})", EPOCH_MOST, EV_CURVATURE), EPOCH_MOST)
+    return f"""WITH RECURSIVE {ctes},
+  stop AS (SELECT min(t) AS last FROM (SELECT t, objective, lag(objective) OVER (ORDER BY t) AS was FROM o)
+           WHERE abs(objective - was) <= {EPOCH_CHANGE!r} * abs(objective)),
+  pe AS MATERIALIZED (SELECT t AS epoch, split, y, pred, loss FROM {predictions_sql('l', 't <= (SELECT last FROM stop)', 't, id, split, y')})
   SELECT 'run0' AS run, CAST(epoch AS INTEGER) AS epoch, split, metric, {s6('value')} AS value FROM
   (SELECT w.*, l.loss FROM {_weighted_sql('pe', 'epoch, split')} w JOIN (SELECT epoch, split, avg(loss) AS loss FROM pe GROUP BY ALL) l
    ON w.epoch = l.epoch AND w.split = l.split)
@@ -310,13 +335,14 @@ def _epoch_sql():
 def epoch_metrics(spark, d):
     """ML12: loss, accuracy and weighted P/R/F1 of the multi-class head on
     each split before the first step (epoch 0) and after every full-batch
-    step, as a history table ``(run, epoch, split, metric, value)``."""
-    e = _vec(events(spark, d))
+    step with momentum, until the objective changes by at most ``EPOCH_CHANGE``
+    of itself, as a history table ``(run, epoch, split, metric, value)``."""
+    e = _saturating(events(spark, d))
     dic = L.fit_dictionary(e, ["event_type"])
     e = L.encode(e, dic, "event_type", "type_id", unseen="keep")       # fitted on these rows: nothing is unseen
     s = materialize(S.split(e.select("event_id", "type_id", "vec"), "event_id", test=0.4, val=0.2))
-    head = gradient.fit(s, "type_id", "vec", dic.count(), STEPS)
-    seen = [(t, split, loss, y, p, n) for t, at in enumerate(head.history) for split, (loss, cells) in at.items()
+    fit = gradient.descend(s, Objective("type_id", dic.count()), "vec", EV_CURVATURE, change=EPOCH_CHANGE)
+    seen = [(t, split, loss, y, p, n) for t, at in enumerate(fit.epochs) for split, (loss, cells) in at.items()
             for (y, p), n in cells.items()]                            # epochs x splits x classes^2 counts
     conf = local_frame(spark, [(t, sp, loss, str(y), str(p), int(n)) for t, sp, loss, y, p, n in seen],
                        "epoch int, split string, loss double, y string, pred string, n bigint")
@@ -326,32 +352,56 @@ def epoch_metrics(spark, d):
         "value", r6(F.col("value")))
 
 
-CONVERGED = 1e-6      # relative change of the objective at which a fit ends
-MAX_ITERATIONS = 500
-
-
-@query("head_convergence")
+_LANG_IDS = """(SELECT lang, CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS i FROM
+  (SELECT DISTINCT lang FROM documents WHERE doc_id IN (SELECT id FROM sp WHERE split = 'train') AND lang IS NOT NULL))"""
+_TEXT_ROWS = f"SELECT doc_id AS id, {split_case_sql(rank_sql('doc_id'), 'count(*) OVER ()', 0.4)} AS split FROM documents"
+
+
+@query("text_label_head", f"""WITH RECURSIVE sp AS MATERIALIZED ({_TEXT_ROWS}), ids AS MATERIALIZED {_LANG_IDS},
+  {descent_sql("SELECT sp.id, sp.split, g.i AS y FROM sp JOIN documents d ON sp.id = d.doc_id JOIN ids g ON d.lang = g.lang",
+               text_features.vectors_sql("doc_id", TOK_SQL, "documents"), "(SELECT count(*) FROM ids)", DESCENT_STEPS, UNIT_CURVATURE)},
+  tp0 AS (SELECT lower(trim(CAST(y AS VARCHAR))) AS y, lower(trim(CAST(pred AS VARCHAR))) AS pred FROM {predictions_sql('l', "split = 'test'")}),
+  {prf_ctes('tp0')}
+  SELECT {s6('100.0 * (SELECT avg(CAST(y = pred AS DOUBLE)) FROM tp0)')} AS accuracy, {s6('avg(precision)')} AS precision,
+         {s6('avg(recall)')} AS recall, {s6('avg(f1)')} AS f1, {s4(f'(SELECT objective FROM o WHERE t = {DESCENT_STEPS})')} AS objective FROM pcm""")
+def text_label_head(spark, d):
+    """ML5: a head over whole texts that says the class id as text. The
+    dictionary is fitted on the training part only, ids are written as text,
+    the head is trained to the tolerance on sparse token vectors, and its
+    predictions are scored as strings over the universe of true and predicted
+    ids (JN5). Test rows of labels that training has not seen are not scored."""
+    s = S.split(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id", test=0.4)
+    dic = L.fit_dictionary(s.where(F.col("split") == "train"), ["lang"])
+    s = L.encode(s, dic, "lang", "y_id", unseen="skip")
+    s = materialize(text_features.text_vectors(s, "text", ["split", "y_id"]))
+    fit = gradient.fit(s.where(F.col("split") == "train"), [Objective("y_id", dic.count())], "f", text_features.DIMS)
+    p = gradient.predict(s.where(F.col("split") == "test"), fit.heads[0], "f", ["y_id"])
+    t = p.select(C.normalise_text(C.label_text_id(F.col("y_id"))).alias("y"), C.normalise_text(C.label_text_id(F.col("pred"))).alias("pred"))
+    t = small_local(t.groupBy("y", "pred").agg(F.count(F.lit(1)).alias("n")))
+    pc = M.per_class(t)
+    # accuracy = sum(tp) / sum(support) over the universe: one aggregate, no join
+    return pc.agg(r6(F.lit(100.0) * F.sum("tp") / F.sum("support")).alias("accuracy"),
+                  *[r6(F.avg(m)).alias(m) for m in ("precision", "recall", "f1")], F.lit(round(fit.penalised(0), 4)).alias("objective"))
+
+
+@query("head_convergence", f"""WITH RECURSIVE {heads_ctes()} {descent_sql(BASE_TRAIN, BASE_DIMS, "3", DESCENT_STEPS, UNIT_CURVATURE, name="base")},
+  {descent_sql(_ev_rows("event_type = 'error'"), _EV_DIMS, "2", DESCENT_STEPS, EV_CURVATURE, name="bin")},
+  {descent_sql(_ev_rows("i"), _EV_DIMS, f"(SELECT count(*) FROM {_EV_TYPES})", DESCENT_STEPS, EV_CURVATURE, name="mul")}
+  {" UNION ALL ".join(f"SELECT '{n}' AS head, true AS converged, {s4('loss')} AS loss, {s4('objective')} AS objective FROM o{o} WHERE t = {DESCENT_STEPS}"
+                      for n, o in (("base", "base"), ("binary", "bin"), ("multi", "mul")))}""")
 def head_convergence(spark, d):
-    """The heads above fitted by MLlib (L-BFGS) until the objective changes by
-    less than ``CONVERGED``, beside their ``STEPS`` gradient steps: iterations,
-    last change, and the training loss of both fits."""
+    """How the fits of the trained heads ended: whether the gradient reached
+    the tolerance, the loss and the objective on the training rows."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").alias("y"), "embedding")
-    base = S.split(e, "key", test=0.4).where(F.col("y").isin(0, 1, 2)).withColumnRenamed("embedding", "f")
-    docs = S.split(_doc_features(spark, d), "doc_id", test=0.4)
-    ev = _vec(events(spark, d)).withColumn("is_error", (F.col("event_type") == "error").cast("int"))
+    base = S.split(e, "key", test=0.4).where(F.col("y").isin(0, 1, 2))
+    ev = _saturating(events(spark, d)).withColumn("is_error", (F.col("event_type") == "error").cast("int"))
     dic = L.fit_dictionary(ev, ["event_type"])
-    ev = L.encode(ev, dic, "event_type", "type_id", unseen="keep").withColumnRenamed("vec", "f")
-    ev = S.split(ev.select("event_id", "is_error", "type_id", "f"), "event_id", test=0.4)
+    ev = L.encode(ev, dic, "event_type", "type_id", unseen="keep")
+    ev = S.split(ev.select("event_id", "is_error", "type_id", "vec"), "event_id", test=0.4)
     out = []
-    for head, rows, label, k in (("base", base, "y", 3), ("quality", docs, "quality", 2), ("toxic", docs, "toxic", 2),
-                                 ("binary", ev, "is_error", 2), ("multi", ev, "type_id", dic.count())):
-        rows = materialize(rows.where((F.col("split") == "train") & F.col("f").isNotNull() & F.col(label).between(0, k - 1))
-                           .select("split", label, "f"))
-        few = gradient.fit(rows, label, "f", k, STEPS)
-        objective = list(logistic_head(rows, label, "f", max_iter=MAX_ITERATIONS, tol=CONVERGED).summary.objectiveHistory)
-        change = objective[-1] - objective[-2] if len(objective) > 1 else 0.0
-        done = abs(change) <= CONVERGED * max(abs(objective[-1]), abs(objective[-2])) if len(objective) > 1 else True
-        out.append((head, len(objective) - 1, len(objective) - 1 < MAX_ITERATIONS or done, float(change), float(objective[-1]),
-                    STEPS, few.loss_change(), few.history[-1]["train"][0]))
-    return local_frame(spark, out, "head string, iterations int, converged boolean, last_change double, loss double, "
-                                   "steps int, steps_last_change double, steps_loss double")
+    for names, rows, vec, objectives in (
+            (["base"], base, "embedding", [Objective("y", 3)]),
+            (["binary", "multi"], ev, "vec", [Objective("is_error", 2), Objective("type_id", dic.count())])):
+        fit = gradient.fit(materialize(rows.where(F.col("split") == "train")), objectives, vec)
+        out += [(n, fit.converged, round(fit.losses[i], 4), round(fit.penalised(i), 4)) for i, n in enumerate(names)]
+    return local_frame(spark, out, "head string, converged boolean, loss double, objective double")

@@ -36,7 +36,7 @@ def evaluate_stream(spark, d):
     data = prepare(static)
     bounds = S.split_bounds(data, "key", test=0.4)
     train = S.with_order_key(data, "key").where(S.split_label("key", bounds) == "train")
-    heads = collect_heads(RD.round_heads(train, RD.registry_frame(spark, RD.EMBEDDING_ROUNDS), "y", "embedding", 9))
+    heads = collect_heads(RD.round_heads(train, RD.registry_frame(spark, RD.EMBEDDING_ROUNDS), "y", "embedding"))
     stream = table_stream(spark, d, "embeddings", max_files=64)
     stream = stream.select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("y"), "embedding")
     known = [c for _, _, c, _ in RD.registry_rows(RD.EMBEDDING_ROUNDS)]

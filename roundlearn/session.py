@@ -155,6 +155,9 @@ def local_frame(spark: SparkSession, rows, schema) -> DataFrame:
     confusion cells)."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
+    rows = list(rows)
+    if len(rows) > LOCAL_ROWS:                  # too many to write out as a constant
+        return spark.createDataFrame([tuple(r) for r in rows], schema)
     names = [f.name for f in schema.fields]
     cols = ", ".join(f"CAST(c{i} AS {f.dataType.simpleString()}) AS `{f.name}`" for i, f in enumerate(schema.fields))
     aliases = ", ".join(f"c{i}" for i in range(len(names)))

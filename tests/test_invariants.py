@@ -99,8 +99,8 @@ def test_earlier_heads_do_not_change_when_a_round_is_added(spark):
     from roundlearn.plans.evaluate import prepare
     e = prepare(table(spark, SF_SMALL, "embeddings"))
     train = S.split(e, "key").where("split = 'train'")
-    two = RD.round_heads(train, RD.registry_frame(spark, RD.EMBEDDING_ROUNDS[:2]), "y", "embedding", 5)
-    four = RD.round_heads(train, RD.registry_frame(spark, RD.EMBEDDING_ROUNDS), "y", "embedding", 9)
+    two = RD.round_heads(train, RD.registry_frame(spark, RD.EMBEDDING_ROUNDS[:2]), "y", "embedding")
+    four = RD.round_heads(train, RD.registry_frame(spark, RD.EMBEDDING_ROUNDS), "y", "embedding")
     a = {r["class"]: r["bias"] for r in two.collect()}
     b = {r["class"]: r["bias"] for r in four.collect()}
     assert all(b[c] == pytest.approx(a[c], abs=1e-12) for c in a)

@@ -62,41 +62,6 @@ def test_infer_types(spark):
     assert got == {"i": "bigint", "gap": "double", "f": "double", "b": "boolean", "t": "string", "none": "double"}
 
 
-def _plain_fit(x, y, k, steps, rate):
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros((k, x1.shape[1]))
-    for _ in range(steps):
-        z = np.exp(x1 @ w.T)
-        w -= rate * (z / z.sum(axis=1, keepdims=True) - np.eye(k)[y]).T @ x1 / len(x)
-    return w
-
-
-def test_gradient_head_equals_plain_numpy_and_loss_falls(spark):
-    rng = np.random.default_rng(3)
-    y = rng.integers(0, 3, 300)
-    x = rng.normal(size=(300, 4)) + np.eye(4)[y] * 2
-    rows = [("train" if i % 3 else "test", int(c), [float(v) for v in r]) for i, (c, r) in enumerate(zip(y, x))]
-    odd = [("train", 1, None), ("train", None, [1.0] * 4), ("train", 7, [1.0] * 4)]      # take no part
-    df = spark.createDataFrame(rows + odd, "split string, y int, v array<double>").repartition(5)
-    head = gradient.fit(df, "y", "v", 3, 6)
-    keep = np.arange(300) % 3 > 0
-    assert np.allclose(head.weights, _plain_fit(x[keep], y[keep], 3, 6, 0.5), atol=1e-9)
-    losses = [h["train"][0] for h in head.history]
-    assert math.isclose(losses[0], math.log(3)) and all(b < a for a, b in zip(losses, losses[1:])) and head.loss_change() < 0
-    assert sum(n for _, _, n in gradient.confusion_rows(head, "test")) == 100
-    got = gradient.predict(df.where("v is null or split = 'test'"), head, "v", ["y"]).collect()
-    assert sum(r["pred"] is None for r in got) == 1 and sum(r["pred"] == r["y"] for r in got) > 75
-    back = gradient.from_rows(gradient.to_frame(spark, head, 0))
-    assert np.array_equal(back.weights, head.weights)
-
-
-def test_no_training_rows_gives_zero_weights(spark):
-    df = spark.createDataFrame([("test", 0, [1.0])], "split string, y int, v array<double>")
-    head = gradient.fit(df, "y", "v", 2, 2)
-    assert not head.weights.any() and "train" not in head.history[-1]
-    assert gradient.fit(df.where("false"), "y", "v", 2, 1).history == [{}, {}]
-
-
 def test_no_vector_crosses_an_exchange(spark):
     import __spark_entry__ as E
     plan = E.queries()["fused_predict"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
@@ -106,13 +71,3 @@ def test_no_vector_crosses_an_exchange(spark):
         assert "embedding" not in m.group(1)
     above = plan[:plan.index("MapInPandas")]
     assert "embedding" not in above
-
-
-def test_head_convergence_is_reported(spark):
-    from roundlearn.plans import q_models
-    got = {r["head"]: r for r in q_models.head_convergence(spark, "/root/testdata/sf0.01").collect()}
-    assert set(got) == {"base", "quality", "toxic", "binary", "multi"}
-    for r in got.values():
-        assert r.converged and r.iterations >= 1 and r.steps == q_models.STEPS
-        assert r.loss <= r.steps_loss + 1e-9                    # the converged fit is no worse on its own training rows
-    assert got["base"].loss < got["base"].steps_loss - 0.01     # ten steps leave the base head hardly trained
