@@ -345,15 +345,15 @@ def descent_sql(rows: str, dims: str, n_classes: str, steps: int, curvature: flo
     r, x, w = f"rw{name}", f"xs{name}", f"w{name}"
     rate, beta = momentum(curvature, ridge)
     return f"""{r} AS MATERIALIZED ({rows}), {x} AS MATERIALIZED ({dims}),
-tr{name} AS MATERIALIZED (SELECT x.* FROM {x} x JOIN {r} r ON x.id = r.id WHERE r.split = 'train'),
+fit{name} AS MATERIALIZED (SELECT x.* FROM {x} x JOIN {r} r ON x.id = r.id WHERE r.split = 'train'),
 {w} AS (SELECT 0 AS t, k, j, CAST(0.0 AS DOUBLE) AS w, CAST(0.0 AS DOUBLE) AS was
   FROM (SELECT unnest(range({n_classes})) AS k) CROSS JOIN (SELECT DISTINCT j FROM {x})
   UNION ALL SELECT w.t + 1, w.k, w.j, w.w - {rate!r} * (coalesce(g.g, 0.0) + {ridge!r} * w.w) + {beta!r} * (w.w - w.was), w.w
   FROM {w} w LEFT JOIN (SELECT p.k, x.j, sum((p.p - CAST(p.k = p.y AS INTEGER)) * x.v) / (SELECT count(*) FROM {r} WHERE split = 'train') AS g
     FROM (SELECT l.id, r.y, l.k, exp(l.l - l.m) / sum(exp(l.l - l.m)) OVER (PARTITION BY l.id) AS p
       FROM (SELECT id, k, l, max(l) OVER (PARTITION BY id) AS m FROM
-        (SELECT x.id, w.k, sum(w.w * x.v) AS l FROM tr{name} x JOIN {w} w ON x.j = w.j GROUP BY x.id, w.k)) l JOIN {r} r ON l.id = r.id) p
-    JOIN tr{name} x ON p.id = x.id GROUP BY p.k, x.j) g ON w.k = g.k AND w.j = g.j WHERE w.t < {steps}),
+        (SELECT x.id, w.k, sum(w.w * x.v) AS l FROM fit{name} x JOIN {w} w ON x.j = w.j GROUP BY x.id, w.k)) l JOIN {r} r ON l.id = r.id) p
+    JOIN fit{name} x ON p.id = x.id GROUP BY p.k, x.j) g ON w.k = g.k AND w.j = g.j WHERE w.t < {steps}),
 l{name} AS MATERIALIZED (SELECT l.t, l.id, r.split, r.y, l.k, l.l, exp(l.l - l.m) / sum(exp(l.l - l.m)) OVER (PARTITION BY l.t, l.id) AS p
   FROM (SELECT *, max(l) OVER (PARTITION BY t, id) AS m FROM (SELECT w.t, x.id, w.k, sum(w.w * x.v) AS l
     FROM {x} x JOIN {w} w ON x.j = w.j WHERE {{at}} GROUP BY w.t, x.id, w.k)) l JOIN {r} r ON l.id = r.id),
