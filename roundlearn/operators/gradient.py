@@ -206,7 +206,7 @@ class _Lbfgs:
         self.w, self.value, self.g, self.loss, self.rows = self.trial, value, g, loss, rows
         self.norm = float(np.linalg.norm(g))
         self.done = self.norm <= self.tolerance
-        self.d = _direction(g.ravel(), self.steps).reshape(g.shape)
+        self.d = lbfgs_direction(g.ravel(), self.steps).reshape(g.shape)
         self.size = 1.0 if self.steps else min(1.0, 1.0 / max(self.norm, 1e-12))
         self.trial = self.w + self.size * self.d
 
@@ -235,7 +235,7 @@ def fit(rows: DataFrame, objectives: Sequence[Objective], vec: str, dims: int |
     return out
 
 
-def _direction(g: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def lbfgs_direction(g: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The two-loop recursion of L-BFGS."""
     d, alphas = -g, []
     for s, y in reversed(steps):

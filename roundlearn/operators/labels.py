@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roundlearn.functions.columns import col, multi_hot
 from roundlearn.operators.sampling import ordered_rank
-from roundlearn.session import checked_broadcast, is_local, materialize, small_local
+from roundlearn.session import checked_broadcast, local_frame, materialize, small_rows
 
 DICT_COLS = ("label_col", "label", "id")
 
@@ -44,11 +44,17 @@ def fit_dictionary(df: DataFrame, label_cols: Sequence[str], keep: bool = True)
 
     d = (df.select(F.explode(F.array(*[key(c) for c in label_cols])).alias("p")).select("p.*")
            .where(F.col("label").isNotNull()).distinct())
-    d = small_local(d)
-    if is_local(d):                 # a few thousand labels at most, counted: one small task ranks them
-        w = Window.partitionBy("label_col").orderBy("_i", "_d", "label")
-        out = d.select("label_col", "label", (F.row_number().over(w) - 1).cast("int").alias("id"))
-        return small_local(out) if keep else out
+    rows, d = small_rows(d)
+    if rows is not None:            # a few thousand labels at most, counted: ranked where they are
+        def native(r):              # as Spark orders: no value first, NaN last, text by code point
+            v = r["_d"]
+            return (r["label_col"], r["_i"] is not None, r["_i"] or 0, v is not None, v is not None and v != v, v or 0.0, r["label"])
+        out, before, n = [], None, 0
+        for r in sorted(rows, key=native):
+            n = n + 1 if r["label_col"] == before else 0
+            before = r["label_col"]
+            out.append((r["label_col"], r["label"], n))
+        return local_frame(df.sparkSession, out, "label_col string, label string, id int")
     ranked = ordered_rank(d, ["_i", "_d", "label"], "_r", ["label_col"])
     out = ranked.select("label_col", "label", (F.col("_r") - 1).cast("int").alias("id"))
     return materialize(out) if keep else out
@@ -143,3 +149,11 @@ def multi_hot_labels(df: DataFrame, layout: Sequence[tuple[str, int, int]],
     width = sum(w for _, _, w in layout)
     pos = F.array(*[(F.col(i) + F.lit(off)).cast("int") for (_, off, _), i in zip(layout, id_cols)])
     return df.withColumn(out_col, multi_hot(pos, width))
+
+
+def label_positions(layout: Sequence[tuple[str, int, int]], id_cols: Sequence[str]) -> Column:
+    """SC6 as a list: the positions ``offset + id`` of a row's labels in all
+    blocks, each once, without the missing ones. As wide as the labels that
+    are set, however many there are."""
+    pos = [F.when(F.col(i) >= 0, (F.col(i) + F.lit(off)).cast("int")) for (_, off, _), i in zip(layout, id_cols, strict=True)]
+    return F.array_distinct(F.filter(F.array(*pos), lambda x: x.isNotNull()))

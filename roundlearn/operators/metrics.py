@@ -99,6 +99,26 @@ def cell_sums(df: DataFrame, y: str, p: str, width: int) -> DataFrame:
             .withColumn("support", F.col("tp") + F.col("fn")))
 
 
+def cell_sums_of_sets(df: DataFrame, y: str, p: str, width: int) -> DataFrame:
+    """``cell_sums`` from label sets given as lists of positions: a row gives
+    one cell for each label it has or is given, none for the others, so cost
+    grows with the labels that are set and not with ``width``."""
+    cell = lambda arr, hit, got, sup: F.transform(arr, lambda j: F.struct(
+        j.cast("int").alias("j"), F.lit(hit).alias("hit"), F.lit(got).alias("got"), F.lit(sup).alias("sup")))
+    both = F.array_intersect(F.col(y), F.col(p))
+    cells = df.select(F.explode(F.concat(cell(F.col(y), 0, 0, 1), cell(F.col(p), 0, 1, 0), cell(both, 1, 0, 0))).alias("c"))
+    sums = cells.groupBy("c.j").agg(F.sum("c.hit").alias("tp"), F.sum("c.got").alias("got"), F.sum("c.sup").alias("support"))
+    known = df.sparkSession.range(width).select(F.col("id").cast("int").alias("j"))
+    t = known.join(sums, "j", "left").select("j", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "got", "support")])
+    return t.select("j", "tp", (F.col("got") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), "support")
+
+
+def accuracy_cells_of_sets(df: DataFrame, y: str, p: str, width: int) -> DataFrame:
+    """AGG15 from lists of positions: all cells but those in one set only."""
+    apart = F.size(F.col(y)) + F.size(F.col(p)) - F.lit(2) * F.size(F.array_intersect(F.col(y), F.col(p)))
+    return df.agg((F.lit(100.0) * (F.lit(1.0) - F.sum(apart) / (F.count(apart) * F.lit(width)))).alias("accuracy_cells"))
+
+
 def multilabel(cells: DataFrame) -> DataFrame:
     """AGG11: per column precision/recall/F1/support (binary per column)."""
     return (cells.withColumn("precision", _div(F.col("tp"), F.col("tp") + F.col("fp")))

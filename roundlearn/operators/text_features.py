@@ -11,6 +11,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -37,6 +38,37 @@ def vector(text: str, known: dict[str, int], dims: int = DIMS, vocab: int = VOCA
     return idx.astype(np.int32), val / np.sqrt((val * val).sum())
 
 
+def hashed_ids(rows: DataFrame, text_col: str, keep: list[str], vocab: int = VOCAB, out: str = "ids") -> DataFrame:
+    """``keep`` and the token ids of whole texts, as ``columns.tokenise_hash``
+    gives them. Texts repeat their tokens, so a worker hashes each distinct
+    one once and looks the others up, where an expression hashes all."""
+    src = rows.select(*keep, text_col)
+    schema = T.StructType([*src.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        known = _Ids(vocab)
+        for b in batches:
+            texts, lists = b.column(len(keep)).to_pylist(), []
+            for t in texts:
+                if len(known) > CACHED:
+                    known.clear()
+                lists.append(None if t is None else [known[w] for w in _BLANK.split(t)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lists, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], out])
+    return src.mapInArrow(run, schema)
+
+
+class _Ids(dict):
+    """Token -> id, found when it is first asked for."""
+
+    def __init__(self, vocab: int):
+        super().__init__()
+        self.vocab = vocab
+
+    def __missing__(self, token: str) -> int:
+        i = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:7], 16) % self.vocab
+        return i
+
+
 def text_vectors(rows: DataFrame, text_col: str, keep: list[str], dims: int = DIMS, vocab: int = VOCAB, out: str = "f") -> DataFrame:
     """``keep`` and the sparse features ``out`` (struct of idx and val)."""
     src = rows.select(*keep, text_col)

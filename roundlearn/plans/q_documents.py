@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roundlearn.functions import columns as C
 from roundlearn.operators import labels as L
 from roundlearn.operators import metrics as M
+from roundlearn.operators import text_features
 from roundlearn.plans.common import BLOCKS, DOC_DICT_SQL, DOC_LABELS_SQL, doc_labels, r6
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import r6 as s6
@@ -21,9 +22,9 @@ def _dict(dl):
     return L.fit_dictionary(dl, BLOCKS)
 
 
-def multi_hot_frame(spark, d):
-    """``doc_id, y, p`` (multi-hot arrays of width 8), the block layout and
-    the dictionary."""
+def label_sets(spark, d):
+    """``doc_id, y_set, p_set`` (positions of the true and of the predicted
+    labels) with the ids behind them, the block layout and the dictionary."""
     dl = doc_labels(spark, d)
     dic = _dict(dl)
     layout = L.block_layout(dic, BLOCKS)
@@ -32,6 +33,15 @@ def multi_hot_frame(spark, d):
     for b in BLOCKS:
         pd_ = (L.dictionary_for(dic, b).withColumnRenamed("label", f"{b}_p").withColumnRenamed("id", f"{b}_pid"))
         dl = dl.join(checked_broadcast(pd_), f"{b}_p", "left")
+    dl = dl.withColumns({"y_set": L.label_positions(layout, [f"{b}_id" for b in BLOCKS]),
+                         "p_set": L.label_positions(layout, [f"{b}_pid" for b in BLOCKS])})
+    return dl, layout, dic
+
+
+def multi_hot_frame(spark, d):
+    """``doc_id, y, p`` (multi-hot arrays of width 8), the block layout and
+    the dictionary."""
+    dl, layout, dic = label_sets(spark, d)
     dl = L.multi_hot_labels(dl, layout, [f"{b}_id" for b in BLOCKS], "y")
     dl = L.multi_hot_labels(dl, layout, [f"{b}_pid" for b in BLOCKS], "p")
     return dl, layout, dic
@@ -46,9 +56,9 @@ def block_table(spark, dic, layout):
 
 
 def cells(spark, d):
-    dl, layout, dic = multi_hot_frame(spark, d)
+    dl, layout, dic = label_sets(spark, d)
     width = sum(w for _, _, w in layout)
-    return small_local(M.cell_sums(dl, "y", "p", width)), block_table(spark, dic, layout), dl
+    return small_local(M.cell_sums_of_sets(dl, "y_set", "p_set", width)), block_table(spark, dic, layout), dl
 
 
 BASE_SQL = f"""dl AS {DOC_LABELS_SQL},
@@ -175,18 +185,17 @@ def prf_group_macro_subset(spark, d):
     toxic documents), found by a semi join on names."""
     c, blocks, dl = cells(spark, d)
     b = dl.where(F.col("toxic") == "1")
-    pres = None
-    for blk in ["lang", "quality", "toxic"]:
-        p = b.select(F.lit(blk).alias("block"), F.col(blk).alias("class")).distinct()
-        pres = p if pres is None else pres.unionByName(p)
+    # one scan for all blocks: its distinct (block, class) names
+    names = F.explode(F.array(*[F.struct(F.lit(x).alias("block"), F.col(x).alias("class")) for x in BLOCKS]))
+    pres = checked_broadcast(b.select(names.alias("x")).select("x.*").distinct())
     m = M.multilabel(c).join(checked_broadcast(blocks), "j").join(pres, ["block", "class"], "left_semi")
     return m.groupBy("block").agg(*[r6(F.avg(x)).alias(x) for x in ("precision", "recall", "f1")])
 
 
 @query("accuracy_cells", f"WITH {BASE_SQL} SELECT {s6('100.0 * avg(CAST(y = p AS DOUBLE))')} AS accuracy_cells FROM cl")
 def accuracy_cells(spark, d):
-    dl, _, _ = multi_hot_frame(spark, d)
-    return M.accuracy_cells(dl, "y", "p").select(r6(F.col("accuracy_cells")).alias("accuracy_cells"))
+    dl, layout, _ = label_sets(spark, d)
+    return M.accuracy_cells_of_sets(dl, "y_set", "p_set", sum(w for _, _, w in layout)).select(r6(F.col("accuracy_cells")).alias("accuracy_cells"))
 
 
 @query("prf_report", f"""WITH {BASE_SQL}
@@ -208,10 +217,9 @@ def prf_report(spark, d):
 def f1_aggregate(spark, d):
     """The streaming F1 metric (state = tp/fp/fn sums, result = 2pr/(p+r+eps))
     as a built-in grouped aggregate with map-side partial sums, per group."""
-    dl, _, _ = multi_hot_frame(spark, d)
-    eq = lambda a, b: F.aggregate(F.zip_with(F.col("y"), F.col("p"), lambda y, p: ((y == a) & (p == b)).cast("int")),
-                                  F.lit(0), lambda s, x: s + x)
-    g = dl.groupBy("lang").agg(F.sum(eq(1, 1)).alias("tp"), F.sum(eq(0, 1)).alias("fp"), F.sum(eq(1, 0)).alias("fn"))
+    dl, _, _ = label_sets(spark, d)
+    tp = F.size(F.array_intersect("y_set", "p_set"))
+    g = dl.groupBy("lang").agg(F.sum(tp).alias("tp"), F.sum(F.size("p_set") - tp).alias("fp"), F.sum(F.size("y_set") - tp).alias("fn"))
     p = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     r = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
     g = g.select("lang", p.alias("p"), r.alias("r"))
@@ -224,15 +232,10 @@ def f1_aggregate(spark, d):
 TOK_SQL = f"list_transform(regexp_split_to_array(text, '\\s+'), lambda t: CAST(('0x' || substr(md5(t), 1, 7))::BIGINT % {VOCAB} AS INTEGER))"
 
 
-def _ids(spark, d):
-    t = table(spark, d, "documents").select("doc_id", "text")
-    return t.select("doc_id", C.tokenise_hash(F.col("text"), VOCAB).alias("ids"))
-
-
 @query("tokenise_hash", f"""SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, CAST(list_sum(ids) AS BIGINT) AS id_sum,
   md5(array_to_string(ids, ',')) AS ids_md5 FROM (SELECT doc_id, {TOK_SQL} AS ids FROM documents)""")
 def tokenise_hash(spark, d):
-    t = _ids(spark, d)
+    t = text_features.hashed_ids(table(spark, d, "documents"), "text", ["doc_id"], VOCAB)
     return t.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                     F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"),
                     F.md5(F.array_join("ids", ",")).alias("ids_md5"))
@@ -296,9 +299,10 @@ def encode_udf(spark, d):
     dl, _, _ = multi_hot_frame(spark, d)
     # reduce every whole text to its fixed-size features first (narrow), so
     # the join with the labels shuffles 128 ids per document, not all of them
-    t = _ids(spark, d)
-    feats = t.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-                     F.aggregate(C.attention_mask(F.col("ids")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"),
-                     F.array_join(C.pad_truncate(F.col("ids")), ",").alias("input_ids"))
+    t = table(spark, d, "documents").select("doc_id", C.tokens(F.col("text")).alias("toks"))
+    ids = F.transform(F.slice("toks", 1, C.MAX_TOKENS), lambda w: C.token_id(w, VOCAB))      # only the kept ones are hashed
+    feats = t.select("doc_id", F.size("toks").cast("bigint").alias("n_tokens"),
+                     F.aggregate(C.attention_mask(F.col("toks")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("mask_sum"),
+                     F.array_join(C.pad_truncate(ids), ",").alias("input_ids"))
     j = dl.select("doc_id", F.array_join("y", ",").alias("y")).join(feats, "doc_id")
     return j.select("doc_id", "n_tokens", "mask_sum", "input_ids", "y")

@@ -3,22 +3,21 @@ scoring, fusion, argmax and the round evaluation."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from roundlearn.operators import fusion
+from roundlearn.operators import fusion, scorer
 from roundlearn.operators import rounds as RD
 from roundlearn.operators import sampling as S
-from roundlearn.operators.heads import class_names, collect_heads
+from roundlearn.operators.heads import class_names
 from roundlearn.plans.common import r6
 from roundlearn.plans.evaluate import evaluate_rounds as _evaluate_rounds
 from roundlearn.plans.evaluate import fused_blocks, fused_scores, prepare
 from roundlearn.plans.oracle_evaluate import evaluate_rounds_sql, fused_ctes, heads_ctes, trained_rounds_sql
 from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import r6 as s6
-from roundlearn.session import checked_broadcast, small_local
+from roundlearn.session import checked_broadcast, scratch_path, ship_package, small_local
+from roundlearn.sources import sinks
 from roundlearn.sources.tables import table
 
 ER = RD.EMBEDDING_ROUNDS
@@ -310,26 +309,18 @@ def evaluate_rounds_mixed(spark, d):
   SELECT key AS vec_id, class AS pred FROM
   (SELECT key, class, row_number() OVER (PARTITION BY key ORDER BY logit DESC, class_order) AS rn FROM zz) WHERE rn = 1""")
 def batch_score(spark, d):
-    """UDF4: the extension point for a model that is not an expression:
-    ``mapInPandas`` with the (small) model shipped once per task and each
-    Arrow batch scored with numpy. Here the model is the centroid heads."""
-    heads = collect_heads(_heads(spark, d))
-    names = np.array([str(h["class"]) for h in heads])
-    mu = np.array([list(h["mu"]) for h in heads], dtype=np.float64)
-    bias = np.array([float(h["bias"]) for h in heads])
-    reg = RD.registry(RD.config_table(spark, ER))
+    """UDF4: the extension point for a model that is not an expression: heads
+    saved to the shared folder (SNK1), packed once, unpacked once by a worker
+    and cached by version; each Arrow batch is scored with numpy."""
+    path = scratch_path(spark, "scorer-heads")
+    sinks.save_heads(_heads(spark, d).select("round", "class", F.posexplode("mu").alias("dim", "value")), path)
+    order = {c: k for _, _, c, k in RD.registry_rows(ER)}
+    packed = spark.sparkContext.broadcast(scorer.pack(spark, path, order))          # one row a class
+    ship_package(spark)
+    reg = RD.registry_frame(spark, ER)
     s = S.split(emb(spark, d), "key", test=0.4).where(F.col("split") == "test")
-    rows = RD.known_rows(s, reg, "y").select("key", "embedding")
-
-    def score(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            lg = x @ mu.T + bias
-            yield pd.DataFrame({"vec_id": pdf["key"].to_numpy(), "pred": names[np.argmax(lg, axis=1)]})
-
-    return rows.mapInPandas(score, "vec_id bigint, pred string")
+    rows = RD.known_rows(s, reg, "y").select(F.col("key").alias("vec_id"), "embedding")
+    return scorer.score(rows, path, packed, "embedding", ["vec_id"]).drop("loads")
 
 
 @query("row_dataset", f"""WITH {heads_ctes()} x AS (SELECT 1),

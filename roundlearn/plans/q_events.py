@@ -16,6 +16,7 @@ from roundlearn.plans.registry import query
 from roundlearn.plans.sqlfrag import bce_sql, prf_ctes, rank_sql, split_case_sql
 from roundlearn.plans.sqlfrag import r6 as s6
 from roundlearn.session import checked_broadcast, local_frame, materialize, small_local
+from roundlearn.sources import sinks
 
 E = EVENTS_SQL
 # Remap of the second dataset's class names (4 of 5 renamed).
@@ -212,11 +213,25 @@ def support_mask(spark, d):
     return pc.where(F.col("support") > 0).select("class", F.col("support").cast("bigint"))
 
 
-@query("empty_guard", f"""WITH {prf_ctes("(SELECT * FROM " + PREDS_SQL + " WHERE y NOT IN ('click','error','purchase','signup','view'))")}
-  {PC_OUT_SQL}""")
+_NONE_SQL = f"(SELECT * FROM {PREDS_SQL} WHERE y NOT IN ('click','error','purchase','signup','view'))"
+_SOME_SQL = f"(SELECT * FROM {PREDS_SQL} WHERE y IN ('click','error'))"
+
+
+@query("empty_guard", f"""SELECT 'none' AS part, * FROM (WITH {prf_ctes(_NONE_SQL)} {PC_OUT_SQL})
+  UNION ALL SELECT 'some', * FROM (WITH {prf_ctes(_SOME_SQL)} {PC_OUT_SQL})""")
 def empty_guard(spark, d):
-    rows = preds(spark, d).where(~F.col("y").isin(*EVENT_CLASSES))
-    if rows.isEmpty():      # nothing left: the right schema, no job downstream
+    """FLT7: metrics of two parts of the predictions, one of which is empty:
+    it gives no rows, of the right schema, and the other its metrics."""
+    p = preds(spark, d)
+    out = []
+    for name, rows in (("none", p.where(~F.col("y").isin(*EVENT_CLASSES))), ("some", p.where(F.col("y").isin("click", "error")))):
+        out.append(guarded_metrics(spark, rows).select(F.lit(name).alias("part"), "*"))
+    return out[0].unionByName(out[1])
+
+
+def guarded_metrics(spark, rows):
+    """Per-class metrics of (y, pred) rows; for none of them no job runs."""
+    if rows.isEmpty():
         return local_frame(spark, [], "class string, precision double, recall double, f1 double, support bigint")
     return pc_out(M.per_class(M.confusion(rows)))
 
@@ -241,10 +256,12 @@ def label_decode(spark, d):
 
 @query("pair_predictions", f"SELECT event_id, y, pred FROM {PREDS_SQL}")
 def pair_predictions(spark, d):
+    """JN4: truth and predictions, two stored tables bucketed by the key,
+    paired by it (never by position) without a shuffle."""
     e = events(spark, d)
-    y = e.select("event_id", F.col("event_type").alias("y"))
-    p = e.select("event_id", pseudo_pred(F.col("value"), F.col("event_type")).alias("pred"))
-    return y.join(p, "event_id")        # by key, never by position
+    y = sinks.save_bucketed(e.select("event_id", F.col("event_type").alias("y")), "event_id", "truth")
+    p = sinks.save_bucketed(e.select("event_id", pseudo_pred(F.col("value"), F.col("event_type")).alias("pred")), "event_id", "predictions")
+    return y.join(p.hint("merge"), "event_id")      # small tables would be broadcast; the buckets hold at any size
 
 
 @query("label_universe", f"WITH {prf_ctes(PREDS_SQL)} {PC_OUT_SQL}")

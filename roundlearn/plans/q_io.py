@@ -22,6 +22,7 @@ from roundlearn.plans.sqlfrag import r6 as s6
 from roundlearn.session import materialize, scratch_path
 from roundlearn.sources import sinks
 from roundlearn.sources.profiles import csv_scan as read_csv
+from roundlearn.sources.profiles import infer_types
 from roundlearn.sources.tables import table
 
 CSV_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
@@ -41,6 +42,27 @@ def csv_scan(spark, d):
 SPLIT_TS = "2024-01-16"
 
 
+@query("csv_infer", """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(user_id AS DOUBLE) END AS user_gap, event_type,
+  round(value, 6) AS value, value > 50 AS flag, CASE WHEN event_id % 5 = 0 THEN NULL ELSE props END AS props, CAST(NULL AS DOUBLE) AS nothing
+  FROM events""")
+def csv_infer(spark, d):
+    """SRC1 without a schema: the types of a comma-separated table are found
+    in one pass, whole numbers with gaps become fractions, as data frames have
+    them. Written one record a line, so large files are split at the scan."""
+    path = scratch_path(spark, "csv-infer")
+    e = table(spark, d, "events")
+    (e.select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("user_gap"), "event_type", "value",
+              (F.col("value") > 50).alias("flag"), F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("props"),
+              F.lit(None).cast("string").alias("nothing"))
+      .write.option("header", True).option("escape", '"').csv(path))
+    text = read_csv(spark, path, multiline=False)
+    found = infer_types(text)
+    t = read_csv(spark, path, found, multiline=False)
+    return t.withColumn("value", r6(F.col("value")))
+
+
+
+
 @query("label_dictionary_reuse", f"""WITH a AS (SELECT event_type AS label, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS id
     FROM (SELECT DISTINCT event_type FROM events WHERE ts < TIMESTAMP '{SPLIT_TS}'))
   SELECT b.event_type, coalesce(a.id, -1) AS event_type_id, count(*) AS n

@@ -118,14 +118,21 @@ def small_local(df: DataFrame) -> DataFrame:
     from the copy that was computed for the check."""
     if is_local(df):
         return df                               # already constant: nothing to compute
+    rows, held = small_rows(df)
+    return held if rows is None else local_frame(df.sparkSession, rows, df.schema)
+
+
+def small_rows(df: DataFrame) -> tuple[list | None, DataFrame]:
+    """The rows of a small aggregate on the driver, computed once; None for
+    one of more than LOCAL_ROWS rows, and the frame to go on with."""
     held = df.persist()                         # computed once, whatever its size
     try:
         rows = held.limit(LOCAL_ROWS + 1).collect()
         if len(rows) > LOCAL_ROWS:              # too large to inline as a constant
-            return materialize(held)
+            return None, materialize(held)
     finally:
         held.unpersist()
-    return local_frame(df.sparkSession, rows, df.schema)
+    return rows, df
 
 
 def _sql_literal(v, dt: T.DataType) -> str:

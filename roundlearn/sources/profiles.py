@@ -37,14 +37,30 @@ EDGE_FEATURES = [
 ]
 
 # Feature keep-list of the TON profile (22 host counters).
-TON_PREFIX = "Network_I(Intel R _82574L_GNC)"
-TON_FEATURES = [TON_PREFIX + s for s in [
-    "TCP_APS", " Packets Received Unknown", " Bytes Received sec", " Bytes Sent sec", " Packets Outbound Errors",
-    " Packets Received Discarded", " Bytes Total sec", " Packets Outbound Discarded", " TCP RSC Exceptions sec",
-    " Packets Sent Unicast sec", " Output Queue Length", " Packets Received sec", " Current Bandwidth",
-    " Packets sec", " TCP Active RSC Connections", " Packets Sent sec", " Packets Received Unicast sec",
-    " Packets Sent Non-Unicast sec", " Packets Received Non-Unicast sec", " TCP RSC Coalesced Packets sec",
-    " Offloaded Connections", " Packets Received Errors"]]
+TON_FEATURES = [
+    "Network_I(Intel R _82574L_GNC)TCP_APS",
+    "Network_I(Intel R _82574L_GNC) Packets Received Unknown",
+    "Network_I(Intel R _82574L_GNC) Bytes Received sec",
+    "Network_I(Intel R _82574L_GNC) Bytes Sent sec",
+    "Network_I(Intel R _82574L_GNC) Packets Outbound Errors",
+    "Network_I(Intel R _82574L_GNC) Packets Received Discarded",
+    "Network_I(Intel R _82574L_GNC) Bytes Total sec",
+    "Network_I(Intel R _82574L_GNC) Packets Outbound Discarded",
+    "Network_I(Intel R _82574L_GNC) TCP RSC Exceptions sec",
+    "Network_I(Intel R _82574L_GNC) Packets Sent Unicast sec",
+    "Network_I(Intel R _82574L_GNC) Output Queue Length",
+    "Network_I(Intel R _82574L_GNC) Packets Received sec",
+    "Network_I(Intel R _82574L_GNC) Current Bandwidth",
+    "Network_I(Intel R _82574L_GNC) Packets sec",
+    "Network_I(Intel R _82574L_GNC) TCP Active RSC Connections",
+    "Network_I(Intel R _82574L_GNC) Packets Sent sec",
+    "Network_I(Intel R _82574L_GNC) Packets Received Unicast sec",
+    "Network_I(Intel R _82574L_GNC) Packets Sent Non-Unicast sec",
+    "Network_I(Intel R _82574L_GNC) Packets Received Non-Unicast sec",
+    "Network_I(Intel R _82574L_GNC) TCP RSC Coalesced Packets sec",
+    "Network_I(Intel R _82574L_GNC) Offloaded Connections",
+    "Network_I(Intel R _82574L_GNC) Packets Received Errors",
+]
 
 # TON class names -> EDGE class names.
 TON_REMAP = {"normal": "Normal", "ddos": "DDoS_UDP", "password": "Password", "xss": "XSS",

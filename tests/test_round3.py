@@ -235,3 +235,116 @@ def test_fused_kinds_agree_with_plain_numpy(spark):
     x, batch = np.array([rows[r.key].embedding for r in got]), np.array([r.batch_id for r in got])
     pred, _ = plain_fusion(x, batch, np.array([h["mu"] for h in hs]), np.array([h["bias"] for h in hs]), np.zeros(len(got), int))
     assert fit.converged and [r.pred for r in got] == [hs[i]["class"] for i in pred]
+
+
+# ---- stored tables, saved models, streams, wide label sets
+
+def test_stored_tables_pair_without_a_shuffle(spark):
+    import __spark_entry__ as E
+    df = E.queries()["pair_predictions"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan and "Join" in plan
+
+
+def test_a_worker_unpacks_a_version_once(spark):
+    from roundlearn.operators import scorer
+    from roundlearn.session import scratch_path, ship_package
+    from roundlearn.sources import sinks
+    ship_package(spark)
+    hd = [("a", 0, 1.0), ("a", 1, 0.0), ("b", 0, 0.0), ("b", 1, 1.0)]
+    long = spark.createDataFrame(hd, "class string, dim int, value double").withColumn("round", F.lit(0))
+    df = spark.createDataFrame([(i, [float(i % 2), float((i + 1) % 2)] if i % 50 else None) for i in range(2000)],
+                               "i int, v array<double>").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        seen = {}
+        for version in ("v1", "v2", "v1"):
+            path = scratch_path(spark, version)
+            sinks.save_heads(long, path)
+            packed = spark.sparkContext.broadcast(scorer.pack(spark, path, {"b": 1, "a": 2}))
+            got = scorer.score(df, version, packed, "v", ["i"]).collect()
+            assert {r.i: r.pred for r in got} == {i: None if i % 50 == 0 else "a" if i % 2 else "b" for i in range(2000)}
+            assert len({r.loads for r in got}) == 1         # forty batches, no load in between
+            seen[version] = got[0].loads
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    import inspect
+    assert "LinearModel" not in inspect.getsource(scorer.score)
+
+
+def _batches(spark, n=4):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(rng.integers(0, 3 + b)), [float(v) for v in rng.normal(size=3)], b) for b in range(n) for i in range(b * 30, b * 30 + 30)]
+    df = spark.createDataFrame(rows, "key int, label int, embedding array<double>, b int")
+    return rows, [df.where(F.col("b") == b).drop("b") for b in range(n)]
+
+
+def test_merged_heads_are_the_batch_heads_and_replay_changes_nothing(spark):
+    from roundlearn.session import scratch_path
+    from roundlearn.streaming import heads_stream as H
+    rows, parts = _batches(spark)
+    path = scratch_path(spark, "state")
+    for i in (0, 1, 2, 2, 3, 1):                       # replayed and late repeated ones
+        H.add_statistics(parts[i], i, path, "label", "embedding")
+    first = {c: min(b for _, k, _, b in rows if k == c) for c in {k for _, k, _, _ in rows}}
+    for policy in ("merge", "frozen"):
+        got = {r["class"]: r for r in H.heads_of(spark, path, policy).collect()}
+        assert set(got) == {str(c) for c in first}
+        rounds_ = {b: i for i, b in enumerate(sorted(set(first.values())))}
+        for c, b0 in first.items():
+            own = np.array([v for _, k, v, b in rows if k == c and (policy == "merge" or b == b0)])
+            assert got[str(c)].n_train == len(own) and np.allclose(got[str(c)].mu, own.mean(0)) and got[str(c)]["round"] == rounds_[b0]
+    assert {r["class"] for r in H.heads_of(spark, path, upto=0).collect()} == {str(c) for c, b in first.items() if b == 0}
+    with pytest.raises(ValueError):
+        H.heads_of(spark, path, "newest")
+
+
+def test_merged_moments_are_those_of_all_rows(spark):
+    from roundlearn.session import scratch_path
+    from roundlearn.streaming import heads_stream as H
+    rows, parts = _batches(spark)
+    hs = [{"class": c, "mu": m, "bias": b} for c, m, b in (("0", [1.0, 0.0, 2.0], 0.5), ("1", [0.0, -1.0, 1.0], 1000.0), ("2", [2.0, 1.0, 0.0], 0.0))]
+    path = scratch_path(spark, "scores")
+    for i in (0, 1, 2, 3, 2, 0):
+        H.add_scores(parts[i], i, path, hs, "label", "embedding", ["key"])
+    x = np.array([v for _, _, v, _ in rows])
+    z = x @ np.array([h["mu"] for h in hs]).T + np.array([h["bias"] for h in hs])
+    assert np.allclose(H.merged_moments(spark, path), np.stack([z.mean(0), z.std(0)], 1), rtol=1e-10)
+    want = ((z - z.mean(0)) / (z.std(0) + C.ZSCORE_EPS)).argmax(1)
+    got = {r.key: r.pred for r in H.fused(spark, path, ["0", "1", "2"]).collect()}
+    assert got == {rows[i][0]: str(want[i]) for i in range(len(rows))}
+
+
+def test_wide_label_sets(spark):
+    """Ten thousand labels, a few set in a row: sums and accuracies equal
+    those of the whole matrix, and rows give cells for set labels only."""
+    from roundlearn.operators import metrics as M
+    width, rng = 10_000, np.random.default_rng(4)
+    rows = [(i, *[sorted({int(v) for v in rng.integers(0, width, rng.integers(0, 6))} | ({7} if i % 2 else set())) for _ in range(2)])
+            for i in range(400)] + [(900, [], []), (901, [3], [3])]
+    df = spark.createDataFrame(rows, "i int, y array<int>, p array<int>")
+    y, p = np.zeros((402, width), int), np.zeros((402, width), int)
+    for k, (_, a, b) in enumerate(rows):
+        y[k, a], p[k, b] = 1, 1
+    got = np.array([[r.j, r.tp, r.fp, r.fn, r.support] for r in M.cell_sums_of_sets(df, "y", "p", width).orderBy("j").collect()])
+    assert np.array_equal(got, np.stack([np.arange(width), (y & p).sum(0), ((1 - y) & p).sum(0), (y & (1 - p)).sum(0), y.sum(0)], 1))
+    assert math.isclose(M.accuracy_cells_of_sets(df, "y", "p", width).first()[0], 100.0 * (y == p).mean())
+    small = spark.createDataFrame([([1, 0, 1], [1, 1, 0], [0, 2], [0, 1])], "y array<int>, p array<int>, ys array<int>, ps array<int>")
+    assert M.cell_sums(small, "y", "p", 3).orderBy("j").collect() == M.cell_sums_of_sets(small, "ys", "ps", 3).orderBy("j").collect()
+
+
+def test_hashed_ids_are_the_expression(spark):
+    df = spark.createDataFrame([(1, "a b  a\tc\n"), (2, ""), (3, None), (4, " x é 日本")], "i int, t string")
+    want = {r.i: r.ids for r in df.select("i", C.tokenise_hash(F.col("t")).alias("ids")).collect()}
+    assert {r.i: r.ids for r in text_features.hashed_ids(df, "t", ["i"]).collect()} == want
+
+
+def test_dictionary_orders_like_the_engine(spark):
+    from roundlearn.operators import labels as L
+    vals = [float("nan"), -2.5, 10.0, 1e300, 0.0, float("inf"), -float("inf")]
+    df = spark.createDataFrame([(v, s, i) for v, s, i in zip(vals, ["b", "a", "é", "Z", "日", "aa", "B"], [10, 2, -1, 33, 4, 5, 6])], "d double, s string, i int")
+    got = {(r.label_col, r.label): r.id for r in L.fit_dictionary(df, ["d", "s", "i"]).collect()}
+    for c in ("d", "s", "i"):
+        order = [str(r[0]) for r in df.orderBy(c).select(F.col(c).cast("string")).collect()]
+        assert [k for (col_, k), _ in sorted(((x, n) for x, n in got.items() if x[0] == c), key=lambda t: t[1])] == order
