@@ -1,7 +1,8 @@
 """Column expressions: quoting, text rendering, vectors, tokens, losses.
 
 Everything here returns a ``Column`` built from ``pyspark.sql.functions``
-so it stays inside whole-stage codegen; no Python UDFs.
+so it stays in the JVM; no Python UDFs. Expressions with lambdas over arrays are
+interpreted per element, the others are part of the generated code.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roundlearn.functions.columns import F1_EPS, bce_with_logits
+from roundlearn.functions.columns import F1_EPS
 from roundlearn.session import checked_broadcast
 
 
