@@ -112,13 +112,13 @@ PASSAGES: list[tuple[str, tuple[str, ...]]] = [
 ]
 PASSAGE_COSINE = 0.75
 SPDX = "(?i)spdx-license-identifier\\s*:\\s*([^\n]+)"
-#: What stands before the words of a comment line.
-_MARKS = "(?m)^[ \\t\\r]*(?:(?://+|#+|/?\\*+/?|;+|--+|<!--|%+|\\.\\.|(?i:rem|dnl)\\b)[ \\t]*)*"
+#: What stands before the words of a comment line. Java's matcher recurses for a repeated group unless it is possessive.
+_MARKS = "(?m)^[ \\t\\r]*+(?:(?://++|#++|/?\\*++/?|;++|--+|<!--|%++|\\.\\.|(?i:rem|dnl)\\b)[ \\t]*+)*+"
 
 
 def terms(text: Column) -> Column:
     """Lower-cased words; digits with inner points and hyphens stay whole."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]++(?:[.-][a-z0-9]++)*+"), F.lit(0))
     return words
 
 
