@@ -40,9 +40,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "signed_token", "pem_key", "der_key", "ssh_key")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY|PUBLIC KEY|[A-Z0-9 ]*PUBLIC KEY)-----"
-                  r"((?:[A-Za-z0-9+/=\s:,-]|\\+[nrt/])*?)-----END \1-----")
-_ESCAPED = re.compile(r"\\+[nrt]")
+_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*+)-----")
+_KEY_NAME = re.compile(r"(?:[A-Z0-9 ]*PRIVATE KEY|[A-Z0-9 ]*PUBLIC KEY)")
+_BODY = re.compile(r"(?:[A-Za-z0-9+/=\s:,-]|\\++[nrt/])*+")
+_ESCAPED = re.compile(r"(?<!\\)\\++[nrt]")
+_SLASH = re.compile(r"(?<!\\)\\++/")
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:[ \t]*[\r\n]+[ \t]*[A-Za-z0-9+/_-]++)+")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _RUN64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
@@ -63,89 +65,106 @@ def _from_base64(s: str) -> bytes | None:
         return None
 
 
-def der_items(b: bytes) -> list[tuple[int, bytes]] | None:
-    """(tag, content) of a sequence of DER values that fills ``b``."""
-    out, i = [], 0
-    while i < len(b):
-        if i + 2 > len(b):
+class _Bytes:
+    """Bytes that are read here and there: given ones, or those that base64
+    characters stand for, of which only what is read is decoded."""
+
+    def __init__(self, given: bytes | None = None, chars: str = "", first: int = 0, last: int = 0):
+        self.given, self.chars, self.first = given, chars, first
+        self.size = len(given) if given is not None else (last - first) * 3 // 4
+
+    def read(self, at: int, n: int) -> bytes:
+        if self.given is not None:
+            return self.given[at:at + n]
+        n = min(n, self.size - at)
+        part = self.chars[self.first + at // 3 * 4:self.first + -(-(at + n) // 3) * 4]
+        return (_from_base64(part) or b"")[at % 3:at % 3 + n]
+
+
+#: Of a sequence with more values no key is known.
+MOST_ITEMS = 16
+
+
+def der_items(b: _Bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """(tag, start, end) of a sequence of DER values that fills ``b`` from
+    ``at`` to ``end``; their contents are not read."""
+    out = []
+    while at < end:
+        head = b.read(at, 6)
+        if at + 2 > end or len(head) < 2 or len(out) == MOST_ITEMS:
             return None
-        tag, n, i = b[i], b[i + 1], i + 2
+        n, at = head[1], at + 2
         if n & 0x80:
             size = n & 0x7F
-            if not 1 <= size <= 4 or i + size > len(b) or b[i] == 0:
+            if not 1 <= size <= 4 or at + size > end or head[2] == 0:
                 return None
-            n, i = int.from_bytes(b[i:i + size], "big"), i + size
+            n, at = int.from_bytes(head[2:2 + size], "big"), at + size
             if n < 0x80:
                 return None
-        if i + n > len(b):
+        if at + n > end:
             return None
-        out.append((tag, b[i:i + n]))
-        i += n
+        out.append((head[0], at, at + n))
+        at += n
     return out
 
 
-def is_der_key(b: bytes) -> bool:
+def is_der_key(b: _Bytes) -> bool:
     """True for the DER forms of private and public keys: every nested length
     ends where its parent does."""
-    top = der_items(b)
+    top = der_items(b, 0, b.size)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
-    inner = der_items(top[0][1])
+    inner = der_items(b, *top[0][1:])
     if not inner or len(inner) < 2:
         return False
-    tags = [t for t, _ in inner]
-    if len(tags) >= 9 and set(tags[:9]) == {0x02} and len(inner[0][1]) == 1 and len(inner[1][1]) >= 32:
+    tags, size = [t for t, _, _ in inner], [z - a for _, a, z in inner]
+    if len(tags) >= 9 and set(tags[:9]) == {0x02} and size[0] == 1 and size[1] >= 32:
         return True                                        # version, modulus, exponents, primes ...
-    if tags[:3] == [0x02, 0x30, 0x04] and len(inner[0][1]) == 1:
-        alg = der_items(inner[1][1])                       # version, algorithm, key octets
+    if tags[:3] == [0x02, 0x30, 0x04] and size[0] == 1:
+        alg = der_items(b, *inner[1][1:])                  # version, algorithm, key octets
         return bool(alg) and alg[0][0] == 0x06
-    if tags[:2] == [0x02, 0x04] and inner[0][1] == b"\x01" and len(inner[1][1]) >= 20:
+    if tags[:2] == [0x02, 0x04] and size[0] == 1 and b.read(inner[0][1], 1) == b"\x01" and size[1] >= 20:
         return True                                        # curve key: version 1, scalar
-    if tags == [0x02] * 6 and len(inner[0][1]) == 1 and len(inner[1][1]) >= 64:
+    if tags == [0x02] * 6 and size[0] == 1 and size[1] >= 64:
         return True                                        # DSA key: version, p, q, g, public and private number
-    if tags == [0x30, 0x04] and len(inner[1][1]) >= 24:
-        alg = der_items(inner[0][1])                       # encrypted key: algorithm with parameters, octets
-        return bool(alg) and [t for t, _ in alg] == [0x06, 0x30]
+    if tags == [0x30, 0x04] and size[1] >= 24:
+        alg = der_items(b, *inner[0][1:])                  # encrypted key: algorithm with parameters, octets
+        return bool(alg) and [t for t, _, _ in alg] == [0x06, 0x30]
     if tags == [0x30, 0x03]:
-        alg = der_items(inner[0][1])                       # algorithm, key bits
-        return bool(alg) and alg[0][0] == 0x06 and len(inner[1][1]) >= 30
-    return tags == [0x02, 0x02] and len(inner[0][1]) >= 64 and 1 <= len(inner[1][1]) <= 8
+        alg = der_items(b, *inner[0][1:])                  # algorithm, key bits
+        return bool(alg) and alg[0][0] == 0x06 and size[1] >= 30
+    return tags == [0x02, 0x02] and size[0] >= 64 and 1 <= size[1] <= 8
 
 
-def is_ssh_key(b: bytes) -> bool:
-    """An OpenSSH private key block, or a public key blob: length-prefixed
-    fields that end with the bytes."""
-    def field(i: int) -> tuple[bytes, int] | None:
-        if i + 4 > len(b):
+def ssh_ends(b: _Bytes) -> list[int]:
+    """Where an OpenSSH private key block (one place), or a public key blob
+    (the end of each of its fields) that starts with ``b`` can end, by its
+    length-prefixed fields; empty if neither starts there."""
+    def end_of(at: int) -> int | None:
+        if at + 4 > b.size:
             return None
-        n = int.from_bytes(b[i:i + 4], "big")
-        return (b[i + 4:i + 4 + n], i + 4 + n) if i + 4 + n <= len(b) else None
+        end = at + 4 + int.from_bytes(b.read(at, 4), "big")
+        return end if end <= b.size else None
 
-    if b.startswith(_MAGIC):
-        i = len(_MAGIC)
+    if b.read(0, len(_MAGIC)) == _MAGIC:
+        at = len(_MAGIC)
         for _ in range(3):                                 # cipher, kdf, kdf options
-            if (x := field(i)) is None:
-                return False
-            i = x[1]
-        if i + 4 > len(b):
-            return False
-        n, i = int.from_bytes(b[i:i + 4], "big"), i + 4
+            if (at := end_of(at)) is None:
+                return []
+        n, at = int.from_bytes(b.read(at, 4), "big"), at + 4
         if not 1 <= n <= 64:
-            return False
+            return []
         for _ in range(n + 1):                             # public keys, private block
-            if (x := field(i)) is None:
-                return False
-            i = x[1]
-        return i == len(b)
-    first = field(0)
-    if not first or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,40}", first[0]):
-        return False
-    i, n = first[1], 0
-    while i < len(b):
-        if (x := field(i)) is None:
-            return False
-        i, n = x[1], n + 1
-    return n >= 1
+            if (at := end_of(at)) is None:
+                return []
+        return [at]
+    at = end_of(0)
+    if at is None or at > 50 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,40}", b.read(4, at - 4)):
+        return []
+    out = []
+    while len(out) < 2 * MOST_ITEMS and (at := end_of(at)) is not None:
+        out.append(at)
+    return out
 
 
 def is_token_header(part: str) -> bool:
@@ -154,20 +173,21 @@ def is_token_header(part: str) -> bool:
         return False
     try:
         head = json.loads(b)
-    except ValueError:
+    except (ValueError, RecursionError):                   # no JSON, or nested deeper than any header
         return False
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and bool(_ALGS.fullmatch(head["alg"]))
 
 
-def _key_kind(b: bytes | None) -> str | None:
+def _key_kind(b: _Bytes | bytes | None) -> str | None:
     if not b:
         return None
-    return "ssh_key" if is_ssh_key(b) else "der_key" if is_der_key(b) else None
+    b = _Bytes(b) if isinstance(b, bytes) else b
+    return "ssh_key" if b.size in ssh_ends(b) else "der_key" if is_der_key(b) else None
 
 
 def is_pem_key(body: str) -> bool:
     """True if the text between PEM marks holds a key."""
-    body = re.sub(r"\\+/", "/", _ESCAPED.sub(" ", body))
+    body = _SLASH.sub("/", _ESCAPED.sub(" ", body))
     raw = _from_base64("".join(x for x in body.split() if ":" not in x and "," not in x))
     if raw and "Proc-Type:" in body and "ENCRYPTED" in body:
         return len(raw) >= 16 and len(raw) % 8 == 0
@@ -186,30 +206,54 @@ def _der_chars(head: bytes) -> int:
     return -(-n * 4 // 3)
 
 
+def pem_keys(text: str) -> list[tuple[int, int, int]]:
+    """Spans from a BEGIN mark to its END mark, before the next BEGIN."""
+    out, marks = [], list(_BEGIN.finditer(text))
+    for i, m in enumerate(marks):
+        if not _KEY_NAME.fullmatch(m[1]):
+            continue
+        last = marks[i + 1].start() if i + 1 < len(marks) else len(text)
+        mark = f"-----END {m[1]}-----"
+        end = text.find(mark, m.end(), last)
+        if end >= 0 and _BODY.fullmatch(text, m.end(), end) and is_pem_key(text[m.end():end]):
+            out.append((m.start(), ORDER["pem_key"], end + len(mark)))
+    return out
+
+
 def wrapped_keys(text: str) -> list[tuple[int, int, int]]:
-    """Spans of keys over consecutive lines of base64, from any line on."""
+    """Spans of keys over consecutive lines of base64, from any line on. Of a
+    candidate only the lengths in it are read, so the work is linear in the
+    lines whatever they hold."""
     out = []
     for m in _LINES.finditer(text):
-        lines = [(x.start(), x.end(), x[0]) for x in _LINE.finditer(text, m.start(), m.end())]
-        ends = list(accumulate(len(x) for _, _, x in lines))        # characters up to each line's end
+        lines = [(x.start(), x.end()) for x in _LINE.finditer(text, m.start(), m.end())]
+        chars = "".join([text[a:e] for a, e in lines])
+        ends = list(accumulate(e - a for a, e in lines))            # characters up to each line's end
+        width = [e - a for a, e in lines]
+        alike = list(range(len(lines)))                             # the line after the last one as long, if there is one
+        for i in range(len(lines) - 2, -1, -1):
+            alike[i] = alike[i + 1] if width[i] == width[i + 1] else i + 1
         i = 0
         while i < len(lines) - 1:
-            j, head = i, _from_base64(lines[i][2][:40]) or b""
+            first = ends[i] - width[i]
+            head = _from_base64(chars[first:first + 40]) or b""
+            k = i                                                   # the last line of a key
             if need := _der_chars(head):
-                j = bisect_left(ends, need + ends[i] - len(lines[i][2]))
-                j = j if j < len(lines) and ends[j] == need + ends[i] - len(lines[i][2]) else i
+                j = bisect_left(ends, need + first)
+                if j < len(lines) and ends[j] == need + first and is_der_key(_Bytes(None, chars, first, ends[j])):
+                    k = j
             elif head.startswith(_MAGIC) or _SSH_HEAD.match(head):
-                while j + 1 < len(lines) and len(lines[j][2]) == len(lines[i][2]):
-                    j += 1
-            found = False
-            for k in (j, j - 1) if j > i + 1 else (j,) if j > i else ():   # the last line may be text
-                if kind := _key_kind(_from_base64("".join(x for _, _, x in lines[i:k + 1]))):
-                    end = lines[k][1]
-                    end += len(text[end:end + 2]) - len(text[end:end + 2].lstrip("="))
-                    out.append((lines[i][0], ORDER[kind], end))
-                    i, found = k + 1, True
-                    break
-            i += not found
+                j = alike[i]
+                for z in (j, j - 1) if j > i + 1 else (j,):         # the last line may be text
+                    b = _Bytes(None, chars, first, ends[z])
+                    if (ends[z] - first) % 4 != 1 and b.size in ssh_ends(b):
+                        k = z
+                        break
+            if k > i:
+                end = lines[k][1]
+                end += len(text[end:end + 2]) - len(text[end:end + 2].lstrip("="))
+                out.append((lines[i][0], ORDER["der_key" if need else "ssh_key"], end))
+            i = k + 1
     return out
 
 
@@ -223,9 +267,7 @@ def scan(text: str | None) -> tuple[list, list]:
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     more = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            if is_pem_key(m[2]):
-                more.append((m.start(), ORDER["pem_key"], m.end()))
+        more += pem_keys(text)
     if text.count(".") >= 2 and "." in text:
         more += [(m.start(), ORDER["signed_token"], m.end()) for m in _SIGNED.finditer(text)
                  if m[1].startswith(("ey", "ew")) and is_token_header(m[1])] if "ey" in text or "ew" in text else []
