@@ -6,24 +6,34 @@ document's words are streamed through it; the length of the longest match that
 ends at each word says which words lie inside a window and which items match.
 Runs of words that no item has are passed over, since they reset the match.
 
-The items are taken in blocks of a bounded number of words (``BLOCK_WORDS``);
-each block's items are broadcast and every document is streamed against every
-block, so the bound holds for any benchmark. Cases: null and empty texts have
-no words; items with a null id or no word are left out; repeated items count
-as one id; texts of any length are streamed whole; equal rows give equal rows;
-an empty benchmark hits nothing; columns of the caller pass through unread.
+The items are taken in blocks of a bounded number of words (``BLOCK_WORDS``).
+One block is all that the driver and a task hold at a time: its items are
+broadcast, every document is streamed against them, and where there are more
+blocks, what they hit in each distinct text is written before the next block is
+read; in the end the hits of all blocks are merged by text.
+
+``keep_clean`` drops the contaminated documents and takes hit runs of
+``max_run`` words or more out of the others; ``remove_spans`` keeps every
+document without its runs over the length or coverage limit.
+
+Cases: null and empty texts have no words; the windows of an item with a null
+id are hits like others, but it is no item that has an id to list; items
+without a word are left out; repeated items count as one id; texts of any
+length are streamed whole; equal rows give equal rows; an empty benchmark hits
+nothing; columns of the caller pass through unread.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundlearn.llm.common import free_name
+from roundlearn.llm.common import free_name, written
 from roundlearn.session import ship_package
 
 WINDOW = 13                # words; fixed value
@@ -42,7 +52,7 @@ def words(text: str | None) -> list[bytes]:
 class Automaton:
     """Suffix automaton over the words of many items."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.window, self.vocab = window, {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -132,7 +142,7 @@ class Automaton:
             if end - start >= least:
                 self._run(ids, start, end, spans, items)
             start = end
-        return n, [(a, b) for a, b in spans], items
+        return n, [(a, b) for a, b in spans], items - {None}
 
     def _run(self, ids: list[int], start: int, end: int, spans: list, items: set) -> None:
         nxt, link, length, w = self.next, self.link, self.length, self.window
@@ -164,29 +174,44 @@ class Automaton:
         spans.append([a, b])
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int):
-    """The items, block by block, each of about ``block_words`` words, on the
-    driver. A block is one hash class of the items."""
+def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> tuple[int, Iterator[list[tuple[str | None, str]]]]:
+    """How many blocks the items make, and the blocks, each of about
+    ``block_words`` words and read when it is asked for. A block is one hash
+    class of the items."""
     src = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.where("id is not null and text is not null").distinct()
+    src = src.where("text is not null").distinct()
     total = src.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
     n = max(1, -(-total // block_words))
-    for i in range(n):
-        rows = src.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).collect()
-        if rows:
-            yield [(r["id"], r["text"]) for r in rows]
+    if n == 1:
+        return n, iter([[tuple(r) for r in src.collect()]])
+    src = written(src, "benchmark-items")
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(n))
+    return n, ([tuple(r) for r in src.where(part == i).collect()] for i in range(n))
 
 
-_built: dict[int, Automaton] = {}            # one automaton of each kind in a worker
+_built: dict[str, Automaton] = {}            # the automaton of the block at hand in a worker
 
 
-def _automaton(items: list[tuple[str, str]], window: int) -> Automaton:
-    key = zlib.crc32(repr((window, items)).encode())
-    if key not in _built:
-        if len(_built) >= 2:
-            _built.clear()
-        _built[key] = Automaton(items, window)
-    return _built[key]
+def _automaton(block: tuple[str, list, int]) -> Automaton:
+    token, items, window = block
+    if token not in _built:
+        _built.clear()
+        _built[token] = Automaton(items, window)
+    return _built[token]
+
+
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_HIT_KINDS = ["long", "array<struct<a:int,b:int>>", "array<string>"]
+
+
+def _hit_columns(found: list[tuple]) -> list[pa.Array]:
+    return [pa.array([n for n, _, _ in found], pa.int64()),
+            pa.array([[{"a": x, "b": y} for x, y in spans] for _, spans, _ in found], _SPANS),
+            pa.array([sorted(ids) for _, _, ids in found], pa.list_(pa.string()))]
+
+
+def _text_key(text: str | None) -> bytes | None:
+    return hashlib.md5(text.encode()).digest() if text else None
 
 
 def match(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
@@ -197,28 +222,74 @@ def match(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     spark = df.sparkSession
     ship_package(spark)
     names = [free_name(df.columns, prefix + x) for x in ("n_words", "hit_spans", "hit_items")]
-    kinds = ["long", "array<struct<a:int,b:int>>", "array<string>"]
     at = df.columns.index(text_col)
-    out = df
-    for k, n in zip(kinds, names, strict=True):
-        out = out.withColumn(n, F.lit(0).cast("long") if k == "long" else F.array().cast(k))
-    found = list(blocks(items, item_id, item_text, block_words)) or [[]]
-    for block in found:
-        shared = spark.sparkContext.broadcast((block, window))
-
-        def run(batches, shared=shared):
+    n, each = blocks(items, item_id, item_text, block_words)
+    if n == 1:
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, next(each), window))
+
+        def run(batches):
             for b in batches:
-                auto = _automaton(*shared.value)
-                res = [auto.hits(t) for t in b.column(at).to_pylist()]
-                cols = list(b.columns)
-                spans = [merge(old, [{"a": x, "b": y} for x, y in new]) for old, (_, new, _) in
-                         zip(cols[-2].to_pylist(), res, strict=True)]
-                ids = [sorted({*old, *new}) for old, (_, _, new) in zip(cols[-1].to_pylist(), res, strict=True)]
-                cols[-3] = pa.array([n for n, _, _ in res], pa.int64())
-                cols[-2] = pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-                cols[-1] = pa.array(ids, pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
-        out = out.mapInArrow(run, out.schema)
+                auto = _automaton(shared.value)
+                found = [auto.hits(t) for t in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, *_hit_columns(found)], names=[*b.schema.names, *names])
+        out = df
+        for k, c in zip(_HIT_KINDS, names, strict=True):
+            out = out.withColumn(c, F.lit(None).cast(k))
+        return df.mapInArrow(run, out.schema)
+    texts = df.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    parts = [_block_hits(texts, block, window) for block in each]
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
+    # one row a block and text: a key has at most as many as there are blocks
+    merged = hits.groupBy("key").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    key, n_words, spans, found = (free_name([*df.columns, *names], x) for x in ("text_key", "words", "spans", "items"))
+    merged = merged.toDF(f"{key}_2", spans, found)
+
+    def keyed(batches):
+        for b in batches:
+            ts = b.column(at).to_pylist()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_text_key(t) for t in ts], pa.binary()),
+                                              pa.array([len(words(t)) for t in ts], pa.int64())], names=[*b.schema.names, key, n_words])
+
+    def joined(batches):
+        for b in batches:
+            ss, ids = ([x or [] for x in b.column(c).to_pylist()] for c in (spans, found))
+            rows = []
+            for s in ss:
+                whole: list[dict] = []
+                for x in s:
+                    whole = merge(whole, x)
+                rows.append(whole)
+            cols = [b.column(c) for c in b.schema.names if c not in (spans, found)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, _SPANS),
+                                              pa.array([sorted({y for z in x for y in z}) for x in ids], pa.list_(pa.string()))],
+                                             names=[*b.schema.names[:-2], *names[1:]])
+    out = df.mapInArrow(keyed, df.select("*", F.lit(None).cast("binary").alias(key), F.lit(None).cast("long").alias(n_words)).schema)
+    out = out.join(merged, F.col(key) == F.col(f"{key}_2"), "left").drop(key, f"{key}_2").withColumnRenamed(n_words, names[0])
+    schema = out.drop(spans, found)
+    for k, c in zip(_HIT_KINDS[1:], names[1:], strict=True):
+        schema = schema.withColumn(c, F.lit(None).cast(k))
+    return out.mapInArrow(joined, schema.schema)
+
+
+def _block_hits(texts: DataFrame, block: list, window: int) -> DataFrame:
+    """(key, spans, items) of the distinct texts that one block hits,
+    written; the block is let go after that."""
+    shared = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, window))
+
+    def run(batches):
+        for b in batches:
+            auto, rows = _automaton(shared.value), {}
+            for t in b.column(0).to_pylist():
+                if t and (key := _text_key(t)) not in rows and (found := auto.hits(t))[1]:
+                    rows[key] = found
+            if rows:
+                _, spans, items = _hit_columns(list(rows.values()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), spans, items], names=["key", "spans", "items"])
+    hits = texts.mapInArrow(run, f"key binary, spans {_HIT_KINDS[1]}, items {_HIT_KINDS[2]}")
+    out = written(hits.groupBy("key").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "block-hits")
+    shared.unpersist()
     return out
 
 
@@ -245,16 +316,20 @@ def digest(matched: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     "hit_spans", "hit_items"))
 
 
-def keep_clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
-               item_text: str = "text", min_share: int = MIN_SHARE) -> DataFrame:
-    """The rows of ``df`` that are not contaminated, unchanged."""
+def keep_clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+               min_share: int = MIN_SHARE, max_run: int | None = None, length_col: str | None = None) -> DataFrame:
+    """The rows of ``df`` that are not contaminated. With ``max_run`` their
+    hit runs of so many words or more are taken out of the text, and
+    ``length_col`` is set anew where a text changed."""
     base = [free_name(df.columns, x) for x in ("n_words", "hit_spans", "hit_items")]
     m = match(df, items, text_col, item_id, item_text)
     n_hit = F.aggregate(base[1], F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    return m.where(~((n_hit > 0) & (min_share * n_hit >= F.col(base[0])))).select(*[F.col(f"`{c}`") for c in df.columns])
+    m = m.where(~((n_hit > 0) & (min_share * n_hit >= F.col(base[0]))))
+    return (_without_spans(m, text_col, base[1], max_run, None, length_col) if max_run else m).select(
+        *[F.col(f"`{c}`") for c in df.columns])
 
 
-def _cut(text: str | None, spans: list[dict], max_run: int, min_share: int) -> str | None:
+def _cut(text: str | None, spans: list[dict], max_run: int, min_share: int | None) -> str | None:
     """The text without its hit ranges of ``max_run`` words or more, or
     without all of them if together they reach the share."""
     if not text or not spans:
@@ -266,7 +341,7 @@ def _cut(text: str | None, spans: list[dict], max_run: int, min_share: int) -> s
         at = flat.index(w, at)
         bounds.append((at, at + len(w)))
         at += len(w)
-    over = min_share * sum(s["b"] - s["a"] for s in spans) >= len(bounds)
+    over = min_share is not None and min_share * sum(s["b"] - s["a"] for s in spans) >= len(bounds)
     out, last = [], 0
     for s in spans:
         if over or s["b"] - s["a"] >= max_run:
@@ -279,18 +354,24 @@ def remove_spans(df: DataFrame, items: DataFrame, text_col: str = "text", item_i
                  item_text: str = "text", max_run: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
     """All rows, with the hit spans over the length or coverage limit taken
     out of the text."""
-    spans = free_name(df.columns, "hit_spans")
     m = match(df, items, text_col, item_id, item_text)
+    return _without_spans(m, text_col, free_name(df.columns, "hit_spans"), max_run, min_share, None).select(
+        *[F.col(f"`{c}`") for c in df.columns])
+
+
+def _without_spans(m: DataFrame, text_col: str, spans: str, max_run: int, min_share: int | None,
+                   length_col: str | None) -> DataFrame:
     at, sp = m.columns.index(text_col), m.columns.index(spans)
+    len_at = m.columns.index(length_col) if length_col in m.columns else None
 
     def run(batches):
         for b in batches:
             cols = list(b.columns)
-            cols[at] = pa.array([_cut(t, s, max_run, min_share) for t, s in
-                                 zip(cols[at].to_pylist(), cols[sp].to_pylist(), strict=True)], b.schema.field(at).type)
+            old = cols[at].to_pylist()
+            new = [_cut(t, s, max_run, min_share) for t, s in zip(old, cols[sp].to_pylist(), strict=True)]
+            cols[at] = pa.array(new, b.schema.field(at).type)
+            if len_at is not None:
+                lengths = [n if x == y else len(y) for n, x, y in zip(cols[len_at].to_pylist(), old, new, strict=True)]
+                cols[len_at] = pa.array(lengths, b.schema.field(len_at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
-    return m.mapInArrow(run, m.schema).select(*[F.col(f"`{c}`") for c in df.columns])
-
-
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    return m.mapInArrow(run, m.schema)

@@ -53,11 +53,9 @@ def contamination(rows, items, window=13):
     wins = defaultdict(set)
     for item, t in items:
         w = bench_words(t)
-        if item is None or not w:
-            continue
         n = min(window, len(w))
-        for i in range(len(w) - n + 1):
-            wins[tuple(w[i:i + n])].add(str(item))
+        for i in range(len(w) - n + 1 if w else 0):
+            wins[tuple(w[i:i + n])].update([] if item is None else [str(item)])
     sizes = {len(x) for x in wins}
     out = []
     for d, t in rows:
@@ -65,7 +63,7 @@ def contamination(rows, items, window=13):
         hit, ids = set(), set()
         for n in sizes:
             for i in range(len(w) - n + 1):
-                if (found := wins.get(tuple(w[i:i + n]))):
+                if (found := wins.get(tuple(w[i:i + n]))) is not None:
                     ids |= found
                     hit.update(range(i, i + n))
         sha = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
@@ -73,6 +71,28 @@ def contamination(rows, items, window=13):
     return out
 
 
+def without_windows(text, items, window=13):
+    """The text without its hit runs of ``window`` words or more, by marking words."""
+    wins = {tuple(w[i:i + window]) for _, t in items for w in [bench_words(t)] for i in range(len(w) - window + 1)}
+    short = {tuple(w) for _, t in items if 0 < len(w := bench_words(t)) < window}
+    spans = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+    w, hit = bench_words(text), set()
+    for n in {window, *map(len, short)}:
+        for i in range(len(w) - n + 1):
+            if tuple(w[i:i + n]) in wins or tuple(w[i:i + n]) in short:
+                hit.update(range(i, i + n))
+    out, i, at = "", 0, 0
+    while i < len(w):
+        j = i
+        while j < len(w) and j in hit:
+            j += 1
+        if j - i >= window:
+            out += text[at:spans[i][0]]
+            at = spans[j - 1][1]
+        i = max(j, i + 1)
+    return out + text[at:] if text else text
+
+
 def quality_base(text):
     w = words(text)
     t = text or ""
