@@ -26,8 +26,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
-    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
+    """Documents that are not contaminated by benchmark items, without the
+    passages of a whole window or more that they share with one."""
+    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"), max_run=decontaminate.WINDOW, length_col="n_chars")
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
