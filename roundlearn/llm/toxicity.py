@@ -9,9 +9,10 @@ sentence labels.
 Words are compared by a 64-bit hash of their lower-cased letters. Which words
 become features is decided on all labelled learnable rows: the ``FEATURES``
 words with the largest chi-square between documents that have them and the
-label. The weights are fitted on a sample of at most about ``PER_LABEL``
+label; for them the distinct words of documents are joined with the labels,
+no texts. The weights are fitted on a sample of at most about ``PER_LABEL``
 documents of each label (kept by a hash of their id), weighted back to the
-label's whole count.
+label's whole count, until the loss settles (``losses`` of the model).
 
 Cases: null and empty texts score 0 (no sentence); with no labelled row, or
 only one label, every text scores 0; texts of any length are scored whole;
@@ -30,15 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roundlearn.llm.common import written
-from roundlearn.llm.ngram_join import word_starts
+from roundlearn.llm.ngram_join import key_bitmap, marked, word_starts
 from roundlearn.llm.subword import portions
-from roundlearn.session import ship_package
+from roundlearn.operators.gradient import lbfgs_direction
+from roundlearn.session import bounded_broadcast, ship_package
 
 FEATURES = 4_096
 PER_LABEL = 10_000          # expected most training documents of a label
 MIN_DOCS = 5                # of a feature
 RIDGE = 1e-3
-STEPS = 400
+STEPS = 200                 # at most
+TOLERANCE = 1e-4
 FLAG = 0.3                  # sentences of this score or more are reported
 
 _END = np.zeros(256, bool)
@@ -76,59 +79,99 @@ class Bags:
 
 
 def fit_weights(doc: np.ndarray, cells: tuple[np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray,
-                n_features: int, steps: int = STEPS, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+                n_features: int, steps: int = STEPS, ridge: float = RIDGE,
+                tolerance: float = TOLERANCE) -> tuple[np.ndarray, float, list[float]]:
     """Feature weights and bias that minimise the weighted log loss of the
-    noisy-or. ``doc``: the document of each sentence."""
+    noisy-or by L-BFGS, and the loss after each step. ``doc``: the document of
+    each sentence. Steps end when one lowers the loss by less than
+    ``tolerance`` of it, or after ``steps``."""
     sent, feat = cells
-    theta = np.zeros(n_features + 1)
-    theta[-1] = -6.0
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
     total = weight.sum()
-    for t in range(1, steps + 1):
+
+    def look(theta: np.ndarray) -> tuple[float, np.ndarray]:
         a = np.full(len(doc), theta[-1]) + np.bincount(sent, theta[feat], minlength=len(doc))
         p = 1 / (1 + np.exp(-np.clip(a, -30, 30)))
         keep = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y))      # ln of "no sentence offends"
         none = np.exp(keep)
-        g_doc = np.where(y, -none / np.maximum(1 - none, 1e-9), 1.0) * weight / total
+        some = -np.expm1(keep)
+        loss = -(weight * np.where(y, np.log(np.maximum(some, 1e-12)), keep)).sum() / total
+        g_doc = np.where(y, -none / np.maximum(some, 1e-9), 1.0) * weight / total
         g_sent = g_doc[doc] * p
         g = np.append(np.bincount(feat, g_sent[sent], minlength=n_features), g_sent.sum())
         g[:-1] += ridge * theta[:-1] / max(n_features, 1)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta -= 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    return theta[:-1], float(theta[-1])
+        return float(loss + 0.5 * ridge * (theta[:-1] @ theta[:-1]) / max(n_features, 1)), g
+
+    theta = np.zeros(n_features + 1)
+    theta[-1] = -6.0
+    value, g = look(theta)
+    losses, moves = [value], []
+    while len(losses) <= steps:
+        d = lbfgs_direction(g, moves)
+        size = 1.0 if moves else 1.0 / max(float(np.linalg.norm(g)), 1e-12)
+        while True:
+            value2, g2 = look(theta + size * d)
+            if value2 <= value + 1e-4 * size * float(g @ d) or size < 1e-10:
+                break
+            size *= 0.5
+        if value2 >= value:
+            break
+        if float((g2 - g) @ d) > 0:
+            moves = [*moves, (size * d, g2 - g)][-10:]
+        theta, done = theta + size * d, value - value2 < tolerance * value
+        value, g = value2, g2
+        losses.append(value)
+        if done:
+            break
+    return theta[:-1], float(theta[-1]), losses
 
 
 def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
         label_id: str = "doc_id", label_col: str = "toxic", per_label: int = PER_LABEL, features: int = FEATURES) -> dict | None:
     """The model, or None if the labels do not hold both classes."""
-    lab = (labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull())
-           .groupBy(F.col(label_id).alias("l_id")).agg((F.max(label_col) == 1).alias("y")))
-    rows = (df.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .join(lab, F.col("id") == F.col("l_id")).select("id", "text", "y"))
-    rows = written(rows, "toxicity-rows")
-    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    if len(n) < 2:
-        return None
+    spark = df.sparkSession
+    ship_package(spark)
+    key = lambda c: F.xxhash64(F.col(c).cast("string"))
+    lab = written(labels.where(F.col(label_col).isNotNull() & F.col(label_id).isNotNull())
+                  .groupBy(key(label_id).alias("k")).agg((F.max(label_col) == 1).alias("y")), "toxicity-labels")
+    src = df.where(learn & F.col(id_col).isNotNull()).select(key(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
+    labelled = spark.sparkContext.broadcast(key_bitmap(lab))
+
+    # of the rows that may be labelled only the distinct words move to their labels, no text
+    def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(marked(labelled.value, b.column(0).to_numpy())))
+            for p in portions(b, 1):
+                if p.num_rows:
+                    bags = Bags(p.column(1).to_pylist())
+                    order = np.lexsort((bags.words, bags.doc))
+                    w, d = bags.words[order], bags.doc[order]
+                    fresh = np.ones(len(w), bool)
+                    fresh[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
+                    cuts = np.searchsorted(d[fresh], np.arange(p.num_rows + 1))
+                    yield pa.RecordBatch.from_arrays([p.column(0), pa.ListArray.from_arrays(
+                        pa.array(cuts, pa.int32()), pa.array(w[fresh].view(np.int64)))], names=["k", "words"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents and toxic documents of each word, and (w null) of all."""
         for b in batches:
-            for p in portions(b, 0):
-                bags = Bags(p.column(0).to_pylist())
-                y = p.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                order = np.lexsort((bags.words, bags.doc))
-                w, d = bags.words[order], bags.doc[order]
-                fresh = np.ones(len(w), bool)
-                fresh[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-                w, toxic = w[fresh], y[d[fresh]]
-                u, at, c = np.unique(w, return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u.view(np.int64)), pa.array(c), pa.array(np.bincount(at, toxic, minlength=len(u)).astype(np.int64))],
-                    names=["w", "docs", "toxic"])
-
-    # words of one document only, most of them, cannot be features; each row
-    # here is a word of some thousand documents
-    counts = (rows.select("text", "y").mapInArrow(words, "w long, docs long, toxic long").groupBy("w")
-              .agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic")).where(F.col("docs") >= MIN_DOCS))
+            y = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            toxic = np.repeat(y, b.column(0).value_lengths().to_numpy())
+            u, at, c = np.unique(b.column(0).flatten().to_numpy(), return_inverse=True, return_counts=True)
+            bad = np.bincount(at, toxic, minlength=len(u)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([*u.tolist(), None], pa.int64()), pa.array(np.append(c, len(y))),
+                                              pa.array(np.append(bad, y.sum()))], names=["w", "docs", "toxic"])
+
+    joined = src.mapInArrow(bags_of, "k long, words array<bigint>").join(lab.hint("merge"), "k")      # one plan at every size
+    tally = written(joined.select("words", "y").mapInArrow(words, "w long, docs long, toxic long").groupBy("w")
+                    .agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+                    .where(F.col("w").isNull() | (F.col("docs") >= MIN_DOCS)), "toxicity-words")
+    total = tally.where("w is null").first()
+    n = {True: total["toxic"], False: total["docs"] - total["toxic"]} if total else {True: 0, False: 0}
+    if not n[True] or not n[False]:
+        return None
+
+    # words of one document only, most of them, cannot be features
+    counts = tally.where("w is not null")
     all_, bad = float(n[True] + n[False]), float(n[True])
     expected = F.col("docs") * bad / all_
     chi = (F.col("toxic") - expected) ** 2 / expected * all_ / (all_ - bad)
@@ -136,8 +179,10 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     vocab = np.sort(np.ascontiguousarray(best.column(0).to_numpy()).view(np.uint64))
 
     rate = {y: min(1.0, per_label / n[y]) for y in n}
-    spread = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(spread < F.when(F.col("y"), rate[True]).otherwise(rate[False])).select("text", "y", F.xxhash64("id", "text").alias("h"))
+    spread = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30)
+    # about 2 * per_label keys of the labels that learnable rows have; all labels are looked at, so there may be more of them
+    chosen = lab.where(spread < F.when(F.col("y"), rate[True]).otherwise(rate[False]))
+    picked = src.join(bounded_broadcast(chosen, chosen.count()), "k").select("text", "y", F.xxhash64("k", "text").alias("h"))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,14 +209,14 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
         base = np.cumsum([0, *(r[2] for r in got)])
         parts = [np.frombuffer(r[3], np.int32).reshape(2, -1) + [[s], [0]] for r, s in zip(got, base.tolist(), strict=False)]
         sent, feat = np.concatenate(parts, axis=1)
-        w, bias = fit_weights(doc, (sent, feat), y, weight, len(vocab))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((w, bias))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_weights(doc, (sent, feat), y, weight, len(vocab)))], pa.binary())],
+                                         names=["model"])
 
-    fitted = picked.mapInArrow(cells, "y boolean, h long, sentences long, cells binary").coalesce(1).mapInArrow(one, "model binary").collect()
+    fitted = picked.mapInArrow(cells, "y boolean, h long, sentences long, cells binary").repartition(1).mapInArrow(one, "model binary").collect()
     if not fitted:
         return None
-    w, bias = pickle.loads(fitted[0]["model"])
-    return {"vocab": vocab, "w": w, "bias": bias}
+    w, bias, losses = pickle.loads(fitted[0]["model"])
+    return {"vocab": vocab, "w": w, "bias": bias, "losses": losses}
 
 
 def score_texts(model: dict | None, texts: list[str | None], flag: float = FLAG) -> tuple[np.ndarray, list[list[dict]]]:
