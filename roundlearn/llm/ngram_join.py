@@ -13,7 +13,10 @@ subset is indexed) or more (its deletion neighbourhood is indexed as well):
 
 * empty segments cost most (all sets share them) and always get 0;
 * shingles held by many documents (shared passages) form *hot* segments of
-  their own behind all others, which get 0 as long as the others suffice.
+  their own behind all others, which get 0 as long as the others suffice. How
+  often a shingle is held is estimated from one distinct set in ``SAMPLE``: any
+  choice of hot shingles gives the same links, it only moves cost, and this one
+  is alike at every size, so groups of cold segments stay small as data grow.
 
 Each set climbs a ladder until its thresholds add up to D + 1:
 
@@ -33,9 +36,12 @@ the same over groups) it shares most signatures with; then, since linked nodes n
 links between them, only pairs of one group that lie in different components so
 far. Sizes and parity bitmaps, whose distance never exceeds that of the sets,
 rule most false pairs out; the rest are verified on whole texts, each node's
-nearest pairs first, then all that are not joined through others by then. So a
-group of many near copies costs a few verifications for each member, and no
-group is expanded into all its pairs.
+nearest pairs with another component first, then all others of the two that
+these have not joined. So a
+group of many near copies costs a few verifications for each member. In a group
+of several components the bitmaps are compared inside of tiles of at most about
+``TILE`` nodes a side, in whatever task holds the tile; only pairs that may
+link leave it, so no group is expanded into rows for its pairs.
 
 Sets are sets of 64-bit hashes of the shingles (all word bytes count); two
 different shingles of one pair of documents meet with odds below 1e-12.
@@ -57,17 +63,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roundlearn.llm.common import free_name, written
+from roundlearn.llm.common import free_name, parts, written
 from roundlearn.llm.components import components
 
 WORDS = 5
 SIM_NUM, SIM_DEN = 80, 100            # link: SIM_DEN * intersection >= SIM_NUM * union
-HOT_DOCS = 64                         # a shingle of fewer sets is not hot
-HOT_MAX = 1 << 20                     # at most so many hot shingles (8 MB) are broadcast
+HOT_DOCS = 48                         # a shingle of fewer sets (by the estimate) is not hot
+SAMPLE = 16                           # one set in so many is counted for that estimate
+HOT_MAX = 1 << 24                     # at most so many shingles are marked in the broadcast bitmap
+TILE = 2_048                          # nodes of a side of a tile
 ORDERS = 4                            # hubs of a group; a node is tested with twice as many
-NEAREST = 8                           # pairs of a node tested before the rest of its pairs
+FIRST = 3                             # pairs of a node with a component that are tested before its others
 DEEPEST = 3                           # deletions in cold segments before hot ones are used
-MAP_BITS = 26                         # size of the bitmap of wanted nodes (8 MB)
+MAP_BITS = 26                         # size of the bitmaps of wanted nodes and of hot shingles (8 MB)
 
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -194,9 +202,11 @@ def nodes_of(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[b
 
 
 def bitmap_bits(size: int) -> int:
-    """Bits of a set's bitmap: the power of two from its size up, 64 at
-    least."""
-    return max(64, 1 << (size - 1).bit_length())
+    """Bits of a set's bitmap, a power of two: four times its size up to
+    4 096, its size beyond, 64 at least. For sets that can link they are the
+    same or differ by a factor of 2."""
+    up = 1 << (size - 1).bit_length()
+    return max(64, up, min(4 * up, 4_096))
 
 
 def bitmaps_of(values: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
@@ -251,9 +261,15 @@ def _segments(top: int) -> int:
     return max(-(-top // 3), most_apart(top, top) + 1)
 
 
+def marked(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the low bits of each key are set in a bitmap."""
+    low = keys & ((1 << MAP_BITS) - 1)
+    return (bitmap[low >> 6] >> (low & 63)) & 1 == 1
+
+
 def signatures(values: np.ndarray, counts: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of many sets (end to end) and the set each belongs to.
-    ``hot``: sorted hashes whose segments come last."""
+    ``hot``: bitmap of the hashes whose segments come last (empty: none)."""
     sets = np.flatnonzero(counts)
     first = (np.cumsum(counts) - counts)
     out_sig, out_set = [np.empty(0, _U)], [np.empty(0, np.int64)]
@@ -270,7 +286,7 @@ def signatures(values: np.ndarray, counts: np.ndarray, hot: np.ndarray) -> tuple
         s, own = values[at], np.repeat(np.arange(len(docs)), lens)
         seg = ((mix(s ^ _SALTS[3]) >> _U(8)) % _U(m)).astype(np.int64)
         if len(hot):
-            seg[hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s] += m
+            seg[marked(hot, s.view(np.int64))] += m
         order = np.argsort(own * (2 * m) + seg)
         element, seg, own = mix(s ^ _SALTS[2])[order], seg[order], own[order]
         start = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (own[1:] != own[:-1])]))
@@ -322,15 +338,22 @@ def _split(joint: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
     return np.split(joint[0], np.cumsum(joint[1])[:-1])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Ids and texts, some megabytes of texts at a time."""
+    for b in batches:
+        for p in parts(b.column(1), size):
+            yield b.column(0)[p], b.column(1)[p].to_pylist()
+
+
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def _survey(src: DataFrame, words: int) -> DataFrame:
     """One pass over the texts. Rows with n: a document's size, key,
-    fingerprint and bitmap; rows with hot: a shingle that at least eight different sets
-    of one stretch of rows hold, with their number."""
-    stretch, least = 4_000_000, 8
+    fingerprint and bitmap; rows with hot: a shingle and how many different
+    sampled sets of one stretch of rows hold it."""
+    stretch = 4_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -338,32 +361,26 @@ def _survey(src: DataFrame, words: int) -> DataFrame:
         total = 0
 
         def counted() -> tuple[list, list]:
-            h, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, _U), np.empty(0, int))
-            often = c >= least
-            return h[often].view(np.int64).tolist(), c[often].tolist()
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            return h.view(np.int64), c.astype(np.int64)
 
-        for b in batches:
-            values, counts = sets_of(b.column(1).to_pylist(), words)
+        for ids, texts in _slices(batches):
+            values, counts = sets_of(texts, words)
             keys, fps = nodes_of(values, counts)
-            hot, cnt, at = [], [], 0
-            for fp, n in zip(fps, counts.tolist(), strict=True):
-                if fp is not None and fp not in seen:
-                    seen.add(fp)
-                    held.append(values[at:at + n])
-                    total += n
-                at += n
+            ends = np.cumsum(counts)
+            yield _survey_batch(ids, counts, keys, fps, bitmaps_of(values, counts), None, None)
+            for i in np.flatnonzero((counts > 0) & (keys % SAMPLE == 0)).tolist():
+                if fps[i] not in seen:
+                    seen.add(fps[i])
+                    held.append(values[ends[i] - counts[i]:ends[i]])
+                    total += int(counts[i])
                 if total >= stretch:
                     h, c = counted()
-                    hot += h
-                    cnt += c
+                    yield _survey_batch(pa.nulls(len(h), src_type), None, None, None, None, h, c)
                     seen, held, total = set(), [], 0
-            yield _survey_batch(b.column(0), counts, keys, fps, bitmaps_of(values, counts), None, None)
-            if hot:
-                yield _survey_batch(pa.nulls(len(hot), src_type), None, None, None, None, hot, cnt)
         if held:
             h, c = counted()
-            if h:
-                yield _survey_batch(pa.nulls(len(h), src_type), None, None, None, None, h, c)
+            yield _survey_batch(pa.nulls(len(h), src_type), None, None, None, None, h, c)
 
     from pyspark.sql.pandas.types import to_arrow_type
     src_type = to_arrow_type(src.schema["doc_id"].dataType)
@@ -380,10 +397,10 @@ def _survey_batch(ids, n, keys, fps, bits, hot, cnt) -> pa.RecordBatch:
 
 
 def _hot(survey: DataFrame) -> np.ndarray:
-    """The most frequent shingles, at most HOT_MAX: those above the smallest
-    power of two of sets that leaves no more."""
+    """Bitmap of the most frequent shingles, at most HOT_MAX: those above the
+    smallest power of two of sets that leaves no more."""
     counts = (survey.where("hot is not null").groupBy("hot").agg(F.sum("docs").alias("docs"))
-              .where(F.col("docs") >= HOT_DOCS))
+              .where(F.col("docs") * SAMPLE >= HOT_DOCS))
     counts = written(counts, "hot-shingles")
     classes = counts.groupBy(F.floor(F.log2("docs")).alias("c")).count().orderBy(F.desc("c")).collect()   # under 64 rows
     total, least = 0, None
@@ -393,24 +410,21 @@ def _hot(survey: DataFrame) -> np.ndarray:
             break
         least = r["c"]
     if least is None:
-        return np.empty(0, _U)
-    got = counts.where(F.floor(F.log2("docs")) >= least).select("hot").toArrow().column(0).to_numpy()
-    return np.sort(np.ascontiguousarray(got).view(_U))
+        return np.empty(0, np.int64)
+    return key_bitmap(counts.where(F.floor(F.log2("docs")) >= least).select(F.col("hot").alias("k")))
 
 
 def _signature_rows(src: DataFrame, hot, words: int) -> DataFrame:
     """(signature, key of the node), for copies in one stretch of rows once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), 2_000):
-                values, counts = sets_of(texts[i:i + 2_000], words)
-                keys, fps = nodes_of(values, counts)
-                later = np.ones(len(fps), bool)
-                later[list({fp: j for j, fp in reversed(list(enumerate(fps)))}.values())] = False
-                values, counts = values[~np.repeat(later, counts)], np.where(later, 0, counts)
-                sig, own = signatures(values, counts, hot.value)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(keys[own])], names=["sig", "k"])
+        for _, texts in _slices(batches):
+            values, counts = sets_of(texts, words)
+            keys, fps = nodes_of(values, counts)
+            later = np.ones(len(fps), bool)
+            later[list({fp: j for j, fp in reversed(list(enumerate(fps)))}.values())] = False
+            values, counts = values[~np.repeat(later, counts)], np.where(later, 0, counts)
+            sig, own = signatures(values, counts, hot.value)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(keys[own])], names=["sig", "k"])
     return src.mapInArrow(run, "sig long, k long")
 
 
@@ -423,8 +437,8 @@ def _members(src: DataFrame, hot, words: int) -> DataFrame:
     return written(sigs.join(shared.select("sig"), "sig").distinct(), "members")
 
 
-def _wanted(keys: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the low bits of the wanted keys: a filter
+def key_bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the low bits of keys ``k``: a filter
     that lets some others pass, never one too few."""
     low = F.col("k").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
     cells = keys.select(F.shiftright(low, 6).alias("cell"), low.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
@@ -436,17 +450,14 @@ def _wanted(keys: DataFrame) -> np.ndarray:
 
 def _texts(src: DataFrame, keys: DataFrame, words: int) -> DataFrame:
     """(fp, text) of the nodes with wanted keys (and a few more), each once."""
-    bitmap = src.sparkSession.sparkContext.broadcast(_wanted(keys))
+    bitmap = src.sparkSession.sparkContext.broadcast(key_bitmap(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in batches:
-            texts = b.column(1).to_pylist()
+        for _, texts in _slices(batches):
             keys, fps = nodes_of(*sets_of(texts, words))
-            low = keys & ((1 << MAP_BITS) - 1)
-            wanted = (bitmap.value[low >> 6] >> (low & 63)) & 1
             out = []
-            for i in np.flatnonzero(wanted).tolist():
+            for i in np.flatnonzero(marked(bitmap.value, keys)).tolist():
                 if fps[i] is not None and fps[i] not in seen:
                     seen.add(fps[i])
                     out.append(i)
@@ -523,39 +534,133 @@ def _root_keys(roots: DataFrame, nodes: DataFrame) -> DataFrame:
             .join(keys.withColumnRenamed("fp", "node"), "node").select("k", "c"))
 
 
-def _folded(nodes: DataFrame) -> DataFrame:
-    """(k, n, low): size of each node and its bitmap folded to 64 bits."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            low = [int(np.bitwise_xor.reduce(np.frombuffer(x, np.int64))) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(low, pa.int64())], names=["k", "n", "low"])
-    return nodes.select("k", "n", "bits").mapInArrow(run, "k long, n long, low long")
+def _halved(x: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows of words) folded to half their size."""
+    half = x.shape[1] // 2
+    return x[:, :half] ^ x[:, half:] if half else x
+
+
+def tile_pairs(group: np.ndarray, k: np.ndarray, c: np.ndarray, big: np.ndarray, role: np.ndarray, n: np.ndarray,
+               bits: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (i, j) of one group, i of role 1, j of role 2, in different
+    components, whose sizes and bitmaps allow a link, with their slack.
+    ``group`` is increasing; pairs are looked at a million at a time."""
+    left, right = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    size = np.array([len(x) // 8 for x in bits])
+    at = np.zeros(len(bits), np.int64)        # a row's place among those of its bitmap's size
+    rows: dict[int, np.ndarray] = {}
+    for w in np.unique(size).tolist():
+        own = np.flatnonzero(size == w)
+        at[own] = np.arange(len(own))
+        rows[w] = np.frombuffer(b"".join(bits[i] for i in own.tolist()), _U).reshape(len(own), w)
+    first = np.searchsorted(group[right], group[left])
+    many = np.searchsorted(group[right], group[left], "right") - first
+    total, a, out = np.cumsum(many), 0, []
+    while a < len(left):
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + (1 << 20), "right")))
+        m = many[a:z]
+        i = np.repeat(left[a:z], m)
+        j = right[np.repeat(first[a:z], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+        a = z
+        lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+        ok = (c[i] != c[j]) & ((c[j] == big[i]) | (k[i] < k[j])) & (SIM_DEN * lo >= SIM_NUM * hi)
+        i, j = i[ok], j[ok]
+        shift = np.abs(np.log2(size[i] / size[j])).astype(np.int64)
+        apart = np.zeros(len(i), np.int64)
+        for w in rows:
+            for x, y, back in ((i, j, 0), (i, j, 1), (j, i, 1)):     # sizes alike; that of x twice that of y
+                pick = np.flatnonzero((size[y] == w) & (shift == back) & (size[x] == w << back))
+                for p in np.array_split(pick, 1 + len(pick) * w // (1 << 22)):
+                    of_x = rows[w << back][at[x[p]]] if len(p) else np.zeros((0, w << back), _U)
+                    apart[p] = np.bitwise_count((_halved(of_x) if back else of_x) ^ rows[w][at[y[p]]]).sum(1, dtype=np.int64)
+        spare = (SIM_DEN - SIM_NUM) * (n[i] + n[j]) - (SIM_DEN + SIM_NUM) * apart
+        good = spare >= 0
+        out.append((i[good], j[good], spare[good]))
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+_PAIR = "struct<k: bigint, hub: bigint, a: binary, b: binary, slack: bigint>"
+
+
+def _pair_rows(k: np.ndarray, c: np.ndarray, fp: pa.Array, i: np.ndarray, j: np.ndarray, spare: np.ndarray) -> pa.RecordBatch:
+    """One row for each node i and other component: a member of it and the
+    pairs with its members, the ``FIRST`` nearest apart from the others."""
+    order = np.lexsort((-spare, c[j], i))
+    i, j, spare = i[order], j[order], spare[order]
+    fresh = np.append(True, (i[1:] != i[:-1]) | (c[j][1:] != c[j][:-1]))[:len(i)]
+    start = np.flatnonzero(fresh)
+    place = np.arange(len(i)) - start[np.cumsum(fresh) - 1] if len(i) else i
+    large, small = np.where(k[i] > k[j], i, j), np.where(k[i] > k[j], j, i)
+    cols = [pa.array(k[large]), pa.array(k[small]), fp.take(pa.array(large)), fp.take(pa.array(small)), pa.array(spare)]
+    lists = []
+    for some in (place < FIRST, place >= FIRST):
+        at = pa.array(np.flatnonzero(some))
+        sizes = np.add.reduceat(some, start, dtype=np.int64) if len(i) else np.zeros(0, np.int64)
+        items = pa.StructArray.from_arrays([x.take(at) for x in cols], names=["k", "hub", "a", "b", "slack"])
+        lists.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), items))
+    return pa.RecordBatch.from_arrays([fp.take(pa.array(i[start])), fp.take(pa.array(j[start])), *lists], names=["fa", "fb", "near", "rest"])
 
 
 def _across(members: DataFrame, root_keys: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (k, hub) of nodes that share a signature but no
-    component. In each group all but the largest component's nodes meet the
-    others, so a group within one component gives nothing; of the rest only
-    pairs whose sizes and folded bitmaps allow a link leave the join."""
+    """For nodes that share a signature but no component, a row for each node
+    and other component of a group: fa, fb (fingerprints of the node and of a
+    member), near and rest (the pairs k, hub, a, b, slack whose sizes and
+    bitmaps allow a link, nearest first). In each group all but the largest
+    component's nodes meet the others, so a group within one component gives
+    nothing. Groups are compared by tiles."""
     placed = written(members.join(root_keys, "k", "left").select("sig", "k", F.coalesce("c", "k").alias("c")), "placed")
     split = (placed.groupBy("sig", "c").count().groupBy("sig")
-             .agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count(F.lit(1)).alias("parts")).where("parts > 1"))
-    rows = written(placed.join(split.select("sig", "big"), "sig").join(_folded(nodes), "k"), "groups")
-    small = rows.where("c <> big").select("sig", *[F.col(x).alias(f"{x}1") for x in ("k", "c", "n", "low")])
-    other = rows.select("sig", "big", *[F.col(x).alias(f"{x}2") for x in ("k", "c", "n", "low")])
-    size = SIM_DEN * F.least("n1", "n2") >= SIM_NUM * F.greatest("n1", "n2")
-    apart = F.bit_count(F.col("low1").bitwiseXOR(F.col("low2")))
-    near = (SIM_DEN - SIM_NUM) * (F.col("n1") + F.col("n2")) >= (SIM_DEN + SIM_NUM) * apart
-    return (small.join(other, "sig").where("c1 <> c2 and (c2 = big or k1 < k2)").where(size & near)
-            .select(F.greatest("k1", "k2").alias("k"), F.least("k1", "k2").alias("hub")).distinct())
+             .agg(F.max_by("c", F.struct("count", "c")).alias("big"), F.count(F.lit(1)).alias("parts"),
+                  F.sum("count").alias("all"), F.max("count").alias("most")).where("parts > 1")
+             .select("sig", "big", F.ceil((F.col("all") - F.col("most")) / TILE).cast("int").alias("rows"),
+                     F.ceil(F.col("all") / TILE).cast("int").alias("cols")))
+    rows = placed.join(split, "sig").join(nodes.select("k", "fp", "n", "bits"), "k")
+    cell = lambda x, y, role: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), role.cast("int").alias("role"))
+    h, zero, outside = F.xxhash64("k"), F.lit(0), F.col("c") != F.col("big")
+    as_left = F.transform(F.sequence(zero, F.col("cols") - 1), lambda y: cell(F.pmod(h, F.col("rows")), y, F.lit(1)))
+    as_right = F.transform(F.sequence(zero, F.col("rows") - 1), lambda x: cell(x, F.pmod(h, F.col("cols")), F.lit(2)))
+    tiles = (F.when((F.col("rows") == 1) & (F.col("cols") == 1), F.array(cell(zero, zero, F.when(outside, 3).otherwise(2))))
+             .when(outside, F.concat(as_left, as_right)).otherwise(as_right))
+    dealt = (rows.withColumn("t", F.explode(tiles)).select("sig", "t.x", "t.y", "t.role", "k", "c", "big", "n", "fp", "bits")
+             .repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y"))
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        sig, x, y, role, k, c, big, n = (t.column(i).to_numpy() for i in range(8))
+        fresh = (sig[1:] != sig[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        i, j, spare = tile_pairs(np.append(0, np.cumsum(fresh)), k, c, big, role, n, t.column(9).to_pylist())
+        return _pair_rows(k, c, t.column(8).combine_chunks(), i, j, spare)
 
-
-def _open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose nodes are not in one component."""
-    one = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    two = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    return (pairs.join(one, "a", "left").join(two, "b", "left")
-            .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("k", "hub", "a", "b", "slack"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []       # rows whose tile may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kept.append(b)
+            t = pa.Table.from_batches(kept)
+            last = [t.column(i)[t.num_rows - 1] for i in range(3)]
+            same = np.logical_and.reduce([t.column(i).to_numpy() == v.as_py() for i, v in enumerate(last)])
+            end = t.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if end:
+                yield compare(t.slice(0, end))
+            kept = t.slice(end).combine_chunks().to_batches()
+        if kept:
+            yield compare(pa.Table.from_batches(kept))
+    return written(dealt.mapInArrow(run, f"fa binary, fb binary, near array<{_PAIR}>, rest array<{_PAIR}>"), "across")
+
+
+def _pairs_in(rows: DataFrame, column: str, without: DataFrame) -> DataFrame:
+    """The distinct pairs of a list column, without those tested before."""
+    pairs = rows.select(F.explode(column).alias("x")).select("x.*").distinct()
+    return pairs.join(without, ["k", "hub"], "left_anti")
+
+
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows whose two nodes are not in one component."""
+    one = roots.select(F.col("node").alias("fa"), F.col("root").alias("ra"))
+    two = roots.select(F.col("node").alias("fb"), F.col("root").alias("rb"))
+    return rows.join(one, "fa", "left").join(two, "fb", "left").where(F.coalesce("ra", "fa") != F.coalesce("rb", "fb"))
 
 
 def join_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS):
@@ -572,16 +677,15 @@ def join_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     stars = written(_stars(members), "stars")
     near = _verify(_possible(stars, nodes), src, words)
     roots = components(near)
-    # then what lies in one group but not in one component: of the pairs that
-    # the bitmaps allow, each node's nearest, and then all others that these
-    # have not joined
+    # then what lies in one group but not in one component: first the nearest
+    # pairs of each node with each other component of a group, since one link
+    # joins them; then, where that was not so, all pairs that the bitmaps allow
     across = _across(members, _root_keys(roots, nodes), nodes)
-    open_pairs = _possible(across.join(stars, ["k", "hub"], "left_anti"), nodes)
-    order = Window.partitionBy("k").orderBy(F.desc("slack"), "hub")
-    ranked = written(open_pairs.withColumn("r", F.row_number().over(order)), "ranked")
-    near = written(near.union(_verify(ranked.where(F.col("r") <= NEAREST), src, words)), "links")
+    first = written(_pairs_in(across, "near", stars), "candidates")
+    near = written(near.union(_verify(first, src, words)), "links")
     roots = components(near)
-    rest = written(_open(ranked.where(F.col("r") > NEAREST), roots), "open")
+    left = _open(across.where(F.size("rest") > 0), roots)
+    rest = written(_pairs_in(left, "rest", stars).join(first, ["k", "hub"], "left_anti"), "open")
     if not rest.isEmpty():
         roots = components(near.union(_verify(rest, src, words)))
     placed_nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
