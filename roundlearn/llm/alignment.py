@@ -34,6 +34,8 @@ import functools
 import hashlib
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -41,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundlearn.llm.common import by_batch, written
+from roundlearn.llm.common import by_batch, parts, written
+from roundlearn.session import ship_package
 
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 MODEL_B = "/opt/tokenizers/piece_bpe_32k.model"
@@ -78,6 +81,8 @@ class Encoder:
         self.a = Tokenizer.from_file(vocabulary)
         self.a.encode_special_tokens = True   # their strings in a text are plain text
         alphabet = _byte_alphabet()
+        if self.a.normalizer is not None or not alphabet.keys() <= self.a.get_vocab().keys():
+            raise ValueError("the byte-level vocabulary does not know every byte, or changes texts")
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
@@ -92,23 +97,24 @@ class Encoder:
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
-    def _encode(self, chunks: list[str]) -> list[tuple]:
-        """(ids of A, ids of B) of chunks, each of which begins with a
-        blank; None where the bytes of either are not the chunk's."""
+    def _encode(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of A and of B, as 32-bit numbers, of chunks, each of which
+        begins with a blank; None where B's bytes are not the chunk's."""
         out: list = []
         if not chunks:
             return out
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        a = self.a.encode_batch_fast(chunks, add_special_tokens=False)
         b = self.b.encode([c[1:] for c in chunks], num_threads=1)          # the model adds the first blank
+        piece = self.b_bytes.__getitem__
         for c, x, y in zip(chunks, a, b):
             y = [self.blank] if c == " " else y
-            same = b"".join(map(self.a_bytes.__getitem__, x)) == c.encode() == b"".join(map(self.b_bytes.__getitem__, y))
-            out.append((x, y) if same else None)
+            out.append((array("i", x.ids).tobytes(), array("i", y).tobytes()) if b"".join(map(piece, y)) == c.encode() else None)
         return out
 
-    def tokens(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B; none where either's bytes are not those of a
-        blank and the text."""
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A, end to end, and how many each text has; the same for B.
+        A text has none where B's bytes are not those of a blank and the
+        text (A's always are: it knows every byte and changes none)."""
         chunks = [CHUNK.split(" " + t) if t else [] for t in texts]
         if len(self.young) > CACHED:          # what was not met since the last time is forgotten
             self.young, self.old = {}, self.young
@@ -120,16 +126,21 @@ class Encoder:
                 else:
                     new.append(c)
         known.update(zip(new, self._encode(new)))
-        a, b = [], []
-        for cs in chunks:
-            ids = [known[c] for c in cs]
-            whole = None not in ids
-            a.append([*chain.from_iterable([x[0] for x in ids])] if whole else [])
-            b.append([*chain.from_iterable([x[1] for x in ids])] if whole else [])
+        flat = [known[c] for c in chain.from_iterable(chunks)]
+        if None in flat:
+            bad = {c for c in chain.from_iterable(chunks) if known[c] is None}
+            chunks = [[] if bad.intersection(cs) else cs for cs in chunks]
+            flat = [known[c] for c in chain.from_iterable(chunks)]
+        ends = np.cumsum([len(cs) for cs in chunks])
+        out = []
+        for side in (0, 1):
+            ids = [x[side] for x in flat]
+            upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])[ends]
+            out += [np.frombuffer(b"".join(ids), np.int32).astype(np.int64), np.diff(upto, prepend=0)]
         for c in new:
             if len(c) > LONG:
                 del known[c]
-        return a, b
+        return tuple(out)
 
 
 # ---- shared cuts
@@ -230,9 +241,7 @@ class Aligner:
     def align(self, texts: list[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, groups text, pair keys, links of
         each) of each text."""
-        a, b = self.encoder.tokens(texts)
-        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-        a_ids, b_ids = (np.fromiter(chain.from_iterable(side), np.int64, n) for side, n in ((a, n_a.sum()), (b, n_b.sum())))
+        a_ids, n_a, b_ids, n_b = self.encoder.tokens(texts)
         a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
         starts = np.concatenate([[0], np.cumsum(n_a)])
         a_group, b_group = align_tokens(a_ids, a_end, b_ids, b_end, starts)
@@ -270,25 +279,25 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     often each is linked, ``groups`` the text (null unless asked for)."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        aligner = _aligner(vocabulary, model)
-        texts, out, a, size = b.column("text"), [], 0, 0
-        for i in range(len(texts)):
-            size += len(texts[i].as_buffer()) if texts[i].is_valid else 0
-            if size >= PART_BYTES or i == len(texts) - 1:
-                out += aligner.align(texts.slice(a, i + 1 - a).to_pylist())
-                a, size = i + 1, 0
-        n_a, n_b, groups, links, listed, keys, ns = zip(*out)
+    def rows_of(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+        n_a, n_b, groups, links, listed, keys, ns = zip(*found)
         cuts = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
         return pa.RecordBatch.from_arrays(
-            [b.column("id"), *(pa.array(x, pa.int64()) for x in (n_a, n_b, groups, links)),
+            [ids, *(pa.array(x, pa.int64()) for x in (n_a, n_b, groups, links)),
              pa.array(listed if with_groups else [None] * len(listed), pa.string()),
              pa.array([hashlib.sha256(s.encode()).hexdigest() if s else "" for s in listed], pa.string()),
              pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(keys), pa.int64())),
              pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(ns), pa.int64()))],
             ["id", "n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256", "pairs", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner = _aligner(vocabulary, model)
+        for b in batches:
+            for p in parts(b.column("text"), PART_BYTES):
+                yield rows_of(b.column("id")[p], aligner.align(b.column("text")[p].to_pylist()))
+    ship_package(docs.sparkSession)
     id_type = src.schema["id"].dataType.simpleString()
-    found = by_batch(src, run, f"id {id_type}, n_a long, n_b long, n_groups long, n_links long, groups string, "
+    found = src.mapInArrow(run, f"id {id_type}, n_a long, n_b long, n_groups long, n_links long, groups string, "
                                "groups_sha256 string, pairs array<bigint>, links array<bigint>")
     return found.withColumnRenamed("id", id_col)
 

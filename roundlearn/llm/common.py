@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,16 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list
     return df.mapInArrow(run, schema)
 
 
+def parts(texts: pa.Array, size: int) -> Iterator[slice]:
+    """Slices of a column of texts with about ``size`` bytes each."""
+    first, total = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        total += n
+        if total >= size or i == len(texts) - 1:
+            yield slice(first, i + 1)
+            first, total = i + 1, 0
+
+
 class IntMap:
     """A map of non-negative integers for lookups of whole arrays (open
     addressing, linear probes)."""

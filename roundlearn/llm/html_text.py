@@ -30,12 +30,14 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundlearn.llm.common import by_batch
+from roundlearn.llm.common import parts
+from roundlearn.session import ship_package
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -61,6 +63,7 @@ NOT_ARTICLE = frozenset("ad ads adv advert adverts advertisement advertising spo
                         "disqus reply replies respond share sharing social related recommended recommendations "
                         "pagination pager widget widgets skip toolbar copyright legal disclaimer form forms search "
                         "header".split())
+PART_BYTES = 4 << 20
 _NAME = re.compile(r"[a-zA-Z][^\t\n\f\r />]*")
 _ATTR = re.compile(r"""[\t\n\f\r /]*(?:([^\t\n\f\r />=][^\t\n\f\r />=]*|=[^\t\n\f\r />=]*)"""
                    r"""(?:[\t\n\f\r ]*=[\t\n\f\r ]*("[^"]*"|'[^']*'|[^\t\n\f\r >"'][^\t\n\f\r >]*|))?)?""")
@@ -351,10 +354,13 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     src = pages.select(*cols, F.col(f"`{html_col}`").cast("string").alias("page"))
     fields = ", ".join(f"k{i} {src.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(x) for x in b.column("page").to_pylist()]
-        out = [b.column(f"k{i}") for i in range(len(keep))]
-        out += [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-        return pa.RecordBatch.from_arrays(out, [*(f"k{i}" for i in range(len(keep))), "text", "n_chars"])
-    found = by_batch(src, run, f"{fields}, text string, n_chars long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in parts(b.column("page"), PART_BYTES):
+                texts = [main_text(x) for x in b.column("page")[p].to_pylist()]
+                out = [b.column(f"k{i}")[p] for i in range(len(keep))]
+                out += [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, [*(f"k{i}" for i in range(len(keep))), "text", "n_chars"])
+    ship_package(pages.sparkSession)
+    found = src.mapInArrow(run, f"{fields}, text string, n_chars long")
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "text", "n_chars")

@@ -30,9 +30,8 @@ give equal results; a null id stays, and is not rewritten by
 
 from __future__ import annotations
 
-import hashlib
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundlearn.llm.common import by_batch
+from roundlearn.llm.common import parts
+from roundlearn.session import ship_package
 
 LEAST = 12                 # words of the shortest run that is reported
 GRAM = LEAST // 2          # words of the windows that cover a run twice
@@ -316,18 +316,15 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return [(len(w), [] if r is None else [{"start": s, "length": n, "period": p} for s, n, p in r.tolist()],
                  collapse(w, r).decode("utf-8", "surrogatepass")) for w, r in zip(words, found)]
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts, out, a, size = b.column("id").to_pylist(), b.column("text"), [], 0, 0
-        for i in range(len(ids)):
-            size += len(texts[i].as_buffer()) if texts[i].is_valid else 0
-            if size >= PART_BYTES or i == len(ids) - 1:
-                out += some(ids[a:i + 1], texts.slice(a, i + 1 - a).to_pylist())
-                a, size = i + 1, 0
-        n, runs, kept = zip(*out)
-        return pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(runs, run_type), pa.array(kept, pa.string())],
-                                          ["id", "n_words", "runs", "collapsed"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in parts(b.column("text"), PART_BYTES):
+                n, runs, kept = zip(*some(b.column("id")[p].to_pylist(), b.column("text")[p].to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column("id")[p], pa.array(n, pa.int64()), pa.array(runs, run_type), pa.array(kept, pa.string())],
+                                                 ["id", "n_words", "runs", "collapsed"])
+    ship_package(docs.sparkSession)
     id_type = src.schema["id"].dataType.simpleString()
-    found = by_batch(src, run, f"id {id_type}, n_words long, runs array<struct<start: bigint, length: bigint, period: bigint>>, "
+    found = src.mapInArrow(run, f"id {id_type}, n_words long, runs array<struct<start: bigint, length: bigint, period: bigint>>, "
                                "collapsed string")
     return found.withColumnRenamed("id", id_col)
 
