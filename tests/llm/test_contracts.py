@@ -1,8 +1,9 @@
 """Operators 1, 3, 5, 6 and 8 against plain versions of their contracts."""
 
-import json
 import base64
+import json
 import random
+import time
 import zlib
 
 import pytest
@@ -129,6 +130,45 @@ def test_contamination_spans_are_removed(spark):
     assert got == {1: "Before it, ; after é.", 2: "nothing here", 3: None}
 
 
+def test_contamination_blocks_are_read_one_by_one(spark, monkeypatch):
+    """Many blocks give what one gives; the driver holds one at a time."""
+    rnd = random.Random(8)
+    items = [(i, " ".join(rnd.choices("abcdefgh", k=rnd.choice([3, 13, 14, 20])))) for i in range(80)]
+    rows = [(i % 90, " ".join(rnd.choices("abcdefghz", k=rnd.randrange(300)))) for i in range(100)] + [(1, None), (2, "")]
+    rows += [(200 + i, f"{t} x y {t}") for i, (_, t) in enumerate(items)]
+    df, it = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id int, text string")
+    n, each = decontaminate.blocks(it, "item_id", "text", 100)
+    assert n > 8 and max(len(b) for b in each) < 40
+    live, made = [0], decontaminate.blocks
+
+    def counting(*a):
+        n, each = made(*a)
+
+        def one_by_one():
+            for b in each:
+                live[0] += 1
+                yield b
+        return n, one_by_one()
+    monkeypatch.setattr(decontaminate, "blocks", counting)
+    seen = []
+    real = decontaminate._block_hits
+    monkeypatch.setattr(decontaminate, "_block_hits", lambda *a: seen.append(live[0]) or real(*a))
+    got = decontaminate.digest(decontaminate.match(df, it, block_words=100)).drop("hit_spans", "hit_items").collect()
+    same(got, brute.contamination(rows, items))
+    assert seen == list(range(1, len(seen) + 1)) and len(seen) > 8
+
+
+def test_clean_documents_lose_long_runs_only(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    own = " ".join(f"o{i}" for i in range(600))
+    rows = [(1, f"{own} {item.upper()}. {own}", 0, "en"), (2, f"{own} {' '.join(item.split()[:12])} {own}", 7, "en"), (3, item, 1, None),
+            (4, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n_chars int, lang string")
+    it = spark.createDataFrame([(1, item)], "item_id int, text string")
+    got = {r.doc_id: tuple(r) for r in decontaminate.keep_clean(df, it, max_run=13, length_col="n_chars").collect()}
+    assert got == {1: (1, f"{own} . {own}", len(own) * 2 + 3, "en"), 2: rows[1], 4: rows[3]}
+
+
 def test_contamination_empty(spark, odd, empty):
     none = spark.createDataFrame([], "item_id int, text string")
     got = decontaminate.digest(decontaminate.match(odd.select("doc_id", "text"), none)).collect()
@@ -340,3 +380,34 @@ def test_redaction(spark):
     df = spark.createDataFrame(rows, "doc_id int, text string, n_chars int")
     got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(df).collect()}
     assert got == {1: ("é [assign] end", 14), 2: ("clean", 5), 3: (None, 0), 4: ("[assign]", 8)}
+
+
+@pytest.mark.parametrize("text", [
+    "-----BEGIN RSA PRIVATE KEY-----\n" * 30_000, "-----BEGIN PRIVATE KEY-----AAAA-----END PRIVATE KEY-----\n" * 15_000,
+    (base64.b64encode((b"openssh-key-v1\x00" * 4)[:48]).decode() + "\n") * 16_000,
+    (base64.b64encode(b"\x00\x00\x00\x07ssh-rsa" + b"\x00\x00\x00\x01" * 9 + b"0").decode() + "\n") * 16_000,
+    (base64.b64encode(bytes([0x30, 0x83, 11, 113, 124, 2, 1, 0]) + b"0" * 40).decode() + "\n") * 16_000,
+    "\\" * 1_000_000, "\\\\ " * 250_000, "-" * 1_000_000, "a." * 500_000, "secret " * 150_000, "token" + " " * 1_000_000,
+    "x " + base64.urlsafe_b64encode(b'{"a":' + b"[" * 400_000).decode().rstrip("=") + ".abcd.efgh"],
+    ids=lambda t: t[:20].replace("\n", " "))
+def test_long_hostile_texts_end_soon(text):
+    """A megabyte of marks, key heads, escapes or nested headers is scanned in
+    seconds and reports nothing that its structure does not confirm."""
+    t0 = time.time()
+    base, spans = secrets.scan(text)
+    assert time.time() - t0 < 15
+    assert not [k for _, k, _ in spans if secrets.KINDS[k] not in ("assign", "hex")]
+
+
+def test_a_deeply_nested_header_is_no_token():
+    for deep in (10, 100_000):
+        part = base64.urlsafe_b64encode(b'{"alg":' + b"[" * deep + b"]" * deep + b"}").decode().rstrip("=")
+        assert not secrets.is_token_header(part)
+
+
+def test_second_key_after_an_open_mark():
+    """A BEGIN mark without its END does not swallow the next key."""
+    import random as r
+    body = base64.b64encode(b"\x30\x2e\x02\x01\x00\x30\x05\x06\x03\x2b\x65\x70\x04\x22\x04\x20" + r.Random(1).randbytes(32)).decode()
+    text = f"-----BEGIN PRIVATE KEY-----\nand\n-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"
+    assert [(secrets.KINDS[k], text[a:a + 10]) for a, k, e in secrets.scan(text)[1] if secrets.KINDS[k] == "pem_key"] == [("pem_key", "-----BEGIN")]
