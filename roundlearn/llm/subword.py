@@ -27,11 +27,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +42,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 7
 MARK = "▁"
-PRETOKEN = re.compile(r"\n| *[^ \n]+| +")
-CACHED = 300_000           # pretokens that a worker remembers, with their candidates
+CACHED = 100_000           # pretokens, with their candidates, after which a worker forgets those not met lately
 SHORT = 32                 # characters; longer pretokens go by the heap
 _M = (1 << 64) - 1
 
@@ -102,7 +101,8 @@ class Merger:
                     self.merge[a * self.width + b] = (rank[i], i)
         self.none = len(pieces)                              # past every rank
         keys = np.array(list(self.merge), np.int64)
-        self.table = IntMap(keys, np.array([r * self.width + i for r, i in self.merge.values()], np.int64))
+        self.table = IntMap(keys, np.array([r for r, _ in self.merge.values()], np.int64))
+        self.by_rank = np.array(order, np.int64)             # the id of each rank
 
     def symbols(self, word: str) -> list[int]:
         get = self.char.get
@@ -151,64 +151,68 @@ class Merger:
 
     # ---- many short pretokens: one merge of each a step
 
-    def _pairs(self, sym, start, end, own, key, limit, at, met=None):
-        """Rank and merged id, as one number, of the pairs (at, at + 1); no
-        merge: the rank is past all others."""
-        out = np.full(len(at), self.none * self.width, np.int64)
+    def _pairs(self, sym, start, own, size, key, limit, at, met=None):
+        """Rank of the merges of the pairs (at, at + 1); no merge: past all
+        others. A symbol ends where the next of its word starts."""
+        out = np.full(len(at), self.none, np.int64)
         ok = np.flatnonzero(at + 1 < len(sym))
         a = at[ok]
-        both = (own[a] == own[a + 1]) & (sym[a] >= 0) & (sym[a + 1] >= 0)
-        ok, a = ok[both], a[both]
-        found, value = self.table.get(sym[a] * self.width + sym[a + 1])
+        left, right = sym[a], sym[a + 1]
+        both = (own[a] == own[a + 1]) & (left >= 0) & (right >= 0)
+        ok, a, left, right = ok[both], a[both], left[both], right[both]
+        found, value = self.table.get(left * self.width + right)
         ok, a, value = ok[found], a[found], value[found]
         if limit or met is not None:
-            u = np.uint64
-            place = (start[a].astype(u) << u(42)) | (start[a + 1].astype(u) << u(21)) | end[a + 1].astype(u)
-            place = _scrambled(place)
+            u, of = np.uint64, own[a]
+            after = np.minimum(a + 2, len(sym) - 1)
+            end = np.where((after == a + 2) & (own[after] == of), start[after], size[of])
+            place = _scrambled((start[a].astype(u) << u(42)) | (start[a + 1].astype(u) << u(21)) | end.astype(u))
             if met is not None:
-                met.append((own[a], place))
-        if limit:
-            stay = _scrambled(key[own[a]] ^ place) >= u(limit)
-            ok, value = ok[stay], value[stay]
+                met.append((of, place))
+            if limit:
+                stay = _scrambled(key[of] ^ place) >= u(limit)
+                ok, value = ok[stay], value[stay]
         out[ok] = value
         return out
 
     def together(self, words: list[str], keys: np.ndarray, limit: int, met: list | None = None) -> list[bytes]:
         """The ids of each word; ``met`` gets the candidates, as (words, scrambled places)."""
         out = [b""] * len(words)
-        lens = np.array([len(w) for w in words], np.int64)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.by_code[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)].astype(np.int64)
         own = np.repeat(np.arange(len(words)), lens)
         start = np.arange(len(sym)) - np.repeat(np.cumsum(lens) - lens, lens)
-        end = start + 1
-        key = keys
-        pair = self._pairs(sym, start, end, own, key, limit, np.arange(len(sym)), met)
-        while len(sym):
+        odd = np.zeros(len(words), bool)                     # some character has no piece
+        odd[own[sym < 0]] = True
+        rank = self._pairs(sym, start, own, lens, keys, limit, np.arange(len(sym)), met)
+        live = np.flatnonzero(lens)                          # the words that are not done, and their symbols
+        count = lens[live]
+        while len(live):
             size = len(sym)
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            best = np.minimum.reduceat((pair // self.width) * size + np.arange(size), first)
+            best = np.minimum.reduceat(rank * size + np.arange(size), np.cumsum(count) - count)
             done = best >= self.none * size
-            at = best % size
             if done.any():
-                bounds = np.append(first, size)
-                plain = np.minimum.reduceat(sym, first) >= 0
-                raw = sym.astype(np.int32).tobytes()
-                for w, a, b, p in zip(own[first[done]].tolist(), first[done].tolist(), bounds[1:][done].tolist(),
-                                      plain[done].tolist(), strict=True):
-                    out[w] = raw[4 * a:4 * b] if p else self._out(words[w], sym[a:b].tolist(), start[a:b].tolist())
-                gone = np.repeat(done, np.diff(bounds))
-                at = at[~done]
-                at = at - np.cumsum(gone)[at]
-                sym, start, end, own, pair = (x[~gone] for x in (sym, start, end, own, pair))
-                if not len(sym):
+                gone = np.repeat(done, count)
+                raw, starts = sym[gone].astype(np.int32).tobytes(), start[gone]
+                upto = np.cumsum(count[done]).tolist()
+                for w, a, b, o in zip(live[done].tolist(), [0, *upto], upto, odd[live[done]].tolist(), strict=False):
+                    ids = raw[4 * a:4 * b]
+                    out[w] = self._out(words[w], np.frombuffer(ids, np.int32).tolist(), starts[a:b].tolist()) if o else ids
+                live, count, at = live[~done], count[~done], best[~done] % size
+                if not len(live):
                     break
-            sym[at], end[at] = pair[at] % self.width, end[at + 1]
+                at -= np.cumsum(gone)[at]
+                sym, start, own, rank = (x[~gone] for x in (sym, start, own, rank))
+            else:
+                at = best % size
+            sym[at] = self.by_rank[rank[at]]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            at = at - np.arange(len(at))                     # one symbol is gone for each word before
-            sym, start, end, own, pair = (x[keep] for x in (sym, start, end, own, pair))
+            at -= np.arange(len(at))                         # one symbol is gone for each word before
+            sym, start, own, rank = (x[keep] for x in (sym, start, own, rank))
+            count -= 1
             new = np.concatenate([at, at[at > 0] - 1])
-            pair[new] = self._pairs(sym, start, end, own, key, limit, new, met)
+            rank[new] = self._pairs(sym, start, own, lens, keys, limit, new, met)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -217,6 +221,26 @@ class Merger:
         return raw[1:].decode() if raw else ""
 
 
+def pretokens(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The pretokens of all texts, each with a space before it, end to end,
+    and how many each text has. A pretoken begins at a line feed, after one
+    and where spaces begin."""
+    texts = [(" " + t).encode() if t else b"" for t in texts]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    raw = b"".join(texts)
+    at = np.frombuffer(raw, np.uint8)
+    line, space = at == 10, at == 32
+    begin = line | space
+    begin[1:] &= ~(space[1:] & space[:-1])
+    begin[1:] |= line[:-1]
+    ends = np.cumsum(sizes)
+    begin[(ends - sizes)[sizes > 0]] = True
+    starts = np.flatnonzero(begin)
+    offsets = pa.py_buffer(np.append(starts, len(raw)))
+    cut = pa.LargeStringArray.from_buffers(len(starts), offsets, pa.py_buffer(raw))
+    return cut.dictionary_encode(), np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
 class Encoder:
     """Encodes texts with one seed; remembers frequent pretokens."""
 
@@ -226,6 +250,7 @@ class Encoder:
         self.merger, self.seed, self.variants = merger, seed, variants
         self.limit = int(dropout * 2.0**64)
         self.known: dict[str, tuple[bytes, bytes]] = {}      # ids without dropout, scrambled places of the candidates
+        self.old: dict[str, tuple[bytes, bytes]] = {}        # the same, not met lately
 
     def stream(self, doc_id) -> int:
         """The 64-bit key of a document under the seed."""
@@ -234,20 +259,28 @@ class Encoder:
         n = int.from_bytes(raw, "big")
         return n if self.variants is None else _scramble(n % self.variants ^ _scramble(self.seed & _M))
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED:
-            self.known = {}
-            new = words
-        for i in range(0, len(new), 5_000):
-            part = new[i:i + 5_000]
+    def _plain(self, words: list[str], uses: np.ndarray) -> list[tuple[bytes, bytes] | None]:
+        """Each word's ids without dropout and its candidates: of those that
+        are remembered, and of short ones with more than one use, which then are."""
+        if len(self.known) > CACHED:                         # what was not met since the last time is forgotten
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        new = []
+        for w, n in zip(words, uses.tolist(), strict=True):
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                elif n > 1 and len(w) <= SHORT:
+                    new.append(w)
+        for i in range(0, len(new), 20_000):
+            part = new[i:i + 20_000]
             met: list[tuple[np.ndarray, np.ndarray]] = []
             ids = self.merger.together(part, np.zeros(len(part), np.uint64), 0, met)
             own, place = (np.concatenate([x[k] for x in met]) for k in (0, 1))
-            order = np.argsort(own, kind="stable")
-            raw = place[order].tobytes()
+            raw = place[np.argsort(own, kind="stable")].tobytes()
             ends = np.cumsum(np.bincount(own, minlength=len(part))).tolist()
-            self.known.update((w, (x, raw[8 * a:8 * b])) for w, x, a, b in zip(part, ids, [0, *ends], ends, strict=False))
+            known.update((w, (x, raw[8 * a:8 * b])) for w, x, a, b in zip(part, ids, [0, *ends], ends, strict=False))
+        return list(map(known.get, words))
 
     def _touched(self, word: np.ndarray, key: np.ndarray, first: np.ndarray, count: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Which occurrences skip a candidate that their word meets without dropout."""
@@ -261,27 +294,31 @@ class Encoder:
 
     def encode(self, texts: list[str | None], doc_ids: list) -> list[bytes | None]:
         """The ids of each text as 32-bit numbers end to end."""
-        cut = [None if t is None else PRETOKEN.findall(" " + t) if t else [] for t in texts]
-        index: dict[str, int] = {}
-        word = np.array([index.setdefault(w, len(index)) for c in cut if c for w in c], np.int64)
-        words = list(index)
-        self._learn([w for w in words if len(w) <= SHORT])
+        cut, sizes = pretokens(texts)
+        long = pc.greater(pc.utf8_length(cut.dictionary), SHORT).to_numpy(zero_copy_only=False)     # never remembered
+        word, words = cut.indices.to_numpy().astype(np.int64), cut.dictionary.to_pylist()
+        del cut
+        got = self._plain(words, np.bincount(word, minlength=len(words)))
+        alone = np.fromiter((x is None for x in got), bool, len(got)) & ~long       # merged with its own draws at once
         none = (b"", b"")
-        got = [self.known.get(w, none) for w in words]       # a long pretoken is never remembered
+        got = [x or none for x in got]
         out = list(map([x for x, _ in got].__getitem__, word.tolist()))
-        sizes = np.array([len(c or ()) for c in cut], np.int64)
         streams = np.array([self.stream(d) for d in doc_ids], np.uint64)
         nth = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         key = _scrambled(np.repeat(_scrambled(streams), sizes) + nth.astype(np.uint64))
-        count = np.array([len(x) // 8 for _, x in got], np.int64)
+        n_places = np.fromiter((len(x) // 8 for _, x in got), np.int64, len(got))
+        first = np.cumsum(n_places) - n_places
         places = np.frombuffer(b"".join(x for _, x in got), np.uint64)
-        for i in range(0, len(word) if self.limit else 0, 50_000):
+        del got, nth
+        for i in range(0, len(word), 50_000):
             part = word[i:i + 50_000]
-            todo = i + np.flatnonzero(self._touched(part, key[i:i + 50_000], np.cumsum(count) - count, count, places))
+            again = alone[part]
+            if self.limit:
+                again |= self._touched(part, key[i:i + 50_000], first, n_places, places)
+            todo = i + np.flatnonzero(again)
             for at, ids in zip(todo.tolist(), self.merger.together([words[w] for w in word[todo].tolist()], key[todo], self.limit),
                                strict=True):
                 out[at] = ids
-        long = np.array([len(w) > SHORT for w in words], bool)
         plain: dict[int, bytes] = {}
         for at in np.flatnonzero(long[word]).tolist():
             w = int(word[at])
@@ -290,7 +327,7 @@ class Encoder:
             else:
                 out[at] = plain[w] = plain.get(w) or self.merger.by_agenda(words[w], 0, 0)
         ends = np.cumsum(sizes).tolist()
-        return [None if c is None else b"".join(out[a:b]) for c, a, b in zip(cut, [0, *ends], ends, strict=False)]
+        return [None if t is None else b"".join(out[a:b]) for t, a, b in zip(texts, [0, *ends], ends, strict=False)]
 
 
 _ready: dict[tuple, Encoder] = {}

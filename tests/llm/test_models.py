@@ -59,6 +59,25 @@ def test_dropout_varies_by_seed_and_decodes(spark, odd, empty):
     assert subword.encode(empty).count() == 0
 
 
+def test_pretokens_are_cut_as_arrays():
+    rnd, plain = random.Random(3), re.compile(r"\n| *[^ \n]+| +")
+    for _ in range(400):
+        texts = [None if rnd.random() < 0.1 else "".join(rnd.choices("a é\n\t", k=rnd.randrange(9))) for _ in range(rnd.randrange(6))]
+        cut, sizes = subword.pretokens(texts)
+        want = [plain.findall(" " + t) if t else [] for t in texts]
+        assert cut.to_pylist() == [w for c in want for w in c] and sizes.tolist() == [len(c) for c in want]
+
+
+def test_encoder_remembers_repeated_words_only(merger, monkeypatch):
+    monkeypatch.setattr(subword, "CACHED", 50)
+    enc = subword.Encoder(merger)
+    for part in range(20):
+        once = " ".join(f"once{part}x{i}" for i in range(300))
+        enc.encode([f"{once} again again", " ".join(2 * [f"twice{part}x{i}" for i in range(30)])], [part, -part])
+        assert not any("once" in w for w in enc.known) and " again" in enc.known
+        assert len(enc.known) + len(enc.old) <= 2 * (50 + 35)
+
+
 def test_dropout_draws_each_occurrence(merger):
     word, limit = "international", int(0.1 * 2.0**64)
     enc = subword.Encoder(merger)
