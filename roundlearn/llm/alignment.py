@@ -36,7 +36,6 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +54,8 @@ LINKS = 1 << 22            # links that are expanded at a time
 CACHED = 200_000           # chunks after which a worker forgets those not met lately
 LONG = 100                 # characters of a chunk that is not remembered
 CHUNK = re.compile(r"(?<=\S)(?= )")
+_WHITE = np.array([i < 128 and chr(i).isspace() for i in range(256)])
+_WIDE = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
 
 
 # ---- the tokenizers
@@ -71,6 +72,32 @@ def _piece_bytes(piece: str, is_byte: bool) -> bytes:
     return bytes([int(piece[3:5], 16)]) if is_byte else piece.replace("▁", " ").encode()
 
 
+def chunks(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The chunks of all texts, each with a blank before it, end to end, and
+    how many each text has: ``CHUNK``'s cuts, found in the bytes."""
+    raw = [(" " + t).encode() if t else b"" for t in texts]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    raw = b"".join(raw)
+    at = np.frombuffer(raw, np.uint8)
+    ends = np.cumsum(sizes)
+    begin = np.zeros(len(at), bool)
+    begin[(ends - sizes)[sizes > 0]] = True
+    to = np.flatnonzero((at == 32) & ~begin)
+    last = at[to - 1]
+    white = _WHITE[last]
+    odd = np.flatnonzero(last >= 0x80)        # of a longer character the bytes before count too
+    if len(odd):
+        for space in _WIDE:
+            same = np.ones(len(odd), bool)
+            for k, byte in enumerate(reversed(space)):
+                same &= at[to[odd] - 1 - k] == byte
+            white[odd[same]] = True
+    begin[to[~white]] = True
+    starts = np.flatnonzero(begin)
+    cut = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw))
+    return cut.dictionary_encode(), np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
 class Encoder:
     """Both tokenizers, by chunks."""
 
@@ -115,28 +142,32 @@ class Encoder:
         """Ids of A, end to end, and how many each text has; the same for B.
         A text has none where B's bytes are not those of a blank and the
         text (A's always are: it knows every byte and changes none)."""
-        chunks = [CHUNK.split(" " + t) if t else [] for t in texts]
+        cut, sizes = chunks(texts)
+        word, words = cut.indices.to_numpy(), cut.dictionary.to_pylist()
         if len(self.young) > CACHED:          # what was not met since the last time is forgotten
             self.young, self.old = {}, self.young
-        known, new = self.young, []
-        for c in set(chain.from_iterable(chunks)):
+        known, old, new = self.young, self.old, []
+        for c in words:
             if c not in known:
-                if c in self.old:
-                    known[c] = self.old[c]
+                if c in old:
+                    known[c] = old[c]
                 else:
                     new.append(c)
         known.update(zip(new, self._encode(new)))
-        flat = [known[c] for c in chain.from_iterable(chunks)]
-        if None in flat:
-            bad = {c for c in chain.from_iterable(chunks) if known[c] is None}
-            chunks = [[] if bad.intersection(cs) else cs for cs in chunks]
-            flat = [known[c] for c in chain.from_iterable(chunks)]
-        ends = np.cumsum([len(cs) for cs in chunks])
+        got = [known[c] for c in words]
+        if None in got:
+            bad = np.fromiter((x is None for x in got), bool, len(got))[word]
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            sizes[np.unique(text[bad])] = 0
+            word = word[sizes[text] > 0]
+            got = [x or (b"", b"") for x in got]
+        ends, at = np.cumsum(sizes), word.tolist()
         out = []
         for side in (0, 1):
-            ids = [x[side] for x in flat]
-            upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)])[ends]
-            out += [np.frombuffer(b"".join(ids), np.int32).astype(np.int64), np.diff(upto, prepend=0)]
+            ids = [x[side] for x in got]
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            upto = np.concatenate([[0], np.cumsum(n[word])])[ends]
+            out += [np.frombuffer(b"".join(map(ids.__getitem__, at)), np.int32).astype(np.int64), np.diff(upto, prepend=0)]
         for c in new:
             if len(c) > LONG:
                 del known[c]

@@ -126,3 +126,13 @@ def test_links_of_a_large_group_by_parts(monkeypatch):
     want = Counter((int(np.array([0, 0, 0, 1, 1, 2, 2])[g]), (int(u) << alignment.SHIFT) | int(v))
                    for u, g in zip(a, ag) for v, k in zip(b, bg) if g == k)
     assert dict(zip(zip(doc.tolist(), key.tolist()), n.tolist())) == dict(want)
+
+
+def test_chunks_are_cut_as_arrays():
+    rnd = random.Random(5)
+    for _ in range(400):
+        texts = [None if rnd.random() < 0.1 else "".join(rnd.choices("a é\t\n\xa0　日\x1c\x85", k=rnd.randrange(9)))
+                 for _ in range(rnd.randrange(6))]
+        cut, sizes = alignment.chunks(texts)
+        want = [alignment.CHUNK.split(" " + t) if t else [] for t in texts]
+        assert cut.to_pylist() == [c for cs in want for c in cs] and sizes.tolist() == [len(cs) for cs in want]
