@@ -27,6 +27,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,7 @@ from roundlearn.session import local_frame
 RIDGE = 0.01
 TOLERANCE = 1e-10          # norm of the gradient, by which the weights lie within TOLERANCE / RIDGE of the minimum
 MAX_PASSES = 400
+SLICE = 1_000              # rows that are scored together
 MEMORY = 10                # steps that L-BFGS remembers
 SUMS = "obj int, split string, a int, b int, n bigint, value double"
 
@@ -71,32 +73,50 @@ class Fit:
 
 
 class Features:
-    """The features of a batch with a constant 1 as their last column."""
+    """The features of a batch, an Arrow array without nulls; each row has a
+    constant 1 as its last feature."""
 
-    def __init__(self, column, dims: int):
+    def __init__(self, column: pa.Array, dims: int):
         self.dims = dims
-        rows = column.to_list()
-        if rows and isinstance(rows[0], dict):
-            size = np.array([len(r["idx"]) + 1 for r in rows])
-            self.ptr = np.cumsum(size) - size
-            self.idx = np.concatenate([x for r in rows for x in (np.asarray(r["idx"], np.int64), [dims - 1])])
-            self.val = np.concatenate([x for r in rows for x in (np.asarray(r["val"], np.float64), [1.0])])
-            self.row = np.repeat(np.arange(len(rows)), size)
+        if pa.types.is_struct(column.type):
+            kinds = [column.type.field(i).name for i in range(column.type.num_fields)]
+            parts = dict(zip(kinds, column.flatten(), strict=True))
+            size = parts["idx"].value_lengths().to_numpy()
+            self.full = np.flatnonzero(size)
+            self.ptr = (np.cumsum(size) - size)[self.full]
+            self.idx = parts["idx"].flatten().to_numpy().astype(np.intp)
+            self.val = parts["val"].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            self.row = np.repeat(np.arange(len(column)), size)
             self.x = None
         else:
-            x = np.stack(rows).astype(np.float64) if rows else np.zeros((0, dims - 1))
+            size = column.value_lengths().to_numpy()
+            if len(size) and (size != size[0]).any():
+                raise ValueError("rows have different numbers of features")
+            x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), size[0] if len(size) else dims - 1)
             self.x = np.hstack([x, np.ones((len(x), 1))])
+        self.rows = len(column)
 
     def scores(self, w: np.ndarray) -> np.ndarray:
         if self.x is not None:
             return self.x @ w.T
-        return np.stack([np.add.reduceat(self.val * wk[self.idx], self.ptr) for wk in w], axis=1)
+        out = np.repeat(w[:, -1][None], self.rows, axis=0)
+        for k, wk in enumerate(w if len(self.full) else ()):
+            out[self.full, k] += np.add.reduceat(self.val * wk[self.idx], self.ptr)
+        return out
 
     def back(self, p: np.ndarray) -> np.ndarray:
         """The sum over rows of ``p[row, class] * features``."""
         if self.x is not None:
             return p.T @ self.x
-        return np.stack([np.bincount(self.idx, self.val * pk[self.row], minlength=self.dims) for pk in p.T])
+        out = np.stack([np.bincount(self.idx, self.val * pk[self.row], minlength=self.dims) for pk in np.ascontiguousarray(p.T)])
+        out[:, -1] += p.sum(axis=0)
+        return out
+
+
+def _slices(batches, rows: int = SLICE):
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def _pass(rows: DataFrame, objectives: Sequence[Objective], vec: str, dims: int, weights: list[np.ndarray],
@@ -106,17 +126,21 @@ def _pass(rows: DataFrame, objectives: Sequence[Objective], vec: str, dims: int,
     ``split`` also ``(obj, split, y, pred, n, loss)`` over every split."""
     import pandas as pd
     labels = [o.label for o in objectives]
+    names = ["obj", "split", "a", "b", "n", "value"]
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64()]
+
+    def batch(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
     def run(batches):
         gradient = [np.zeros_like(w) for w in weights]
         loss, count, cells = np.zeros(len(weights)), np.zeros(len(weights), np.int64), {}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = Features(pdf[vec], dims)
-            train = (pdf[split] == "train").to_numpy() if split else np.ones(len(pdf), bool)
+        for part in _slices(batches):
+            x = Features(part.column(vec), dims)
+            parts = part.column(split).to_numpy(zero_copy_only=False) if split else None
+            train = parts == "train" if split else np.ones(part.num_rows, bool)
             for i, (o, w) in enumerate(zip(objectives, weights, strict=True)):
-                y = pdf[o.label].fillna(-1).to_numpy().astype(np.int64)
+                y = part.column(o.label).fill_null(-1).to_numpy().astype(np.int64)
                 own = (y >= 0) & (y < o.n_classes)
                 at = np.flatnonzero(own)
                 z = x.scores(w)
@@ -126,7 +150,7 @@ def _pass(rows: DataFrame, objectives: Sequence[Objective], vec: str, dims: int,
                 total = p.sum(axis=1, keepdims=True)
                 ce = np.log(total[at, 0]) - z[at, y[at]]
                 if split:
-                    for key, s in pd.Series(ce).groupby([pdf[split].to_numpy()[at], y[at], top[at]]):
+                    for key, s in pd.Series(ce).groupby([parts[at], y[at], top[at]]):
                         n, v = cells.get((i, *key), (0, 0.0))
                         cells[(i, *key)] = (n + len(s), v + float(s.sum()))
                 p /= total
@@ -138,14 +162,14 @@ def _pass(rows: DataFrame, objectives: Sequence[Objective], vec: str, dims: int,
         for i, g in enumerate(gradient):
             if count[i]:
                 k, d = g.shape
-                yield pd.DataFrame({"obj": i, "split": None, "a": np.repeat(np.arange(k), d), "b": np.tile(np.arange(d), k), "n": None,
-                                    "value": g.ravel()})
-                yield pd.DataFrame({"obj": [i], "split": [None], "a": [None], "b": [None], "n": [count[i]], "value": [loss[i]]})
+                gone = pa.nulls(k * d, pa.int64())
+                yield batch(np.full(k * d, i), pa.nulls(k * d, pa.string()), np.repeat(np.arange(k), d), np.tile(np.arange(d), k), gone, g.ravel())
+                yield batch([i], [None], [None], [None], [count[i]], [loss[i]])
         if cells:
-            yield pd.DataFrame([(*k, *v) for k, v in cells.items()], columns=["obj", "split", "a", "b", "n", "value"])
+            yield batch(*zip(*[(*k, *v) for k, v in cells.items()]))
 
     cols = [*([split] if split else []), *labels, vec]
-    return (rows.select(*cols).mapInPandas(run, SUMS).groupBy("obj", "split", "a", "b")
+    return (rows.select(*cols).mapInArrow(run, SUMS).groupBy("obj", "split", "a", "b")
             .agg(F.sum("n").alias("n"), F.sum("value").alias("value")).collect())      # classes x (classes + dims) sums
 
 
@@ -322,18 +346,17 @@ def predict(rows: DataFrame, head: SoftmaxHead, vec: str, keep: list[str]) -> Da
                            T.StructField("logits", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        for pdf in batches:
-            there = pdf[vec].notna().to_numpy()
-            out = pdf[keep].copy()
-            pred, logits = np.full(len(pdf), None, dtype=object), np.full(len(pdf), None, dtype=object)
-            if there.any():
-                z = Features(pdf.loc[there, vec], weights.shape[1]).scores(weights)
-                for i, row in zip(np.flatnonzero(there), z, strict=True):
-                    pred[i], logits[i] = int(row.argmax()), row
-            out["pred"], out["logits"] = pred, logits
-            yield out
-
-    return kept.mapInPandas(run, schema)
+        for part in _slices(batches):
+            there = part.column(vec).is_valid()
+            z = Features(part.column(vec).filter(there), weights.shape[1]).scores(weights)
+            null = ~there.to_numpy(zero_copy_only=False)
+            place = np.cumsum(~null) - 1                     # of a row among those with features
+            pred = pa.array(z.argmax(axis=1)[place] if len(z) else np.zeros(len(null)), pa.int32(), mask=null)
+            ends = np.concatenate([[0], np.cumsum(~null) * len(weights)])
+            logits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(z.ravel(), pa.float64()), mask=pa.array(null))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pred, logits], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def descent_sql(rows: str, dims: str, n_classes: str, steps: int, curvature: float, ridge: float = RIDGE, name: str = "") -> str:
