@@ -348,3 +348,37 @@ def test_dictionary_orders_like_the_engine(spark):
     for c in ("d", "s", "i"):
         order = [str(r[0]) for r in df.orderBy(c).select(F.col(c).cast("string")).collect()]
         assert [k for (col_, k), _ in sorted(((x, n) for x, n in got.items() if x[0] == c), key=lambda t: t[1])] == order
+
+
+def test_texts_are_cut_and_remembered_in_bounds(monkeypatch):
+    import re
+
+    import pyarrow as pa
+    rnd, plain = np.random.default_rng(3), re.compile(r"[ \t\n\x0b\f\r]+")
+    for _ in range(300):
+        texts = [None if rnd.random() < 0.1 else "".join(rnd.choice(list("a é\t\n\x0b"), rnd.integers(9))) for _ in range(rnd.integers(6))]
+        tokens, n = text_features.cut(pa.array(texts, pa.string()))
+        want = [[] if t is None else plain.split(t) for t in texts]
+        assert tokens.to_pylist() == [w for x in want for w in x] and n.tolist() == [len(x) for x in want]
+    monkeypatch.setattr(text_features, "CACHED", 50)
+    monkeypatch.setattr(text_features, "PART_BYTES", 1_000)
+    known = text_features._Ids(text_features.VOCAB)
+    for part in range(20):
+        words = [f"w{part}x{i}" for i in range(500)]
+        tokens, _ = text_features.cut(pa.array([" ".join(words)]))
+        assert known.of(tokens).tolist() == [text_features.token_id(w) for w in words]
+        assert len(known.young) + len(known.old) <= 4 * 50 + 2
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * 400, None, "", "y" * 3_000, "z"] * 9)], names=["t"])
+    got = list(text_features._portions(b.slice(1), 0))
+    assert pa.Table.from_batches(got).column("t").to_pylist() == b.column("t").to_pylist()[1:]
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("t").to_pylist()) <= 1_000 for p in got)
+
+
+def test_sparse_features_are_read_as_arrays():
+    import pyarrow as pa
+    rows = [{"idx": [0, 2], "val": [1.0, 2.0]}, {"idx": [], "val": []}, {"idx": [1], "val": [3.0]}]
+    column = pa.array([rows[2], *rows], pa.struct([("idx", pa.list_(pa.int32())), ("val", pa.list_(pa.float64()))])).slice(1)
+    dense = np.array([[1.0, 0, 2, 1], [0, 0, 0, 1], [0, 3, 0, 1]])
+    w, p = np.arange(8.0).reshape(2, 4), np.arange(6.0).reshape(3, 2)
+    x = gradient.Features(column, 4)
+    assert np.allclose(x.scores(w), dense @ w.T) and np.allclose(x.back(p), p.T @ dense)
