@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -216,9 +216,12 @@ def _text_key(text: str | None) -> bytes | None:
 
 def match(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
           item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS,
-          prefix: str = "") -> DataFrame:
+          prefix: str = "", then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
     """The rows of ``df`` with n_words, hit_spans (word ranges) and hit_items
-    (ids as text), named with ``prefix`` and kept apart from its columns."""
+    (ids as text), named with ``prefix`` and kept apart from its columns.
+    ``then`` changes rows of these columns in the same Python worker: a
+    second step of its own would need another one a task."""
+    then = then or (lambda b: b)
     spark = df.sparkSession
     ship_package(spark)
     names = [free_name(df.columns, prefix + x) for x in ("n_words", "hit_spans", "hit_items")]
@@ -231,7 +234,7 @@ def match(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
             for b in batches:
                 auto = _automaton(shared.value)
                 found = [auto.hits(t) for t in b.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, *_hit_columns(found)], names=[*b.schema.names, *names])
+                yield then(pa.RecordBatch.from_arrays([*b.columns, *_hit_columns(found)], names=[*b.schema.names, *names]))
         out = df
         for k, c in zip(_HIT_KINDS, names, strict=True):
             out = out.withColumn(c, F.lit(None).cast(k))
@@ -262,9 +265,9 @@ def match(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
                     whole = merge(whole, x)
                 rows.append(whole)
             cols = [b.column(c) for c in b.schema.names if c not in (spans, found)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(rows, _SPANS),
-                                              pa.array([sorted({y for z in x for y in z}) for x in ids], pa.list_(pa.string()))],
-                                             names=[*b.schema.names[:-2], *names[1:]])
+            yield then(pa.RecordBatch.from_arrays([*cols, pa.array(rows, _SPANS),
+                                                   pa.array([sorted({y for z in x for y in z}) for x in ids], pa.list_(pa.string()))],
+                                                  names=[*b.schema.names[:-2], *names[1:]]))
     out = df.mapInArrow(keyed, df.select("*", F.lit(None).cast("binary").alias(key), F.lit(None).cast("long").alias(n_words)).schema)
     out = out.join(merged, F.col(key) == F.col(f"{key}_2"), "left").drop(key, f"{key}_2").withColumnRenamed(n_words, names[0])
     schema = out.drop(spans, found)
@@ -321,12 +324,15 @@ def keep_clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     """The rows of ``df`` that are not contaminated. With ``max_run`` their
     hit runs of so many words or more are taken out of the text, and
     ``length_col`` is set anew where a text changed."""
-    base = [free_name(df.columns, x) for x in ("n_words", "hit_spans", "hit_items")]
-    m = match(df, items, text_col, item_id, item_text)
-    n_hit = F.aggregate(base[1], F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    m = m.where(~((n_hit > 0) & (min_share * n_hit >= F.col(base[0]))))
-    return (_without_spans(m, text_col, base[1], max_run, None, length_col) if max_run else m).select(
-        *[F.col(f"`{c}`") for c in df.columns])
+    words_at = len(df.columns)                           # match's columns come last
+    cut = _cutter(df.columns, text_col, max_run, None, length_col) if max_run else None
+
+    def clean(b: pa.RecordBatch) -> pa.RecordBatch:
+        n_hits = [sum(s["b"] - s["a"] for s in spans) for spans in b.column(words_at + 1).to_pylist()]
+        b = b.filter(pa.array([not (n > 0 and min_share * n >= w)
+                               for n, w in zip(n_hits, b.column(words_at).to_pylist(), strict=True)], pa.bool_()))
+        return cut(b) if cut else b
+    return match(df, items, text_col, item_id, item_text, then=clean).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def _cut(text: str | None, spans: list[dict], max_run: int, min_share: int | None) -> str | None:
@@ -354,24 +360,23 @@ def remove_spans(df: DataFrame, items: DataFrame, text_col: str = "text", item_i
                  item_text: str = "text", max_run: int = WINDOW, min_share: int = MIN_SHARE) -> DataFrame:
     """All rows, with the hit spans over the length or coverage limit taken
     out of the text."""
-    m = match(df, items, text_col, item_id, item_text)
-    return _without_spans(m, text_col, free_name(df.columns, "hit_spans"), max_run, min_share, None).select(
-        *[F.col(f"`{c}`") for c in df.columns])
-
-
-def _without_spans(m: DataFrame, text_col: str, spans: str, max_run: int, min_share: int | None,
-                   length_col: str | None) -> DataFrame:
-    at, sp = m.columns.index(text_col), m.columns.index(spans)
-    len_at = m.columns.index(length_col) if length_col in m.columns else None
-
-    def run(batches):
-        for b in batches:
-            cols = list(b.columns)
-            old = cols[at].to_pylist()
-            new = [_cut(t, s, max_run, min_share) for t, s in zip(old, cols[sp].to_pylist(), strict=True)]
-            cols[at] = pa.array(new, b.schema.field(at).type)
-            if len_at is not None:
-                lengths = [n if x == y else len(y) for n, x, y in zip(cols[len_at].to_pylist(), old, new, strict=True)]
-                cols[len_at] = pa.array(lengths, b.schema.field(len_at).type)
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
-    return m.mapInArrow(run, m.schema)
+    cut = _cutter(df.columns, text_col, max_run, min_share, None)
+    return match(df, items, text_col, item_id, item_text, then=cut).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _cutter(columns: list[str], text_col: str, max_run: int, min_share: int | None,
+            length_col: str | None) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Takes hit runs out of the texts of ``match``'s rows of a table with these columns."""
+    at, spans_at = columns.index(text_col), len(columns) + 1
+    len_at = columns.index(length_col) if length_col in columns else None
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        cols = list(b.columns)
+        old = cols[at].to_pylist()
+        new = [_cut(t, s, max_run, min_share) for t, s in zip(old, cols[spans_at].to_pylist(), strict=True)]
+        cols[at] = pa.array(new, b.schema.field(at).type)
+        if len_at is not None:
+            lengths = [n if x == y else len(y) for n, x, y in zip(cols[len_at].to_pylist(), old, new, strict=True)]
+            cols[len_at] = pa.array(lengths, b.schema.field(len_at).type)
+        return pa.RecordBatch.from_arrays(cols, schema=b.schema)
+    return cut

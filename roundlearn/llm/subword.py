@@ -42,8 +42,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 7
 MARK = "▁"
-CACHED = 100_000           # pretokens, with their candidates, after which a worker forgets those not met lately
+CACHED = 50_000            # pretokens, with their candidates, after which a worker forgets those not met lately
 SHORT = 32                 # characters; longer pretokens go by the heap
+AT_ONCE = 1_000_000        # bytes of text that a worker encodes together
 _M = (1 << 64) - 1
 
 
@@ -363,9 +364,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     schema = ", ".join([*out, "n_tokens long", "ids_sha256 string", "lossless boolean", *["ids array<int>"] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(pieces, dropout, seed, variants)
+        enc, pool = _encoder(pieces, dropout, seed, variants), pa.default_memory_pool()
+        pool.release_unused()                                # what an earlier step left in this worker
         for b in batches:
-            for p in portions(b, 1):
+            for p in portions(b, 1, AT_ONCE):
                 texts = p.column(1).to_pylist()
                 got = enc.encode(texts, p.column(0).to_pylist())
                 ok = [x is None or enc.merger.decode(np.frombuffer(x, np.int32).tolist()) == t
@@ -381,6 +383,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                     cols.append(pa.ListArray.from_arrays(pa.array(ends), flat, mask=mask))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *keep, "n_tokens", "ids_sha256", "lossless",
                                                               *["ids"] * with_ids])
+        pool.release_unused()                                # the worker may wait long for its next task
     return src.mapInArrow(run, schema)
 
 

@@ -5,6 +5,7 @@ import json
 import random
 import time
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,6 +170,29 @@ def test_clean_documents_lose_long_runs_only(spark):
     assert got == {1: (1, f"{own} . {own}", len(own) * 2 + 3, "en"), 2: rows[1], 4: rows[3]}
 
 
+def test_documents_are_cleaned_in_one_python_step(spark, capsys):
+    """A second step would need another worker a task, that stays beside the later stages."""
+    it = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id int, text string")
+    df = spark.createDataFrame([(1, "x", 1)], "doc_id int, text string, n_chars int")
+    for out in (decontaminate.keep_clean(df, it, max_run=13, length_col="n_chars"), decontaminate.keep_clean(df, it),
+                decontaminate.remove_spans(df, it)):
+        capsys.readouterr()
+        out.explain()
+        assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+def test_many_blocks_clean_as_one(spark):
+    rnd = random.Random(9)
+    items = [(i, " ".join(rnd.choices("abcdefgh", k=rnd.choice([3, 13, 14, 20])))) for i in range(80)]
+    rows = [(i % 90, " ".join(rnd.choices("abcdefghz", k=rnd.randrange(300)))) for i in range(100)] + [(1, None), (2, ""), (None, "a b")]
+    rows += [(200 + i, f"{t} x y {t}") for i, (_, t) in enumerate(items)]
+    df, it = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    cut = decontaminate._cutter(df.columns, "text", 13, 20, None)
+    one, many = ([tuple(r)[:3] for r in decontaminate.match(df, it, block_words=n, then=cut).collect()] for n in (100_000, 100))
+    assert Counter(one) == Counter(many) and len(one) == len(rows)
+    assert Counter(r[:2] for r in one) == Counter(tuple(r) for r in decontaminate.remove_spans(df, it).collect()) != Counter(rows)
+
+
 def test_contamination_empty(spark, odd, empty):
     none = spark.createDataFrame([], "item_id int, text string")
     got = decontaminate.digest(decontaminate.match(odd.select("doc_id", "text"), none)).collect()

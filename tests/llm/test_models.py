@@ -78,6 +78,13 @@ def test_encoder_remembers_repeated_words_only(merger, monkeypatch):
         assert len(enc.known) + len(enc.old) <= 2 * (50 + 35)
 
 
+def test_encoder_holds_a_bounded_memory_of_words(merger):
+    enc = subword.Encoder(merger)
+    for part in range(14):
+        enc.encode([" ".join(2 * [f"t{part}x{i}" for i in range(10_000)])], [part])
+        assert len(enc.known) + len(enc.old) <= 120_000
+
+
 def test_dropout_draws_each_occurrence(merger):
     word, limit = "international", int(0.1 * 2.0**64)
     enc = subword.Encoder(merger)
