@@ -26,7 +26,7 @@ nothing; columns of the caller pass through unread.
 from __future__ import annotations
 
 import hashlib
-import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -189,15 +189,15 @@ def blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> tu
     return n, ([tuple(r) for r in src.where(part == i).collect()] for i in range(n))
 
 
-_built: dict[str, Automaton] = {}            # the automaton of the block at hand in a worker
+#: A worker's automaton, by the broadcast of its block: it goes when the worker
+#: takes a task that does not use the broadcast.
+_built: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
-def _automaton(block: tuple[str, list, int]) -> Automaton:
-    token, items, window = block
-    if token not in _built:
-        _built.clear()
-        _built[token] = Automaton(items, window)
-    return _built[token]
+def _automaton(block) -> Automaton:
+    if block not in _built:
+        _built[block] = Automaton(*block.value)
+    return _built[block]
 
 
 _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
@@ -228,11 +228,11 @@ def match(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     at = df.columns.index(text_col)
     n, each = blocks(items, item_id, item_text, block_words)
     if n == 1:
-        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, next(each), window))
+        shared = spark.sparkContext.broadcast((next(each), window))
 
         def run(batches):
             for b in batches:
-                auto = _automaton(shared.value)
+                auto = _automaton(shared)
                 found = [auto.hits(t) for t in b.column(at).to_pylist()]
                 yield then(pa.RecordBatch.from_arrays([*b.columns, *_hit_columns(found)], names=[*b.schema.names, *names]))
         out = df
@@ -279,11 +279,11 @@ def match(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
 def _block_hits(texts: DataFrame, block: list, window: int) -> DataFrame:
     """(key, spans, items) of the distinct texts that one block hits,
     written; the block is let go after that."""
-    shared = texts.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, window))
+    shared = texts.sparkSession.sparkContext.broadcast((block, window))
 
     def run(batches):
         for b in batches:
-            auto, rows = _automaton(shared.value), {}
+            auto, rows = _automaton(shared), {}
             for t in b.column(0).to_pylist():
                 if t and (key := _text_key(t)) not in rows and (found := auto.hits(t))[1]:
                     rows[key] = found

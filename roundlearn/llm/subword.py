@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -331,15 +332,18 @@ class Encoder:
         return [None if t is None else b"".join(out[a:b]) for t, a, b in zip(texts, [0, *ends], ends, strict=False)]
 
 
-_ready: dict[tuple, Encoder] = {}
+#: A worker's encoder, by the broadcast of its vocabulary: it goes when the
+#: worker takes a task that does not use the broadcast, so it does not stay
+#: beside the next stages.
+_ready: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def _encoder(pieces, *params) -> Encoder:
-    key = (len(pieces.value), pieces.value[-1], *params)
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = Encoder(Merger(pieces.value), *params)
-    return _ready[key]
+    key, enc = _ready.get(pieces, (None, None))
+    if key != params:
+        enc = Encoder(Merger(pieces.value), *params)
+        _ready[pieces] = params, enc
+    return enc
 
 
 def portions(b: pa.RecordBatch, col: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
 """Operators 2, 4, 7, 9 and 10 and the pipeline."""
 
+import gc
 import math
 import random
 import re
+import weakref
 from collections import Counter
 from pathlib import Path
 
@@ -85,6 +87,18 @@ def test_encoder_holds_a_bounded_memory_of_words(merger):
         assert len(enc.known) + len(enc.old) <= 120_000
 
 
+def test_encoder_goes_with_its_vocabulary():
+    class Shared:
+        value = subword.load_pieces()
+    shared = Shared()
+    enc = weakref.ref(subword._encoder(shared, 0.1, 7, None))
+    assert subword._encoder(shared, 0.1, 7, None) is enc() and subword._encoder(shared, 0.0, 7, None) is not enc()
+    enc = weakref.ref(subword._encoder(shared, 0.0, 7, None))
+    del shared
+    gc.collect()
+    assert enc() is None
+
+
 def test_dropout_draws_each_occurrence(merger):
     word, limit = "international", int(0.1 * 2.0**64)
     enc = subword.Encoder(merger)
