@@ -87,6 +87,44 @@ def test_encoder_holds_a_bounded_memory_of_words(merger):
         assert len(enc.known) + len(enc.old) <= 120_000
 
 
+def test_encoder_looks_up_the_pairs_of_a_word_once(merger, monkeypatch):
+    looked, get = [], merger.table.get
+    monkeypatch.setattr(merger.table, "get", lambda keys: looked.append(len(keys)) or get(keys))
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdeth", k=rnd.randrange(2, 12))) for _ in range(500)]
+    enc = subword.Encoder(merger, dropout=0.99)                # few merges follow
+    enc.encode([" ".join(words)] * 20, list(range(20)))
+    assert sum(looked) < 4 * sum(map(len, words))
+
+
+@pytest.mark.parametrize("rate", [0, 0.1, 0.7])
+def test_encoder_against_one_pretoken_at_a_time(merger, monkeypatch, rate):
+    monkeypatch.setattr(subword, "COLUMNS", 7)                # several matrices of a length
+    monkeypatch.setattr(subword, "CACHED", 20)                # and several generations of remembered words
+    rnd = random.Random(11)
+    enc = subword.Encoder(merger, dropout=rate)
+    some = ["".join(rnd.choices("abcdething é▁日😀\t\0", k=rnd.randrange(1, 40))) for _ in range(60)]
+    for part in range(8):
+        texts = [rnd.choice([None, "", " ", "\n", "a", "▁"]) if rnd.random() < 0.3 else
+                 rnd.choice([" ", "\n", "  "]).join(rnd.choices(some, k=rnd.randrange(1, 30))) for _ in range(12)]
+        ids = [rnd.choice([None, part, -7]) for _ in texts]
+        ids_flat, ends = enc.encode_flat(texts, ids)
+        raw, stops = merger.decoded(ids_flat, ends)
+        assert raw == b"".join((" " + t).encode() for t in texts if t)
+        assert np.diff(stops, prepend=0).tolist() == [len((" " + t).encode()) if t else 0 for t in texts]
+        for t, d, got in zip(texts, ids, enc.encode(texts, ids), strict=True):
+            want, stream = [], subword._scramble(enc.stream(d))
+            for i, w in enumerate(re.findall(r"\n| *[^ \n]+| +", " " + t) if t else []):
+                want.append(merger.by_agenda(w, subword._scramble((stream + i) % 2**64), enc.limit))
+            assert got == (None if t is None else b"".join(want))
+
+
+def test_decoded_bytes_follow_the_ids(merger):
+    ids, ends = subword.Encoder(merger).encode_flat(["one two", None, "", "three"], [1, 2, 3, 4])
+    raw, stops = merger.decoded(ids[::-1], ends)
+    assert raw != b" one two three" and len(raw) == 14 and stops[-1] == 14 and len(stops) == 4
+
+
 def test_encoder_goes_with_its_vocabulary():
     class Shared:
         value = subword.load_pieces()
